@@ -123,8 +123,8 @@ def parse_python(files: DataFrame, modules=None) -> DataFrame:
 
 def py_imports(parsed: DataFrame) -> DataFrame:
     """Imports as rows: ``(repo, file, walk_ord, alias, module)``."""
-    return parsed.select("repo", "file", F.explode("imports").alias("i")).select(
-        "repo", "file", "i.walk_ord", "i.alias", "i.module"
+    return parsed.select("repo", "file", F.explode("imports").alias("_import")).select(
+        "repo", "file", "_import.walk_ord", "_import.alias", "_import.module"
     )
 
 
@@ -138,15 +138,15 @@ def py_calls(parsed: DataFrame) -> DataFrame:
     """Calls on imported modules: ``(repo, file, walk_ord, line_number, alias, module,
     called_function)``."""
     some = parsed.where((F.size("imports") > 0) & (F.size("calls") > 0))
-    calls = some.select("repo", "file", "imports", F.explode_outer("calls").alias("c"))
+    calls = some.select("repo", "file", "imports", F.explode_outer("calls").alias("_call"))
     return calls.select(
         "repo",
         "file",
-        "c.walk_ord",
-        "c.line_number",
-        "c.alias",
-        _module_of(F.col("c.alias")).alias("module"),
-        "c.called_function",
+        "_call.walk_ord",
+        "_call.line_number",
+        "_call.alias",
+        _module_of(F.col("_call.alias")).alias("module"),
+        "_call.called_function",
     ).where("module is not null")
 
 
@@ -162,16 +162,16 @@ def _suggestions(bad: DataFrame, known: DataFrame) -> DataFrame:
         "names", lambda n: F.struct((-equal_positions(top, n)).alias("rank"), n.alias("name"))
     )
     best = bad.select("module", "called_function").distinct().join(names, "module").select(
-        "module", "called_function", F.array_min(scored).alias("best")
+        "module", "called_function", F.array_min(scored).alias("_best")
     )
     called = F.concat(F.lit("'"), "module", F.lit("."), "called_function", F.lit("'"))
     return best.select(
         "module",
         "called_function",
         F.when(
-            F.col("best.rank") <= -2,
+            F.col("_best.rank") <= -2,
             F.concat(called, F.lit(" does not exist. Did you mean '"), "module", F.lit("."),
-                     F.col("best.name"), F.lit("'?")),
+                     F.col("_best.name"), F.lit("'?")),
         )
         .otherwise(
             F.concat(called, F.lit(" does not exist in the '"), "module",

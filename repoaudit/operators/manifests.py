@@ -107,9 +107,9 @@ def distinct_packages(packages: DataFrame) -> DataFrame:
 
     A minimum over the order key aggregates before the shuffle, unlike a window.
     """
-    first = F.min(F.struct("file_ord", "source_file", "pos")).alias("first")
+    first = F.min(F.struct("file_ord", "source_file", "pos")).alias("_first")
     return packages.groupBy("repo", "package", "registry").agg(first).select(
-        "repo", "first.file_ord", "first.pos", "package", "first.source_file", "registry"
+        "repo", "_first.file_ord", "_first.pos", "package", "_first.source_file", "registry"
     )
 
 

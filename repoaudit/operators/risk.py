@@ -183,9 +183,9 @@ def recommendations(
         )
     )
     rows = (
-        summary.select("repo", F.explode_outer(F.array_compact(F.array(*entries))).alias("e"))
-        .where("e is not null")
-        .select("repo", "e.rec_no", F.lit(0).cast("bigint").alias("part"), "e.text")
+        summary.select("repo", F.explode_outer(F.array_compact(F.array(*entries))).alias("_entry"))
+        .where("_entry is not null")
+        .select("repo", "_entry.rec_no", F.lit(0).cast("bigint").alias("part"), "_entry.text")
     )
     if dep is None:
         return rows

@@ -104,16 +104,16 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     # A filter on ``folded`` would fold the line again for each needle; the generator
     # reads the folded line once, and again the outer form avoids an added filter.
     hits = lines.select(
-        *keys, "line_number", "line", F.explode_outer(matched).alias("hit")
-    ).where("hit is not null")
+        *keys, "line_number", "line", F.explode_outer(matched).alias("_hit")
+    ).where("_hit is not null")
     return hits.select(
         *keys,
         "line_number",
-        "hit.category",
-        "hit.category_ord",
-        "hit.severity",
+        "_hit.category",
+        "_hit.category_ord",
+        "_hit.severity",
         text.snippet(F.col("line")).alias("code_snippet"),
-        "hit.description",
+        "_hit.description",
     )
 
 

@@ -23,8 +23,8 @@ def block(summary: DataFrame, sections: dict[int, Column]) -> DataFrame:
         )
 
     pieces = [placed(n, texts) for n, texts in sections.items()]
-    rows = summary.select("repo", F.explode_outer(F.concat(*pieces)).alias("p"))
-    rows = rows.where("p is not null").select("repo", "p.*")
+    rows = summary.select("repo", F.explode_outer(F.concat(*pieces)).alias("_piece"))
+    rows = rows.where("_piece is not null").select("repo", "_piece.*")
     return items(rows, F.col("section"), F.col("line"), F.col("at"))
 
 

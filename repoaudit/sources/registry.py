@@ -57,11 +57,11 @@ def _variant_or(value: Column, default: Column) -> Column:
 def parse_pypi(docs: DataFrame) -> DataFrame:
     """Metadata of the Python packages in a snapshot."""
     own = docs.where("registry = 'pypi'").withColumn("lookup_status", _status(F.col("doc")))
-    rows = own.withColumn("j", F.from_json("doc", _PYPI_DOC))
-    info, unknown, empty = F.col("j.info"), F.lit("unknown"), F.lit("")
+    rows = own.withColumn("_json", F.from_json("doc", _PYPI_DOC))
+    info, unknown, empty = F.col("_json.info"), F.lit("unknown"), F.lit("")
     uploads = F.transform(
         F.filter(
-            F.flatten(F.filter(F.map_values("j.releases"), lambda files: files.isNotNull())),
+            F.flatten(F.filter(F.map_values("_json.releases"), lambda files: files.isNotNull())),
             lambda f: f["upload_time_iso_8601"].isNotNull(),
         ),
         lambda f, i: F.struct(
@@ -71,7 +71,7 @@ def parse_pypi(docs: DataFrame) -> DataFrame:
         ),
     )
     first = F.array_min(F.filter(uploads, lambda u: u["at"].isNotNull()))
-    rows = rows.withColumn("first", first)
+    rows = rows.withColumn("_first", first)
     return rows.select(
         "registry",
         "name",
@@ -82,9 +82,9 @@ def parse_pypi(docs: DataFrame) -> DataFrame:
         _key_or(info, "author", unknown).alias("author"),
         _key_or(info, "home_page", empty).alias("home_page"),
         _key_or(info, "license", unknown).alias("license"),
-        times.iso_text(F.col("first.text")).alias("created_date"),
-        F.col("first.at").alias("created_at"),
-        F.coalesce(F.size(F.map_keys("j.releases")), F.lit(0)).alias("release_count"),
+        times.iso_text(F.col("_first.text")).alias("created_date"),
+        F.col("_first.at").alias("created_at"),
+        F.coalesce(F.size(F.map_keys("_json.releases")), F.lit(0)).alias("release_count"),
         "lookup_status",
         "lookup_error",
     ).select(*_META)
@@ -113,25 +113,25 @@ def _author(version_author: Column, doc_author: Column) -> Column:
 def parse_npm(docs: DataFrame) -> DataFrame:
     """Metadata of the JavaScript packages in a snapshot."""
     own = docs.where("registry = 'npm'").withColumn("lookup_status", _status(F.col("doc")))
-    rows = own.withColumn("j", F.from_json("doc", _NPM_DOC))
-    rows = rows.withColumn("latest", _key_or(F.col("j.dist-tags"), "latest", F.lit("unknown")))
-    current = F.try_element_at(F.col("j.versions"), F.col("latest"))
-    rows = rows.withColumn("current", current)
-    license_ = F.coalesce(F.col("current.license"), F.col("j.license"))
-    created = F.try_element_at(F.col("j.time"), F.lit("created"))
+    rows = own.withColumn("_json", F.from_json("doc", _NPM_DOC))
+    rows = rows.withColumn("latest", _key_or(F.col("_json.dist-tags"), "latest", F.lit("unknown")))
+    current = F.try_element_at(F.col("_json.versions"), F.col("latest"))
+    rows = rows.withColumn("_current", current)
+    license_ = F.coalesce(F.col("_current.license"), F.col("_json.license"))
+    created = F.try_element_at(F.col("_json.time"), F.lit("created"))
     return rows.select(
         "registry",
         "name",
         (F.col("lookup_status") == "found").alias("exists"),
-        _variant_or(F.col("j.name"), F.col("name")).alias("reported_name"),
+        _variant_or(F.col("_json.name"), F.col("name")).alias("reported_name"),
         F.col("latest").alias("version"),
-        _variant_or(F.col("j.description"), F.lit("")).alias("summary"),
-        _author(F.col("current.author"), F.col("j.author")).alias("author"),
+        _variant_or(F.col("_json.description"), F.lit("")).alias("summary"),
+        _author(F.col("_current.author"), F.col("_json.author")).alias("author"),
         F.lit(None).cast("string").alias("home_page"),
         _variant_or(license_, F.lit("unknown")).alias("license"),
         created.alias("created_date"),
         times.parse_offset_time(created).alias("created_at"),
-        F.coalesce(F.size(F.map_keys("j.versions")), F.lit(0)).alias("release_count"),
+        F.coalesce(F.size(F.map_keys("_json.versions")), F.lit(0)).alias("release_count"),
         "lookup_status",
         "lookup_error",
     ).select(*_META)
