@@ -32,15 +32,15 @@ def number_rows(df: DataFrame, groups: dict[str, list[str]], order: list[str]) -
     # The id holds the partition in its upper bits and counts rows in the lower 33.
     sorted_rows = sorted_rows.withColumn("_part", F.shiftright("_id", 33))
     shares = sorted_rows.groupBy("_part", *inner).agg(
-        F.count("*").alias("_n"), F.min("_id").alias("_first")
+        F.count("*").alias("_rows"), F.min("_id").alias("_first")
     )
     for name in names:
         by_group = Window.partitionBy(*groups[name])
         rest = [c for c in inner if c not in groups[name]]
         before = by_group.orderBy(*rest, "_part").rowsBetween(Window.unboundedPreceding, -1)
         shares = shares.withColumn(
-            f"_{name}", F.coalesce(F.sum("_n").over(before), F.lit(0))
-        ).withColumn(f"{name}_total", F.sum("_n").over(by_group))
+            f"_before_{name}", F.coalesce(F.sum("_rows").over(before), F.lit(0))
+        ).withColumn(f"{name}_total", F.sum("_rows").over(by_group))
     # Null keys must meet, so the join compares null-safe.
     left, right = sorted_rows.alias("l"), shares.alias("r")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ["_part", *inner]]
@@ -48,7 +48,7 @@ def number_rows(df: DataFrame, groups: dict[str, list[str]], order: list[str]) -
     position = F.col("l._id") - F.col("r._first") + 1
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns],
-        *[(F.col(f"r._{name}") + position).alias(name) for name in names],
+        *[(F.col(f"r._before_{name}") + position).alias(name) for name in names],
         *[F.col(f"r.{name}_total") for name in names],
     )
 
