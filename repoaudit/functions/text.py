@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -50,10 +52,7 @@ def manifest_text(files: DataFrame) -> DataFrame:
 
 def split_lines(content: Column) -> Column:
     """Cut a text at every line break; a final break leaves one empty last element."""
-    rare = None
-    for char in _RARE_BREAKS:
-        found = F.contains(content, F.lit(char))
-        rare = found if rare is None else rare | found
+    rare = reduce(or_, [F.contains(content, F.lit(char)) for char in _RARE_BREAKS])
     # Splitting on a single character avoids the regex engine.
     return F.when(rare, F.split(content, LINE_BREAK)).otherwise(F.split(content, "\n"))
 
@@ -65,8 +64,9 @@ def strip(text: Column) -> Column:
 
 def fold_case(text: Column) -> Column:
     """Lower case such that a case-insensitive ASCII literal is found by ``contains``."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, *_FOLDING)))
+    special = [F.contains(text, F.lit(char)) for char in _FOLDING[0]]
+    some = (F.length(text) != F.octet_length(text)) & reduce(or_, special)
+    return F.lower(F.when(some, F.translate(text, *_FOLDING)).otherwise(text))
 
 
 def ignore_case(pattern: str) -> str:

@@ -44,50 +44,50 @@ def _exploded(files: DataFrame) -> DataFrame:
     )
 
 
-def _gate(folded: Column, groups) -> Column | None:
-    """The needles of a pattern, tested by plain substring search."""
-    if not groups:
-        return None
-    return all_of([any_of([F.contains(folded, F.lit(n)) for n in group]) for group in groups])
-
-
-def _first_needles(folded: Column, rules) -> Column | None:
-    """Whether any pattern can match at all: each distinct first group, tested once."""
-    needles: dict[str, None] = {}
-    for rule in rules:
-        for i in range(len(rule.patterns)):
-            groups = rule.needles_of(i)
-            if not groups:
-                return None
-            needles.update(dict.fromkeys(groups[0]))
-    # A needle that contains another one adds nothing to the union.
-    distinct = [n for n in needles if not any(m != n and m in n for m in needles)]
-    return any_of([F.contains(folded, F.lit(n)) for n in distinct])
-
-
-def category_match(line: Column, folded: Column, rule) -> Column:
-    """Whether one of the patterns of a category is found in the line."""
+def _marks(rules) -> dict[str, str]:
+    """A column name for each single-character needle."""
+    needles = [
+        n for r in rules for i in range(len(r.patterns)) for group in r.needles_of(i) for n in group
+    ]
+    single = dict.fromkeys(n for n in needles if len(n) == 1)
+    return {char: f"_mark{i}" for i, char in enumerate(single)}
+
+
+def category_match(line: Column, folded: Column, rule, marks: dict[str, str]) -> Column:
+    """Whether one of the patterns of a category is found in the line.
+
+    A pattern only runs on a line that holds its needles, found by plain substring search.
+    """
+
+    def held(needle: str) -> Column:
+        return F.col(marks[needle]) if needle in marks else F.contains(folded, F.lit(needle))
+
     tests = []
     for i, pattern in enumerate(rule.patterns):
+        gates = [any_of([held(n) for n in group]) for group in rule.needles_of(i)]
         search = line.rlike(text.ignore_case(ONE_PASS_FORMS.get(pattern, pattern)))
-        gate = _gate(folded, rule.needles_of(i))
-        tests.append(search if gate is None else gate & search)
+        tests.append(all_of([*gates, search]))
     return any_of(tests)
 
 
 def match_lines(files: DataFrame, rules=None) -> DataFrame:
     """Findings of all texts in a table, whatever its keys: one row per line and category.
 
-    The work is one narrow stage. Lines that hold none of the needles stop at a substring
-    test; the remaining ones run only the patterns whose own needles they hold.
+    The work is one narrow stage. The rules are expressions built from the rule table, so
+    each regex compiles once per task and nothing is joined.
     """
     rules = valid_rules(files.sparkSession, rules or SECURITY_RULES)
     keys = [c for c in files.columns if c != "content"]
     lines = _exploded(files).drop("pieces")
-    lines = lines.withColumn("folded", text.fold_case(F.col("line")))
+    marks = _marks(rules)
+    lines = lines.select(
+        "*",
+        text.fold_case(F.col("line")).alias("folded"),
+        *[F.contains("line", F.lit(char)).alias(name) for char, name in marks.items()],
+    )
     categories = [
         F.when(
-            category_match(F.col("line"), F.col("folded"), rule),
+            category_match(F.col("line"), F.col("folded"), rule, marks),
             F.struct(
                 F.lit(rule.category).alias("category"),
                 F.lit(i).alias("category_ord"),
@@ -97,12 +97,9 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
         )
         for i, rule in enumerate(rules)
     ]
+    # A filter in front would compute the folded line again for each needle. The generator
+    # reads it once; its outer form keeps Spark from adding such a filter.
     matched = F.array_compact(F.array(*categories))
-    possible = _first_needles(F.col("folded"), rules)
-    if possible is not None:
-        matched = F.when(possible, matched)
-    # A filter on ``folded`` would fold the line again for each needle; the generator
-    # reads the folded line once, and again the outer form avoids an added filter.
     hits = lines.select(
         *keys, "line_number", "line", F.explode_outer(matched).alias("_hit")
     ).where("_hit is not null")

@@ -16,7 +16,8 @@ class SecurityRule:
 
     ``needles`` runs parallel to ``patterns``. Each entry lists groups of lower-case
     ASCII strings; a line can only match the pattern if it holds one string of every
-    group. An empty entry means that nothing is known, so the pattern always runs.
+    group. An empty entry means that nothing is known, so the pattern always runs. Groups
+    of single characters come first: each character is looked for once per line.
     """
 
     category: str
@@ -29,6 +30,9 @@ class SecurityRule:
         return self.needles[i] if i < len(self.needles) else ()
 
 
+_PAREN, _EQUALS, _DOT, _QUOTE = ("(",), ("=",), (".",), ('"', "'")
+_SQL_VERBS = ("select", "insert", "update", "delete")
+
 # Categories, severities, descriptions and patterns, in rule order.
 SECURITY_RULES: tuple[SecurityRule, ...] = (
     SecurityRule(
@@ -49,16 +53,16 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""-----BEGIN\s(?:RSA\s)?PRIVATE\sKEY-----""",
         ),
         (
-            (('"sk-', "'sk-"),),
-            (('"akia', "'akia"),),
-            (('"ghp_', "'ghp_"),),
-            (("api_key", "apikey", "api_secret"), ("=",)),
+            (_QUOTE, ("sk-",)),
+            (_QUOTE, ("akia",)),
+            (_QUOTE, ("ghp_",)),
+            (_EQUALS, _QUOTE, ("api_key", "apikey", "api_secret")),
             (("bearer",),),
-            (('"xox', "'xox"),),
-            (('"sk_live_', "'sk_live_"),),
-            (('"rk_live_', "'rk_live_"),),
-            (('"sk', "'sk"),),
-            (('"aiza', "'aiza"),),
+            (_QUOTE, ("xox",)),
+            (_QUOTE, ("sk_live_",)),
+            (_QUOTE, ("rk_live_",)),
+            (_QUOTE, ('"sk', "'sk")),
+            (_QUOTE, ("aiza",)),
             (("-----begin",),),
         ),
     ),
@@ -71,8 +75,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""(?:mysql|postgres|postgresql|mongodb)://[^:]+:[^@]+@""",
         ),
         (
-            (("password", "passwd", "pwd", "secret", "token"), ("=",)),
-            (("mysql://", "postgres://", "postgresql://", "mongodb://"), ("@",)),
+            (_EQUALS, _QUOTE, ("password", "passwd", "pwd", "secret", "token")),
+            (("@",), (":",), ("://",)),
         ),
     ),
     SecurityRule(
@@ -87,11 +91,11 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""(?:execute|cursor\.execute)\s*\(\s*["']?\s*(?:SELECT|INSERT|UPDATE|DELETE).*\+""",
         ),
         (
-            (("execute",), ("(",)),
-            (("%s",), ("select", "insert", "update", "delete")),
-            ((".format",), ("select", "insert", "update", "delete")),
-            ((".format",), ("select", "insert", "update", "delete")),
-            (("execute",), ("select", "insert", "update", "delete"), ("+",)),
+            (_PAREN, ("execute",)),
+            (("%s",), _SQL_VERBS),
+            (_PAREN, (".format",), _SQL_VERBS),
+            (_PAREN, (".format",), _SQL_VERBS),
+            (_PAREN, ("+",), ("execute",), _SQL_VERBS),
         ),
     ),
     SecurityRule(
@@ -109,14 +113,14 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""commands\.getoutput\s*\(""",
         ),
         (
-            (("eval",), ("(",)),
-            (("exec",), ("(",)),
-            (("os.system",),),
-            (("subprocess.call",), ("shell",)),
-            (("subprocess.popen",), ("shell",)),
-            (("subprocess.run",), ("shell",)),
-            (("os.popen",),),
-            (("commands.getoutput",),),
+            (_PAREN, ("eval",)),
+            (_PAREN, ("exec",)),
+            (_PAREN, ("os.system",)),
+            (_PAREN, _EQUALS, ("subprocess.call",)),
+            (_PAREN, _EQUALS, ("subprocess.popen",)),
+            (_PAREN, _EQUALS, ("subprocess.run",)),
+            (_PAREN, ("os.popen",)),
+            (_PAREN, ("commands.getoutput",)),
         ),
     ),
     SecurityRule(
@@ -131,11 +135,11 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""jsonpickle\.decode\s*\(""",
         ),
         (
-            (("pickle.load",),),
-            (("yaml.load",),),
-            (("marshal.load",),),
-            (("shelve.open",),),
-            (("jsonpickle.decode",),),
+            (_PAREN, ("pickle.load",)),
+            (_PAREN, ("yaml.load",)),
+            (_PAREN, ("marshal.load",)),
+            (_PAREN, ("shelve.open",)),
+            (_PAREN, ("jsonpickle.decode",)),
         ),
     ),
     SecurityRule(
@@ -149,10 +153,10 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""request\.data""",
         ),
         (
-            (("request.args.get",),),
-            (("request.form.get",),),
-            (("request.json",),),
-            (("request.data",),),
+            (_PAREN, ("request.args",)),
+            (_PAREN, ("request.form",)),
+            (_DOT, ("request.json",)),
+            (_DOT, ("request.data",)),
         ),
     ),
     SecurityRule(
@@ -164,8 +168,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""verify\s*=\s*False""",
         ),
         (
-            (("http://",),),
-            (("verify",), ("false",)),
+            ((":",), ("http://",)),
+            (_EQUALS, ("verify",)),
         ),
     ),
     SecurityRule(
@@ -177,8 +181,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""DEBUG\s*=\s*True""",
         ),
         (
-            (("app.run",), ("debug",)),
-            (("debug",), ("true",)),
+            (_PAREN, _EQUALS, ("app.run",)),
+            (_EQUALS, ("debug",)),
         ),
     ),
     SecurityRule(
@@ -192,8 +196,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""RC4\b""",
         ),
         (
-            (("hashlib.md5",),),
-            (("hashlib.sha1",),),
+            (_PAREN, ("hashlib.md5",)),
+            (_PAREN, ("hashlib.sha1",)),
             (("des",),),
             (("rc4",),),
         ),
@@ -207,8 +211,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""os\.path\.join\s*\(\s*[^,]+,\s*(?:request|user_input)""",
         ),
         (
-            (("open",), ("request", "user_input", "filename", "path")),
-            (("os.path.join",), ("request", "user_input")),
+            (_PAREN, ("open",), ("request", "user_input", "filename", "path")),
+            (_PAREN, (",",), ("os.path.join",)),
         ),
     ),
 )
