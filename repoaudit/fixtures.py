@@ -241,8 +241,11 @@ def py_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """The given tables are single small files; give every core a share of them."""
-    return files.repartition("repo", "path")
+    """Give every core a share of a small input; a large one has shares enough as it is."""
+    enough = 2 * files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= enough:
+        return files
+    return files.repartition(enough, *[c for c in files.columns if c != "content"])
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,9 @@ SNIPPET_LENGTH = 200
 # Non-ASCII characters that match an ASCII letter when case is ignored.
 _FOLDING = ("ſKİı", "skii")
 
+_WORD = r"[\p{L}\p{N}_]"
+_WORD_BOUNDARY = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+
 # Package name at the start of a requirement.
 NAME_PATTERN = r"^([A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9])?)"
 
@@ -70,12 +73,16 @@ def fold_case(text: Column) -> Column:
 
 
 def ignore_case(pattern: str) -> str:
-    """A pattern searched without case, with Unicode classes.
+    """A pattern searched without case, with the Unicode classes the rules assume.
 
-    Java does not count 0x1f as white space, so it is named.
+    Java does not count 0x1f as white space, and counts combining marks as letters at a
+    word boundary, so both are spelled out.
     """
-    spaced = re.sub(r"(?<!\\)((?:\\\\)*)\\s", r"\1[\\s\\x1f]", pattern)
-    return "(?iU)" + spaced
+
+    def exact(found: re.Match) -> str:
+        return found[1] + (r"[\s\x1f]" if found[2] == "s" else _WORD_BOUNDARY)
+
+    return "(?iU)" + re.sub(r"(?<!\\)((?:\\\\)*)\\([sb])", exact, pattern)
 
 
 def snippet(line: Column) -> Column:

@@ -22,14 +22,6 @@ def as_utc(moment: datetime | None) -> datetime:
     return moment.astimezone(timezone.utc)
 
 
-def parse_offset_time(text: Column) -> Column:
-    """Timestamp of an ISO-8601 text with offset, else null."""
-    plain = F.regexp_replace(text, ",", ".")
-    plain = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    plain = F.regexp_replace(plain, r"(\.\d{6})\d+", "$1")
-    return F.when(text.rlike(_WITH_OFFSET), plain.try_cast("timestamp"))
-
-
 def iso_text(text: Column) -> Column:
     """Canonical form of a valid time text: seconds, micros if any, offset +hh:mm."""
     clock = F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 5))
@@ -43,6 +35,11 @@ def iso_text(text: Column) -> Column:
     return F.concat(clock, seconds, fraction, offset)
 
 
+def parse_offset_time(text: Column) -> Column:
+    """Timestamp of an ISO-8601 text with offset, else null."""
+    return F.when(text.rlike(_WITH_OFFSET), iso_text(text).try_cast("timestamp"))
+
+
 def age_in_days(created: Column, as_of: datetime) -> Column:
     """Whole days since ``created``, rounded down, so the future is negative."""
     micros = F.lit(int(as_of.timestamp()) * 1_000_000 + as_of.microsecond)

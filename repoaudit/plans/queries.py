@@ -64,7 +64,7 @@ def raw_text_rules(spark, sf_dir):
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
             F.lit(table).alias("source"), F.expr(key).alias("key"), F.col(column).alias("content")
         )
-        return rows.repartition("key")
+        return fx.spread(rows)
 
     rows = (
         texts("documents", "cast(doc_id as string)", "text")
@@ -124,7 +124,8 @@ def dependencies_dedup(spark, sf_dir):
 
 
 def _meta(spark, sf_dir) -> DataFrame:
-    return parse_snapshot(fx.registry_docs(spark, sf_dir))
+    """The snapshot, parsed once; a real one is stored in this form."""
+    return freeze(parse_snapshot(fx.registry_docs(spark, sf_dir)))
 
 
 def registry_lookup(spark, sf_dir):

@@ -10,11 +10,11 @@ from repoaudit.functions import paths
 def write_source_files(files: DataFrame, path: str) -> None:
     """Store ``(repo, path, content)`` as parquet, partitioned by the kind of file.
 
-    Each check then reads only the partitions of the kinds it looks at. Rows are spread
-    by repository and path, so a large repository does not end up in one file.
+    Each check then reads only the partitions of the kinds it looks at. The files arrive
+    spread over all tasks, whatever their repository, so content is not shuffled here.
     """
-    spread = files.withColumn("kind", paths.kind(F.col("path"))).repartition("repo", "path")
-    spread.write.partitionBy("kind").mode("errorifexists").parquet(path)
+    kinds = files.withColumn("kind", paths.kind(F.col("path")))
+    kinds.write.partitionBy("kind").mode("errorifexists").parquet(path)
 
 
 def read_source_files(spark: SparkSession, path: str) -> DataFrame:
