@@ -282,6 +282,15 @@ ELSE '"author":null,"license":"BSD"' END || '}'
 """
 
 
+def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repositories of ``V1`` and ``V2``, one row each."""
+    tables(spark, sf_dir, "documents", "part")
+    return spark.sql(
+        f"SELECT repo, '/data/' || repo AS root, true AS found FROM "
+        f"(SELECT DISTINCT source AS repo FROM documents UNION SELECT DISTINCT {_REPO} FROM part) r"
+    )
+
+
 def registry_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot of ``V3``: documents as the two registries would serve them."""
     tables(spark, sf_dir, "part")

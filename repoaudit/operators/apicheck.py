@@ -150,19 +150,32 @@ def py_calls(parsed: DataFrame) -> DataFrame:
     ).where("module is not null")
 
 
-def _suggestions(bad: DataFrame, known: DataFrame) -> DataFrame:
+# A table of known names is broadcast up to this many rows, and a module's names are put
+# into arrays of about this many.
+BROADCAST_NAMES = 500_000
+ARRAY_NAMES = 1000
+
+
+def _suggestions(bad: DataFrame, known: DataFrame, known_rows: int) -> DataFrame:
     """Text for each distinct bad ``(module, called_function)``.
 
-    The names of a module sit in one array and the best one is a maximum over it, so no
+    The names of a module sit in arrays and the best one is a maximum over them, so no
     pairs of calls and names come into being. Ties go to the first name in the alphabet.
     """
-    names = known.groupBy("module").agg(F.collect_list("name").alias("names"))
+    share = F.pmod(F.xxhash64("name"), F.lit(max(1, known_rows // ARRAY_NAMES)))
+    names = known.groupBy("module", share.alias("share")).agg(
+        F.collect_list("name").alias("names")
+    )
     top = F.split_part(F.col("called_function"), F.lit("."), F.lit(1))
     scored = F.transform(
         "names", lambda n: F.struct((-equal_positions(top, n)).alias("rank"), n.alias("name"))
     )
-    best = bad.select("module", "called_function").distinct().join(names, "module").select(
-        "module", "called_function", F.array_min(scored).alias("_best")
+    best = (
+        bad.select("module", "called_function")
+        .distinct()
+        .join(_if_small(names, known_rows), "module")
+        .groupBy("module", "called_function")
+        .agg(F.min(F.array_min(scored)).alias("_best"))
     )
     called = F.concat(F.lit("'"), "module", F.lit("."), "called_function", F.lit("'"))
     return best.select(
@@ -181,19 +194,30 @@ def _suggestions(bad: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _if_small(known: DataFrame, known_rows: int) -> DataFrame:
+    return F.broadcast(known) if known_rows <= BROADCAST_NAMES else known
+
+
 def check_calls(calls: DataFrame, known: DataFrame) -> DataFrame:
     """Calls whose first name after the module is not in the ``(module, name)`` table.
 
-    Spark broadcasts the known names if they are small enough by its own measure. The bad
-    calls, a small rest, are frozen, so no file is parsed twice. Suggestions are made once
-    per distinct call and go back to the rows through a join that copes with frequent ones.
+    The known names are counted first. Up to ``BROADCAST_NAMES`` of them are broadcast and
+    the calls stay where they are; beyond that Spark joins by shuffle. The bad calls, a
+    small rest, are frozen, so no file is parsed twice. Suggestions are made once per
+    distinct call and go back to the rows through a join that copes with frequent ones.
     """
+    known = known.select("module", "name").distinct()
+    rows = known.count()
+    modules = known.select("module").distinct()
     top = F.split_part(F.col("called_function"), F.lit("."), F.lit(1))
-    tracked = calls.join(known.select("module").distinct(), "module", "left_semi")
     bad = freeze(
-        tracked.withColumn("name", top).join(known, ["module", "name"], "left_anti").drop("name")
+        calls.join(_if_small(modules, rows), "module", "left_semi")
+        .withColumn("name", top)
+        .join(_if_small(known, rows), ["module", "name"], "left_anti")
+        .drop("name")
     )
-    judged = join_hot_keys(bad, _suggestions(bad, known), ["module", "called_function"])
+    suggested = _suggestions(bad, known, rows)
+    judged = join_hot_keys(bad, suggested, ["module", "called_function"])
     return judged.select(
         "repo",
         "file",

@@ -145,14 +145,27 @@ def _one(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def _package_texts(dep: DataFrame, flag: Column, texts, part_rows: int) -> DataFrame:
-    """The text that lists packages; more than ``part_rows`` continue in further parts."""
-    parts = in_parts(dep.where(flag), ["repo"], FINDING_ORDER, F.col("package"), part_rows)
+def _package_texts(dep: DataFrame, part_rows: int) -> DataFrame:
+    """The texts that list packages; more than ``part_rows`` continue in further parts."""
+    kinds = F.array_compact(
+        F.array(
+            F.when(is_nonexistent(dep), F.lit("missing")),
+            F.when(has_typosquat_risk(), F.lit("lookalike")),
+        )
+    )
+    flagged = dep.select("repo", *FINDING_ORDER, F.explode_outer(kinds).alias("kind"))
+    parts = in_parts(
+        flagged.where("kind is not null"), ["repo", "kind"], FINDING_ORDER, F.col("package"), part_rows
+    )
     quoted = F.transform("items", lambda p: F.concat(F.lit("`"), p, F.lit("`")))
-    head = F.when(F.col("part") == 0, texts[0]).otherwise("")
-    tail = F.when(F.col("part") == F.col("parts") - 1, texts[1]).otherwise(",")
+
+    def either(at: int) -> Column:
+        return F.when(F.col("kind") == "missing", _NON_EXISTENT[at]).otherwise(_TYPOSQUAT[at])
+
+    head = F.when(F.col("part") == 0, either(0)).otherwise("")
+    tail = F.when(F.col("part") == F.col("parts") - 1, either(1)).otherwise(",")
     return parts.select(
-        "repo", "part", F.concat(head, F.array_join(quoted, ", "), tail).alias("text")
+        "repo", "kind", "part", F.concat(head, F.array_join(quoted, ", "), tail).alias("text")
     )
 
 
@@ -189,10 +202,8 @@ def recommendations(
     )
     if dep is None:
         return rows
-    first = _package_texts(dep, is_nonexistent(dep), _NON_EXISTENT, part_rows)
-    second = _package_texts(dep, has_typosquat_risk(), _TYPOSQUAT, part_rows)
-    second = second.join(summary.select("repo", missing.alias("before")), "repo")
-    return (
-        rows.unionByName(first.select("repo", F.lit(1).alias("rec_no"), "part", "text"))
-        .unionByName(second.select("repo", (F.col("before") + 1).alias("rec_no"), "part", "text"))
+    listed = _package_texts(dep, part_rows).join(
+        summary.select("repo", missing.alias("before")), "repo"
     )
+    number = F.when(F.col("kind") == "missing", 1).otherwise(F.col("before") + 1)
+    return rows.unionByName(listed.select("repo", number.alias("rec_no"), "part", "text"))

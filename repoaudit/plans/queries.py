@@ -176,21 +176,11 @@ def dependency_findings(spark, sf_dir):
     )
 
 
-def _repos(files: DataFrame) -> DataFrame:
-    return files.select("repo").distinct().select(
-        "repo", F.concat(F.lit("/data/"), "repo").alias("root"), F.lit(True).alias("found")
-    )
-
-
 def dependency_summary(spark, sf_dir):
-    files = fx.manifests(spark, sf_dir)
-    rows = _dependencies(spark, sf_dir)
     # The sources of the documents have no manifests; one root does not exist.
-    others = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
-        "source AS repo", "concat('/data/', source) AS root", "source <> 'src0' AS found"
-    )
-    repos = _repos(files).unionByName(others.distinct())
-    return dependencies.dependency_summary(files, rows, repos)
+    repos = fx.repositories(spark, sf_dir).withColumn("found", F.col("repo") != "src0")
+    rows = _dependencies(spark, sf_dir)
+    return dependencies.dependency_summary(fx.manifests(spark, sf_dir), rows, repos)
 
 
 def dependency_warnings(spark, sf_dir):
@@ -218,7 +208,7 @@ def api_summary(spark, sf_dir):
     return apicheck.api_counts(parsed, found)
 
 
-def _audited(spark, sf_dir, *, want_dep=True, want_sec=True, want_api=True):
+def _audited(spark, sf_dir):
     """Findings of all checks: dependencies of ``V2``, code of ``V1``, calls of ``V4``."""
     dep = freeze(_dependencies(spark, sf_dir))
     sec = freeze(_security(spark, sf_dir))
@@ -226,10 +216,8 @@ def _audited(spark, sf_dir, *, want_dep=True, want_sec=True, want_api=True):
         apicheck.parse_python(fx.py_sources(spark, sf_dir), apicheck.literal_modules())
     )
     api = freeze(apicheck.check_calls(apicheck.py_calls(parsed), known_api_table(spark)))
-    files = fx.manifests(spark, sf_dir).select("repo")
-    repos = files.unionByName(fx.source_files(spark, sf_dir).select("repo"))
-    summary = freeze(risk.risk_summary(_repos(repos), dep, sec, api, parsed))
-    return dep, sec, api, summary
+    repos = fx.repositories(spark, sf_dir)
+    return dep, sec, api, freeze(risk.risk_summary(repos, dep, sec, api, parsed))
 
 
 def risk_score(spark, sf_dir):

@@ -334,7 +334,7 @@ def known_api_table(
         rows = [(m, n) for m in modules for n in dir(importlib.import_module(m))]
         more = spark.createDataFrame(rows, "module string, name string")
         apis = apis.select("module", "name").unionByName(more)
-    return apis.select("module", "name").distinct()
+    return apis.select("module", "name")
 
 
 def popular_table(spark: SparkSession, names=POPULAR_PACKAGES) -> DataFrame:

@@ -99,6 +99,7 @@ def test_equal_positions(spark):
 
 def test_join_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(joins, "HOT_KEYS", 3)
+    monkeypatch.setattr(joins, "HOT_ROWS", 60)
     left = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"),
         "id",
