@@ -18,10 +18,19 @@ from repoaudit.rules import (
 
 def code_lines(files: DataFrame) -> DataFrame:
     """Numbered lines of scanned code: ``(repo, file, line_number, line)``."""
-    lines = _exploded(_scanned(files))
+    parts = text.split_lines(F.col("content"))
     # A final line break ends the last line and does not start another one.
-    after_end = (F.col("line") == "") & (F.col("line_number") == F.col("pieces"))
-    return lines.where(~after_end).drop("pieces")
+    pieces = _scanned(files).select(
+        "repo",
+        "file",
+        F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1))
+        .otherwise(parts)
+        .alias("parts"),
+    )
+    lines = pieces.select("repo", "file", F.posexplode_outer("parts").alias("at", "line"))
+    return lines.where("line is not null").select(
+        "repo", "file", (F.col("at") + 1).alias("line_number"), "line"
+    )
 
 
 def _scanned(files: DataFrame) -> DataFrame:
@@ -30,20 +39,6 @@ def _scanned(files: DataFrame) -> DataFrame:
     return text.code_text(kept).select("repo", F.col("path").alias("file"), "content")
 
 
-def _exploded(files: DataFrame) -> DataFrame:
-    """One row per line; the keys are all columns but ``content``."""
-    keys = [c for c in files.columns if c != "content"]
-    pieces = files.select(*keys, text.split_lines(F.col("content")).alias("parts"))
-    # The outer form keeps Spark from adding a filter that splits the text once more.
-    return (
-        pieces.select(
-            *keys, F.size("parts").alias("pieces"), F.posexplode_outer("parts").alias("at", "line")
-        )
-        .where("line is not null")
-        .select(*keys, (F.col("at") + 1).alias("line_number"), "line", "pieces")
-    )
-
-
 def _marks(rules) -> dict[str, str]:
     """A column name for each single-character needle."""
     needles = [
@@ -70,6 +65,36 @@ def category_match(line: Column, folded: Column, rule, marks: dict[str, str]) ->
     return any_of(tests)
 
 
+def _may_match(folded: Column, rules, marks: dict[str, str]) -> Column:
+    """Whether any pattern can match a line at all: single characters first, then the
+    needles of the patterns that need the same characters, each tested once."""
+
+    def some(needles) -> Column:
+        return any_of([F.contains(folded, F.lit(n)) for n in needles])
+
+    needed: dict[tuple, dict[str, None]] = {}
+    for rule in rules:
+        for i in range(len(rule.patterns)):
+            groups = rule.needles_of(i)
+            single = tuple(g for g in groups if all(n in marks for n in g))
+            first = next((g for g in groups if g not in single), None)
+            if first is None:
+                return folded.isNotNull()
+            needed.setdefault(single, {}).update(dict.fromkeys(first))
+    # A needle that contains another one adds nothing to the union.
+    return any_of(
+        [
+            all_of(
+                [
+                    *map(some, single),
+                    some([n for n in needles if not any(m != n and m in n for m in needles)]),
+                ]
+            )
+            for single, needles in needed.items()
+        ]
+    )
+
+
 def match_lines(files: DataFrame, rules=None) -> DataFrame:
     """Findings of all texts in a table, whatever its keys: one row per line and category.
 
@@ -78,12 +103,24 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     """
     rules = valid_rules(files.sparkSession, rules or SECURITY_RULES)
     keys = [c for c in files.columns if c != "content"]
-    lines = _exploded(files).drop("pieces")
     marks = _marks(rules)
-    lines = lines.select(
-        "*",
-        text.fold_case(F.col("line")).alias("folded"),
-        *[F.contains("line", F.lit(char)).alias(name) for char, name in marks.items()],
+    pieces = files.select(*keys, "content", text.fold_case(F.col("content")).alias("folded"))
+    # The folded text has the same line breaks, so both are cut alike. As columns of the
+    # generator, line and folded line exist before the filter, which would otherwise fold
+    # the line again for each needle. The outer form keeps Spark from adding a filter that
+    # splits the texts once more.
+    pairs = F.arrays_zip(
+        text.split_lines(F.col("content")).alias("line"),
+        text.split_lines(F.col("folded")).alias("folded"),
+    )
+    lines = pieces.select(*keys, F.posexplode_outer(pairs).alias("at", "_pair")).select(
+        *keys,
+        (F.col("at") + 1).alias("line_number"),
+        F.col("_pair").getField("line").alias("line"),
+        F.col("_pair").getField("folded").alias("folded"),
+    )
+    lines = lines.where(_may_match(F.col("folded"), rules, marks)).select(
+        "*", *[F.contains("line", F.lit(char)).alias(name) for char, name in marks.items()]
     )
     categories = [
         F.when(
@@ -97,8 +134,6 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
         )
         for i, rule in enumerate(rules)
     ]
-    # A filter in front would compute the folded line again for each needle. The generator
-    # reads it once; its outer form keeps Spark from adding such a filter.
     matched = F.array_compact(F.array(*categories))
     hits = lines.select(
         *keys, "line_number", "line", F.explode_outer(matched).alias("_hit")

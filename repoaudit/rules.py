@@ -30,7 +30,7 @@ class SecurityRule:
         return self.needles[i] if i < len(self.needles) else ()
 
 
-_PAREN, _EQUALS, _DOT, _QUOTE = ("(",), ("=",), (".",), ('"', "'")
+_PAREN, _EQUALS, _QUOTE = ("(",), ("=",), ('"', "'")
 _SQL_VERBS = ("select", "insert", "update", "delete")
 
 # Categories, severities, descriptions and patterns, in rule order.
@@ -56,11 +56,11 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             (_QUOTE, ("sk-",)),
             (_QUOTE, ("akia",)),
             (_QUOTE, ("ghp_",)),
-            (_EQUALS, _QUOTE, ("api_key", "apikey", "api_secret")),
+            (_EQUALS, _QUOTE, ("api",)),
             (("bearer",),),
             (_QUOTE, ("xox",)),
-            (_QUOTE, ("sk_live_",)),
-            (_QUOTE, ("rk_live_",)),
+            (_QUOTE, ("k_live_",)),
+            (_QUOTE, ("k_live_",)),
             (_QUOTE, ('"sk', "'sk")),
             (_QUOTE, ("aiza",)),
             (("-----begin",),),
@@ -75,8 +75,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""(?:mysql|postgres|postgresql|mongodb)://[^:]+:[^@]+@""",
         ),
         (
-            (_EQUALS, _QUOTE, ("password", "passwd", "pwd", "secret", "token")),
-            (("@",), (":",), ("://",)),
+            (_EQUALS, _QUOTE, ("pass", "pwd", "secret", "token")),
+            (("://",), ("@",)),
         ),
     ),
     SecurityRule(
@@ -95,7 +95,7 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             (("%s",), _SQL_VERBS),
             (_PAREN, (".format",), _SQL_VERBS),
             (_PAREN, (".format",), _SQL_VERBS),
-            (_PAREN, ("+",), ("execute",), _SQL_VERBS),
+            (_PAREN, ("execute",), _SQL_VERBS),
         ),
     ),
     SecurityRule(
@@ -115,12 +115,12 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
         (
             (_PAREN, ("eval",)),
             (_PAREN, ("exec",)),
-            (_PAREN, ("os.system",)),
-            (_PAREN, _EQUALS, ("subprocess.call",)),
-            (_PAREN, _EQUALS, ("subprocess.popen",)),
-            (_PAREN, _EQUALS, ("subprocess.run",)),
-            (_PAREN, ("os.popen",)),
-            (_PAREN, ("commands.getoutput",)),
+            (_PAREN, ("os.",)),
+            (_PAREN, ("subprocess.",)),
+            (_PAREN, ("subprocess.",)),
+            (_PAREN, ("subprocess.",)),
+            (_PAREN, ("os.",)),
+            (_PAREN, ("commands.",)),
         ),
     ),
     SecurityRule(
@@ -135,11 +135,11 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""jsonpickle\.decode\s*\(""",
         ),
         (
-            (_PAREN, ("pickle.load",)),
-            (_PAREN, ("yaml.load",)),
-            (_PAREN, ("marshal.load",)),
-            (_PAREN, ("shelve.open",)),
-            (_PAREN, ("jsonpickle.decode",)),
+            (_PAREN, (".load",)),
+            (_PAREN, (".load",)),
+            (_PAREN, (".load",)),
+            (_PAREN, ("open",)),
+            (_PAREN, (".decode",)),
         ),
     ),
     SecurityRule(
@@ -153,10 +153,10 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""request\.data""",
         ),
         (
-            (_PAREN, ("request.args",)),
-            (_PAREN, ("request.form",)),
-            (_DOT, ("request.json",)),
-            (_DOT, ("request.data",)),
+            (("request.",),),
+            (("request.",),),
+            (("request.",),),
+            (("request.",),),
         ),
     ),
     SecurityRule(
@@ -168,7 +168,7 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""verify\s*=\s*False""",
         ),
         (
-            ((":",), ("http://",)),
+            (("http://",),),
             (_EQUALS, ("verify",)),
         ),
     ),
@@ -181,7 +181,7 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""DEBUG\s*=\s*True""",
         ),
         (
-            (_PAREN, _EQUALS, ("app.run",)),
+            (_EQUALS, ("debug",)),
             (_EQUALS, ("debug",)),
         ),
     ),
@@ -196,8 +196,8 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
             r"""RC4\b""",
         ),
         (
-            (_PAREN, ("hashlib.md5",)),
-            (_PAREN, ("hashlib.sha1",)),
+            (_PAREN, ("hashlib.",)),
+            (_PAREN, ("hashlib.",)),
             (("des",),),
             (("rc4",),),
         ),
@@ -212,7 +212,7 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
         ),
         (
             (_PAREN, ("open",), ("request", "user_input", "filename", "path")),
-            (_PAREN, (",",), ("os.path.join",)),
+            (_PAREN, ("os.",), ("request", "user_input")),
         ),
     ),
 )

@@ -246,3 +246,15 @@ def test_rule_table_round_trip(spark):
 def test_scan_is_one_stage(spark, files_of):
     plan = security.scan_security(files_of(VULNERABLE))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_generated_code_stays_below_the_jit_limit(spark, files_of):
+    """The JVM interprets methods of 8000 bytes or more, which halves the speed of the scan."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        findings = security.scan_security(files_of(VULNERABLE))
+        stages = findings._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
