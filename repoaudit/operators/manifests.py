@@ -38,8 +38,11 @@ def manifest_list(files: DataFrame) -> DataFrame:
 
 def _json_keys(content: Column) -> Column:
     """Keys of ``dependencies``, then of ``devDependencies``, of a valid JSON object."""
-    # As the only element of an array, a text with anything after its value is invalid.
-    valid = F.json_array_length(F.concat(F.lit("["), content, F.lit("]"))) == 1
+    # As the only element of an array, a text with anything after its value is invalid. The
+    # parser of tables, unlike that of paths, can refuse single quotes and raw control codes.
+    alone = F.json_array_length(F.concat(F.lit("["), content, F.lit("]"))) == 1
+    strict = F.from_json(content, "map<string, string>", {"allowSingleQuotes": "false"})
+    valid = alone & strict.isNotNull()
 
     def keys(name: str) -> Column:
         found = F.json_object_keys(F.get_json_object(content, f"$.{name}"))

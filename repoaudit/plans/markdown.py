@@ -19,13 +19,16 @@ PRODUCT, VERSION = "RepoAudit", "0.1.0"
 
 
 def _fill(template: str, **values) -> Column:
-    """A text with ``{name}`` places filled by columns of that name or given ones."""
+    """A text with ``{name}`` places filled by columns of that name or given ones.
+
+    A missing value leaves its place empty.
+    """
     parts, rest = [], template
     while "{" in rest:
         before, _, rest = rest.partition("{")
         name, _, rest = rest.partition("}")
         parts += [F.lit(before), F.col(name) if name not in values else values[name]]
-    return F.concat(*[p.cast("string") for p in [*parts, F.lit(rest)]])
+    return F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in [*parts, F.lit(rest)]])
 
 
 def _lines(*texts) -> Column:

@@ -219,8 +219,10 @@ SECURITY_RULES: tuple[SecurityRule, ...] = (
 
 # Patterns with several open-ended parts retry every split of a line and turn quadratic
 # or worse on long (minified) lines. For a yes/no search the earliest end of each part
-# is always the best one, so these atomic forms give the same answer in one pass.
+# is always the best one, so these atomic forms give the same answer in one pass. Where a
+# part must not cross a closing parenthesis, that holds between two of them.
 _SQL_VERB = r"(?:SELECT|INSERT|UPDATE|DELETE)"
+_BETWEEN = r"(?:\A|\))(?>[^)]*?{call}\s*+\()[^)]*?{option}\s*+=\s*+True"
 ONE_PASS_FORMS: dict[str, str] = {
     r"""(?:mysql|postgres|postgresql|mongodb)://[^:]+:[^@]+@""":
         r"""\A(?>.*?(?:mysql|postgres|postgresql|mongodb)://[^:]++:[^@])[^@]*+@""",
@@ -232,6 +234,14 @@ ONE_PASS_FORMS: dict[str, str] = {
         rf"""\A(?>.*?{_SQL_VERB}).*?\.format\s*+\(""",
     r"""(?:execute|cursor\.execute)\s*\(\s*["']?\s*(?:SELECT|INSERT|UPDATE|DELETE).*\+""":
         rf"""\A(?>.*?execute\s*+\(\s*+(?:["']\s*+)?+{_SQL_VERB}).*?\+""",
+    r"""subprocess\.call\s*\([^)]*shell\s*=\s*True""":
+        _BETWEEN.format(call=r"subprocess\.call", option="shell"),
+    r"""subprocess\.Popen\s*\([^)]*shell\s*=\s*True""":
+        _BETWEEN.format(call=r"subprocess\.Popen", option="shell"),
+    r"""subprocess\.run\s*\([^)]*shell\s*=\s*True""":
+        _BETWEEN.format(call=r"subprocess\.run", option="shell"),
+    r"""app\.run\s*\([^)]*debug\s*=\s*True""":
+        _BETWEEN.format(call=r"app\.run", option="debug"),
     r"""os\.path\.join\s*\(\s*[^,]+,\s*(?:request|user_input)""":
         r"""os\.path\.join\s*+\([^,]++,\s*+(?:request|user_input)""",
 }

@@ -51,6 +51,10 @@ def test_package_json(files_of):
         '{"dependencies": null}',
         "",
         "not json",
+        "{'dependencies': {'a': 1}}",
+        '{"dependencies": {"a": "x\ty"}}',
+        '{dependencies: {"a": 1}}',
+        '\ufeff{"dependencies": {"a": 1}}',
     ):
         assert _packages(files_of, {"package.json": bad}) == [], bad
 

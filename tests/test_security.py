@@ -164,6 +164,8 @@ def test_every_letter_folds_as_python_ignores_case():
         "insert .forma" * 40_000,
         "execute(select" * 40_000,
         "mysql://a:b" * 40_000,
+        "subprocess.run(shell=" * 40_000,
+        "app.run(debug" * 40_000 + ")" + "app.run( =" * 20_000,
         "os.path.join( " + " " * 400_000,
     ],
 )
