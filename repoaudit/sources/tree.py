@@ -110,6 +110,19 @@ def _directory_walker(whole: bool):
     return walk
 
 
+def _spread(paths_: DataFrame, tasks: int | None) -> DataFrame:
+    """Paths spread over a fixed number of tasks.
+
+    Paths are short but what hangs on them is not, so adaptive execution, which would merge
+    small partitions, is kept from it by the explicit number.
+    """
+    spark = paths_.sparkSession
+    if tasks is None:
+        shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(shuffle, 4 * spark.sparkContext.defaultParallelism)
+    return paths_.repartition(tasks, "root", "path")
+
+
 def check_roots(roots: DataFrame) -> DataFrame:
     """Add ``found`` to a ``(repo, root)`` table: whether the root is a directory."""
     schema = pa.schema([("repo", pa.string()), ("root", pa.string()), ("found", pa.bool_())])
@@ -122,7 +135,7 @@ def check_roots(roots: DataFrame) -> DataFrame:
     return roots.select("repo", "root").mapInArrow(check, "repo string, root string, found boolean")
 
 
-def list_files(roots: DataFrame, spread_levels: int = 2) -> DataFrame:
+def list_files(roots: DataFrame, spread_levels: int = 2, tasks: int | None = None) -> DataFrame:
     """All files below each root as ``(repo, root, path)``, links to directories unfollowed.
 
     The first ``spread_levels`` levels are expanded one at a time with a shuffle between
@@ -133,7 +146,7 @@ def list_files(roots: DataFrame, spread_levels: int = 2) -> DataFrame:
     level = found.select("repo", "root", F.lit("").alias("path"), F.lit(True).alias("is_dir"))
     for _ in range(spread_levels):
         level = level.mapInArrow(_directory_walker(whole=False), schema)
-        level = level.repartition("root", "path")
+        level = _spread(level, tasks)
     files = level.mapInArrow(_directory_walker(whole=True), schema)
     return files.select("repo", "root", "path")
 
@@ -146,8 +159,12 @@ def wanted(listing: DataFrame) -> DataFrame:
     )
 
 
-def read_contents(listing: DataFrame) -> DataFrame:
-    """Read listed files; unreadable ones are left out. Result ``(repo, path, content)``."""
+def read_contents(listing: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Read listed files; unreadable ones are left out. Result ``(repo, path, content)``.
+
+    Each of the ``tasks`` reads its files one after the other in batches of some 32 MB, so
+    memory stays bounded whatever their number.
+    """
     schema = pa.schema([("repo", pa.string()), ("path", pa.string()), ("content", pa.binary())])
 
     def read(batches):
@@ -165,18 +182,18 @@ def read_contents(listing: DataFrame) -> DataFrame:
                     rows, size = [], 0
         yield _batch(rows, schema)
 
-    return listing.repartition("root", "path").mapInArrow(
+    return _spread(listing, tasks).mapInArrow(
         read, "repo string, path string, content binary"
     )
 
 
-def read_trees(roots: DataFrame) -> DataFrame:
+def read_trees(roots: DataFrame, tasks: int | None = None) -> DataFrame:
     """The ``source_files`` table of a ``(repo, root)`` table.
 
     Content stays binary: a ``setup.py`` is decoded in one way as code and in another as
     a manifest, so each check decodes for itself.
     """
-    return read_contents(wanted(list_files(roots)))
+    return read_contents(wanted(list_files(roots, tasks=tasks)), tasks)
 
 
 def roots_table(spark: SparkSession, roots: dict[str, str] | list[str]) -> DataFrame:

@@ -48,6 +48,14 @@ def test_tree_scan(spark, repo):
     assert apicheck.parse_python(files).where("parsed").count() == 4
 
 
+def test_one_repository_is_read_by_many_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"f{i}.py").write_text("eval(x)")
+    files = tree.read_trees(tree.roots_table(spark, [str(tmp_path)]))
+    tasks = files.select(F.spark_partition_id().alias("t")).distinct().count()
+    assert files.count() == 60 and tasks > 10
+
+
 def test_stored_files_read_only_needed_partitions(spark, repo, tmp_path):
     files = tree.read_trees(tree.roots_table(spark, [str(repo)]))
     tables.write_source_files(files, str(tmp_path / "t1"))
