@@ -141,7 +141,7 @@ def v2_manifests(engine: str) -> str:
 V3_RELEASES = f"""
 SELECT {PACKAGE} AS name, r.registry, CAST(p_partkey AS STRING) AS version, p_partkey,
        timestamp '2023-01-01 00:00:00' + (p_partkey * 6) * interval '1' hour AS upload_time
-FROM part CROSS_REGISTRIES
+FROM part EACH_REGISTRY
 WHERE p_name NOT LIKE 'cold%'
   AND NOT (p_name LIKE 'new%' AND p_partkey % 2000 < 1500)
   AND (r.registry = 'pypi' OR p_partkey % 2 = 0)
@@ -155,7 +155,7 @@ def v3_releases(engine: str) -> str:
         if engine == "spark"
         else ", (SELECT unnest(['pypi', 'npm']) AS registry) r"
     )
-    return V3_RELEASES.replace("CROSS_REGISTRIES", generated)
+    return V3_RELEASES.replace("EACH_REGISTRY", generated)
 
 
 def v3_packages(engine: str) -> str:

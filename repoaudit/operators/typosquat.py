@@ -74,7 +74,8 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs ``(name, known_name, ord, distance)`` at distance 1 or 2, for long lists.
 
     ``names`` has a column ``name``; ``known`` has ``name`` and ``ord``. Each side is
-    expanded to its deletion keys and joined on them, then the distance is verified.
+    expanded to its deletion keys and joined on them, then the distance is verified. Names
+    are distinct, and few names can share a remainder of given length, so no key is hot.
     """
     plain = names.select("name").distinct().withColumn("plain", normalized(F.col("name")))
     left = plain.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
@@ -104,6 +105,7 @@ def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:
     if isinstance(known, DataFrame):
         if known.isEmpty():
             known = popular_table(names.sparkSession)
+        # The list of a name holds what lies within distance 2 of it, a matter of its length.
         pairs = close_pairs(names, known).groupBy("name").agg(
             F.array_sort(F.collect_list(F.struct("distance", "ord", "known_name"))).alias("found")
         )

@@ -124,8 +124,7 @@ def dependencies_dedup(spark, sf_dir):
 
 
 def _meta(spark, sf_dir) -> DataFrame:
-    """The snapshot, parsed once; a real one is stored in this form."""
-    return freeze(parse_snapshot(fx.registry_docs(spark, sf_dir)))
+    return parse_snapshot(fx.registry_docs(spark, sf_dir))
 
 
 def registry_lookup(spark, sf_dir):
@@ -160,9 +159,10 @@ def typosquat_known_table(spark, sf_dir):
 
 def _dependencies(spark, sf_dir) -> DataFrame:
     """Findings; a few names take part in the look-alike comparison."""
-    return dependencies.scan_dependencies(
-        fx.manifests(spark, sf_dir), _meta(spark, sf_dir), AS_OF, KNOWN
-    )
+    # The audit may read the metadata twice, so they are parsed before; a real snapshot is
+    # stored in parsed form.
+    meta = freeze(_meta(spark, sf_dir))
+    return dependencies.scan_dependencies(fx.manifests(spark, sf_dir), meta, AS_OF, KNOWN)
 
 
 # Known names of the dependency queries: two of the parts', the others popular.
