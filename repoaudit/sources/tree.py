@@ -11,6 +11,7 @@ content is read, and the files of one large repository spread over all tasks.
 from __future__ import annotations
 
 import os
+import re
 import sys
 from collections.abc import Iterator
 
@@ -31,6 +32,22 @@ def _is_uri(root: str) -> bool:
     return "://" in root
 
 
+def _shown(name: str) -> str:
+    """A name as text; bytes that are not UTF-8 become escapes like ``\\xe9``."""
+    return os.fsencode(name).decode("utf-8", "backslashreplace")
+
+
+def _local(root: str, path: str) -> bytes:
+    """Where a shown path really is."""
+    place = os.fsencode(root)
+    for part in path.split("/") if path else ():
+        name = os.fsencode(part)
+        if b"\\x" in name and not os.path.lexists(os.path.join(place, name)):
+            name = re.sub(rb"\\x([89a-f][0-9a-f])", lambda m: bytes([int(m[1], 16)]), name)
+        place = os.path.join(place, name)
+    return place
+
+
 def _entries(root: str, below: str) -> Iterator[tuple[str, bool]]:
     """Direct entries of a directory as (relative path, is directory), links unfollowed."""
     prefix = f"{below}/" if below else ""
@@ -41,12 +58,13 @@ def _entries(root: str, below: str) -> Iterator[tuple[str, bool]]:
         for info in files.get_file_info(fs.FileSelector(f"{base}/{below}".rstrip("/"))):
             yield prefix + info.base_name, info.type == fs.FileType.Directory
         return
-    with os.scandir(os.path.join(root, below)) as found:
+    with os.scandir(_local(root, below)) as found:
         for entry in found:
+            name = prefix + _shown(entry.name)
             if entry.is_dir(follow_symlinks=False):
-                yield prefix + entry.name, True
+                yield name, True
             elif entry.is_file():
-                yield prefix + entry.name, False
+                yield name, False
 
 
 def _is_root(root: str) -> bool:
@@ -66,7 +84,7 @@ def _read(root: str, path: str) -> bytes | None:
             files, base = fs.FileSystem.from_uri(root)
             with files.open_input_stream(f"{base}/{path}") as stream:
                 return stream.read()
-        with open(os.path.join(root, path), "rb") as stream:
+        with open(_local(root, path), "rb") as stream:
             return stream.read()
     except OSError:
         return None

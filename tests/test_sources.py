@@ -48,6 +48,18 @@ def test_tree_scan(spark, repo):
     assert apicheck.parse_python(files).where("parsed").count() == 4
 
 
+def test_names_that_are_not_utf8(spark, tmp_path):
+    folder = os.path.join(os.fsencode(tmp_path), b"d\xe9")
+    os.mkdir(folder)
+    for name in (b"caf\xe9.py", b"lit\\xe9.py", "naïve.py".encode()):
+        with open(os.path.join(folder, name), "wb") as stream:
+            stream.write(b"eval(x)")
+    files = tree.read_trees(tree.roots_table(spark, [str(tmp_path)]))
+    assert {r.path for r in files.collect()} == {
+        "d\\xe9/caf\\xe9.py", "d\\xe9/lit\\xe9.py", "d\\xe9/naïve.py",
+    }
+
+
 def test_one_repository_is_read_by_many_tasks(spark, tmp_path):
     for i in range(60):
         (tmp_path / f"f{i}.py").write_text("eval(x)")
