@@ -2,7 +2,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from repoaudit.plans import oracles
+from repoaudit.plans.queries import ALL
 from tests.oracle_check import difference
 
 SF = "/root/testdata/sf0.001"
@@ -15,12 +17,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(ALL) == set(oracles.all_sql())
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query_equals_its_oracle(spark, name):
-    assert difference(spark, SF, queries()[name], oracle_sql()[name]) is None
+    assert difference(spark, SF, ALL[name], oracles.all_sql()[name]) is None
 
 
 @pytest.mark.parametrize("name", ["dependency_findings", "registry_npm", "api_findings"])
@@ -34,6 +36,6 @@ def test_other_ways_of_joining_change_nothing(spark, monkeypatch, name):
     monkeypatch.setattr(apicheck, "ARRAY_NAMES", 10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert difference(spark, SF, queries()[name], oracle_sql()[name]) is None
+        assert difference(spark, SF, ALL[name], oracles.all_sql()[name]) is None
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
