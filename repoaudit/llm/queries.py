@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repoaudit.llm import pii
+from repoaudit.llm import mixing, pii, quality, toxicity
 from repoaudit.llm.common import table
 
 
@@ -10,5 +10,18 @@ def op2_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-ALL = {f.__name__: f for f in (op2_pii,)}
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.toxicity_digest(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality.quality_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_mixing(spark, sf_dir):
+    return mixing.mix_digest(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+ALL = {f.__name__: f for f in (op2_pii, op6_toxicity, op7_quality_rules, op8_mixing)}
 ORACLES: dict[str, str] = {}
