@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repoaudit.llm import mixing, pii, quality, toxicity
+from repoaudit.llm import jaccard, mixing, packing, pii, quality, toxicity
 from repoaudit.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op2_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.toxicity_digest(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -23,5 +27,12 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-ALL = {f.__name__: f for f in (op2_pii, op6_toxicity, op7_quality_rules, op8_mixing)}
+def op10_packing(spark, sf_dir):
+    return packing.packing_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ALL = {
+    f.__name__: f
+    for f in (op2_pii, op3_ngram_jaccard, op6_toxicity, op7_quality_rules, op8_mixing, op10_packing)
+}
 ORACLES: dict[str, str] = {}

@@ -28,16 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from repoaudit.llm.common import Words, plain_texts
 
 #: Rows of the embedding table and their width.
-ROWS, WIDTH = 1 << 17, 8
+ROWS, WIDTH = 1 << 18, 8
 #: Lengths of the character n-grams.
-SHORTEST, LONGEST = 3, 6
+SHORTEST, LONGEST = 3, 5
 #: Labelled texts of each class in training, at most. The bound of the sample.
 MAX_TRAIN = 2500
 #: Words of a training text per bag: a long text trains as several bags of the whole text.
 BAG = 400
 EPOCHS, MIN_STEPS, BATCH = 12, 300, 64
 #: Step widths of the table and of the softmax.
-RATE, TOP_RATE = 0.5, 0.05
+RATE, TOP_RATE = 0.2, 0.05
 #: The score from which a text counts as toxic.
 TOXIC = 0.7
 
@@ -85,19 +85,19 @@ class Model:
 def _bags(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """For each text its bags of up to BAG words, as distinct parts and their shares; every
     word is in one of them."""
-    seen: dict[str, list[int]] = {}
+    seen: dict[str, np.ndarray] = {}
     bags = []
     for text in texts:
         words = Words(pa.array([text]))
         names = words.names.to_pylist()
         for name in names:
             if name not in seen:
-                seen[name] = parts(name)
+                seen[name] = np.array(parts(name), np.int32)
         own = []
         for i in range(0, len(words.codes), BAG):
-            flat = [row for c in words.codes[i : i + BAG] for row in seen[names[c]]]
-            rows, times = np.unique(np.array(flat, np.int32), return_counts=True)
-            own.append((rows, (times / len(flat)).astype(np.float32)))
+            part = [seen[names[c]] for c in words.codes[i : i + BAG]]
+            rows, times = np.unique(np.concatenate(part), return_counts=True)
+            own.append((rows, (times / times.sum()).astype(np.float32)))
         bags.append(own)
         if len(seen) > 300_000:
             seen.clear()
@@ -142,7 +142,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
                 [np.bincount(rows, back[:, k], ROWS) for k in range(WIDTH)], axis=1
             )
             past_table += (change**2).mean(axis=1)
-            table -= (RATE / np.sqrt(past_table))[:, None] * change
+            table -= ((RATE / np.sqrt(past_table))[:, None] * change).astype(np.float32)
             step = mean.T @ p
             past_softmax += step**2
             softmax -= (TOP_RATE / np.sqrt(past_softmax) * step).astype(np.float32)
