@@ -18,10 +18,10 @@ exact: it loses no link, and every link is checked on the whole sets.
    and so do the light sets that are large enough to link with a heavy one. The boundary is
    the size for which the pairs of the light sets and the scans of the lists cost least,
    computed from counts by size.
-5. Links. In each list every set is first compared with one other, the list's least, which
-   joins groups of near copies without comparing all with all. Then components are formed and
-   the sets of a list that lie in different ones are compared, if their sizes and the places
-   of the common hash allow a link. Repeated until only such pairs remain that have been seen.
+5. Links. In some rounds, each set is compared with one that stands for its list, another one
+   each time, and components are formed; so groups of near copies join without comparing all
+   with all. Then all sets of a list that still lie in different components are compared, if
+   their sizes and the places of the common hash allow a link.
 
 Memory of a task: a batch of texts, or the sort buffers of a shuffle. Nothing that grows with
 the table is broadcast or collected.
@@ -50,7 +50,9 @@ SHARE = 10
 #: Texts of the sample that shows frequent hashes, and in how many of them one is frequent.
 SAMPLE, FREQUENT = 2000, 20
 #: Rounds in which each list compares its sets with one of them, before all pairs left over.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
+#: Bits of a number that say how frequent a hash is; the rest are the hash.
+RARITY = 6
 #: Classes that go on are broadcast to find their texts if they are no more than this.
 FEW = 500_000
 
@@ -183,20 +185,24 @@ def _links(sets: DataFrame) -> DataFrame:
     rows = sets.select("mark", "n", F.explode("hashes").alias("hash"))
     times = F.count("*").over(Window.partitionBy("hash")).alias("times")
     # Hashes of one set alone come first and match nothing: their number is all that is needed.
+    # The others are kept as one number each: the logarithm of how many sets hold the hash in
+    # the upper RARITY bits, so sorting puts rare ones first, and the hash in the lower.
+    rarity = F.floor(F.log2(F.col("times").cast("double"))).cast("bigint")
+    packed = F.shiftleft(rarity, 64 - RARITY) + F.shiftrightunsigned("hash", RARITY)
     ordered = freeze(
         rows.select("mark", "n", "hash", times)
         .where("times > 1")
         .groupBy("mark", "n")
-        .agg(F.array_sort(F.collect_set(F.struct("times", "hash"))).alias("common"))
+        .agg(F.array_sort(F.collect_list(packed)).alias("common"))
         .withColumn("alone", F.col("n") - F.size("common"))
     )
     lists = freeze(_lists(ordered, _boundary(ordered)))
-    shared = ordered.select("mark", "n", F.col("common.hash").alias("hashes"))
+    shared = ordered.select("mark", "n", F.col("common").alias("hashes"))
     found = lists.select("mark").distinct().withColumn("label", F.col("mark"))
     seen = links = None
     for turn in range(STAR_ROUNDS + 1):
         labelled = lists.join(found, "mark")
-        pairs = _stars(labelled) if turn < STAR_ROUNDS else _rest(labelled)
+        pairs = _stars(labelled, turn) if turn < STAR_ROUNDS else _rest(labelled)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = freeze(pairs)
@@ -226,7 +232,7 @@ def _boundary(sets: DataFrame) -> int:
     one = F.slice("common", 1, _first(F.col("n"), F.col("alone"), 1))
     two = _first(F.col("n"), F.col("alone"), 2).cast("double")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)))
-    scans = F.aggregate(one, F.lit(0.0), lambda a, x: a + x["times"])
+    scans = F.aggregate(one, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.shiftright(x, 64 - RARITY)))
     rows = (
         sets.groupBy(step.alias("step"))
         .agg(F.max("n").alias("n"), F.sum(two * (two - 1) / 2).alias("pairs"), F.sum(scans).alias("scans"))
@@ -248,7 +254,7 @@ def _lists(sets: DataFrame, boundary: int) -> DataFrame:
     n, alone = F.col("n"), F.col("alone")
     one = F.transform(
         F.slice("common", 1, _first(n, alone, 1)),
-        lambda x, i: F.struct(F.xxhash64(x["hash"]).alias("list"), (alone + i + 1).alias("place")),
+        lambda x, i: F.struct(F.xxhash64(x).alias("list"), (alone + i + 1).alias("place")),
     )
     two = F.slice("common", 1, _first(n, alone, 2))
     pairs = F.flatten(
@@ -257,7 +263,7 @@ def _lists(sets: DataFrame, boundary: int) -> DataFrame:
             lambda x, i: F.transform(
                 F.slice(two, i + 2, F.size(two)),
                 lambda y: F.struct(
-                    F.xxhash64(x["hash"], y["hash"]).alias("list"), (alone + i + 1).alias("place")
+                    F.xxhash64(x, y).alias("list"), (alone + i + 1).alias("place")
                 ),
             ),
         )
@@ -273,20 +279,16 @@ def _lists(sets: DataFrame, boundary: int) -> DataFrame:
     return rows.join(sizes.where("_a <> _b").select("list"), "list", "left_semi")
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Each set with the set of another component that stands for its list, in two lists: the
-    rarest and the next."""
-    stands = lists.groupBy("list").agg(
-        F.min(F.struct("label", "mark")).alias("_first"),
-        F.max(F.struct("label", "mark")).alias("_last"),
-    )
+def _stars(lists: DataFrame, turn: int) -> DataFrame:
+    """Each set with a set of another component that stands for its list, in the list of its
+    rarest hash and in that of its most frequent one. Another one stands in each turn."""
+    one = F.struct("label", F.xxhash64("mark", F.lit(turn)).alias("order"), "mark")
+    stands = lists.groupBy("list").agg(F.min(one).alias("_first"), F.max(one).alias("_last"))
     rows = lists.join(stands.where("_first.label <> _last.label"), "list")
-    # The least of the list's other component: the first one, or for its own members the last.
+    # The least component of the list stands for the others, the greatest for the least.
     other = F.when(F.col("label") == F.col("_first.label"), F.col("_last.mark")).otherwise(F.col("_first.mark"))
-    pairs = rows.groupBy("mark").agg(
-        F.min(F.struct("place", "list", other.alias("other"))).alias("_p"),
-        F.max(F.struct("place", "list", other.alias("other"))).alias("_q"),
-    )
+    at = F.struct("place", "list", other.alias("other"))
+    pairs = rows.groupBy("mark").agg(F.min(at).alias("_p"), F.max(at).alias("_q"))
     both = pairs.select("mark", F.explode(F.array("_p.other", "_q.other")).alias("other"))
     return both.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
 

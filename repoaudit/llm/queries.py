@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repoaudit.llm import jaccard, mixing, packing, pii, quality, toxicity
+from repoaudit.llm import html_text, jaccard, mixing, packing, pii, quality, toxicity, vectors
 from repoaudit.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op3_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.html_digest(table(spark, sf_dir, "pages", "page_id", "html"))
+
+
+def op5_embedding_duplicates(spark, sf_dir):
+    return vectors.vectors_digest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.toxicity_digest(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -33,6 +41,15 @@ def op10_packing(spark, sf_dir):
 
 ALL = {
     f.__name__: f
-    for f in (op2_pii, op3_ngram_jaccard, op6_toxicity, op7_quality_rules, op8_mixing, op10_packing)
+    for f in (
+        op2_pii,
+        op3_ngram_jaccard,
+        op4_html_text,
+        op5_embedding_duplicates,
+        op6_toxicity,
+        op7_quality_rules,
+        op8_mixing,
+        op10_packing,
+    )
 }
 ORACLES: dict[str, str] = {}
