@@ -226,9 +226,8 @@ def _search(heads: DataFrame) -> DataFrame:
     )
 
     def compared(keys, q, m):
-        empty = pd.DataFrame({"code": [], "n": [], "other": []})
         if not len(q) or not len(m):
-            return empty
+            return pd.DataFrame({"code": [], "n": [], "other": []})
         q, m = q.sort_values("code"), m.sort_values("code")
         xq, xm = _normal(_matrix(q["x"])), _normal(_matrix(m["x"]))
         near = index.value.lower_bounds(xq, int(keys[0]), np.stack(m["codes"].to_numpy()), m["error"].to_numpy()) <= REACH + 1e-6
@@ -242,10 +241,17 @@ def _search(heads: DataFrame) -> DataFrame:
         linked = np.zeros(near.shape, bool)
         linked[a[ok], b[ok]] = True
         n = linked @ m["copies"].to_numpy()
-        out = [(int(c), int(k), None) for c, k in zip(cq, n) if k]
-        out += [(c, None, o) for c, o in _local_edges(linked, cq, cm)]
-        frame = pd.DataFrame(out, columns=["code", "n", "other"])
-        return frame.astype({"code": "int64", "n": "Int64", "other": "Int64"}) if len(frame) else empty
+        joins = _local_edges(linked, cq, cm)
+        some = np.nonzero(n)[0]
+        nothing = lambda k: [None] * k
+        # Nullable integers, since codes do not fit into a float.
+        return pd.DataFrame(
+            {
+                "code": np.concatenate([cq[some], np.array([c for c, _ in joins], np.int64)]),
+                "n": pd.array(n[some].tolist() + nothing(len(joins)), "Int64"),
+                "other": pd.array(nothing(len(some)) + [o for _, o in joins], "Int64"),
+            }
+        )
 
     groups = ["cell", "block", "load"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compared, "code bigint, n bigint, other bigint")
