@@ -1,8 +1,61 @@
-"""A corpus from documents to packed sequences, in stages that read and write tables."""
+"""A corpus from documents to packed sequences, in stages that read and write tables.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept. All but
+the last return the columns of ``documents``.
+
+- toxicity: documents that the classifier calls toxic go. It learns from the labelled rows that
+  are still there and not held out.
+- ngram_jaccard: of each group of linked documents the one with the least id stays.
+- pii: spans are replaced by their kind, ``n_chars`` follows.
+- mixing: each document is repeated as often as its source's target asks, from never to three
+  times; the copies keep the id.
+- packing: one row per piece with its place in a sequence.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, functions as F
+
+from repoaudit.llm import jaccard, mixing, packing, pii, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.add_score(docs, model).where(F.col("score") < toxicity.TOXIC).select(*COLUMNS)
+
+
+def remove_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard.link(docs).where("component = doc_id").select("doc_id")
+    return docs.join(found.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = pii.redact(pii.find_pii(docs, output="_pii"), spans="_pii")
+    changed = F.when(F.size("_pii") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return masked.withColumn("n_chars", changed).select(*COLUMNS)
+
+
+def repeat_by_source(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
+    repeated = docs.join(copies, docs["doc_id"] == copies["_id"])
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(docs)
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("ngram_jaccard", remove_near_copies),
+    ("pii", mask_personal_data),
+    ("mixing", repeat_by_source),
+    ("packing", pack),
+]
+#: Training, components and packing have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

@@ -24,6 +24,22 @@ def plain_texts(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(texts, "")
 
 
+#: Bytes of text that a task works on at once, but for a single longer text.
+AT_ONCE = 4 << 20
+
+
+def bounded(batches, column: int):
+    """Batches cut so that each has about ``AT_ONCE`` bytes in a column of texts, or one text."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths.astype(np.int64)) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
+
+
 class Words:
     """The words of a batch of texts, dictionary-encoded.
 

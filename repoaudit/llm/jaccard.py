@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from repoaudit.llm.common import Words, mix, plain_texts, ragged
+from repoaudit.llm.common import Words, bounded, mix, plain_texts, ragged
 from repoaudit.llm.graph import components
 from repoaudit.session import freeze
 
@@ -86,7 +86,7 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _sets(batches, what):
-    for batch in batches:
+    for batch in bounded(batches, 1):
         found = shingles(plain_texts(batch.column(1)))
         sizes = np.array([len(s) for s in found], np.int64)
         digest = xxhash.xxh3_64_intdigest

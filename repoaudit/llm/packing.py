@@ -8,7 +8,7 @@ packs its partition by best-fit decreasing and computes lower bounds on the numb
 sequences it needs from dual-feasible functions: functions of a size such that sizes that fit
 together never sum to more than one. When the number of sequences equals the largest bound,
 the partition is certified: no packing of its documents is better. The other partitions have
-a gap. They give up their least filled sequences, whose documents are dealt anew, over fewer
+a gap. They keep their full sequences and give up the others, whose documents are dealt anew over fewer
 partitions, so documents that did not fit well meet others, and best-fit decreasing runs again.
 After ``ROUNDS`` rounds, or when no gap is left, what is packed stays.
 
@@ -23,6 +23,7 @@ empty table gives an empty one. Columns other than key and text are not looked a
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from repoaudit.llm.common import Words, plain_texts
+from repoaudit.llm.common import Words, bounded, plain_texts
 from repoaudit.session import freeze
 
 #: Tokens of a sequence, and the id that closes a document.
@@ -44,6 +45,7 @@ KNOWN = 400_000
 
 
 def _tokenizer(name: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -95,7 +97,7 @@ def pieces(
 
     def cut(batches):
         model, known = _tokenizer(tokenizer), {}
-        for batch in batches:
+        for batch in bounded(batches, 2):
             texts = plain_texts(batch.column(2))
             found = tokenize(texts, model, known)
             at, rows = [], []
@@ -197,9 +199,6 @@ def pack_rests(rests: DataFrame) -> DataFrame:
         parts = max(1, -(-n // PART))
         dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("tie", F.lit(turn)), F.lit(parts)))
         packed = freeze(dealt.groupBy("part").applyInPandas(_pack, schema))
-        # A partition with a gap gives up the emptier sequences, several times its gap.
-        rank = packed.select("part", "bin", "free", "gap").distinct()
-        again = rank.where("gap > 0").where(F.col("free") > 0) if turn < ROUNDS else rank.limit(0)
         last = turn == ROUNDS or parts == 1
         numbered = packed.withColumn("sequence_id", (F.col("part") + F.lit(shift)) * F.lit(1 << 20) + F.col("bin"))
         result = ["row", "piece", "sequence_id", "offset"]

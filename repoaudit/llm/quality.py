@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repoaudit.llm.common import Words, mix, plain_texts
+from repoaudit.llm.common import Words, bounded, mix, plain_texts
 from repoaudit.session import freeze
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
@@ -66,7 +66,7 @@ def _line_counts(text: str) -> tuple[int, int]:
 
 
 def _counted(batches):
-    for batch in batches:
+    for batch in bounded(batches, 1):
         texts = plain_texts(batch.column(1))
         words = Words(texts)
         lengths = pc.utf8_length(words.names).to_numpy(zero_copy_only=False).astype(np.int64)

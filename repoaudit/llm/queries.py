@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from repoaudit.llm import html_text, jaccard, mixing, packing, pii, quality, toxicity, vectors
+from repoaudit.llm import (
+    backoff,
+    html_text,
+    jaccard,
+    mixing,
+    packing,
+    pii,
+    quality,
+    toolcalls,
+    toxicity,
+    vectors,
+)
 from repoaudit.llm.common import table
 
 
+def op1_tool_call_linking(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return toolcalls.toolcalls_digest(turns)
+
+
 def op2_pii(spark, sf_dir):
     return pii.pii_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -35,6 +51,10 @@ def op8_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return backoff.lm_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -42,6 +62,7 @@ def op10_packing(spark, sf_dir):
 ALL = {
     f.__name__: f
     for f in (
+        op1_tool_call_linking,
         op2_pii,
         op3_ngram_jaccard,
         op4_html_text,
@@ -49,6 +70,7 @@ ALL = {
         op6_toxicity,
         op7_quality_rules,
         op8_mixing,
+        op9_lm_scoring,
         op10_packing,
     )
 }

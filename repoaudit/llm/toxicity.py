@@ -23,9 +23,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from repoaudit.llm.common import Words, plain_texts
+from repoaudit.llm.common import Words, bounded, plain_texts
 
 #: Rows of the embedding table and their width.
 ROWS, WIDTH = 1 << 18, 8
@@ -41,6 +41,8 @@ RATE, TOP_RATE = 0.2, 0.05
 #: Training sees both classes equally often; scores are corrected to this share of toxic texts.
 #: A smaller one spares more clean texts and misses more toxic ones.
 PRIOR = 0.35
+#: Words whose score a task remembers, at most.
+KNOWN = 300_000
 #: The score from which a text counts as toxic.
 TOXIC = 0.7
 
@@ -173,17 +175,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([r._text or "" for r in rows], [int(r._label) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", output: str = "score") -> DataFrame:
-    """``(key, output)`` for every row."""
-    shared = _spark(docs).sparkContext.broadcast(model)
-    kind = docs.schema[key].dataType.simpleString()
+def add_score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
+    """The rows with the probability of class 1; a column named like it is replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    df = df.drop(output)
+    at = df.columns.index(text)
 
     def scored(batches):
         own = shared.value
         known: dict[str, tuple[float, int]] = {}
-        for batch in batches:
-            words = Words(plain_texts(batch.column(1)))
-            if len(known) > 500_000:  # bounds the memory, forgets nothing that matters
+        for batch in bounded(batches, at):
+            words = Words(plain_texts(batch.column(at)))
+            if len(known) > KNOWN:
                 known.clear()
             names = words.names.to_pylist()
             for name in names:
@@ -193,19 +196,16 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             totals = np.concatenate([np.zeros((1, 2)), np.cumsum(sums[words.codes], axis=0)])
             found = totals[words.starts[1:]] - totals[words.starts[:-1]]
             p = own.probability(found[:, 0], found[:, 1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["_key", "_score"])
-
-    rows = docs.select(key, text).mapInArrow(scored, f"_key {kind}, _score double")
-    return rows.select(F.col("_key").alias(key), F.col("_score").alias(output))
-
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(p)], [*batch.schema.names, output]
+            )
 
-def _spark(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    return df.mapInArrow(scored, T.StructType([*df.schema.fields, T.StructField(output, T.DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of all rows of ``documents``; learns from ``labels`` that are not held out."""
-    found = score(docs, fit(docs, labels))
+    found = add_score(docs.select("doc_id", "text"), fit(docs, labels))
     return found.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
