@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from repoaudit.llm import jaccard, mixing, packing, pii, toxicity
+from repoaudit.session import freeze
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages in their order over ``documents``."""
+    """All stages in their order over ``documents``; what a stage returns is kept for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = freeze(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
