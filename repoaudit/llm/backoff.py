@@ -83,8 +83,8 @@ def _ngrams(known, order: int, per_text: bool, kind: str):
                 begin = np.nonzero(new)[0]
                 times = np.diff(np.concatenate([begin, [len(g)]]))
                 rows = pa.array(t[begin])
-                arrays = [pc.take(batch.column(0), rows), pc.take(batch.column(1), rows), pa.array(g[begin]), pa.array(times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["_key", "fold", "gram", "times"])
+                arrays = [pc.take(batch.column(0), rows), pa.array(g[begin]), pa.array(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["_key", "gram", "times"])
             else:
                 folds = batch.column(1).to_numpy(zero_copy_only=False)[text_of]
                 for f in (0, 1):
@@ -106,7 +106,7 @@ def _other(rows: DataFrame, counts: DataFrame, gram: Column, name: str, small: b
     """Add the count of ``gram`` in the other fold as ``name``, null if there is none."""
     side = counts.select(F.col("gram").alias("_gram"), "n0", "n1")
     joined = rows.join(F.broadcast(side) if small else side, gram == F.col("_gram"), "left")
-    other = F.when(F.col("fold") == 0, F.col("n1")).otherwise(F.col("n0"))
+    other = F.when(fold(F.col("_key")) == 0, F.col("n1")).otherwise(F.col("n0"))
     return joined.withColumn(name, F.when(other > 0, other)).drop("_gram", "n0", "n1")
 
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     counts[1] = freeze(counts[1])
     totals = counts[1].agg(F.sum("n0"), F.sum("n1")).first()
     seen = [float(t or 1) for t in totals]
-    rows = texts.mapInArrow(_ngrams(known, order, True, kind), f"_key {kind}, fold int, gram bigint, times int")
+    rows = texts.mapInArrow(_ngrams(known, order, True, kind), f"_key {kind}, gram bigint, times int")
     rows = rows.withColumn("_score", F.lit(None).cast("double"))
     penalty = 0.0
     # What needs no look-up gets a number that no n-gram has, another for each row.
@@ -133,10 +133,10 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             rows = _other(rows, _contexts(counts, k, texts), context, "_before", k == 2)
             found = F.log(F.col("_seen") / F.greatest("_before", "_seen")) + penalty
         else:
-            everything = F.when(F.col("fold") == 0, F.lit(seen[1])).otherwise(F.lit(seen[0]))
+            everything = F.when(fold(F.col("_key")) == 0, F.lit(seen[1])).otherwise(F.lit(seen[0]))
             found = F.log(F.coalesce("_seen", F.lit(1)) / everything) + penalty
         short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-        rows = rows.select("_key", "fold", short.alias("gram"), "times", F.coalesce("_score", found).alias("_score"))
+        rows = rows.select("_key", short.alias("gram"), "times", F.coalesce("_score", found).alias("_score"))
         penalty += float(np.log(DISCOUNT))
     summed = rows.groupBy("_key").agg(
         F.sum("times").alias("n_words"), F.sum(F.col("times") * F.col("_score")).alias("log_score")

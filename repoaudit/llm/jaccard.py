@@ -123,22 +123,23 @@ def _whole(batches):
 _HASHES = "mark bigint, n bigint, hashes array<bigint>"
 
 
-def _frequent(texts: DataFrame) -> list[int]:
-    """Hashes that many texts of a bounded sample have, be they copies or not."""
-    rows = texts.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).collect()
-    own = shingles(pa.array([r._text or "" for r in rows], pa.string()))
-    if not own:
-        return []
-    found, times = np.unique(np.concatenate(own), return_counts=True)
-    return found[times >= FREQUENT].view(np.int64).tolist()
+def _frequent(texts: DataFrame) -> DataFrame:
+    """``(hash)`` that many texts of a bounded sample have, be they copies or not. The sample
+    fits into one task, and so do the hashes, at most SAMPLE / FREQUENT per hash of a text."""
+
+    def counted(batches):
+        own = [s for batch in bounded(batches, 1) for s in shingles(plain_texts(batch.column(1)))]
+        found, times = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found[times >= FREQUENT].view(np.int64))], ["hash"])
+
+    sample = texts.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).repartition(1)
+    return freeze(sample.mapInArrow(counted, "hash bigint"))
 
 
 def _able(texts: DataFrame) -> DataFrame:
     """``(mark, hits)``: how many of the first hashes of a class occur in another class, times
     the number of its copies."""
-    spark = texts.sparkSession
-    frequent = [(h,) for h in _frequent(texts)]
-    settled = F.broadcast(spark.createDataFrame(frequent, "hash bigint").withColumn("_known", F.lit(1)))
+    settled = F.broadcast(_frequent(texts).withColumn("_known", F.lit(1)))
     rows = texts.mapInArrow(_prefixes, _HASHES).select("mark", F.explode("hashes").alias("hash"))
     rows = rows.join(settled, "hash", "left")
     # What is settled needs no company in its task, so it is spread.

@@ -32,7 +32,7 @@ ROWS, WIDTH = 1 << 18, 8
 #: Lengths of the character n-grams.
 SHORTEST, LONGEST = 3, 5
 #: Labelled texts of each class in training, at most. The bound of the sample.
-MAX_TRAIN = 2000
+MAX_TRAIN = 1500
 #: Words of a training text per bag: a long text trains as several bags of the whole text.
 BAG = 400
 EPOCHS, MIN_STEPS, BATCH = 10, 300, 64
@@ -103,7 +103,7 @@ def _bags(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
             rows, times = np.unique(np.concatenate(part), return_counts=True)
             own.append((rows, (times / times.sum()).astype(np.float32)))
         bags.append(own)
-        if len(seen) > 300_000:
+        if len(seen) > 150_000:
             seen.clear()
     return bags
 
@@ -153,7 +153,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             past_bias += p.sum(axis=0) ** 2
             bias -= (TOP_RATE / np.sqrt(past_bias) * p.sum(axis=0)).astype(np.float32)
     scores = table @ (softmax[:, 1] - softmax[:, 0])
-    return Model(scores, float(bias[1] - bias[0] + np.log(PRIOR / (1 - PRIOR))), True)
+    return Model(scores, float(bias[1] - bias[0]) + float(np.log(PRIOR / (1 - PRIOR))), True)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
@@ -169,10 +169,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Train on the sample; its size is bounded, so it is collected."""
-    rows = training_rows(docs, labels, key, text, label).collect()
-    rows.sort(key=lambda r: (r._label, str(r._key), r._text or ""))
-    return train([r._text or "" for r in rows], [int(r._label) for r in rows])
+    """Train on the sample. Its size is bounded, so one task holds it; only the score of each
+    table row comes back."""
+
+    def trained(batches):
+        rows = [r for batch in batches for r in zip(*batch.to_pydict().values())]
+        rows.sort(key=lambda r: (r[2], str(r[0]), r[1] or ""))
+        model = train([r[1] or "" for r in rows], [int(r[2]) for r in rows])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.scores.tobytes()]), pa.array([model.bias]), pa.array([model.trained])],
+            ["scores", "bias", "trained"],
+        )
+
+    rows = training_rows(docs, labels, key, text, label).repartition(1)
+    found = rows.mapInArrow(trained, "scores binary, bias double, trained boolean").first()
+    if found is None:
+        return Model(np.zeros(ROWS), 0.0, False)
+    return Model(np.frombuffer(found.scores, np.float32), found.bias, found.trained)
 
 
 def add_score(df: DataFrame, model: Model, text: str = "text", output: str = "score") -> DataFrame:
