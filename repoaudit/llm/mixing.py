@@ -147,7 +147,7 @@ def _stepped(state: DataFrame) -> DataFrame:
     # Nothing is known on one side at first: look at twice the distance from zero.
     low = F.when(over, F.col("_low")).otherwise(F.col("multiplier"))
     high = F.when(over, F.col("multiplier")).otherwise(F.col("_high"))
-    newton = F.col("multiplier") - gap * UNIT / F.col("_slope")
+    newton = F.col("multiplier") - F.try_divide(gap * UNIT, F.col("_slope"))
     middle = (
         F.when(low.isNull(), F.least(high * 2, F.lit(-1.0)))
         .when(high.isNull(), F.greatest(low * 2, F.lit(1.0)))

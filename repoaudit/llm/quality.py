@@ -115,7 +115,7 @@ def rules() -> dict[str, Column]:
     """
     n, some = F.col("n_words"), F.col("n_words") > 0
     lines, letters = F.col("n_lines"), F.col("n_letters")
-    mean = F.col("word_chars") / n
+    mean = F.try_divide("word_chars", "n_words")
     faults = {
         "short": n < 20,
         "symbols": some & (100 * F.col("n_symbols") >= 10 * n),
