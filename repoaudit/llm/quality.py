@@ -30,6 +30,7 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 STEPS, START = 100, 0.8
 #: How much a vote may count, in natural logarithms of odds: least and most.
 BAD_WEIGHT, GOOD_WEIGHT = (1.6, 6.0), (0.0, 1.2)
+SILENCE = 1.2
 #: A text is kept from this probability of being good.
 MIN_GOOD = 0.5
 
@@ -148,15 +149,17 @@ def fit(votes: np.ndarray, times: np.ndarray, steps: int = STEPS) -> np.ndarray:
     good and on bad texts; expectation-maximisation finds them with the share of good texts.
     How much a vote counts, the logarithm of the ratio of the two probabilities, is kept
     within ``BAD_WEIGHT`` or ``GOOD_WEIGHT``: a rule may turn out weak, but never to mean the
-    opposite of what it says. Abstaining says nothing.
+    opposite of what it says. That a rule which knows a fault abstains counts for the text, by
+    the ratio of its chances to abstain, at most ``SILENCE``; of other rules it says nothing.
     """
     if not len(votes):
         return np.zeros(0)
     bad, good = votes == BAD, votes == GOOD
     weight = np.where(bad.any(axis=0), sum(BAD_WEIGHT) / 2, sum(GOOD_WEIGHT) / 2)
+    silence = np.zeros(votes.shape[1])
     prior = START
     for _ in range(steps):
-        logit = np.log(prior / (1 - prior)) + good @ weight - bad @ weight
+        logit = np.log(prior / (1 - prior)) + good @ weight - bad @ weight + ~bad @ silence
         p_good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
         on_good, on_bad = p_good * times, (1 - p_good) * times
         # One vote and one abstention more in each class, so no chance is zero.
@@ -166,6 +169,8 @@ def fit(votes: np.ndarray, times: np.ndarray, steps: int = STEPS) -> np.ndarray:
         ratio = np.log(chance[0] / chance[1])
         is_bad = bad.any(axis=0)
         weight = np.where(is_bad, np.clip(-ratio, *BAD_WEIGHT), np.clip(ratio, *GOOD_WEIGHT))
+        quiet = np.log((1 - chance[0]) / (1 - chance[1]))
+        silence = np.where(is_bad, np.clip(quiet, 0, SILENCE), 0.0)
         prior = float(np.clip((on_good.sum() + 1) / (times.sum() + 2), 0.5, 0.95))
     return p_good
 
