@@ -41,7 +41,9 @@ CAPACITY, CLOSING = 2048, 0
 PART, ROUNDS = 20_000, 3
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a task remembers, at most.
-KNOWN = 400_000
+KNOWN = 200_000
+#: Words that the tokenizer takes at once.
+AT_A_TIME = 4_000
 
 
 def _tokenizer(name: str):
@@ -69,8 +71,8 @@ def tokenize(texts: pa.Array, tokenizer, known: dict[str, bytes]) -> list[bytes]
     if len(known) + len(fresh) > KNOWN:
         known.clear()
         fresh = list(dict.fromkeys(names))
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
+    for at in range(0, len(fresh), AT_A_TIME):
+        part = fresh[at : at + AT_A_TIME]
         for name, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
             known[name] = np.array(found.ids, "<u4").tobytes()
     ids = [known[n] for n in names]

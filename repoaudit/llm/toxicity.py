@@ -22,10 +22,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from repoaudit.llm.common import Words, bounded, plain_texts
+from repoaudit.llm.common import Words, bounded, mix, plain_texts
 
 #: Rows of the embedding table and their width.
 ROWS, WIDTH = 1 << 18, 8
@@ -43,6 +42,8 @@ RATE, TOP_RATE = 0.2, 0.05
 PRIOR = 0.35
 #: Words whose score a task remembers, at most.
 KNOWN = 300_000
+#: Words whose parts are hashed at once.
+AT_A_TIME = 20_000
 #: The score from which a text counts as toxic.
 TOXIC = 0.7
 
@@ -52,21 +53,40 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 == 1
 
 
-def parts(word: str) -> list[int]:
-    """Table rows of a word: of the word and of its n-grams. Letter case and characters at the
-    edges that are neither letters nor digits do not count."""
+def _plain(word: str) -> str:
+    """The word in lower case, without characters at its edges that are neither letters nor
+    digits."""
     low = word.lower()
     begin, end = 0, len(low)
     while begin < end and not low[begin].isalnum():
         begin += 1
     while end > begin and not low[end - 1].isalnum():
         end -= 1
-    marked = f"<{low[begin:end]}>"
-    digest = xxhash.xxh32_intdigest
-    found = [digest(marked) % ROWS]
+    return low[begin:end]
+
+
+def parts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``(word, row)`` arrays with the table rows of all parts of the words: each word between
+    its marks, and the n-grams of that. Hashes are taken of all words at once."""
+    marked = [f"<{_plain(w)}>" for w in words]
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    word = np.repeat(np.arange(len(marked)), length)
+    starts = np.cumsum(length) - length
+    place = np.arange(len(points)) - starts[word]
+    # A whole word is the sum of its characters' hashes, each with its place.
+    placed = mix(points + (place.astype(np.uint64) << np.uint64(21)))
+    of, found = [np.arange(len(marked))], [np.add.reduceat(placed, starts) if len(marked) else placed]
     for n in range(SHORTEST, LONGEST + 1):
-        found += [digest(marked[i : i + n]) % ROWS for i in range(len(marked) - n + 1)]
-    return found
+        last = max(len(points) - n + 1, 0)
+        gram = np.full(last, n, np.uint64)
+        for k in range(n):
+            gram = gram * np.uint64(0x9E3779B97F4A7C15) + points[k : k + last]
+        inside = word[:last] == word[n - 1 : n - 1 + last]
+        of.append(word[:last][inside])
+        found.append(gram[inside])
+    rows = mix(np.concatenate(found)) % np.uint64(ROWS)
+    return np.concatenate(of), rows.astype(np.int64)
 
 
 class Model:
@@ -75,9 +95,11 @@ class Model:
     def __init__(self, scores: np.ndarray, bias: float, trained: bool):
         self.scores, self.bias, self.trained = scores.astype(np.float32), bias, trained
 
-    def word(self, word: str) -> tuple[float, int]:
-        rows = parts(word)
-        return float(self.scores[rows].sum()), len(rows)
+    def words(self, words: list[str]) -> list[tuple[float, int]]:
+        """What the parts of each word add, and how many they are."""
+        of, rows = parts(words)
+        total = np.bincount(of, self.scores[rows], len(words))
+        return list(zip(total.tolist(), np.bincount(of, minlength=len(words)).tolist()))
 
     def probability(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
         if not self.trained:
@@ -89,22 +111,18 @@ class Model:
 def _bags(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
     """For each text its bags of up to BAG words, as distinct parts and their shares; every
     word is in one of them."""
-    seen: dict[str, np.ndarray] = {}
     bags = []
     for text in texts:
         words = Words(pa.array([text]))
         names = words.names.to_pylist()
-        for name in names:
-            if name not in seen:
-                seen[name] = np.array(parts(name), np.int32)
         own = []
         for i in range(0, len(words.codes), BAG):
-            part = [seen[names[c]] for c in words.codes[i : i + BAG]]
-            rows, times = np.unique(np.concatenate(part), return_counts=True)
-            own.append((rows, (times / times.sum()).astype(np.float32)))
+            codes, times = np.unique(words.codes[i : i + BAG], return_counts=True)
+            of, rows = parts([names[c] for c in codes])
+            found, at = np.unique(rows, return_inverse=True)
+            share = np.bincount(at, times[of])
+            own.append((found, (share / share.sum()).astype(np.float32)))
         bags.append(own)
-        if len(seen) > 150_000:
-            seen.clear()
     return bags
 
 
@@ -142,11 +160,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
             p[np.arange(len(batch)), y[batch]] -= 1
             p *= weight[batch, None] / len(batch)
             back = np.repeat(p @ softmax.T, size, axis=0) * share[:, None]
+            # Only rows of the batch change.
+            touched, at = np.unique(rows, return_inverse=True)
             change = np.stack(
-                [np.bincount(rows, back[:, k], ROWS) for k in range(WIDTH)], axis=1
+                [np.bincount(at, back[:, k], len(touched)) for k in range(WIDTH)], axis=1
             )
-            past_table += (change**2).mean(axis=1)
-            table -= ((RATE / np.sqrt(past_table))[:, None] * change).astype(np.float32)
+            past_table[touched] += (change**2).mean(axis=1)
+            pace = (RATE / np.sqrt(past_table[touched]))[:, None]
+            table[touched] -= (pace * change).astype(np.float32)
             step = mean.T @ p
             past_softmax += step**2
             softmax -= (TOP_RATE / np.sqrt(past_softmax) * step).astype(np.float32)
@@ -202,9 +223,10 @@ def add_score(df: DataFrame, model: Model, text: str = "text", output: str = "sc
             if len(known) > KNOWN:
                 known.clear()
             names = words.names.to_pylist()
-            for name in names:
-                if name not in known:
-                    known[name] = own.word(name)
+            fresh = [name for name in names if name not in known]
+            for i in range(0, len(fresh), AT_A_TIME):
+                part = fresh[i : i + AT_A_TIME]
+                known.update(zip(part, own.words(part)))
             sums = np.array([known[x] for x in names], float).reshape(len(names), 2)
             totals = np.concatenate([np.zeros((1, 2)), np.cumsum(sums[words.codes], axis=0)])
             found = totals[words.starts[1:]] - totals[words.starts[:-1]]
