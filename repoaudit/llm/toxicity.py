@@ -1,10 +1,12 @@
 """Toxicity: subword-bag embeddings, averaged, under a linear softmax.
 
 A word stands for itself and for its character n-grams, with marks at both ends; each is
-hashed to a row of one embedding table. A text is the mean of the rows of all its words'
-parts, and a linear softmax on that mean gives the probability of each class. Table and
-softmax are trained jointly, in numpy, on a bounded sample of labelled texts. A misspelt word
-that was never seen still shares most of its parts with the word it comes from.
+hashed to a row of one embedding table. A passage is the mean of the rows of all its words'
+parts, and a linear softmax on that mean gives the probability of each class. A text is as
+toxic as its most toxic passage; the passages cover the whole text. So a few insults count in
+a text of any length. Table and softmax are trained jointly, in numpy, on a bounded sample of
+labelled texts. A misspelt word that was never seen still shares most of its parts with the
+word it comes from.
 
 After training, the softmax of a mean is the mean of per-part scores, so scoring needs one
 number per table row and, for each distinct word of a batch, one sum.
@@ -32,9 +34,12 @@ ROWS, WIDTH = 1 << 18, 8
 SHORTEST, LONGEST = 3, 5
 #: Labelled texts of each class in training, at most. The bound of the sample.
 MAX_TRAIN = 1500
-#: Words of a training text per bag: a long text trains as several bags of the whole text.
-BAG = 400
-EPOCHS, MIN_STEPS, BATCH = 10, 300, 64
+#: Words of a passage, and neutral parts that each passage has besides, so that few words alone
+#: decide little.
+PASSAGE, PAD = 32, 100
+#: Passes over all passages (and steps, at least), then rounds on the likeliest of each text.
+EPOCHS, MIN_STEPS, BATCH = 2, 300, 64
+ROUNDS, LIKELIEST = 20, 2
 #: Step widths of the table and of the softmax.
 RATE, TOP_RATE = 0.2, 0.05
 #: Training sees both classes equally often; scores are corrected to this share of toxic texts.
@@ -101,80 +106,115 @@ class Model:
         total = np.bincount(of, self.scores[rows], len(words))
         return list(zip(total.tolist(), np.bincount(of, minlength=len(words)).tolist()))
 
-    def probability(self, total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def probability(self, total: np.ndarray, n: np.ndarray, text_of: np.ndarray, texts: int) -> np.ndarray:
+        """The probability of each text from what the parts of its passages add and their number:
+        that of its likeliest passage, or of an empty one."""
         if not self.trained:
-            return np.zeros(len(total))
-        mean = total / np.maximum(n, 1)
-        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
+            return np.zeros(texts)
+        best = np.full(texts, -np.inf)
+        np.maximum.at(best, text_of, total / (n + PAD))
+        best[np.isinf(best)] = 0.0
+        return 1 / (1 + np.exp(-np.clip(best + self.bias, -500, 500)))
 
 
-def _bags(texts: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-    """For each text its bags of up to BAG words, as distinct parts and their shares; every
-    word is in one of them."""
-    bags = []
-    for text in texts:
-        words = Words(pa.array([text]))
+def passages(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(begin, end, text)`` of the passages of texts whose words begin at ``starts``; each word
+    lies in one of them."""
+    length = np.diff(starts)
+    number = -(-length // PASSAGE)
+    text = np.repeat(np.arange(len(length)), number)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
+    begin = starts[:-1][text] + place * PASSAGE
+    return begin, np.minimum(begin + PASSAGE, starts[1:][text]), text
+
+
+def _spans(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+class _Training:
+    """Words, parts and passages of the sample, with table and softmax under training."""
+
+    def __init__(self, texts: list[str], labels: list[int], seed: int):
+        words = Words(pa.array(texts, pa.string()))
         names = words.names.to_pylist()
         own = []
-        for i in range(0, len(words.codes), BAG):
-            codes, times = np.unique(words.codes[i : i + BAG], return_counts=True)
-            of, rows = parts([names[c] for c in codes])
-            found, at = np.unique(rows, return_inverse=True)
-            share = np.bincount(at, times[of])
-            own.append((found, (share / share.sum()).astype(np.float32)))
-        bags.append(own)
-    return bags
+        for i in range(0, len(names), AT_A_TIME):
+            of, rows = parts(names[i : i + AT_A_TIME])
+            order = np.argsort(of, kind="stable")
+            own.append((np.bincount(of, minlength=len(names[i : i + AT_A_TIME])), rows[order].astype(np.int32)))
+        self.codes = words.codes
+        self.rows = np.concatenate([r for _, r in own] or [np.zeros(0, np.int32)])
+        self.number = np.concatenate([n for n, _ in own] or [np.zeros(0, np.int64)])
+        self.first = np.cumsum(self.number) - self.number
+        self.begin, self.end, self.text = passages(words.starts)
+        self.size = np.add.reduceat(self.number[self.codes], self.begin) + PAD if len(self.begin) else self.begin
+        self.y = np.array(labels, np.int64)[self.text]
+        self.random = np.random.default_rng(seed)
+        self.table = self.random.uniform(-0.1, 0.1, (ROWS, WIDTH)).astype(np.float32)
+        self.softmax = self.random.uniform(-1, 1, (WIDTH, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        # Steps are scaled by each row's past gradients, so rare n-grams learn as fast as common.
+        self.past_table = np.full(ROWS, 1e-12, np.float32)
+        self.past_softmax, self.past_bias = np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
+
+    def scores(self) -> np.ndarray:
+        return self.table @ (self.softmax[:, 1] - self.softmax[:, 0])
+
+    def likeliest(self, few: int) -> np.ndarray:
+        """The passages of each text that are most like class 1."""
+        of_word = np.add.reduceat(self.scores()[self.rows], self.first)
+        logit = np.add.reduceat(of_word[self.codes], self.begin) / self.size
+        order = np.lexsort((-logit, self.text))
+        number = np.bincount(self.text)
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(number) - number, number)
+        return order[rank < few]
+
+    def epoch(self, chosen: np.ndarray) -> None:
+        """One pass of gradient descent on the log loss; both classes weigh the same in all."""
+        y = self.y[chosen]
+        weight = (len(y) / (2 * np.bincount(y, minlength=2)[y])).astype(np.float32)
+        order = self.random.permutation(len(chosen))
+        for batch in np.array_split(order, -(-len(order) // BATCH)):
+            at = chosen[batch]
+            length = self.end[at] - self.begin[at]
+            words = self.codes[_spans(self.begin[at], length)]
+            rows = self.rows[_spans(self.first[words], self.number[words])]
+            touched, row = np.unique(rows, return_inverse=True)
+            size = self.size[at] - PAD
+            share = np.repeat((1 / self.size[at]).astype(np.float32), size)
+            starts = np.cumsum(size) - size
+            mean = np.add.reduceat(self.table[rows] * share[:, None], starts, axis=0)
+            logit = mean @ self.softmax + self.bias
+            p = np.exp(logit - logit.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            p[np.arange(len(at)), y[batch]] -= 1
+            p *= weight[batch, None] / len(at)
+            back = np.repeat(p @ self.softmax.T, size, axis=0) * share[:, None]
+            change = np.stack([np.bincount(row, back[:, k], len(touched)) for k in range(WIDTH)], axis=1)
+            self.past_table[touched] += (change**2).mean(axis=1)
+            pace = (RATE / np.sqrt(self.past_table[touched]))[:, None]
+            self.table[touched] -= (pace * change).astype(np.float32)
+            step = mean.T @ p
+            self.past_softmax += step**2
+            self.softmax -= (TOP_RATE / np.sqrt(self.past_softmax) * step).astype(np.float32)
+            self.past_bias += p.sum(axis=0) ** 2
+            self.bias -= (TOP_RATE / np.sqrt(self.past_bias) * p.sum(axis=0)).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Fit table and softmax by stochastic gradient descent on the log loss."""
-    if len(set(labels)) < 2:
-        return Model(np.zeros(ROWS), 0.0, False)
-    bags, classes = [], []
-    for own, label in zip(_bags(texts), labels):
-        bags += own
-        classes += [label] * len(own)
-    y = np.array(classes, np.int64)
-    if len(set(classes)) < 2:
+    """Fit table and softmax together: first on all passages, which take the label of their text,
+    then in rounds on the passages of each text that look most toxic."""
+    run = _Training(texts, labels, seed)
+    if len(set(run.y.tolist())) < 2:
         return Model(np.zeros(ROWS), 0.0, False)
-    random = np.random.default_rng(seed)
-    table = random.uniform(-0.1, 0.1, (ROWS, WIDTH)).astype(np.float32)
-    softmax = random.uniform(-1, 1, (WIDTH, 2)).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    # Steps are scaled by each row's past gradients, so rare n-grams learn as fast as common.
-    past_table = np.full(ROWS, 1e-12, np.float32)
-    past_softmax, past_bias = np.full((WIDTH, 2), 1e-8), np.full(2, 1e-8)
-    # Both classes weigh the same in all.
-    weight = (len(y) / (2 * np.bincount(y, minlength=2)[y])).astype(np.float32)
-    batches = -(-len(bags) // BATCH)
-    for _ in range(max(EPOCHS, -(-MIN_STEPS // batches))):
-        for batch in np.array_split(random.permutation(len(bags)), batches):
-            size = np.array([len(bags[i][0]) for i in batch])
-            rows = np.concatenate([bags[i][0] for i in batch])
-            share = np.concatenate([bags[i][1] for i in batch])
-            starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-            mean = np.add.reduceat(table[rows] * share[:, None], starts, axis=0)
-            logit = mean @ softmax + bias
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(batch)), y[batch]] -= 1
-            p *= weight[batch, None] / len(batch)
-            back = np.repeat(p @ softmax.T, size, axis=0) * share[:, None]
-            # Only rows of the batch change.
-            touched, at = np.unique(rows, return_inverse=True)
-            change = np.stack(
-                [np.bincount(at, back[:, k], len(touched)) for k in range(WIDTH)], axis=1
-            )
-            past_table[touched] += (change**2).mean(axis=1)
-            pace = (RATE / np.sqrt(past_table[touched]))[:, None]
-            table[touched] -= (pace * change).astype(np.float32)
-            step = mean.T @ p
-            past_softmax += step**2
-            softmax -= (TOP_RATE / np.sqrt(past_softmax) * step).astype(np.float32)
-            past_bias += p.sum(axis=0) ** 2
-            bias -= (TOP_RATE / np.sqrt(past_bias) * p.sum(axis=0)).astype(np.float32)
-    scores = table @ (softmax[:, 1] - softmax[:, 0])
-    return Model(scores, float(bias[1] - bias[0]) + float(np.log(PRIOR / (1 - PRIOR))), True)
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(run.y)))):
+        run.epoch(np.arange(len(run.y)))
+    for _ in range(ROUNDS):
+        run.epoch(run.likeliest(LIKELIEST))
+    bias = float(run.bias[1] - run.bias[0]) + float(np.log(PRIOR / (1 - PRIOR)))
+    return Model(run.scores(), bias, True)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
@@ -228,9 +268,10 @@ def add_score(df: DataFrame, model: Model, text: str = "text", output: str = "sc
                 part = fresh[i : i + AT_A_TIME]
                 known.update(zip(part, own.words(part)))
             sums = np.array([known[x] for x in names], float).reshape(len(names), 2)
+            begin, end, text_of = passages(words.starts)
             totals = np.concatenate([np.zeros((1, 2)), np.cumsum(sums[words.codes], axis=0)])
-            found = totals[words.starts[1:]] - totals[words.starts[:-1]]
-            p = own.probability(found[:, 0], found[:, 1])
+            found = totals[end] - totals[begin]
+            p = own.probability(found[:, 0], found[:, 1], text_of, len(batch))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(p)], [*batch.schema.names, output]
             )
