@@ -60,6 +60,11 @@ def split_lines(content: Column) -> Column:
     return F.when(rare, F.split(content, LINE_BREAK)).otherwise(F.split(content, "\n"))
 
 
+def without_last_break(content: Column) -> Column:
+    """The text without the line break at its end, if there is one."""
+    return F.regexp_replace(content, rf"(?:{LINE_BREAK})\z", "")
+
+
 def strip(text: Column) -> Column:
     """Trim all Unicode white space, the separators 0x1c to 0x1f included."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

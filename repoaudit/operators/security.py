@@ -99,11 +99,17 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     """Findings of all texts in a table, whatever its keys: one row per line and category.
 
     The work is one narrow stage. The rules are expressions built from the rule table, so
-    each regex compiles once per task and nothing is joined.
+    each regex compiles once per task and nothing is joined. A rule set without any valid
+    pattern finds nothing.
     """
-    rules = valid_rules(files.sparkSession, rules or SECURITY_RULES)
+    rules = valid_rules(files.sparkSession, SECURITY_RULES if rules is None else rules)
+    if not rules:
+        return match_lines(files.limit(0))
     keys = [c for c in files.columns if c != "content"]
     marks = _marks(rules)
+    if any(not rule.needles_of(i) for rule in rules for i in range(len(rule.patterns))):
+        # Such a pattern may match an empty line. A final line break does not start one.
+        files = files.where("content <> ''").withColumn("content", text.without_last_break(F.col("content")))
     pieces = files.select(*keys, "content", text.fold_case(F.col("content")).alias("folded"))
     # The folded text has the same line breaks, so both are cut alike. As columns of the
     # generator, line and folded line exist before the filter, which would otherwise fold

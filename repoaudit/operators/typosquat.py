@@ -78,10 +78,13 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     are distinct, and few names can share a remainder of given length, so no key is hot.
     """
     plain = names.select("name").distinct().withColumn("plain", normalized(F.col("name")))
-    left = plain.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
     target = known.select(
         F.col("name").alias("known_name"), "ord", F.lower("name").alias("target")
     )
+    # A name that is longer by more is not close to any, and would have very many keys.
+    longest = target.agg(F.max(F.length("target"))).first()[0] or 0
+    plain = plain.where(F.length("plain") <= longest + MAX_TYPO_DISTANCE)
+    left = plain.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
     right = target.select("*", F.explode(_deletions(F.col("target"))).alias("key"))
     distance = close_distance(F.col("plain"), F.col("target"), MAX_TYPO_DISTANCE)
     return (
@@ -96,7 +99,8 @@ def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:
     """Risk of each row of a table with a column ``name``.
 
     ``known`` is a list of names or a ``(name, ord)`` table; nothing, or an empty list,
-    means the popular packages. A table is joined and gives one row per distinct name.
+    means the popular packages. A table, or a long list, is joined. Rows and columns of the
+    table are kept either way.
     """
     if known is None or (not isinstance(known, DataFrame) and len(known) == 0):
         known = POPULAR_PACKAGES
@@ -109,12 +113,10 @@ def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:
         pairs = close_pairs(names, known).groupBy("name").agg(
             F.array_sort(F.collect_list(F.struct("distance", "ord", "known_name"))).alias("found")
         )
-        result = (
-            names.select("name")
-            .distinct()
-            .join(pairs, "name", "left")
-            .withColumn("similar_to", F.coalesce(_named(F.col("found"), "known_name"), F.array()))
-            .drop("found")
+        similar = pairs.select("name", _named(F.col("found"), "known_name").alias("_similar"))
+        columns = [c for c in names.columns if c != "similar_to"]
+        result = names.join(similar, "name", "left").select(
+            *columns, F.coalesce("_similar", F.array().cast(SIMILAR)).alias("similar_to")
         )
     else:
         result = with_similar(names, "name", known)

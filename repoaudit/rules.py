@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from repoaudit.functions.text import ignore_case
+
 
 @dataclass(frozen=True)
 class SecurityRule:
@@ -285,65 +287,63 @@ NEW_PACKAGE_DAYS = 30
 
 # Public names per module. These few modules are a starting table; a full
 # one has far more rows and comes in as a parameter (see ``known_api_table``).
-KNOWN_APIS: dict[str, str] = {
-    "requests": """
-        get post put delete patch head options request Session Response PreparedRequest
-        Request HTTPError ConnectionError Timeout URLRequired TooManyRedirects
-        RequestException codes auth cookies exceptions hooks models sessions structures
-        utils adapters packages compat api""",
-    "flask": """
-        Flask render_template render_template_string redirect url_for request jsonify
-        Blueprint make_response abort flash get_flashed_messages session g current_app
-        send_file send_from_directory Response Request after_this_request
-        has_request_context has_app_context cli Config testing templating signals json
-        wrappers""",
-    "tensorflow": """
-        constant Variable function GradientTape Module keras data distribute saved_model
-        lite summary math linalg signal image io strings debugging config nest ragged
-        zeros ones fill eye range cast reshape transpose expand_dims squeeze concat stack
-        split tile gather reduce_sum reduce_mean reduce_max reduce_min matmul tensordot
-        float16 float32 float64 int32 int64 bool string TensorSpec RaggedTensor
-        SparseTensor nn train estimator feature_column""",
-    "pandas": """
-        DataFrame Series Index MultiIndex Categorical CategoricalIndex DatetimeIndex
-        TimedeltaIndex PeriodIndex Timestamp Timedelta Period read_csv read_excel
-        read_json read_sql read_parquet read_feather read_hdf read_pickle read_html
-        read_clipboard read_table read_fwf read_gbq concat merge melt pivot pivot_table
-        crosstab cut qcut get_dummies to_datetime to_timedelta to_numeric date_range
-        period_range timedelta_range isna isnull notna notnull set_option get_option
-        reset_option option_context options testing NA NaT api io errors Grouper
-        NamedAgg""",
-    "redis": """
-        Redis StrictRedis ConnectionPool Sentinel SentinelConnectionPool RedisCluster
-        ClusterConnectionPool from_url BlockingConnectionPool Connection SSLConnection
-        ConnectionError TimeoutError RedisError AuthenticationError BusyLoadingError
-        ResponseError DataError PubSubError client cluster commands exceptions sentinel
-        utils""",
+KNOWN_APIS: dict[str, tuple[str, ...]] = {
+    "requests": (
+        "get", "post", "put", "delete", "patch", "head", "options", "request", "Session",
+        "Response", "PreparedRequest", "Request", "HTTPError", "ConnectionError", "Timeout",
+        "URLRequired", "TooManyRedirects", "RequestException", "codes", "auth", "cookies",
+        "exceptions", "hooks", "models", "sessions", "structures", "utils", "adapters",
+        "packages", "compat", "api",
+    ),
+    "flask": (
+        "Flask", "render_template", "render_template_string", "redirect", "url_for", "request",
+        "jsonify", "Blueprint", "make_response", "abort", "flash", "get_flashed_messages",
+        "session", "g", "current_app", "send_file", "send_from_directory", "Response",
+        "Request", "after_this_request", "has_request_context", "has_app_context", "cli",
+        "Config", "testing", "templating", "signals", "json", "wrappers",
+    ),
+    "tensorflow": (
+        "constant", "Variable", "function", "GradientTape", "Module", "keras", "data",
+        "distribute", "saved_model", "lite", "summary", "math", "linalg", "signal", "image",
+        "io", "strings", "debugging", "config", "nest", "ragged", "zeros", "ones", "fill",
+        "eye", "range", "cast", "reshape", "transpose", "expand_dims", "squeeze", "concat",
+        "stack", "split", "tile", "gather", "reduce_sum", "reduce_mean", "reduce_max",
+        "reduce_min", "matmul", "tensordot", "float16", "float32", "float64", "int32", "int64",
+        "bool", "string", "TensorSpec", "RaggedTensor", "SparseTensor", "nn", "train",
+        "estimator", "feature_column",
+    ),
+    "pandas": (
+        "DataFrame", "Series", "Index", "MultiIndex", "Categorical", "CategoricalIndex",
+        "DatetimeIndex", "TimedeltaIndex", "PeriodIndex", "Timestamp", "Timedelta", "Period",
+        "read_csv", "read_excel", "read_json", "read_sql", "read_parquet", "read_feather",
+        "read_hdf", "read_pickle", "read_html", "read_clipboard", "read_table", "read_fwf",
+        "read_gbq", "concat", "merge", "melt", "pivot", "pivot_table", "crosstab", "cut",
+        "qcut", "get_dummies", "to_datetime", "to_timedelta", "to_numeric", "date_range",
+        "period_range", "timedelta_range", "isna", "isnull", "notna", "notnull", "set_option",
+        "get_option", "reset_option", "option_context", "options", "testing", "NA", "NaT",
+        "api", "io", "errors", "Grouper", "NamedAgg",
+    ),
+    "redis": (
+        "Redis", "StrictRedis", "ConnectionPool", "Sentinel", "SentinelConnectionPool",
+        "RedisCluster", "ClusterConnectionPool", "from_url", "BlockingConnectionPool",
+        "Connection", "SSLConnection", "ConnectionError", "TimeoutError", "RedisError",
+        "AuthenticationError", "BusyLoadingError", "ResponseError", "DataError", "PubSubError",
+        "client", "cluster", "commands", "exceptions", "sentinel", "utils",
+    ),
 }
 
 
-def known_api_table(
-    spark: SparkSession,
-    apis: DataFrame | dict | None = None,
-    modules: list[str] | None = None,
-) -> DataFrame:
+def known_api_table(spark: SparkSession, apis: DataFrame | dict | None = None) -> DataFrame:
     """The ``(module, name)`` table of public names.
 
     ``apis`` is a table with these columns or a dict of module to names; by default the
-    starting table. ``modules`` adds, for trusted packages installed next to the driver,
-    the names each one really offers. Scanned code is never imported.
+    starting table.
     """
     if apis is None:
-        apis = {m: names.split() for m, names in KNOWN_APIS.items()}
+        apis = KNOWN_APIS
     if not isinstance(apis, DataFrame):
         rows = [(m, n) for m, names in apis.items() for n in names]
         apis = spark.createDataFrame(rows, "module string, name string")
-    if modules:
-        import importlib
-
-        rows = [(m, n) for m in modules for n in dir(importlib.import_module(m))]
-        more = spark.createDataFrame(rows, "module string, name string")
-        apis = apis.select("module", "name").unionByName(more)
     return apis.select("module", "name")
 
 
@@ -372,33 +372,54 @@ def rules_from_table(table: DataFrame) -> tuple[SecurityRule, ...]:
     )
 
 
-def _compiles(spark: SparkSession, pattern: str) -> bool:
+_GROUP = re.compile(r"(?<!\\)((?:\\\\)*)(?:\(\?P<(\w+)>|\(\?P=(\w+)\)|(\\Z))")
+
+
+def java_pattern(pattern: str) -> str:
+    """A Python pattern in Java's syntax, which writes named groups and the end otherwise."""
+    numbers: dict[str, int] = {}
+
+    def written(found: re.Match) -> str:
+        if found[4]:
+            return found[1] + r"\z"
+        number = numbers.setdefault(found[2] or found[3], len(numbers))
+        return found[1] + (f"(?<g{number}>" if found[2] else rf"\k<g{number}>")
+
+    return _GROUP.sub(written, pattern)
+
+
+def _in_python(pattern: str) -> bool:
     try:
         re.compile(pattern, re.IGNORECASE)
-        spark.range(1).select(F.lit("").rlike("(?iU)" + pattern)).collect()
-    except Exception as error:  # the two regex engines raise different classes
+    except re.error as error:
         warnings.warn(f"pattern {pattern!r} does not compile and is skipped: {error}")
         return False
     return True
 
 
 def valid_rules(spark: SparkSession, rules) -> tuple[SecurityRule, ...]:
-    """Drop patterns that do not compile, and categories left without any."""
+    """The rules as Spark runs them. Patterns that are not valid in Python are dropped, and
+    categories left without any; one that Spark cannot run raises ``ValueError``."""
     if rules is SECURITY_RULES:
         return rules
     kept = []
     for rule in rules:
-        good = [i for i, p in enumerate(rule.patterns) if _compiles(spark, p)]
+        good = [i for i, p in enumerate(rule.patterns) if _in_python(p)]
         if good:
             kept.append(
                 SecurityRule(
                     rule.category,
                     rule.severity,
                     rule.description,
-                    tuple(rule.patterns[i] for i in good),
+                    tuple(java_pattern(rule.patterns[i]) for i in good),
                     tuple(rule.needles_of(i) for i in good),
                 )
             )
+    searches = [F.lit("").rlike(ignore_case(p)) for rule in kept for p in rule.patterns]
+    try:
+        spark.range(1).select(*searches).collect()
+    except Exception as error:  # Spark wraps what the regex engine raises
+        raise ValueError(f"a pattern cannot be run: {error}") from error
     return tuple(kept)
 
 

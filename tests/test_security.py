@@ -235,6 +235,29 @@ def test_own_rules_and_invalid_patterns(spark, files_of):
     assert [(r.severity, r.n) for r in others] == [("info", 2)]
 
 
+def test_own_rule_on_empty_lines(spark, files_of):
+    rules = (SecurityRule("blank", "low", "Blank", (r"^\s*$",)),)
+    files = files_of({"a.py": "x=1\n", "b.py": "", "c.py": "\n", "d.py": "a\r\n\r\nb\r\n", "e.py": "a\n\n"})
+    got = sorted((r.file, r.line_number) for r in security.scan_security(files, rules).collect())
+    assert got == [("c.py", 1), ("d.py", 2), ("e.py", 2)]
+
+
+def test_own_rules_in_python_syntax(spark, files_of):
+    pattern = r"(?P<quote_mark>['\"])x(?P=quote_mark)\Z"
+    rules = (SecurityRule("quoted", "low", "Quoted", (pattern,)),)
+    files = files_of({"a.py": "'x'\n'x\"\n\"x\"\n'x' \n"})
+    assert sorted(r.line_number for r in security.scan_security(files, rules).collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        security.scan_security(files, (SecurityRule("if", "low", "If", (r"(a)?(?(1)b|c)",)),))
+
+
+def test_rules_without_a_valid_pattern_find_nothing(spark, files_of):
+    files = files_of({"a.py": "eval(x)\n"})
+    with pytest.warns(UserWarning):
+        assert security.scan_security(files, (SecurityRule("broken", "low", "Never", ("[",)),)).count() == 0
+    assert security.scan_security(files, ()).count() == 0
+
+
 def test_rule_table_round_trip(spark):
     table = security_rules_table(spark)
     assert table.count() == 10

@@ -83,6 +83,18 @@ def test_a_long_list_is_joined(spark):
     assert {s.name for s in row.similar_to} == {k for k, _ in _expected("package-number-12x", known)[0]}
 
 
+@pytest.mark.parametrize("size", [200, 201])
+def test_rows_and_columns_are_kept(spark, size):
+    known = [f"package-number-{i}" for i in range(size)]
+    rows = [(1, "package-number-12x"), (2, "package-number-12x"), (3, None), (4, "q" * 100_000)]
+    names = spark.createDataFrame(rows, "id long, name string")
+    got = typosquat_candidates(names, known)
+    assert got.columns == ["id", "name", "similar_to", "is_potential_typosquat", "risk_level"]
+    risks = {r.id: (len(r.similar_to), r.risk_level) for r in got.collect()}
+    close = len(_expected("package-number-12x", known)[0])
+    assert close > 0 and risks == {1: (close, "high"), 2: (close, "high"), 3: (0, "none"), 4: (0, "none")}
+
+
 def test_popular_names_that_look_alike(spark):
     rows = typosquat_candidates(popular_table(spark)).where("is_potential_typosquat")
     assert {(r.name, r.risk_level) for r in rows.collect()} == {("uvicorn", "medium"), ("gunicorn", "medium")}
