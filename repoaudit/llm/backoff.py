@@ -10,8 +10,9 @@ words are summed as logarithms.
 2. Counts: n-grams of all texts are counted per fold, in batches first, then by hash. A text
    belongs to one of two folds by a hash of its key and is scored with the counts of the
    other, so no text is scored by its own n-grams.
-3. Scores: the distinct n-grams of each text are joined with the counts. Hits take the count of
-   their context, misses go on with one word less. Contributions are summed per text. Counts of
+3. Scores: the distinct n-grams of each batch and fold, with the texts that have them, are joined
+   with the counts, so a frequent n-gram is one row per batch. Hits take the count of their
+   context, misses go on with one word less. Contributions are summed per text. Counts of
    single words are no more than the vocabulary, so these joins are broadcast; larger ones are
    by hash, and Spark splits partitions that frequent n-grams make large.
 
@@ -55,8 +56,8 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 
 
 def _ngrams(known, order: int, per_text: bool, kind: str):
-    """A function that turns batches ``(key, fold, text)`` into n-grams with counts: of each
-    text, or of each batch and fold."""
+    """A function that turns batches ``(key, fold, text)`` into n-grams with counts: for each
+    n-gram of a batch and fold, of each text that has it or of all of them."""
 
     def made(batches):
         names = pa.array(known.value, pa.string())
@@ -75,16 +76,21 @@ def _ngrams(known, order: int, per_text: bool, kind: str):
             for k in range(order):
                 gram = (gram << BITS) | padded[place - (order - 1) + k]
             if per_text:
-                rank = np.argsort(gram, kind="stable")
-                rank = rank[np.argsort(text_of[rank], kind="stable")]
-                g, t = gram[rank], text_of[rank]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
+                fold_of = batch.column(1).to_numpy(zero_copy_only=False)[text_of]
+                rank = np.lexsort((text_of, gram, fold_of))
+                f, g, t = fold_of[rank], gram[rank], text_of[rank]
+                wide = np.ones(len(g), bool)  # where an n-gram of a fold begins
+                wide[1:] = (g[1:] != g[:-1]) | (f[1:] != f[:-1])
+                new = wide.copy()  # where a text begins in it
+                new[1:] |= t[1:] != t[:-1]
                 begin = np.nonzero(new)[0]
-                times = np.diff(np.concatenate([begin, [len(g)]]))
-                rows = pa.array(t[begin])
-                arrays = [pc.take(batch.column(0), rows), pa.array(g[begin]), pa.array(times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["_key", "gram", "times"])
+                times = np.diff(np.append(begin, len(g))).astype(np.int32)
+                first = np.nonzero(wide)[0]
+                offsets = pa.array(np.append(np.searchsorted(begin, first), len(begin)).astype(np.int32))
+                keys = pc.take(batch.column(0), pa.array(t[begin]))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (keys, pa.array(times))]
+                arrays = [pa.array(f[first].astype(np.int32)), pa.array(g[first]), *lists]
+                yield pa.RecordBatch.from_arrays(arrays, ["fold", "gram", "keys", "times"])
             else:
                 folds = batch.column(1).to_numpy(zero_copy_only=False)[text_of]
                 for f in (0, 1):
@@ -106,7 +112,7 @@ def _other(rows: DataFrame, counts: DataFrame, gram: Column, name: str, small: b
     """Add the count of ``gram`` in the other fold as ``name``, null if there is none."""
     side = counts.select(F.col("gram").alias("_gram"), "n0", "n1")
     joined = rows.join(F.broadcast(side) if small else side, gram == F.col("_gram"), "left")
-    other = F.when(fold(F.col("_key")) == 0, F.col("n1")).otherwise(F.col("n0"))
+    other = F.when(F.col("fold") == 0, F.col("n1")).otherwise(F.col("n0"))
     return joined.withColumn(name, F.when(other > 0, other)).drop("_gram", "n0", "n1")
 
 
@@ -121,11 +127,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     counts[1] = freeze(counts[1])
     totals = counts[1].agg(F.sum("n0"), F.sum("n1")).first()
     seen = [float(t or 1) for t in totals]
-    rows = texts.mapInArrow(_ngrams(known, order, True, kind), f"_key {kind}, gram bigint, times int")
+    rows = texts.mapInArrow(_ngrams(known, order, True, kind), f"fold int, gram bigint, keys array<{kind}>, times array<int>")
     rows = rows.withColumn("_score", F.lit(None).cast("double"))
     penalty = 0.0
     # What needs no look-up gets a number that no n-gram has, another for each row.
-    nothing = -1 - F.abs(F.shiftright(F.xxhash64("_key", "gram"), 1))
+    nothing = -1 - F.abs(F.shiftright(F.xxhash64(F.get("keys", F.lit(0)), "gram"), 1))
     for k in range(order, 0, -1):
         rows = _other(rows, counts[k], F.when(F.col("_score").isNull(), F.col("gram")).otherwise(nothing), "_seen", k == 1)
         if k > 1:
@@ -133,13 +139,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
             rows = _other(rows, _contexts(counts, k, texts), context, "_before", k == 2)
             found = F.log(F.col("_seen") / F.greatest("_before", "_seen")) + penalty
         else:
-            everything = F.when(fold(F.col("_key")) == 0, F.lit(seen[1])).otherwise(F.lit(seen[0]))
+            everything = F.when(F.col("fold") == 0, F.lit(seen[1])).otherwise(F.lit(seen[0]))
             found = F.log(F.coalesce("_seen", F.lit(1)) / everything) + penalty
         short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-        rows = rows.select("_key", short.alias("gram"), "times", F.coalesce("_score", found).alias("_score"))
+        rows = rows.select("fold", short.alias("gram"), "keys", "times", F.coalesce("_score", found).alias("_score"))
         penalty += float(np.log(DISCOUNT))
-    summed = rows.groupBy("_key").agg(
-        F.sum("times").alias("n_words"), F.sum(F.col("times") * F.col("_score")).alias("log_score")
+    each = rows.select("_score", F.explode(F.arrays_zip("keys", "times")).alias("_at"))
+    summed = each.groupBy(F.col("_at.keys").alias("_key")).agg(
+        F.sum("_at.times").alias("n_words"), F.sum(F.col("_at.times") * F.col("_score")).alias("log_score")
     )
     named = docs.select(F.col(key)).distinct()
     return named.join(summed, F.col(key).eqNullSafe(F.col("_key")), "left").select(
