@@ -129,8 +129,10 @@ def v2_manifests(engine: str) -> str:
             f"'{{\"dependencies\": {{' || {npm} || '}}, \"devDependencies\": {{\"Express\": \"1\"}}, "
             "\"peerDependencies\": {\"x\": \"1\"}}'",
         ),
+        # Look-alikes of popular names, one or two edits away, in turns.
         "SELECT repo, 'requirements-dev.txt' AS path, 'pytest' || chr(13) || chr(10) || "
-        "min(package) AS content FROM p GROUP BY repo",
+        "min(package) || chr(10) || CASE WHEN min(p_partkey) % 1000 < 500 THEN 'reqests' "
+        "ELSE 'flaks' END AS content FROM p GROUP BY repo",
         "SELECT repo, 'sub/requirements.txt' AS path, 'ignored==1' AS content FROM p GROUP BY repo",
     ]
     source = f"SELECT {_REPO} AS repo, {PACKAGE} AS package, p_partkey, p_size FROM part"

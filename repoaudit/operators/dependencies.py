@@ -39,11 +39,16 @@ def check_dependencies(
     """Findings for a table of distinct dependencies, one row each.
 
     Lookup and age come from one join. The comparison with a list of known names needs
-    none; a ``(name, ord)`` table of them is joined once per distinct package.
+    none; a ``(name, ord)`` table of them is joined once per distinct package. Several rows of
+    a package in ``meta`` count as one: what exists goes before what does not, then the
+    greatest version as text, then the latest creation.
     """
     deps = freeze(deps)
-    wanted = meta.select(
-        "registry", F.col("name").alias("package"), "exists", "version", "created_at"
+    best = F.max(F.struct("exists", "version", "created_at"))
+    wanted = (
+        meta.groupBy("registry", F.col("name").alias("package"))
+        .agg(best.alias("_best"))
+        .select("registry", "package", "_best.*")
     )
     rows = join_hot_keys(deps, wanted, ["registry", "package"])
     if isinstance(known, DataFrame):

@@ -86,7 +86,8 @@ def json_lines(
 ) -> DataFrame:
     """Lines of the JSON reports; ``files`` gives the list of manifests.
 
-    Each finding is one line. A recommendation that goes on in parts is several strings.
+    Each finding is one line, with its ``section`` and its ``row`` in it. A recommendation that
+    goes on in parts is several strings.
     """
     stamp = times.as_utc(as_of).isoformat()
     parts = [
@@ -129,5 +130,6 @@ def json_lines(
         F.col("section").isin(*_LIST_ROWS) & (F.col("row") < F.col("row_total")), ","
     ).otherwise("")
     return rows.select(
-        "repo", "line_number", F.concat("line", comma).alias("line"), "line_number_total"
+        "repo", "line_number", F.concat("line", comma).alias("line"), "line_number_total",
+        "section", "row",
     )

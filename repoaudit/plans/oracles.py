@@ -237,8 +237,9 @@ def _similar(asked: str, key: str, known: str) -> str:
     """
 
 
-_KNOWN_DEPS = f"known AS (SELECT * FROM (VALUES {_values(KNOWN)}) v(known, ord))"
-_FINDINGS = f"""{_DEPS}, {_REG}, {_KNOWN_DEPS},
+def _findings(names) -> str:
+    return f"""{_DEPS}, {_REG},
+known AS (SELECT * FROM (VALUES {_values(names)}) v(known, ord)),
 risks AS ({_similar("(SELECT DISTINCT package AS key, package AS name FROM deps)", "key", "known")}),
 dep AS (
   SELECT d.repo, d.file_ord, d.pos, d.package, d.source_file, d.registry,
@@ -248,6 +249,9 @@ dep AS (
          CASE WHEN NOT r.failed THEN {_AGE} END AS age_days
   FROM deps d JOIN risks t ON t.name = d.package
   LEFT JOIN reg r ON r.name = d.package AND r.registry = d.registry)"""
+
+
+_FINDINGS = _findings(POPULAR_PACKAGES)
 _WARNED = f"""{_FINDINGS}, warned AS (
   SELECT *, row_number() OVER (PARTITION BY repo, kind ORDER BY file_ord, source_file, pos) AS n,
          count(*) OVER (PARTITION BY repo, kind) AS total
@@ -490,7 +494,7 @@ FROM lines
 """
 _JSON_FIELDS = f"""
 WITH {_SUMMARY}, {_recommended(1000)}, man_n AS (SELECT repo, count(*) AS manifests FROM man GROUP BY repo)
-SELECT l.repo, 1 AS parts, repository, '2024-02-20T00:00:00+00:00' AS timestamp,
+SELECT l.repo, repository, '2024-02-20T00:00:00+00:00' AS timestamp,
        CAST(risk_score AS VARCHAR) AS risk_score, risk_level,
        CAST(total_issues AS VARCHAR) AS total_issues, dependency_issues AS dependency_findings,
        coalesce(manifests, 0) AS manifests, non_existent AS hallucinated,
@@ -558,6 +562,7 @@ def all_sql() -> dict[str, str]:
             asked AS (SELECT name AS key, name FROM names)
             SELECT * EXCLUDE (key) FROM ({_similar("asked", "key", "known")}) s""",
         "dependency_findings": f"WITH {_FINDINGS} SELECT * EXCLUDE (file_ord, pos) FROM dep",
+        "dependency_findings_known_table": f"WITH {_findings(KNOWN)} SELECT * EXCLUDE (file_ord, pos) FROM dep",
         "dependency_summary": f"""WITH {_FINDINGS},
             spine AS (SELECT DISTINCT repo, true AS found FROM man
                       UNION ALL SELECT DISTINCT source, source <> 'src0' FROM documents),

@@ -11,8 +11,8 @@ from repoaudit.functions import paths, text
 from repoaudit.operators import apicheck, dependencies, manifests, registry, risk, security
 from repoaudit.operators.ordering import number_rows
 from repoaudit.operators.typosquat import typosquat_candidates
-from repoaudit.plans import json_report, lines, markdown
-from repoaudit.rules import known_api_table
+from repoaudit.plans import json_report, markdown
+from repoaudit.rules import POPULAR_PACKAGES, known_api_table, popular_table
 from repoaudit.session import freeze
 from repoaudit.sources.registry import parse_snapshot
 
@@ -157,23 +157,29 @@ def typosquat_known_table(spark, sf_dir):
     return rows.withColumn("similar_to", _similar_text("similar_to"))
 
 
-def _dependencies(spark, sf_dir) -> DataFrame:
-    """Findings; a few names take part in the look-alike comparison."""
+def _dependencies(spark, sf_dir, known=POPULAR_PACKAGES) -> DataFrame:
+    """Findings; look-alikes of the popular packages unless other names are given."""
     # The audit may read the metadata twice, so they are parsed before; a real snapshot is
     # stored in parsed form.
     meta = freeze(_meta(spark, sf_dir))
-    return dependencies.scan_dependencies(fx.manifests(spark, sf_dir), meta, AS_OF, KNOWN)
+    return dependencies.scan_dependencies(fx.manifests(spark, sf_dir), meta, AS_OF, known)
 
 
-# Known names of the dependency queries: two of the parts', the others popular.
+# Known names of the query that takes them from a table: two of the parts', the others popular.
 KNOWN = ("old-bolt", "new-gear", "pytest", "express", "gitt")
 
 
+def _flat(findings: DataFrame) -> DataFrame:
+    similar = _similar_text("typosquat_similar_to")
+    return findings.withColumn("typosquat_similar_to", similar).drop("file_ord", "pos")
+
+
 def dependency_findings(spark, sf_dir):
-    rows = _dependencies(spark, sf_dir)
-    return rows.withColumn("typosquat_similar_to", _similar_text("typosquat_similar_to")).drop(
-        "file_ord", "pos"
-    )
+    return _flat(_dependencies(spark, sf_dir))
+
+
+def dependency_findings_known_table(spark, sf_dir):
+    return _flat(_dependencies(spark, sf_dir, popular_table(spark, KNOWN)))
 
 
 def dependency_summary(spark, sf_dir):
@@ -208,25 +214,30 @@ def api_summary(spark, sf_dir):
     return apicheck.api_counts(parsed, found)
 
 
-def _audited(spark, sf_dir):
-    """Findings of all checks: dependencies of ``V2``, code of ``V1``, calls of ``V4``."""
-    dep = freeze(_dependencies(spark, sf_dir))
-    sec = freeze(_security(spark, sf_dir))
+def _audited(spark, sf_dir, read_again=("dep", "sec", "api", "summary")):
+    """Findings of all checks: dependencies of ``V2``, code of ``V1``, calls of ``V4``. What
+    the caller reads besides the summary is frozen."""
+
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        return freeze(rows) if name in read_again else rows
+
+    dep = kept("dep", _dependencies(spark, sf_dir))
+    sec = kept("sec", _security(spark, sf_dir))
     parsed = freeze(
         apicheck.parse_python(fx.py_sources(spark, sf_dir), apicheck.literal_modules())
     )
-    api = freeze(apicheck.check_calls(apicheck.py_calls(parsed), known_api_table(spark)))
+    api = kept("api", apicheck.check_calls(apicheck.py_calls(parsed), known_api_table(spark)))
     repos = fx.repositories(spark, sf_dir)
-    return dep, sec, api, freeze(risk.risk_summary(repos, dep, sec, api, parsed))
+    return dep, sec, api, kept("summary", risk.risk_summary(repos, dep, sec, api, parsed))
 
 
 def risk_score(spark, sf_dir):
-    *_, summary = _audited(spark, sf_dir)
+    *_, summary = _audited(spark, sf_dir, read_again=())
     return summary
 
 
 def recommendations(spark, sf_dir):
-    dep, _, _, summary = _audited(spark, sf_dir)
+    dep, _, _, summary = _audited(spark, sf_dir, read_again=("dep", "summary"))
     return risk.recommendations(summary, dep, part_rows=20)
 
 
@@ -244,31 +255,52 @@ def json_report_fields(spark, sf_dir):
     rows = json_report.json_lines(
         summary, recs, dep, sec, api, fx.manifests(spark, sf_dir), AS_OF
     )
-    docs = lines.documents(rows)
-
-    def field(path: str, name: str) -> Column:
-        return F.get_json_object("text", f"$.{path}").alias(name)
+    section = F.col("section")
+
+    # Fields come from the lines that hold them, so a report may have any number of lines.
+    def only(condition: Column, text: Column, name: str) -> Column:
+        return F.max(F.when(condition, text)).alias(name)
+
+    def first(rows_of: int, name: str) -> Column:
+        line = F.regexp_replace("line", ",$", "")
+        return only((section == rows_of) & (F.col("row") == 1), line, name)
+
+    def size(rows_of: int, name: str) -> Column:
+        return F.count_if(section == rows_of).alias(name)
+
+    opened = F.concat("line", F.lit("]}}"))
+    held = rows.groupBy("repo").agg(
+        only(section == json_report.OPEN, opened, "head"),
+        only(section == json_report.SECURITY, F.concat(F.lit('{"before":{"it":['), opened), "scan"),
+        first(json_report.DEP_ROWS, "package"),
+        first(json_report.SEC_ROWS, "finding"),
+        size(json_report.DEP_ROWS, "dependency_findings"),
+        size(json_report.FILE_ROWS, "manifests"),
+        size(json_report.MISSING_ROWS, "hallucinated"),
+        size(json_report.SEC_ROWS, "security_findings"),
+        size(json_report.API_ROWS, "api_findings"),
+        size(json_report.REC_ROWS, "recommendations"),
+    )
 
-    def size(path: str, name: str) -> Column:
-        return F.json_array_length(F.get_json_object("text", f"$.{path}")).alias(name)
+    def field(text: str, path: str, name: str) -> Column:
+        return F.get_json_object(text, f"$.{path}").alias(name)
 
-    return docs.select(
+    return held.select(
         "repo",
-        "parts",
-        field("repository", "repository"),
-        field("timestamp", "timestamp"),
-        field("risk_score", "risk_score"),
-        field("risk_level", "risk_level"),
-        field("summary.total_issues", "total_issues"),
-        size("dependency_audit.findings", "dependency_findings"),
-        size("dependency_audit.dependency_files_found", "manifests"),
-        size("dependency_audit.hallucinated_packages", "hallucinated"),
-        field("dependency_audit.findings[0].package", "first_package"),
-        size("security_scan.findings", "security_findings"),
-        field("security_scan.severity_breakdown.critical", "critical"),
-        field("security_scan.findings[0].code_snippet", "first_snippet"),
-        size("api_check.findings", "api_findings"),
-        size("recommendations", "recommendations"),
+        field("head", "repository", "repository"),
+        field("head", "timestamp", "timestamp"),
+        field("head", "risk_score", "risk_score"),
+        field("head", "risk_level", "risk_level"),
+        field("head", "summary.total_issues", "total_issues"),
+        "dependency_findings",
+        "manifests",
+        "hallucinated",
+        field("package", "package", "first_package"),
+        "security_findings",
+        field("scan", "security_scan.severity_breakdown.critical", "critical"),
+        field("finding", "code_snippet", "first_snippet"),
+        "api_findings",
+        "recommendations",
     )
 
 
@@ -296,6 +328,7 @@ ALL = {
         typosquat_popular,
         typosquat_known_table,
         dependency_findings,
+        dependency_findings_known_table,
         dependency_summary,
         dependency_warnings,
         api_imports,
