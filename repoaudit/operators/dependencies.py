@@ -10,6 +10,7 @@ from repoaudit.functions import times
 from repoaudit.operators import manifests
 from repoaudit.operators.joins import join_hot_keys
 from repoaudit.operators.ordering import PART_ROWS, in_parts
+from repoaudit.operators.registry import one_per_package
 from repoaudit.operators.typosquat import risk_level, typosquat_candidates, with_similar
 from repoaudit.rules import NEW_PACKAGE_DAYS, POPULAR_PACKAGES
 from repoaudit.session import freeze
@@ -40,16 +41,11 @@ def check_dependencies(
 
     Lookup and age come from one join. The comparison with a list of known names needs
     none; a ``(name, ord)`` table of them is joined once per distinct package. Several rows of
-    a package in ``meta`` count as one: what exists goes before what does not, then the
-    greatest version as text, then the latest creation.
+    a package in ``meta`` count as one.
     """
     deps = freeze(deps)
-    best = F.max(F.struct("exists", "version", "created_at"))
-    wanted = (
-        meta.groupBy("registry", F.col("name").alias("package"))
-        .agg(best.alias("_best"))
-        .select("registry", "package", "_best.*")
-    )
+    columns = meta.select("registry", "name", "exists", "version", "created_at")
+    wanted = one_per_package(columns).withColumnRenamed("name", "package")
     rows = join_hot_keys(deps, wanted, ["registry", "package"])
     if isinstance(known, DataFrame):
         names = deps.select(F.col("package").alias("name")).distinct()

@@ -12,11 +12,20 @@ from repoaudit.operators.joins import join_hot_keys
 _KEYS = ["registry", "name"]
 
 
+def one_per_package(meta: DataFrame) -> DataFrame:
+    """Snapshot rows with each package once: of several, one that exists goes before one that
+    does not, then the greatest version as text, then the latest creation."""
+    first = [c for c in ("exists", "version", "created_at") if c in meta.columns]
+    rest = [c for c in meta.columns if c not in (*_KEYS, *first)]
+    best = F.max(F.struct(*first, *rest)).alias("_best")
+    return meta.groupBy(*_KEYS).agg(best).select(*_KEYS, "_best.*")
+
+
 def _looked_up(names: DataFrame, meta: DataFrame, registry: str | None) -> DataFrame:
     """Names with their metadata, if any. ``registry`` says where all of them are looked up."""
     if registry is not None:
         names = names.withColumn("registry", F.lit(registry))
-    return join_hot_keys(names, meta, _KEYS)
+    return join_hot_keys(names, one_per_package(meta), _KEYS)
 
 
 def _lookup_error(registry: Column, missing: str) -> Column:
