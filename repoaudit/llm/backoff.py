@@ -4,16 +4,16 @@ The score of a word after the words before it is the relative frequency of the l
 that was seen, times ``DISCOUNT`` for each word the n-gram was shortened by. Scores of a text's
 words are summed as logarithms.
 
-1. Vocabulary: the ``VOCABULARY`` most frequent words of the whole corpus, ties by word; every
-   other word is one unknown word. Its size is fixed, so it is broadcast. N-grams of word
-   numbers fit into one integer each.
+1. Words are 64-bit hashes, so every distinct word of the corpus counts as itself and an n-gram
+   of any length is a row of such numbers.
 2. Counts: n-grams of all texts are counted per fold, in batches first, then by hash. A text
    belongs to one of two folds by a hash of its key and is scored with the counts of the
    other, so no text is scored by its own n-grams.
-3. Scores: the distinct n-grams of each text are joined with the counts. Hits take the count of
-   their context, misses go on with one word less. Contributions are summed per text. Counts of
-   single words are no more than the vocabulary, so these joins are broadcast; larger ones are
-   by hash, and Spark splits partitions that frequent n-grams make large.
+3. Scores of n-grams: each counted n-gram is joined with the count of its context and with the
+   score of the n-gram that is one word shorter, from single words up.
+4. Scores of texts: the distinct n-grams of each text are joined with their scores, and these
+   are summed per text. All joins are by hash; the at most ``HOT`` n-grams that make up more
+   than one in ``HOT`` of all are joined by broadcast, so no task gets most of the rows.
 
 Null and empty texts have no words and the score 0. Texts start with a mark that has a number of
 its own. Repeated keys are separate rows of one text each and are scored as one text. An empty
@@ -25,45 +25,35 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoaudit.llm.common import Words, bounded, plain_texts
 from repoaudit.session import freeze
 
-#: Words with a number of their own; 0 is the unknown word and 1 the start of a text.
-VOCABULARY = (1 << 16) - 2
-UNKNOWN, BEGIN, BITS = 0, 1, 16
-#: Words of the longest n-gram (at most three fit), and the factor of each shortening.
+#: What stands before a text's first word: the hash of the empty word, which no text has.
+BEGIN = int(np.uint64(xxhash.xxh3_64_intdigest("")).astype(np.int64))
+#: Words of the longest n-gram, and the factor of each shortening.
 ORDER, DISCOUNT = 2, 0.4
+HOT = 1000
 
 
 def fold(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(2)).cast("int")
 
 
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """``(word, times)`` of the most frequent words."""
+def _names(order: int) -> list[str]:
+    return [f"w{i}" for i in range(order)]
 
-    def counted(batches):
-        for batch in bounded(batches, 0):
-            words = Words(plain_texts(batch.column(0)))
-            times = np.bincount(words.codes, minlength=len(words.names))
-            yield pa.RecordBatch.from_arrays([words.names, pa.array(times.astype(np.int64))], ["word", "times"])
 
-    rows = texts.mapInArrow(counted, "word string, times bigint")
-    return rows.groupBy("word").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "word").limit(VOCABULARY)
-
-
-def _ngrams(known, order: int, per_text: bool, kind: str):
+def _ngrams(order: int, per_text: bool):
     """A function that turns batches ``(key, fold, text)`` into n-grams with counts: of each
     text, or of each batch and fold."""
 
     def made(batches):
-        names = pa.array(known.value, pa.string())
         for batch in bounded(batches, 2):
             words = Words(plain_texts(batch.column(2)))
-            at = pc.fill_null(pc.index_in(words.names, value_set=names), -2).to_numpy(zero_copy_only=False)
-            number = (at.astype(np.int64) + 2)[words.codes]  # unknown becomes 0
+            number = words.hashes().view(np.int64)[words.codes]
             length = np.diff(words.starts)
             # Each text with order - 1 marks before it.
             marks = order - 1
@@ -71,76 +61,91 @@ def _ngrams(known, order: int, per_text: bool, kind: str):
             text_of = np.repeat(np.arange(len(length)), length)
             place = np.arange(len(number)) + marks * (text_of + 1)
             padded[place] = number
-            gram = np.zeros(len(number), np.int64)
-            for k in range(order):
-                gram = (gram << BITS) | padded[place - (order - 1) + k]
-            if per_text:
-                rank = np.argsort(gram, kind="stable")
-                rank = rank[np.argsort(text_of[rank], kind="stable")]
-                g, t = gram[rank], text_of[rank]
-                new = np.ones(len(g), bool)
-                new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
-                begin = np.nonzero(new)[0]
-                times = np.diff(np.concatenate([begin, [len(g)]]))
-                rows = pa.array(t[begin])
-                arrays = [pc.take(batch.column(0), rows), pa.array(g[begin]), pa.array(times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["_key", "gram", "times"])
-            else:
-                folds = batch.column(1).to_numpy(zero_copy_only=False)[text_of]
-                for f in (0, 1):
-                    g, times = np.unique(gram[folds == f], return_counts=True)
-                    arrays = [pa.array(np.full(len(g), f, np.int32)), pa.array(g), pa.array(times.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["fold", "gram", "times"])
+            gram = [padded[place - marks + k] for k in range(order)]
+            part = text_of if per_text else batch.column(1).to_numpy(zero_copy_only=False)[text_of]
+            rank = np.lexsort([*gram, part])
+            gram, part = [g[rank] for g in gram], part[rank]
+            new = np.ones(len(part), bool)
+            new[1:] = np.any([g[1:] != g[:-1] for g in (*gram, part)], axis=0)
+            begin = np.flatnonzero(new)
+            times = np.diff(np.append(begin, len(part)))
+            own = pa.array(part[begin])
+            yield pa.RecordBatch.from_arrays(
+                [pc.take(batch.column(0), own) if per_text else own.cast(pa.int32())]
+                + [pa.array(g[begin]) for g in gram]
+                + [pa.array(times.astype(np.int64))],
+                ["_key" if per_text else "fold", *_names(order), "times"],
+            )
 
     return made
 
 
-def _counts(texts: DataFrame, known, order: int, kind: str) -> DataFrame:
-    """``(gram, n0, n1)``: counts of n-grams in each fold."""
-    rows = texts.mapInArrow(_ngrams(known, order, False, kind), "fold int, gram bigint, times bigint")
+def _counts(texts: DataFrame, order: int) -> DataFrame:
+    """N-grams with ``n0`` and ``n1``, their counts in each fold."""
+    names = _names(order)
+    rows = texts.mapInArrow(_ngrams(order, False), f"fold int, {', '.join(f'{n} bigint' for n in names)}, times bigint")
     of = lambda f: F.sum(F.when(F.col("fold") == f, F.col("times")).otherwise(0))
-    return rows.groupBy("gram").agg(of(0).alias("n0"), of(1).alias("n1"))
-
-
-def _other(rows: DataFrame, counts: DataFrame, gram: Column, name: str, small: bool) -> DataFrame:
-    """Add the count of ``gram`` in the other fold as ``name``, null if there is none."""
-    side = counts.select(F.col("gram").alias("_gram"), "n0", "n1")
-    joined = rows.join(F.broadcast(side) if small else side, gram == F.col("_gram"), "left")
-    other = F.when(fold(F.col("_key")) == 0, F.col("n1")).otherwise(F.col("n0"))
-    return joined.withColumn(name, F.when(other > 0, other)).drop("_gram", "n0", "n1")
+    return rows.groupBy(*names).agg(of(0).alias("n0"), of(1).alias("n1"))
+
+
+def _look_up(rows: DataFrame, on: list[str], side: DataFrame, values: list[str], least: float) -> DataFrame:
+    """``rows`` with ``values`` of the n-gram in the columns ``on``, null where ``side`` has none.
+    N-grams of ``least`` occurrences or more are broadcast."""
+    keys = [f"_k{i}" for i in range(len(on))]
+    named = [F.col(w).alias(k) for w, k in zip(_names(len(on)), keys)]
+    often = F.col("n0") + F.col("n1") >= least
+    hot = side.where(often).select(*named, *[F.col(v).alias(f"_h_{v}") for v in values])
+    cold = side.where(~often).select(*named, *[F.col(v).alias(f"_c_{v}") for v in values])
+    joined = rows.join(F.broadcast(hot), [F.col(a) == F.col(k) for a, k in zip(on, keys)], "left").drop(*keys)
+    # Rows that have their values go anywhere: a hash of the whole row in place of the n-gram.
+    found = F.col(f"_h_{values[0]}").isNotNull()
+    spread = F.xxhash64(*rows.columns)
+    at = [F.when(found, spread).otherwise(F.col(a)) == F.col(k) for a, k in zip(on, keys)]
+    joined = joined.join(cold, at, "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_h_{v}", f"_c_{v}").alias(f"_{v}") for v in values])
+
+
+def _scored(texts: DataFrame, order: int) -> tuple[DataFrame, float]:
+    """All n-grams with ``n0``, ``n1`` and their scores ``s0``, ``s1`` in texts of each fold, and
+    the number of occurrences that makes one frequent."""
+    singles = freeze(_counts(texts, 1))
+    worded = F.col("_text").rlike(r"[^\x20\x09-\x0D]")
+    starts = texts.where(worded).agg(*[F.count(F.when(F.col("fold") == f, 1)) for f in (0, 1)]).first()
+    totals = [t or 1 for t in singles.agg(F.sum("n0"), F.sum("n1")).first()]
+    least = sum(totals) / HOT
+    alone = lambda f: F.log(F.greatest(F.col(f"n{1 - f}"), F.lit(1)) / F.lit(float(totals[1 - f])))
+    shorter = singles.select("w0", "n0", "n1", alone(0).alias("s0"), alone(1).alias("s1"))
+    for k in range(2, order + 1):
+        names = _names(k)
+        begin = texts.sparkSession.createDataFrame(
+            [(*[BEGIN] * (k - 1), *starts)], ", ".join(f"{c} bigint" for c in [*names[:-1], "n0", "n1"])
+        )
+        contexts = shorter.select(*names[:-1], "n0", "n1").unionByName(begin)
+        rows = _look_up(_counts(texts, k), names[:-1], contexts, ["n0", "n1"], least)
+        rows = _look_up(rows, names[1:], shorter, ["s0", "s1"], least)
+
+        def of(f):
+            seen, before = F.col(f"n{1 - f}"), F.col(f"_n{1 - f}")
+            return F.when(seen > 0, F.log(seen / F.greatest(before, seen))).otherwise(F.col(f"_s{f}") + F.lit(float(np.log(DISCOUNT))))
+
+        shorter = rows.select(*names, "n0", "n1", of(0).alias("s0"), of(1).alias("s1"))
+        if k < order:
+            shorter = freeze(shorter)
+    return shorter, least
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """``(key, n_words, log_score)`` per key."""
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("_key"), fold(F.col(key)).alias("fold"), F.col(text).alias("_text"))
-    words = [r.word for r in vocabulary(texts.select("_text")).collect()]  # at most VOCABULARY
-    known = spark.sparkContext.broadcast(words)
-    counts = {k: _counts(texts, known, k, kind) for k in range(1, order + 1)}
-    counts[1] = freeze(counts[1])
-    totals = counts[1].agg(F.sum("n0"), F.sum("n1")).first()
-    seen = [float(t or 1) for t in totals]
-    rows = texts.mapInArrow(_ngrams(known, order, True, kind), f"_key {kind}, gram bigint, times int")
-    rows = rows.withColumn("_score", F.lit(None).cast("double"))
-    penalty = 0.0
-    # What needs no look-up gets a number that no n-gram has, another for each row.
-    nothing = -1 - F.abs(F.shiftright(F.xxhash64("_key", "gram"), 1))
-    for k in range(order, 0, -1):
-        rows = _other(rows, counts[k], F.when(F.col("_score").isNull(), F.col("gram")).otherwise(nothing), "_seen", k == 1)
-        if k > 1:
-            context = F.when(F.col("_seen").isNotNull(), F.shiftright("gram", BITS)).otherwise(nothing)
-            rows = _other(rows, _contexts(counts, k, texts), context, "_before", k == 2)
-            found = F.log(F.col("_seen") / F.greatest("_before", "_seen")) + penalty
-        else:
-            everything = F.when(fold(F.col("_key")) == 0, F.lit(seen[1])).otherwise(F.lit(seen[0]))
-            found = F.log(F.coalesce("_seen", F.lit(1)) / everything) + penalty
-        short = F.col("gram").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-        rows = rows.select("_key", short.alias("gram"), "times", F.coalesce("_score", found).alias("_score"))
-        penalty += float(np.log(DISCOUNT))
-    summed = rows.groupBy("_key").agg(
-        F.sum("times").alias("n_words"), F.sum(F.col("times") * F.col("_score")).alias("log_score")
+    scored, least = _scored(texts, order)
+    names = _names(order)
+    rows = texts.mapInArrow(
+        _ngrams(order, True), f"_key {kind}, {', '.join(f'{n} bigint' for n in names)}, times bigint"
     )
+    rows = _look_up(rows, names, scored, ["s0", "s1"], least)
+    own = F.when(fold(F.col("_key")) == 0, F.col("_s0")).otherwise(F.col("_s1"))
+    summed = rows.groupBy("_key").agg(F.sum("times").alias("n_words"), F.sum(F.col("times") * own).alias("log_score"))
     named = docs.select(F.col(key)).distinct()
     return named.join(summed, F.col(key).eqNullSafe(F.col("_key")), "left").select(
         key,
@@ -149,16 +154,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int =
     )
 
 
-def _contexts(counts: dict[int, DataFrame], k: int, texts: DataFrame) -> DataFrame:
-    """Counts of contexts of k - 1 words, with the marks that start texts."""
-    begin = 0
-    for _ in range(k - 1):
-        begin = (begin << BITS) | BEGIN
-    of = lambda f: F.sum(F.when((F.col("fold") == f) & F.col("_text").rlike(r"[^\x20\x09-\x0D]"), 1).otherwise(0))
-    starts = texts.agg(F.lit(begin).cast("bigint").alias("gram"), of(0).alias("n0"), of(1).alias("n1"))
-    return counts[k - 1].where(F.col("gram") != begin).unionByName(starts)
-
-
 def lm_digest(docs: DataFrame) -> DataFrame:
     """Score, words and mean score of every row of ``documents``."""
     found = score(docs)

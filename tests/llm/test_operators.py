@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from repoaudit.llm import backoff, html_text, jaccard, mixing, packing, quality, toolcalls, toxicity, vectors
 from repoaudit.llm.graph import components
@@ -315,6 +316,21 @@ class TestBackoff:
     def test_empty_table(self, spark):
         assert backoff.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
+    @staticmethod
+    def keys_of_folds(spark):
+        """Ten keys of fold 0 and ten of fold 1."""
+        found = spark.range(200).select("id", backoff.fold(F.col("id")).alias("f")).collect()
+        return [[r.id for r in found if r.f == f][:10] for f in (0, 1)]
+
+    def test_every_word_counts_however_rare(self, spark):
+        a, b = self.keys_of_folds(spark)
+        many = " ".join(f"w{i}" for i in range(70_000))
+        strange = " ".join(f"x{i}" for i in range(5_000))
+        df = spark.createDataFrame([(a[0], many), (b[0], many), (a[1], strange)], "doc_id long, text string")
+        got = {r.doc_id: r.log_score for r in backoff.score(df, order=2).collect()}
+        assert got[a[0]] == pytest.approx(0, abs=1e-6)  # each word follows the one before it, always
+        assert got[a[1]] == pytest.approx(5_000 * (math.log(0.4) - math.log(70_000)), rel=1e-9)
+
 
 class TestToolCalls:
     def test_links_orders_and_checks(self, spark):
