@@ -34,7 +34,7 @@ from repoaudit.session import freeze
 #: What stands before a text's first word: the hash of the empty word, which no text has.
 BEGIN = int(np.uint64(xxhash.xxh3_64_intdigest("")).astype(np.int64))
 #: Words of the longest n-gram, and the factor of each shortening.
-ORDER, DISCOUNT = 2, 0.4
+ORDER, DISCOUNT = 3, 0.4
 HOT = 1000
 
 

@@ -331,6 +331,14 @@ class TestBackoff:
         assert got[a[0]] == pytest.approx(0, abs=1e-6)  # each word follows the one before it, always
         assert got[a[1]] == pytest.approx(5_000 * (math.log(0.4) - math.log(70_000)), rel=1e-9)
 
+    def test_production_order_sees_two_words_back(self, spark):
+        a, b = self.keys_of_folds(spark)
+        rows = [(a[0], "a b c"), (a[1], "x b d"), (b[0], "a b c"), (b[1], "x b c")]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r.log_score for r in backoff.lm_digest(df).collect()}
+        # Their pairs of words are equally frequent; only "a b c" is there as a whole.
+        assert got[b[0]] > got[b[1]]
+
 
 class TestToolCalls:
     def test_links_orders_and_checks(self, spark):
