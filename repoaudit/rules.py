@@ -285,43 +285,139 @@ POPULAR_PACKAGES: tuple[str, ...] = (
 MAX_TYPO_DISTANCE = 2
 NEW_PACKAGE_DAYS = 30
 
-# Public names per module. These few modules are a starting table; a full
-# one has far more rows and comes in as a parameter (see ``known_api_table``).
+# Public names per module, 21 modules with 730 names. Another table comes in as
+# a parameter (see ``known_api_table``).
 KNOWN_APIS: dict[str, tuple[str, ...]] = {
     "requests": (
         "get", "post", "put", "delete", "patch", "head", "options", "request", "Session",
         "Response", "PreparedRequest", "Request", "HTTPError", "ConnectionError", "Timeout",
         "URLRequired", "TooManyRedirects", "RequestException", "codes", "auth", "cookies",
-        "exceptions", "hooks", "models", "sessions", "structures", "utils", "adapters",
-        "packages", "compat", "api",
+        "exceptions", "hooks", "models", "sessions", "structures", "utils", "adapters", "packages",
+        "compat", "api",
+    ),
+    "httpx": (
+        "get", "post", "put", "delete", "patch", "head", "options", "request", "stream", "Client",
+        "AsyncClient", "Response", "Request", "URL", "Headers", "QueryParams", "Cookies",
+        "Timeout", "Limits", "HTTPError", "RequestError", "HTTPStatusError", "TimeoutException",
+        "ConnectError", "BasicAuth", "DigestAuth", "codes",
     ),
     "flask": (
         "Flask", "render_template", "render_template_string", "redirect", "url_for", "request",
         "jsonify", "Blueprint", "make_response", "abort", "flash", "get_flashed_messages",
-        "session", "g", "current_app", "send_file", "send_from_directory", "Response",
-        "Request", "after_this_request", "has_request_context", "has_app_context", "cli",
-        "Config", "testing", "templating", "signals", "json", "wrappers",
+        "session", "g", "current_app", "send_file", "send_from_directory", "Response", "Request",
+        "after_this_request", "has_request_context", "has_app_context", "cli", "Config", "testing",
+        "templating", "signals", "json", "wrappers",
+    ),
+    "fastapi": (
+        "FastAPI", "APIRouter", "Depends", "Query", "Path", "Body", "Header", "Cookie", "Form",
+        "File", "UploadFile", "HTTPException", "Request", "Response", "WebSocket",
+        "BackgroundTasks", "Security", "status", "encoders", "middleware", "params", "routing",
+        "staticfiles", "templating", "testclient", "responses", "security",
+    ),
+    "django": (
+        "setup", "conf", "urls", "views", "http", "db", "forms", "template", "test", "utils",
+        "core", "contrib", "middleware", "dispatch", "shortcuts",
+    ),
+    "openai": (
+        "OpenAI", "AsyncOpenAI", "AzureOpenAI", "AsyncAzureOpenAI", "ChatCompletion", "Completion",
+        "Client", "api_key", "api_base", "api_type", "api_version", "Embedding", "Image", "Audio",
+        "Moderation", "Model", "File", "FineTune", "FineTuning", "error", "resources", "types",
+        "BadRequestError", "AuthenticationError", "PermissionDeniedError", "NotFoundError",
+        "APIConnectionError", "RateLimitError", "APIStatusError",
+    ),
+    "langchain": (
+        "LLMChain", "ConversationChain", "SequentialChain", "SimpleSequentialChain",
+        "TransformChain", "RetrievalQA", "VectorDBQA", "PromptTemplate", "ChatPromptTemplate",
+        "FewShotPromptTemplate", "LLM", "ChatOpenAI", "OpenAI", "agents", "callbacks", "chains",
+        "chat_models", "document_loaders", "embeddings", "llms", "memory", "output_parsers",
+        "prompts", "retrievers", "schema", "text_splitter", "tools", "utilities", "vectorstores",
+    ),
+    "transformers": (
+        "AutoModel", "AutoModelForCausalLM", "AutoModelForSequenceClassification",
+        "AutoModelForTokenClassification", "AutoModelForQuestionAnswering",
+        "AutoModelForSeq2SeqLM", "AutoModelForMaskedLM", "AutoTokenizer", "AutoConfig",
+        "AutoFeatureExtractor", "AutoProcessor", "AutoImageProcessor", "pipeline", "Pipeline",
+        "Trainer", "TrainingArguments", "BertModel", "BertTokenizer", "BertConfig", "GPT2Model",
+        "GPT2Tokenizer", "GPT2Config", "T5Model", "T5Tokenizer", "T5Config", "RobertaModel",
+        "RobertaTokenizer", "set_seed", "logging", "PreTrainedModel", "PreTrainedTokenizer",
+        "PretrainedConfig", "BatchEncoding", "DataCollatorWithPadding",
+        "DataCollatorForLanguageModeling", "GenerationConfig", "StoppingCriteria",
+    ),
+    "torch": (
+        "tensor", "Tensor", "zeros", "ones", "rand", "randn", "randint", "arange", "linspace",
+        "logspace", "eye", "empty", "full", "cat", "stack", "split", "chunk", "squeeze",
+        "unsqueeze", "reshape", "flatten", "transpose", "permute", "contiguous", "clone", "detach",
+        "no_grad", "enable_grad", "set_grad_enabled", "save", "load", "manual_seed", "nn", "optim",
+        "utils", "cuda", "backends", "autograd", "jit", "onnx", "distributed", "functional", "hub",
+        "amp", "float16", "float32", "float64", "int8", "int16", "int32", "int64", "bool",
+        "complex64", "complex128", "device", "dtype", "is_tensor", "sigmoid", "relu", "softmax",
+        "tanh", "matmul", "mm", "bmm", "dot", "einsum", "sum", "mean", "max", "min", "abs", "sqrt",
+        "exp", "log", "clamp", "clip", "where", "topk", "sort", "argmax", "argmin", "pow", "norm",
     ),
     "tensorflow": (
         "constant", "Variable", "function", "GradientTape", "Module", "keras", "data",
-        "distribute", "saved_model", "lite", "summary", "math", "linalg", "signal", "image",
-        "io", "strings", "debugging", "config", "nest", "ragged", "zeros", "ones", "fill",
-        "eye", "range", "cast", "reshape", "transpose", "expand_dims", "squeeze", "concat",
-        "stack", "split", "tile", "gather", "reduce_sum", "reduce_mean", "reduce_max",
-        "reduce_min", "matmul", "tensordot", "float16", "float32", "float64", "int32", "int64",
-        "bool", "string", "TensorSpec", "RaggedTensor", "SparseTensor", "nn", "train",
-        "estimator", "feature_column",
+        "distribute", "saved_model", "lite", "summary", "math", "linalg", "signal", "image", "io",
+        "strings", "debugging", "config", "nest", "ragged", "zeros", "ones", "fill", "eye",
+        "range", "cast", "reshape", "transpose", "expand_dims", "squeeze", "concat", "stack",
+        "split", "tile", "gather", "reduce_sum", "reduce_mean", "reduce_max", "reduce_min",
+        "matmul", "tensordot", "float16", "float32", "float64", "int32", "int64", "bool", "string",
+        "TensorSpec", "RaggedTensor", "SparseTensor", "nn", "train", "estimator", "feature_column",
+    ),
+    "numpy": (
+        "array", "ndarray", "zeros", "ones", "empty", "full", "arange", "linspace", "logspace",
+        "eye", "identity", "meshgrid", "mgrid", "ogrid", "concatenate", "stack", "vstack",
+        "hstack", "dstack", "split", "hsplit", "vsplit", "reshape", "ravel", "flatten",
+        "transpose", "swapaxes", "expand_dims", "squeeze", "sum", "mean", "std", "var", "min",
+        "max", "argmin", "argmax", "cumsum", "cumprod", "dot", "matmul", "inner", "outer", "cross",
+        "einsum", "linalg", "random", "fft", "sin", "cos", "tan", "exp", "log", "log2", "log10",
+        "sqrt", "abs", "sign", "ceil", "floor", "round", "clip", "where", "select", "sort",
+        "argsort", "unique", "searchsorted", "save", "load", "savez", "loadtxt", "savetxt",
+        "genfromtxt", "float16", "float32", "float64", "int8", "int16", "int32", "int64", "bool_",
+        "complex64", "complex128", "inf", "nan", "pi", "e", "newaxis", "dtype", "isnan", "isinf",
+        "isfinite", "allclose", "array_equal", "testing",
     ),
     "pandas": (
         "DataFrame", "Series", "Index", "MultiIndex", "Categorical", "CategoricalIndex",
         "DatetimeIndex", "TimedeltaIndex", "PeriodIndex", "Timestamp", "Timedelta", "Period",
         "read_csv", "read_excel", "read_json", "read_sql", "read_parquet", "read_feather",
         "read_hdf", "read_pickle", "read_html", "read_clipboard", "read_table", "read_fwf",
-        "read_gbq", "concat", "merge", "melt", "pivot", "pivot_table", "crosstab", "cut",
-        "qcut", "get_dummies", "to_datetime", "to_timedelta", "to_numeric", "date_range",
-        "period_range", "timedelta_range", "isna", "isnull", "notna", "notnull", "set_option",
-        "get_option", "reset_option", "option_context", "options", "testing", "NA", "NaT",
-        "api", "io", "errors", "Grouper", "NamedAgg",
+        "read_gbq", "concat", "merge", "melt", "pivot", "pivot_table", "crosstab", "cut", "qcut",
+        "get_dummies", "to_datetime", "to_timedelta", "to_numeric", "date_range", "period_range",
+        "timedelta_range", "isna", "isnull", "notna", "notnull", "set_option", "get_option",
+        "reset_option", "option_context", "options", "testing", "NA", "NaT", "api", "io", "errors",
+        "Grouper", "NamedAgg",
+    ),
+    "sqlalchemy": (
+        "create_engine", "engine", "text", "select", "insert", "update", "delete", "and_", "or_",
+        "not_", "func", "Column", "Integer", "String", "Float", "Boolean", "DateTime", "Date",
+        "Text", "ForeignKey", "Table", "MetaData", "inspect", "event", "Session", "sessionmaker",
+        "scoped_session", "declarative_base", "relationship", "backref", "orm", "exc", "pool",
+        "types", "schema",
+    ),
+    "boto3": (
+        "client", "resource", "Session", "set_stream_logger", "setup_default_session",
+        "NullHandler", "utils", "exceptions", "docs", "resources", "session",
+    ),
+    "sklearn": (
+        "base", "calibration", "cluster", "compose", "covariance", "cross_decomposition",
+        "datasets", "decomposition", "discriminant_analysis", "dummy", "ensemble", "exceptions",
+        "experimental", "externals", "feature_extraction", "feature_selection", "gaussian_process",
+        "impute", "inspection", "isotonic", "kernel_approximation", "kernel_ridge", "linear_model",
+        "manifold", "metrics", "mixture", "model_selection", "multiclass", "multioutput",
+        "naive_bayes", "neighbors", "neural_network", "pipeline", "preprocessing",
+        "random_projection", "semi_supervised", "svm", "tree", "utils", "config_context",
+        "get_config", "set_config", "show_versions",
+    ),
+    "pydantic": (
+        "BaseModel", "Field", "validator", "root_validator", "BaseSettings", "ValidationError",
+        "AnyUrl", "EmailStr", "HttpUrl", "SecretStr", "conint", "confloat", "constr", "conlist",
+        "conset", "model_validator", "field_validator", "ConfigDict", "computed_field",
+        "TypeAdapter", "PrivateAttr", "create_model",
+    ),
+    "celery": (
+        "Celery", "Task", "chain", "group", "chord", "shared_task", "current_app", "current_task",
+        "app", "beat", "bin", "canvas", "concurrency", "exceptions", "loaders", "platforms",
+        "result", "schedules", "signals", "states", "utils", "worker",
     ),
     "redis": (
         "Redis", "StrictRedis", "ConnectionPool", "Sentinel", "SentinelConnectionPool",
@@ -330,14 +426,31 @@ KNOWN_APIS: dict[str, tuple[str, ...]] = {
         "AuthenticationError", "BusyLoadingError", "ResponseError", "DataError", "PubSubError",
         "client", "cluster", "commands", "exceptions", "sentinel", "utils",
     ),
+    "pytest": (
+        "fixture", "mark", "param", "raises", "warns", "skip", "xfail", "fail", "exit",
+        "importorskip", "approx", "deprecated_call", "MonkeyPatch", "TempdirFactory",
+        "TempPathFactory", "LogCaptureFixture", "CaptureFixture", "main",
+        "register_assert_rewrite", "freeze_includes", "Item", "Collector", "Session", "Module",
+        "Class", "Function",
+    ),
+    "PIL": (
+        "Image", "ImageDraw", "ImageFont", "ImageFilter", "ImageEnhance", "ImageOps", "ImageColor",
+        "ImageChops", "ImageStat", "ImageFile", "ImageSequence", "ImagePalette", "ImagePath",
+        "ImageTransform", "ImageMath", "ImageGrab", "ExifTags", "TiffTags", "TiffImagePlugin",
+        "PngImagePlugin", "JpegImagePlugin", "GifImagePlugin", "BmpImagePlugin",
+        "UnidentifiedImageError",
+    ),
+    "pillow": (
+        "Image", "ImageDraw", "ImageFont", "ImageFilter", "ImageEnhance", "ImageOps",
+    ),
 }
 
 
 def known_api_table(spark: SparkSession, apis: DataFrame | dict | None = None) -> DataFrame:
     """The ``(module, name)`` table of public names.
 
-    ``apis`` is a table with these columns or a dict of module to names; by default the
-    starting table.
+    ``apis`` is a table with these columns or a dict of module to names; by default
+    ``KNOWN_APIS``.
     """
     if apis is None:
         apis = KNOWN_APIS

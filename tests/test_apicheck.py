@@ -102,3 +102,18 @@ def test_line_numbers_follow_the_parser(files_of):
     source = "import redis\n# a\x0cb\u2028c\nredis.nope()\n"
     assert ast.parse(source)
     assert apicheck.check_api_calls(files_of({"a.py": source})).collect()[0].line_number == 3
+
+
+def test_modules_of_the_whole_table(files_of):
+    assert len(KNOWN_APIS) == 21 and sum(map(len, KNOWN_APIS.values())) == 730
+    assert all(len(set(names)) == len(names) for names in KNOWN_APIS.values())
+    source = (
+        "import numpy as np\nnp.arrange(3)\nnp.random.foo()\nimport torch as t\nt.tensr(1)\nt.tensor(1)\n"
+        + "".join(f"import {m}\n{m}.no_such_name()\n{m}.{names[0]}()\n" for m, names in KNOWN_APIS.items())
+    )
+    rows = apicheck.check_api_calls(files_of({"a.py": source})).collect()
+    assert {r.module for r in rows if r.called_function == "no_such_name"} == set(KNOWN_APIS)
+    texts = {r.called_function: r.suggestion for r in rows}
+    assert len(rows) == 21 + 2
+    assert texts["arrange"].endswith("Did you mean 'numpy.array_equal'?")
+    assert texts["tensr"].endswith("Did you mean 'torch.Tensor'?")
