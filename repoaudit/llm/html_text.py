@@ -1,7 +1,8 @@
 """Visible text of HTML pages as a reader sees it: blocks, lists and tables keep their layout.
 
-A tree builder reads tags, supplies end tags that HTML lets authors leave out, and closes what
-stays open. Rules of visibility drop what a browser does not show. A renderer then writes all
+A tree builder reads tags, supplies end tags and rows that HTML lets authors leave out, closes
+what stays open, and puts text and elements that stand between the cells of a table in front of
+it, as browsers do. Rules of visibility drop what a browser does not show. A renderer then writes all
 visible text: blocks on lines of their own, paragraphs and headings apart by an empty line,
 list items with a mark or number and indented by depth, cells of a table aligned in columns,
 preformatted text as it is, other white space collapsed.
@@ -45,6 +46,23 @@ ENDS = {
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+#: Parts of a table, and the open elements that may hold them besides the table itself.
+_SECTIONS = _PARTS - {"table"}
+HOLDERS = {
+    "tr": _SECTIONS,
+    "td": _SECTIONS | {"tr"},
+    "th": _SECTIONS | {"tr"},
+    "tbody": frozenset(),
+    "thead": frozenset(),
+    "tfoot": frozenset(),
+    "caption": frozenset(),
+    "colgroup": frozenset(),
+    "col": frozenset(("colgroup",)),
+}
+#: Where a table can hold no text, what may stand there all the same, and what hides its parts.
+_BARE = _PARTS | {"tr", "colgroup"}
+_ANYWHERE = frozenset("form noscript script style template".split())
+_OPAQUE = frozenset("iframe noscript template".split())
 #: Blocks that end an open paragraph.
 _ENDS_P = BLOCKS - frozenset("body dd dt html li option tbody td tfoot th thead tr caption".split())
 _FENCES = frozenset("td th caption button object table html".split())
@@ -78,8 +96,48 @@ class Builder(HTMLParser):
             if self.open[at].tag in fences:
                 return
 
+    def _table(self, ends=_OPAQUE) -> int:
+        """Where the innermost table is among the open elements; 0 if there is none, -1 if one
+        of ``ends`` is nearer."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at].tag == "table":
+                return at
+            if self.open[at].tag in ends:
+                return -1
+        return 0
+
+    def _insert(self, node) -> None:
+        """Add to the innermost open element; what a table cannot hold goes in front of it."""
+        at = self._table() if self.open[-1].tag in _BARE else 0
+        if at <= 0:
+            self.open[-1].children.append(node)
+            return
+        siblings = self.open[at - 1].children
+        before = len(siblings) - 1
+        while siblings[before] is not self.open[at]:
+            before -= 1
+        siblings.insert(before, node)
+
+    def _start_part(self, tag, table: int) -> None:
+        """Close what is open in the table up to what may hold ``tag``; a cell gets a row."""
+        end = len(self.open) - 1
+        while end > table and self.open[end].tag not in HOLDERS[tag]:
+            end -= 1
+        del self.open[end + 1 :]
+        if tag in ("td", "th") and self.open[-1].tag != "tr":
+            row = Node("tr")
+            self.open[-1].children.append(row)
+            self.open.append(row)
+
     def handle_starttag(self, tag, attrs):
-        if tag in ENDS:
+        table = self._table() if tag in HOLDERS else 0
+        if table > 0:
+            self._start_part(tag, table)
+        elif tag == "table":  # outside of cells it ends the table before it
+            outer = self._table(_OPAQUE | {"td", "th", "caption"})
+            if outer > 0:
+                del self.open[outer:]
+        elif tag in ENDS and table == 0:
             tags, fences = ENDS[tag]
             depth = 0
             while depth != len(self.open):  # a row ends its cell, then the row before it
@@ -88,8 +146,12 @@ class Builder(HTMLParser):
         if tag in _ENDS_P:
             self._close({"p"}, _FENCES)
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID:
+        bare = self.open[-1].tag in _BARE and self._table() > 0
+        if tag in HOLDERS or tag in _ANYWHERE:
+            self.open[-1].children.append(node)
+        else:
+            self._insert(node)
+        if tag not in VOID and not (tag == "form" and bare):  # a form in a table holds nothing
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -98,15 +160,18 @@ class Builder(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.open[-1].children.append(Node("br"))
+            self._insert(Node("br"))
         elif tag == "p" and not any(n.tag == "p" for n in self.open):
-            self.open[-1].children.append(Node("p"))
+            self._insert(Node("p"))
         elif tag not in VOID:
             fences = () if tag in ("table", "html", "body") else ("table",)
             self._close({tag}, fences if tag not in _PARTS else ("html",))
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if _SPACE.fullmatch(data):
+            self.open[-1].children.append(data)
+        else:
+            self._insert(data)
 
 
 def visible(node: Node) -> bool:

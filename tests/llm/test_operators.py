@@ -398,6 +398,28 @@ def test_page_text(page):
     assert html_text.page_text(page) == PAGES[page]
 
 
+LOOSE_TABLES = {
+    "<table><colgroup><col><tr><td>a</table>": "a",
+    "<table><caption>c<tr><td>a</table>": "c\na",
+    "<table><td>a<td>b</table>": "a  b",
+    "<table><thead><th>h<tbody><td>a</table>": "h\na",
+    "<table><form><tr><td>a<td>b</form></table>z": "a  b\n\nz",
+    "<table><tr><form><td>a</form><td>b</table>": "a  b",
+    "<table>x<tr>y<td>a<tr><div>d</div><td>b</table>z": "xy\nd\n\na\nb\n\nz",
+    "<table><div><tr><td>a</div></table>": "a",
+    "<table><p>p<tr><td>a</table>": "p\n\na",
+    "<table><tr><td>a<tr><table><td>b</table>c": "a\n\nb\n\nc",
+    "<table><tr><td>a<table>n<td>b</table>c</table>d": "an\nb\nc\n\nd",
+    "<table><colgroup>t<tr><td>a</table>": "t\n\na",
+    "<table><template><tr><td>no</template><noscript><tr><td>no</noscript><tr><td>yes</table>": "yes",
+}
+
+
+@pytest.mark.parametrize("page", list(LOOSE_TABLES), ids=range(len(LOOSE_TABLES)))
+def test_tables_with_text_and_tags_out_of_place(page):
+    assert html_text.page_text(page) == LOOSE_TABLES[page]
+
+
 def test_pages_as_a_table(spark):
     rows = [(i, p, "old") for i, p in enumerate(PAGES)]
     df = spark.createDataFrame(rows, "page_id long, html string, text string")
