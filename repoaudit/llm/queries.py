@@ -19,7 +19,7 @@ from repoaudit.llm.common import table
 
 def op1_tool_call_linking(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    return toolcalls.toolcalls_digest(turns)
+    return toolcalls.toolcalls_digest(turns, repeated=True)
 
 
 def op2_pii(spark, sf_dir):

@@ -7,10 +7,11 @@ JSON objects, checked against the schema of their tool, and written as canonical
 code point order, no white space, whole numbers without fraction.
 
 Cases. Of several calls with one identifier in one conversation the earliest counts, the others
-are ``duplicate``; so do results. A call without result is ``unanswered``, a result without call
+are ``duplicate``, rows of their own where asked for; so are results. A call without result is ``unanswered``, a result without call
 ``orphan``. A call that depends on an identifier that is not there ignores it. Calls on a cycle,
 or after one, have no level and sort last, as ``cyclic``. Arguments that are null, empty or no
-JSON object are invalid; so are NaN and infinities. Null identifiers never match. An empty table
+JSON object are invalid; so are NaN and infinities. Null identifiers never match: calls and
+results without one, or without a conversation, stay rows of their own, unanswered or orphan. An empty table
 gives an empty one; columns other than those named are not looked at.
 
 Every step is an aggregate or a join on (conversation, identifier), so a conversation of any
@@ -138,22 +139,66 @@ def levels(calls: DataFrame) -> DataFrame:
     return whole
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> DataFrame:
+#: Repeated identifiers that are broadcast, at most.
+FEW = 1000
+_KEYS = ["conv_id", "call_id"]
+_NAMED = "conv_id IS NOT NULL AND call_id IS NOT NULL"
+_COLUMNS = {
+    "call_turn": None, "result_turn": None, "tool": "string", "arguments": "string", "content": "string",
+    "level": "int", "status": "string", "repeated_calls": "bigint", "repeated_results": "bigint", "called": "boolean",
+}
+
+
+def _others(rows: DataFrame, first: DataFrame, number: str, counted: list) -> DataFrame | None:
+    """The rows of identifiers that ``first`` has ``number`` > 1 of, but for the one that
+    counts: one of those equal to ``counted``. None if no identifier is repeated."""
+    names = [c for c in rows.columns if c not in _KEYS]
+    often = first.where(F.col(number) > 1).select(*_KEYS, F.struct(*[c.alias(n) for c, n in zip(counted, names)]).alias("_first"))
+    many = often.limit(FEW + 1).count()
+    if not many:
+        return None
+    found = rows.join(F.broadcast(often) if many <= FEW else often, _KEYS)
+    same = F.struct(*names).eqNullSafe(F.col("_first")).alias("_same")
+    found = freeze(found.select(*rows.columns, same, F.monotonically_increasing_id().alias("_row")))
+    counts = found.where("_same").groupBy(*_KEYS).agg(F.min("_row").alias("_row")).select("_row")
+    return found.join(F.broadcast(counts) if many <= FEW else counts, "_row", "left_anti").select(*rows.columns)
+
+
+def _alone(calls: DataFrame, first: DataFrame, order: DataFrame) -> DataFrame | None:
+    """Calls without identifier or conversation with their level and whether it is known."""
+    loose = calls.where(f"NOT ({_NAMED})")
+    if loose.isEmpty():
+        return None
+    loose = freeze(loose.withColumn("_row", F.monotonically_increasing_id()))
+    on = loose.select("_row", "conv_id", F.explode("depends_on").alias("call_id")).join(first.select(*_KEYS), _KEYS)
+    above = on.join(order, _KEYS, "left").groupBy("_row").agg(
+        (F.max("level") + 1).alias("_level"), F.max(F.col("level").isNull()).alias("_cyclic")
+    )
+    level = F.when(~F.coalesce("_cyclic", F.lit(False)), F.coalesce("_level", F.lit(0)))
+    return loose.join(above, "_row", "left").withColumn("level", level)
+
+
+def link_calls(
+    calls: DataFrame, results: DataFrame, schemas: dict | None = None, repeated: bool = False
+) -> DataFrame:
     """Calls ``(conv_id, turn, call_id, tool, arguments, depends_on)`` with results
     ``(conv_id, turn, call_id, content)``.
 
-    One row per call and per orphan or repeated result: ``conv_id, call_id, call_turn,
+    One row per identifier, and per call or result without one; with ``repeated`` also one per
+    further call or result of an identifier, with status ``duplicate``: ``conv_id, call_id, call_turn,
     result_turn, tool, status, level, valid, problems, message``. ``message`` is the exchange as
     canonical JSON.
     """
     schemas = SCHEMAS if schemas is None else schemas
-    keys = ["conv_id", "call_id"]
+    keys = _KEYS
+    calls = calls.select(*keys, "turn", "tool", "arguments", "depends_on")
+    results = results.select(*keys, "turn", "content")
     body = F.struct("turn", "tool", "arguments", "depends_on")
-    first = calls.groupBy(*keys).agg(F.min(F.struct("turn", "tool", "arguments")).alias("_c"), F.count("*").alias("_calls"), F.min_by("depends_on", body).alias("depends_on"))
+    first = calls.where(_NAMED).groupBy(*keys).agg(F.min(F.struct("turn", "tool", "arguments")).alias("_c"), F.count("*").alias("_calls"), F.min_by("depends_on", body).alias("depends_on"))
     first = freeze(first)
-    answers = results.groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count("*").alias("_results"))
+    answers = results.where(_NAMED).groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("_r"), F.count("*").alias("_results"))
     joined = first.join(answers, keys, "full")
-    order = levels(first.where("call_id IS NOT NULL").select(*keys, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
+    order = levels(first.select(*keys, F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")))
     rows = joined.join(order, keys, "left").select(
         *keys,
         F.col("_c.turn").alias("call_turn"),
@@ -169,14 +214,40 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None
         .alias("status"),
         (F.coalesce("_calls", F.lit(1)) - 1).alias("repeated_calls"),
         F.greatest(F.coalesce("_results", F.lit(1)) - 1, F.lit(0)).alias("repeated_results"),
+        F.col("_c").isNotNull().alias("called"),
     )
+    turn = calls.schema["turn"].dataType.simpleString()
+
+    def filled(more, **own):
+        own = {"repeated_calls": F.lit(0), "repeated_results": F.lit(0)} | own
+        return more.select(*keys, *[own.get(c, F.lit(None)).cast(t or turn).alias(c) for c, t in _COLUMNS.items()])
+
+    def of_calls(more, status, level):
+        return filled(more, call_turn=F.col("turn"), tool=F.col("tool"), arguments=F.col("arguments"), level=level, status=status, called=F.lit(True))
+
+    def of_results(more, status):
+        return filled(more, result_turn=F.col("turn"), content=F.col("content"), status=F.lit(status), called=F.lit(False))
+
+    alone = _alone(calls, first, order)
+    if alone is not None:
+        status = F.when(F.col("level").isNull(), "cyclic").otherwise("unanswered")
+        rows = rows.unionByName(of_calls(alone, status, F.col("level")))
+    rows = rows.unionByName(of_results(results.where(f"NOT ({_NAMED})"), "orphan"))
+    if repeated:
+        counted = [F.col(f"_c.{c}") for c in ("turn", "tool", "arguments")] + [F.col("depends_on")]
+        more = _others(calls, first, "_calls", counted)
+        if more is not None:
+            rows = rows.unionByName(of_calls(more, F.lit("duplicate"), F.lit(None)))
+        more = _others(results, answers, "_results", [F.col("_r.turn"), F.col("_r.content")])
+        if more is not None:
+            rows = rows.unionByName(of_results(more, "duplicate"))
 
     def written(batches):
         for batch in batches:
             table = batch.to_pydict()
             found = [
-                [] if status == "orphan" else problems(tool, arguments, schemas)
-                for status, tool, arguments in zip(table["status"], table["tool"], table["arguments"])
+                problems(tool, arguments, schemas) if called else []
+                for called, tool, arguments in zip(table["called"], table["tool"], table["arguments"])
             ]
             messages = []
             for i, status in enumerate(table["status"]):
@@ -197,7 +268,6 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict | None = None
             )
 
     kind = calls.schema["conv_id"].dataType.simpleString()
-    turn = calls.schema["turn"].dataType.simpleString()
     schema = (
         f"conv_id {kind}, call_id string, call_turn {turn}, result_turn {turn}, tool string, status string,"
         " level int, repeated_calls bigint, repeated_results bigint, valid boolean, problems string, message string"
@@ -237,9 +307,9 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return calls, results
 
 
-def toolcalls_digest(conversations: DataFrame) -> DataFrame:
+def toolcalls_digest(conversations: DataFrame, repeated: bool = False) -> DataFrame:
     """All exchanges of ``conversations``."""
-    return link_calls(*calls_of(conversations))
+    return link_calls(*calls_of(conversations), repeated=repeated)
 
 
 def ordered(spark: SparkSession, linked: DataFrame) -> DataFrame:

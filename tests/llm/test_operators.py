@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, with nulls, empty and repeated rows."""
 
+import json
 import math
 import re
 import zlib
@@ -376,6 +377,39 @@ class TestToolCalls:
         assert toolcalls.toolcalls_digest(spark.createDataFrame([], schema)).count() == 0
 
 
+    def test_every_call_and_result_is_kept(self, spark):
+        note = '{"text":"%s"}'
+        calls = [(1, 1, "a", "note", note % "x", None)] * 3 + [(1, 5, "a", "note", note % "later", ["a"])]
+        calls += [(1, 2, None, "note", note % "n1", ["a"]), (1, 2, None, "note", note % "n2", [])]
+        calls += [(None, 1, "a", "note", note % "m1", ["a"]), (None, 1, "a", "note", note % "m2", [])]
+        results = [(1, 2, "a", "ok"), (1, 2, "a", "ok"), (1, 4, "a", "again"), (None, 2, "a", "r1"), (None, 2, "a", "r2"), (1, 9, None, "r3")]
+        got = toolcalls.link_calls(
+            spark.createDataFrame(calls, "conv_id long, turn long, call_id string, tool string, arguments string, depends_on array<string>"),
+            spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"),
+            repeated=True,
+        ).collect()
+        found = Counter()
+        for r in got:
+            message = json.loads(r.message)
+            assert r.valid
+            text = (message["arguments"] or {}).get("text")
+            found[r.conv_id, r.call_id, r.status, r.level, text, message["result"]] += 1
+        assert found == {
+            (1, "a", "answered", 0, "x", "ok"): 1,
+            (1, "a", "duplicate", None, "x", None): 2,
+            (1, "a", "duplicate", None, "later", None): 1,
+            (1, "a", "duplicate", None, None, "ok"): 1,
+            (1, "a", "duplicate", None, None, "again"): 1,
+            (1, None, "unanswered", 1, "n1", None): 1,
+            (1, None, "unanswered", 0, "n2", None): 1,
+            (None, "a", "unanswered", 0, "m1", None): 1,
+            (None, "a", "unanswered", 0, "m2", None): 1,
+            (None, "a", "orphan", None, None, "r1"): 1,
+            (None, "a", "orphan", None, None, "r2"): 1,
+            (1, None, "orphan", None, None, "r3"): 1,
+        }
+
+
 PAGES = {
     None: "",
     "": "",
