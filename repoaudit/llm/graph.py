@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from repoaudit.session import freeze
 
-#: Rounds at most; the number needed grows with the logarithm of the longest path.
-ROUNDS = 50
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges (a, b)``; the label is the least node that
@@ -29,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = freeze(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     edges = edges.where("u <> v")
     before = _state(edges)
-    for _ in range(ROUNDS):
+    while True:  # the number of rounds grows with the logarithm of the longest path
         edges = freeze(_small_star(_large_star(edges)))
         now = _state(edges)
         if now == before:

@@ -81,6 +81,14 @@ class TestJaccard:
         assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_go_on_until_nothing_changes(spark, monkeypatch):
+    from repoaudit.llm import graph
+
+    monkeypatch.setattr(graph, "ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 64)], "a long, b long")
+    assert {r.label for r in components(edges).collect()} == {0}
+
+
 def test_components_of_chains_loops_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (7, 7), (200, 201), (201, 202), (202, 200)]
     df = spark.createDataFrame(edges + [(None, 3)], "a long, b long")
