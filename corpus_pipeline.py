@@ -5,11 +5,18 @@ the last return the columns of ``documents``.
 
 - toxicity: documents that the classifier calls toxic go. It learns from the labelled rows that
   are still there and not held out.
-- ngram_jaccard: of each group of linked documents the one with the least id stays.
+- ngram_jaccard: of each group of linked documents the one with the least id stays, a null id
+  being the greatest; of several with that id the one whose row has the least hash.
 - pii: spans are replaced by their kind, ``n_chars`` follows.
 - mixing: each document is repeated as often as its source's target asks, from never to three
   times; the copies keep the id.
 - packing: one row per piece with its place in a sequence.
+
+Nulls and repeated rows: documents are told apart by row, not by id. Documents with a null id, or
+with an id that others have too, pass all stages like any other. Equal texts are linked, so a
+repeated row goes with ngram_jaccard, unless its text is null or has no words: those are linked to
+none and all stay. In mixing, documents of one source with equal ids (or null ids) and equal sizes
+get equal copies. A null text stays null and has no words; a null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -29,8 +36,12 @@ def remove_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.link(docs).where("component = doc_id").select("doc_id")
-    return docs.join(found.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    rows = freeze(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    found = jaccard.link(rows, key="_row").select(F.col("_row").alias("_at"), "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "_row").alias("_order")
+    ranked = rows.select("_row", order).join(found, F.col("_row") == F.col("_at"))
+    kept = ranked.groupBy("component").agg(F.min("_order").alias("_least")).select(F.col("_least._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +51,12 @@ def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_by_source(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    repeated = docs.join(copies, docs["doc_id"] == copies["_id"])
+    # Copies depend on id, source and size alone.
+    names = ("doc_id", "source", "size")
+    copies = mixing.mix(docs).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in names], "copies").distinct()
+    sized = docs.withColumn("size", mixing.sizes(docs, "text"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    repeated = sized.join(copies, same)
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 

@@ -44,3 +44,23 @@ def test_stages(spark, tmp_path):
     for r in after:
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048
+
+
+def test_null_and_repeated_ids(spark):
+    def text(name, n=12):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(None, text("a")), (None, text("b", 15)), (7, text("c")), (7, text("d", 20)), (3, text("e")), (9, text("e"))]
+    rows += [(None, text("e")), (5, text("f")), (5, text("f")), (None, text("g")), (8, text("g")), (None, None), (4, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], schema)
+    gone = Counter([(9, text("e")), (None, text("e")), (5, text("f")), (None, text("g"))])
+    kept = corpus_pipeline.remove_near_copies(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(rows) - gone
+
+    copies = Counter()
+    for r in mixing.mix(docs).collect():
+        copies[r.doc_id, r["size"]] += r.copies
+    after = corpus_pipeline.repeat_by_source(spark, docs, "")
+    found = Counter((r.doc_id, len(words(r.text))) for r in after.collect())
+    assert found == +copies and found[None, 15] and found[7, 12] and found[7, 20]
