@@ -3,8 +3,8 @@
 Texts become token ids and one closing id. A document longer than a sequence is cut into
 whole sequences and a rest. Whole sequences are full as they are; the rests are packed.
 
-Packing. Rests are dealt over partitions of bounded size by a hash of their key. Each task
-packs its partition by best-fit decreasing and computes lower bounds on the number of
+Packing. Rests are dealt over partitions of bounded size by a hash of their row and
+piece, so equal keys are spread like others. Each task packs its partition by best-fit decreasing and computes lower bounds on the number of
 sequences it needs from dual-feasible functions: functions of a size such that sizes that fit
 together never sum to more than one. When the number of sequences equals the largest bound,
 the partition is certified: no packing of its documents is better. The other partitions have
@@ -55,8 +55,9 @@ def _tokenizer(name: str):
 
 
 def _key_of(word: str) -> str:
-    # The tokenizer lowers letters itself; plain ones can be lowered before.
-    return word.lower() if word.isascii() else word
+    # The tokenizer lowers letters itself, but for its added tokens, which begin with "<|" and are
+    # looked for before; other plain words can be lowered before.
+    return word.lower() if word.isascii() and "<|" not in word else word
 
 
 def tokenize(texts: pa.Array, tokenizer, known: dict[str, bytes]) -> list[bytes]:
@@ -199,7 +200,7 @@ def pack_rests(rests: DataFrame) -> DataFrame:
         if n == 0 and done:
             break
         parts = max(1, -(-n // PART))
-        dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("tie", F.lit(turn)), F.lit(parts)))
+        dealt = open_rows.withColumn("part", F.pmod(F.xxhash64("row", "piece", F.lit(turn)), F.lit(parts)))
         packed = freeze(dealt.groupBy("part").applyInPandas(_pack, schema))
         last = turn == ROUNDS or parts == 1
         numbered = packed.withColumn("sequence_id", (F.col("part") + F.lit(shift)) * F.lit(1 << 20) + F.col("bin"))

@@ -290,6 +290,22 @@ class TestToxicity:
         assert toxicity.toxicity_digest(docs.limit(0), marks).count() == 0
 
 
+class TestRepeatedKeysInPacking:
+    def test_rests_of_one_key_are_spread(self, spark, monkeypatch):
+        monkeypatch.setattr(packing, "PART", 200)
+        rests = spark.range(2000).select(
+            F.col("id").alias("row"), F.lit(0).alias("piece"), F.lit(1000).cast("bigint").alias("length"), F.lit(1).cast("bigint").alias("tie")
+        )
+        parts = Counter(r.sequence_id >> 20 for r in packing.pack_rests(rests).collect())
+        assert sum(parts.values()) == 2000 and max(parts.values()) <= 400
+
+    def test_added_tokens_are_matched_on_raw_text(self):
+        model = packing._tokenizer(packing.TOKENIZER)
+        for word in ("<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "Plain"):
+            own = np.frombuffer(packing.tokenize(pa.array([word]), model, {})[0], "<u4").tolist()
+            assert own == model.encode(word, add_special_tokens=False).ids
+
+
 class TestBackoff:
     def test_scores_equal_brute_force(self, spark):
         rows = list(enumerate(random_texts(6)))
