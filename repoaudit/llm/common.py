@@ -28,11 +28,11 @@ def plain_texts(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
 AT_ONCE = 4 << 20
 
 
-def bounded(batches, column: int):
-    """Batches cut so that each has about ``AT_ONCE`` bytes in a column of texts, or one text."""
+def bounded(batches, column: int, size: int = AT_ONCE):
+    """Batches cut so that each has about ``size`` bytes in a column of texts, or one text."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(lengths.astype(np.int64)) // AT_ONCE
+        part = np.cumsum(lengths.astype(np.int64)) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if b > a:

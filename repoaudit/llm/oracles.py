@@ -41,3 +41,21 @@ def pii_base() -> str:
       SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PII)},
         sha256(coalesce(base, '')) AS base_sha256
       FROM documents d LEFT JOIN per USING (doc_id)"""
+
+
+def fill_in_middle() -> str:
+    """All columns of ``op12_fill_in_middle``. The hash of the text itself stands for the one rebuilt."""
+    draws = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return f"""WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+      e AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, {draws} FROM d),
+      f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+          CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90
+            THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+      g AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+      SELECT doc_id, n, form,
+        CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+          ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM g"""

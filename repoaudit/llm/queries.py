@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from repoaudit.llm import (
+    align,
     backoff,
+    bpe,
+    fim,
     html_text,
     jaccard,
     mixing,
+    oracles,
     packing,
     pii,
     quality,
@@ -59,6 +63,18 @@ def op10_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_bpe(spark, sf_dir):
+    return bpe.bpe_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.fim_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.align_digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -72,6 +88,9 @@ ALL = {
         op8_mixing,
         op9_lm_scoring,
         op10_packing,
+        op11_bpe,
+        op12_fill_in_middle,
+        op13_tokenizer_alignment,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_fill_in_middle": oracles.fill_in_middle()}
