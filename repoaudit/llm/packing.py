@@ -23,64 +23,21 @@ empty table gives an empty one. Columns other than key and text are not looked a
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from repoaudit.llm.common import Words, bounded, plain_texts
+from repoaudit.llm.common import bounded, plain_texts, ragged
+from repoaudit.llm.wordbpe import TOKENIZER, load
 from repoaudit.session import freeze
 
 #: Tokens of a sequence, and the id that closes a document.
 CAPACITY, CLOSING = 2048, 0
 #: Rests per partition, about; rounds of exchange.
 PART, ROUNDS = 20_000, 3
-TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers, at most.
-KNOWN = 200_000
-#: Words that the tokenizer takes at once.
-AT_A_TIME = 4_000
-
-
-def _tokenizer(name: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(public_tokenizers.path(name))
-
-
-def _key_of(word: str) -> str:
-    # The tokenizer lowers letters itself, but for its added tokens, which begin with "<|" and are
-    # looked for before; other plain words can be lowered before.
-    return word.lower() if word.isascii() and "<|" not in word else word
-
-
-def tokenize(texts: pa.Array, tokenizer, known: dict[str, bytes]) -> list[bytes]:
-    """Token ids of each text as little-endian 32-bit numbers, without the closing id.
-
-    The tokenizer drops white space and never joins what white space separates, so a text's
-    ids are those of its words in a row. ``known`` remembers the ids of words.
-    """
-    words = Words(texts)
-    names = [_key_of(n) for n in words.names.to_pylist()]
-    fresh = list(dict.fromkeys(n for n in names if n not in known))
-    if len(known) + len(fresh) > KNOWN:
-        known.clear()
-        fresh = list(dict.fromkeys(names))
-    for at in range(0, len(fresh), AT_A_TIME):
-        part = fresh[at : at + AT_A_TIME]
-        for name, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[name] = np.array(found.ids, "<u4").tobytes()
-    ids = [known[n] for n in names]
-    return [
-        b"".join([ids[c] for c in words.codes[a:b]])
-        for a, b in zip(words.starts[:-1], words.starts[1:])
-    ]
 
 
 def pieces(
@@ -96,29 +53,31 @@ def pieces(
     kind = docs.schema[key].dataType.simpleString()
     ids = ", ids array<bigint>" if with_ids else ""
     schema = f"_key {kind}, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint{ids}"
-    closing = np.array([CLOSING], "<u4").tobytes()
 
     def cut(batches):
-        model, known = _tokenizer(tokenizer), {}
+        model = load(tokenizer)
         for batch in bounded(batches, 2):
-            texts = plain_texts(batch.column(2))
-            found = tokenize(texts, model, known)
-            at, rows = [], []
-            for i, own in enumerate(found):
-                whole = own + closing
-                for k, start in enumerate(range(0, len(whole), 4 * capacity)):
-                    part = whole[start : start + 4 * capacity]
-                    at.append(i)
-                    row = (k, start // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append(row + ((np.frombuffer(part, "<u4").astype(np.int64),) if with_ids else ()))
-            columns = list(zip(*rows)) if rows else [()] * (5 if with_ids else 4)
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
-            where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pc.take(batch.column(0), where), pc.take(batch.column(1), where)]
-                + [pa.array(c, t) for c, t in zip(columns, types)],
-                ["_key", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids,
-            )
+            flat, bounds = model.texts(plain_texts(batch.column(2)), CLOSING)
+            number = -(-np.diff(bounds) // capacity)  # pieces of each text
+            at = np.repeat(np.arange(len(batch)), number)
+            piece = np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number)
+            begin = bounds[at] + piece * capacity
+            end = np.minimum(begin + capacity, bounds[at + 1])
+            data = memoryview(flat.astype("<u4")).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), end.tolist())]
+            columns = [
+                batch.column(0).take(pa.array(at)),
+                batch.column(1).take(pa.array(at)),
+                pa.array(piece, pa.int32()),
+                pa.array(piece * capacity, pa.int64()),
+                pa.array(end - begin, pa.int64()),
+                pa.array(crc, pa.int64()),
+            ]
+            names = ["_key", "row", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(ragged(flat.astype(np.int64), end - begin))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
     return rows.mapInArrow(cut, schema).withColumnRenamed("_key", key)
@@ -223,14 +182,16 @@ def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, with_ids: bool = False
 ) -> DataFrame:
     """Every piece with its place: ``(key, piece, start, length, ids_crc32, sequence_id, offset)``."""
-    cut = freeze(pieces(docs, key, text, tokenizer, with_ids=with_ids))
+    cut = freeze(
+        pieces(docs, key, text, tokenizer, with_ids=with_ids).withColumn("_own", F.monotonically_increasing_id())
+    )
     rests = cut.where(F.col("length") < CAPACITY).select(
         "row", "piece", "length", F.xxhash64(F.col(key).cast("string"), "piece").alias("tie")
     )
     placed = pack_rests(rests)
     joined = cut.join(placed, ["row", "piece"], "left")
     # A full piece is a sequence of its own, numbered below zero.
-    own = -(F.xxhash64("row", "piece").bitwiseAND(F.lit((1 << 62) - 1))) - 1
+    own = -F.col("_own") - 1
     return joined.select(
         key,
         "row",

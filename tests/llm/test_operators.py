@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from repoaudit.llm import backoff, html_text, jaccard, mixing, packing, quality, toolcalls, toxicity, vectors
+from repoaudit.llm import backoff, html_text, jaccard, mixing, packing, quality, toolcalls, toxicity, vectors, wordbpe
 from repoaudit.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -203,7 +203,7 @@ class TestMixing:
 
 class TestPacking:
     def test_pieces_and_places(self, spark):
-        tokenizer = packing._tokenizer(packing.TOKENIZER)
+        tokenizer = wordbpe.load().library
         texts = random_texts(4, 50) + ["word " * 5000, "It's <|endoftext|> é ́ \x1c x\x85y İ"]
         rows = list(enumerate(texts)) + [(1, "again")]
         df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, length int")
@@ -300,10 +300,10 @@ class TestRepeatedKeysInPacking:
         assert sum(parts.values()) == 2000 and max(parts.values()) <= 400
 
     def test_added_tokens_are_matched_on_raw_text(self):
-        model = packing._tokenizer(packing.TOKENIZER)
+        model = wordbpe.load()
         for word in ("<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "Plain"):
-            own = np.frombuffer(packing.tokenize(pa.array([word]), model, {})[0], "<u4").tolist()
-            assert own == model.encode(word, add_special_tokens=False).ids
+            own = model.texts(pa.array([word]))[0].tolist()
+            assert own == model.library.encode(word, add_special_tokens=False).ids
 
 
 class TestBackoff:
