@@ -28,6 +28,7 @@ _CALL = pa.struct(
         ("walk_ord", pa.int32()),
         ("line_number", pa.int32()),
         ("alias", pa.string()),
+        ("module", pa.string()),
         ("called_function", pa.string()),
     ]
 )
@@ -43,7 +44,7 @@ _PARSED = pa.schema(
 _PARSED_DDL = (
     "repo string, file string, parsed boolean, "
     "imports array<struct<walk_ord:int,alias:string,module:string>>, "
-    "calls array<struct<walk_ord:int,line_number:int,alias:string,called_function:string>>"
+    "calls array<struct<walk_ord:int,line_number:int,alias:string,module:string,called_function:string>>"
 )
 
 
@@ -79,20 +80,26 @@ def _imports_and_calls(tree: ast.AST) -> tuple[list, list]:
 
 
 def _syntax(source: str, walk: bool) -> tuple[list, list] | None:
-    """Imports and dotted calls of one file as tuples; None if it does not parse."""
+    """Imports of one file and its dotted calls on them as tuples; None if it does not parse.
+
+    The last import of an alias in the order of the walk says which module a call means, also
+    for calls above it.
+    """
     try:
         tree = ast.parse(source)
         imports, calls = _imports_and_calls(tree) if walk else ([], [])
+        imported = [
+            (at, n.asname or n.name, n.name.partition(".")[0])
+            for at, node in enumerate(imports)
+            for n in node.names
+        ]
+        module_of = {alias: module for _, alias, module in imported}
         return (
+            imported,
             [
-                (at, n.asname or n.name, n.name.partition(".")[0])
-                for at, node in enumerate(imports)
-                for n in node.names
-            ],
-            [
-                (at, node.lineno, names[0], ".".join(names[1:]))
+                (at, node.lineno, names[0], module_of[names[0]], ".".join(names[1:]))
                 for at, node in enumerate(calls)
-                if (names := _dotted(node.func))
+                if (names := _dotted(node.func)) and names[0] in module_of
             ],
         )
     except (SyntaxError, ValueError, RecursionError, MemoryError):
@@ -149,9 +156,10 @@ def _may_import(content: Column, modules) -> Column:
 def parse_python(files: DataFrame, modules=None) -> DataFrame:
     """Syntax facts of each Python file, one row per file, in one narrow Arrow stage.
 
-    The code is parsed, never run. Aliases are resolved within the file's row later, so
-    no shuffle is needed for it. All files are parsed, but with a list of ``modules`` only
-    those that may import one of them are searched for imports and calls.
+    The code is parsed, never run. Calls leave the parser with the module of their alias, so
+    neither a shuffle nor a copy of the file's imports is needed for it. All files are parsed,
+    but with a list of ``modules`` only those that may import one of them are searched for
+    imports and calls.
     """
     own = paths.of_kind(files, "setup", "python").where(paths.is_python(F.col("path")))
     own = text.code_text(own).where("content is not null")
@@ -168,26 +176,12 @@ def py_imports(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _module_of(alias: Column) -> Column:
-    """Module of the last import of an alias in the row's file; null if there is none."""
-    same = F.filter("imports", lambda i: i["alias"] == alias)
-    return F.try_element_at(same, F.lit(-1))["module"]
-
-
 def py_calls(parsed: DataFrame) -> DataFrame:
     """Calls on imported modules: ``(repo, file, walk_ord, line_number, alias, module,
     called_function)``."""
-    some = parsed.where((F.size("imports") > 0) & (F.size("calls") > 0))
-    calls = some.select("repo", "file", "imports", F.explode_outer("calls").alias("_call"))
-    return calls.select(
-        "repo",
-        "file",
-        "_call.walk_ord",
-        "_call.line_number",
-        "_call.alias",
-        _module_of(F.col("_call.alias")).alias("module"),
-        "_call.called_function",
-    ).where("module is not null")
+    calls = parsed.where(F.size("calls") > 0).select("repo", "file", F.explode_outer("calls").alias("_call"))
+    names = ("walk_ord", "line_number", "alias", "module", "called_function")
+    return calls.select("repo", "file", *[f"_call.{n}" for n in names])
 
 
 # A table of known names is broadcast up to this many rows, and a module's names are put

@@ -1,4 +1,8 @@
 import ast
+import random
+import time
+
+from pyspark.sql import functions as F
 
 from repoaudit.operators import apicheck
 from repoaudit.rules import KNOWN_APIS, known_api_table
@@ -118,3 +122,53 @@ def test_modules_of_the_whole_table(files_of):
     assert len(rows) == 21 + 2
     assert texts["arrange"].endswith("Did you mean 'numpy.array_equal'?")
     assert texts["tensr"].endswith("Did you mean 'torch.Tensor'?")
+
+
+def test_many_imports_and_calls_in_one_file(files_of):
+    """Work grows with imports plus calls: the parser looks aliases up, no row carries imports."""
+    imports, calls = 10_000, 100_000
+    lines = [f"import m{i} as a{i % 5_000}" for i in range(imports)] + [f"a{i % 6_000}.f{i % 7}()" for i in range(calls)]
+    files = files_of({"big.py": "\n".join(lines), "small.py": "import redis\nredis.Rediss()"})
+    begin = time.time()
+    found = apicheck.py_calls(apicheck.parse_python(files))
+    counts = found.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("module").alias("modules")).collect()
+    assert time.time() - begin < 30
+    # The second half of the imports gives each alias its last module; aliases 5000 to 5999 have none.
+    resolved = sum(1 for i in range(calls) if i % 6_000 < 5_000)
+    assert {(r.file, r.n, r.modules) for r in counts} == {("big.py", resolved, 5_000), ("small.py", 1, 1)}
+    assert found.where("module = 'm3' OR alias = 'a5000'").count() == 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "imports" not in plan.split("MapInArrow")[0]
+
+
+def random_program(rng, depth=0):
+    """Lines of imports, calls, and blocks of such lines."""
+    lines = []
+    for _ in range(rng.randint(1, 8)):
+        kind = rng.choice(["import {m} as {a}", "import {a}.x, {m}", "{a}.{m}.f()", "x = {a}.g(1, {m}.h())", "if {a}:", "def {a}():"])
+        lines.append("  " * depth + kind.format(m=rng.choice("pqr"), a=rng.choice("abpq")))
+        if lines[-1].endswith(":"):
+            lines += random_program(rng, depth + 1) if depth < 3 else ["  " * (depth + 1) + "pass"]
+    return lines
+
+
+def test_aliases_against_a_plain_walk(files_of):
+    """Random programs: the last import in breadth-first order decides."""
+    rng = random.Random(11)
+    sources = {f"f{n}.py": "\n".join(random_program(rng)) for n in range(60)}
+    want = set()
+    for name, source in sources.items():
+        nodes = list(ast.walk(ast.parse(source)))
+        last = {(x.asname or x.name): x.name.split(".")[0] for node in nodes if isinstance(node, ast.Import) for x in node.names}
+        for node in nodes:
+            if not isinstance(node, ast.Call):
+                continue
+            parts, at = [], node.func
+            while isinstance(at, ast.Attribute):
+                parts.append(at.attr)
+                at = at.value
+            if isinstance(at, ast.Name) and 1 <= len(parts) <= 2 and at.id in last:
+                want.add((name, node.lineno, at.id, last[at.id], ".".join(reversed(parts))))
+    rows = apicheck.py_calls(apicheck.parse_python(files_of(sources))).collect()
+    assert {(r.file, r.line_number, r.alias, r.module, r.called_function) for r in rows} == want
+    assert len(want) > 100
