@@ -175,7 +175,8 @@ FAILED = "name LIKE 'hot-rod%'"
 AS_OF = "2024-02-20 00:00:00"
 
 # V4: Python files. Each is a template of a few statements, with the whole text of a
-# document as a string behind it, so that parsing works on real amounts of text.
+# document as a string behind it, so that parsing works on real amounts of text. Each of the known
+# modules has a bad call in one of them.
 _TEMPLATES = (
     ("import requests", 'requests.secure_get("x")'),
     ("import pandas as pd", "pd.read_exel(3)", "pd.io.foo()"),
@@ -187,6 +188,16 @@ _TEMPLATES = (
     ("import redis as t", "import requests as t", "t.sesion(1)"),
     ("import requests", "requests.a.b.c()", "requests.zzz()"),
     ("import redis", "def f():", "    return redis.\\", "        Redis()"),
+    ("import numpy as np", "np.arrange(3)", "np.random.foo()"),
+    ("import torch as t", "import numpy as t", "t.tensr(1)"),
+    ("import torch", "torch.tensr(1)", "torch.nn.Linear(2)"),
+    ("import httpx", "import flask", 'httpx.gets("x")', "flask.Flaskk(1)", "flask.jsonify()"),
+    ("import fastapi, django", "fastapi.Depend()", "django.setups()", "django.db.connect()"),
+    ("import openai as o", "import langchain as l", "o.OpenAl()", "l.LLMChains()", "l.tools.load()"),
+    ("import transformers as tr, sqlalchemy as sa", "tr.AutoModels(1)", "sa.create_engin()", "tr.pipeline(2)"),
+    ("import boto3", "import sklearn.svm", "import sklearn", 'boto3.clients("s3")', "sklearn.svmm.SVC()", "sklearn.svm.SVC()"),
+    ("import pydantic, celery", "pydantic.BaseModels()", "celery.Celry()", 'celery.Celery("a")'),
+    ("import pytest, PIL", "import pillow", "pytest.raise_(1)", "PIL.Imag()", "pillow.Imagee()", "pytest.raises(1)"),
 )
 
 
@@ -200,7 +211,7 @@ def _template_sql(lines: tuple[str, ...]) -> str:
 
 V4_PY_SOURCES = f"""
 SELECT source AS repo, 'm/f' || CAST(doc_id AS STRING) || '.py' AS path, doc_id,
-       {_case("doc_id % 10", [_template_sql(t) for t in _TEMPLATES])}
+       {_case(f"doc_id % {len(_TEMPLATES)}", [_template_sql(t) for t in _TEMPLATES])}
        || chr(10) || 'NOTE = ' || repeat(chr(34), 3)
        || replace(replace(text, chr(92), ' '), chr(34), ' ')
        || repeat(chr(34), 3) || chr(10) AS content

@@ -264,19 +264,48 @@ _WARNED = f"""{_FINDINGS}, warned AS (
 _IMPORTS = """(VALUES
   (0, 'requests', 'requests'), (1, 'pd', 'pandas'), (3, 'K', 'tensorflow'), (4, 'os.path', 'os'),
   (5, 'pd', 'pandas'), (7, 't', 'redis'), (7, 't', 'requests'), (8, 'requests', 'requests'),
-  (9, 'redis', 'redis')) t(template, alias, module)"""
+  (9, 'redis', 'redis'),
+  (10, 'np', 'numpy'), (11, 't', 'torch'), (11, 't', 'numpy'), (12, 'torch', 'torch'),
+  (13, 'httpx', 'httpx'), (13, 'flask', 'flask'), (14, 'fastapi', 'fastapi'), (14, 'django', 'django'),
+  (15, 'o', 'openai'), (15, 'l', 'langchain'), (16, 'tr', 'transformers'), (16, 'sa', 'sqlalchemy'),
+  (17, 'boto3', 'boto3'), (17, 'sklearn.svm', 'sklearn'), (17, 'sklearn', 'sklearn'),
+  (18, 'pydantic', 'pydantic'), (18, 'celery', 'celery'), (19, 'pytest', 'pytest'), (19, 'PIL', 'PIL'),
+  (19, 'pillow', 'pillow')) t(template, alias, module)"""
 _CALLS = """(VALUES
   (0, 2, 'requests', 'requests', 'secure_get'), (1, 2, 'pd', 'pandas', 'read_exel'),
   (1, 3, 'pd', 'pandas', 'io.foo'), (3, 2, 'K', 'tensorflow', 'Sequential'),
   (5, 2, 'pd', 'pandas', 'read_csvs'), (5, 3, 'pd', 'pandas', 'read_csv'),
   (7, 3, 't', 'requests', 'sesion'), (8, 3, 'requests', 'requests', 'zzz'),
-  (9, 3, 'redis', 'redis', 'Redis')) t(template, line_number, alias, module, called_function)"""
+  (9, 3, 'redis', 'redis', 'Redis'),
+  (10, 2, 'np', 'numpy', 'arrange'), (10, 3, 'np', 'numpy', 'random.foo'),
+  (11, 3, 't', 'numpy', 'tensr'), (12, 2, 'torch', 'torch', 'tensr'),
+  (12, 3, 'torch', 'torch', 'nn.Linear'), (13, 3, 'httpx', 'httpx', 'gets'),
+  (13, 4, 'flask', 'flask', 'Flaskk'), (13, 5, 'flask', 'flask', 'jsonify'),
+  (14, 2, 'fastapi', 'fastapi', 'Depend'), (14, 3, 'django', 'django', 'setups'),
+  (14, 4, 'django', 'django', 'db.connect'), (15, 3, 'o', 'openai', 'OpenAl'),
+  (15, 4, 'l', 'langchain', 'LLMChains'), (15, 5, 'l', 'langchain', 'tools.load'),
+  (16, 2, 'tr', 'transformers', 'AutoModels'), (16, 3, 'sa', 'sqlalchemy', 'create_engin'),
+  (16, 4, 'tr', 'transformers', 'pipeline'), (17, 4, 'boto3', 'boto3', 'clients'),
+  (17, 5, 'sklearn', 'sklearn', 'svmm.SVC'), (17, 6, 'sklearn', 'sklearn', 'svm.SVC'),
+  (18, 2, 'pydantic', 'pydantic', 'BaseModels'), (18, 3, 'celery', 'celery', 'Celry'),
+  (18, 4, 'celery', 'celery', 'Celery'), (19, 3, 'pytest', 'pytest', 'raise_'),
+  (19, 4, 'PIL', 'PIL', 'Imag'), (19, 5, 'pillow', 'pillow', 'Imagee'),
+  (19, 6, 'pytest', 'pytest', 'raises')) t(template, line_number, alias, module, called_function)"""
 _BAD_CALLS = """(VALUES
   (0, 2, 'requests', 'secure_get', 'structures'), (1, 2, 'pandas', 'read_exel', 'read_excel'),
   (3, 2, 'tensorflow', 'Sequential', 'reduce_max'), (5, 2, 'pandas', 'read_csvs', 'read_csv'),
-  (7, 3, 'requests', 'sesion', 'Response'), (8, 3, 'requests', 'zzz', NULL)
+  (7, 3, 'requests', 'sesion', 'Response'), (8, 3, 'requests', 'zzz', NULL),
+  (10, 2, 'numpy', 'arrange', 'array_equal'), (11, 3, 'numpy', 'tensr', 'genfromtxt'),
+  (12, 2, 'torch', 'tensr', 'Tensor'), (13, 3, 'httpx', 'gets', 'get'),
+  (13, 4, 'flask', 'Flaskk', 'Flask'), (14, 2, 'fastapi', 'Depend', 'Depends'),
+  (14, 3, 'django', 'setups', 'setup'), (15, 3, 'openai', 'OpenAl', 'OpenAI'),
+  (15, 4, 'langchain', 'LLMChains', 'LLMChain'), (16, 2, 'transformers', 'AutoModels', 'AutoModel'),
+  (16, 3, 'sqlalchemy', 'create_engin', 'create_engine'), (17, 4, 'boto3', 'clients', 'client'),
+  (17, 5, 'sklearn', 'svmm.SVC', 'svm'), (18, 2, 'pydantic', 'BaseModels', 'BaseModel'),
+  (18, 3, 'celery', 'Celry', 'Celery'), (19, 3, 'pytest', 'raise_', 'raises'),
+  (19, 4, 'PIL', 'Imag', 'Image'), (19, 5, 'pillow', 'Imagee', 'ImageEnhance')
   ) t(template, line_number, module, called_function, better)"""
-_V4 = f"SELECT repo, path AS file, doc_id % 10 AS template FROM ({fx.V4_PY_SOURCES}) v4"
+_V4 = f"SELECT repo, path AS file, doc_id % {len(fx._TEMPLATES)} AS template FROM ({fx.V4_PY_SOURCES}) v4"
 _API = f"""api AS (
   SELECT repo, file, line_number, module, called_function, false AS exists_in_api,
          '''' || module || '.' || called_function || ''' does not exist' ||
