@@ -218,6 +218,21 @@ SELECT source AS repo, 'm/f' || CAST(doc_id AS STRING) || '.py' AS path, doc_id,
 FROM documents
 """
 
+# Syllables of the documents' languages, for the rules of a caller.
+_SYLLABLES = ("tion", "eau", "ing", "ment", "sch", "ung", "ado", "the", "und", "que", "les", "oun")
+
+
+def own_rules():
+    """Rules of a caller: one for each pair of syllables, with two patterns and no literals given."""
+    from repoaudit.rules import SecurityRule
+
+    return tuple(
+        SecurityRule(f"{a}_{b}", ("low", "medium")[len(a) % 2], f"'{a}' before '{b}'", (rf"{a}.{{2,3}}{b}[.,]", rf"{b}\s+{a}[a-e]+$"))
+        for a in _SYLLABLES
+        for b in _SYLLABLES
+    )
+
+
 # Names one edit or more away from a popular one, or equal to it.
 V6_NAMES = """
 SELECT p_partkey, CASE p_size % 6

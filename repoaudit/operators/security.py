@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoaudit.functions import paths, text
+from repoaudit.functions.literals import grouped, minimal, one_of
 from repoaudit.rules import (
     ONE_PASS_FORMS,
     SECURITY_RULES,
@@ -16,6 +19,10 @@ from repoaudit.rules import (
 )
 
 
+# Up to this many patterns of a caller are expressions of the plan; more are data.
+FEW_PATTERNS = 64
+
+
 def code_lines(files: DataFrame) -> DataFrame:
     """Numbered lines of scanned code: ``(repo, file, line_number, line)``."""
     parts = text.split_lines(F.col("content"))
@@ -99,17 +106,25 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     """Findings of all texts in a table, whatever its keys: one row per line and category.
 
     The work is one narrow stage. The rules are expressions built from the rule table, so
-    each regex compiles once per task and nothing is joined. A rule set without any valid
-    pattern finds nothing.
+    each regex compiles once per task and nothing is joined; beyond ``FEW_PATTERNS`` patterns of
+    a caller they are data, so that the generated code does not grow with them. A rule set
+    without any valid pattern finds nothing.
     """
     rules = valid_rules(files.sparkSession, SECURITY_RULES if rules is None else rules)
     if not rules:
         return match_lines(files.limit(0))
-    keys = [c for c in files.columns if c != "content"]
-    marks = _marks(rules)
+    many = rules is not SECURITY_RULES and sum(len(rule.patterns) for rule in rules) > FEW_PATTERNS
     if any(not rule.needles_of(i) for rule in rules for i in range(len(rule.patterns))):
         # Such a pattern may match an empty line. A final line break does not start one.
         files = files.where("content <> ''").withColumn("content", text.without_last_break(F.col("content")))
+    lines = _folded_lines(files)
+    return _match_many(lines, rules) if many else _match_few(lines, rules)
+
+
+def _folded_lines(files: DataFrame) -> DataFrame:
+    """All lines with their folded form: the columns but ``content``, and ``line_number``, ``line``,
+    ``folded``."""
+    keys = [c for c in files.columns if c != "content"]
     pieces = files.select(*keys, "content", text.fold_case(F.col("content")).alias("folded"))
     # The folded text has the same line breaks, so both are cut alike. As columns of the
     # generator, line and folded line exist before the filter, which would otherwise fold
@@ -119,12 +134,18 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
         text.split_lines(F.col("content")).alias("line"),
         text.split_lines(F.col("folded")).alias("folded"),
     )
-    lines = pieces.select(*keys, F.posexplode_outer(pairs).alias("at", "_pair")).select(
+    return pieces.select(*keys, F.posexplode_outer(pairs).alias("at", "_pair")).select(
         *keys,
         (F.col("at") + 1).alias("line_number"),
         F.col("_pair").getField("line").alias("line"),
         F.col("_pair").getField("folded").alias("folded"),
     )
+
+
+def _match_few(lines: DataFrame, rules) -> DataFrame:
+    """Findings of folded lines by rules that are expressions."""
+    keys = [c for c in lines.columns if c not in ("line_number", "line", "folded")]
+    marks = _marks(rules)
     lines = lines.where(_may_match(F.col("folded"), rules, marks)).select(
         "*", *[F.contains("line", F.lit(char)).alias(name) for char, name in marks.items()]
     )
@@ -144,6 +165,10 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     hits = lines.select(
         *keys, "line_number", "line", F.explode_outer(matched).alias("_hit")
     ).where("_hit is not null")
+    return _findings(hits, keys)
+
+
+def _findings(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.select(
         *keys,
         "line_number",
@@ -155,6 +180,65 @@ def match_lines(files: DataFrame, rules=None) -> DataFrame:
     )
 
 
+_RULE = "array<struct<category:string,category_ord:int,severity:string,description:string,needles:array<string>,further:array<string>,pattern:string>>"
+
+
+def _rules_as_data(rules) -> tuple[list[str], list[str], list[dict]]:
+    """``(needles, free, rows)``: strings of which a line holds one if a pattern with known literals
+    matches, patterns without any, and a row per category.
+
+    A pattern counts with its two best groups of literals. A literal that holds another one is
+    replaced by it, so at most one is found at any place of a line. The patterns of a category are
+    one alternation, tried on lines that hold one of its ``needles`` and one of its ``further``
+    strings; where these are null, on every line that comes so far.
+    """
+    groups = {p: rule.needles_of(i)[-2:] for rule in rules for i, p in enumerate(rule.patterns)}
+    shortest = minimal(n for own in groups.values() for group in own for n in group)
+    free, rows = [], []
+    for at, rule in enumerate(rules):
+        without = [p for p in rule.patterns if not groups[p]]
+        free += without
+        needles, further = (sorted({shortest[n] for p in rule.patterns for n in (groups[p][k] if groups[p] else ())}) for k in (-1, 0))
+        rows.append(
+            {
+                "category": rule.category,
+                "category_ord": at,
+                "severity": rule.severity,
+                "description": rule.description,
+                "needles": None if without else needles,
+                "further": None if without else further,
+                "pattern": grouped([text.ignore_case(ONE_PASS_FORMS.get(p, p)) for p in rule.patterns]),
+            }
+        )
+    return sorted({shortest[n] for own in groups.values() if own for n in own[-1]}), free, rows
+
+
+def _match_many(lines: DataFrame, rules) -> DataFrame:
+    """Findings of folded lines by rules that are data: one literal, whatever their number.
+
+    A line goes on if one regular expression finds any of the literals, or one alternation any of
+    the patterns without literals. Such a line is taken once per category, and a category's patterns
+    run if one of its literals is in the line.
+    """
+    keys = [c for c in lines.columns if c not in ("line_number", "line", "folded")]
+    needles, free, rows = _rules_as_data(rules)
+    some = []
+    found = F.array().cast("array<string>")
+    if needles:
+        some.append(F.rlike("folded", F.lit(one_of(needles))))
+        every = {n for row in rows for n in (row["needles"] or []) + (row["further"] or [])}
+        found = F.regexp_extract_all("folded", F.lit(f"(?=({one_of(every)}))"), F.lit(1))
+    if free:
+        some.append(F.rlike("line", F.lit(grouped([text.ignore_case(p) for p in free]))))
+    kept = lines.where(any_of(some)).select(*keys, "line_number", "line", found.alias("_found"))
+    table = F.from_json(F.lit(json.dumps(rows)), _RULE)
+    tried = kept.select(*keys, "line_number", "line", "_found", F.explode(table).alias("_hit"))
+    possible = F.col("_hit.needles").isNull() | (
+        F.arrays_overlap("_found", "_hit.needles") & F.arrays_overlap("_found", "_hit.further")
+    )
+    return _findings(tried.where(possible).where(F.rlike("line", "_hit.pattern")), keys)
+
+
 def scan_security(files: DataFrame, rules=None, redact: bool = False) -> DataFrame:
     """Security findings of the ``source_files`` table, one row per file, line, category.
 

@@ -42,10 +42,10 @@ def _matches(pattern: str, line: str) -> str:
     return f"regexp_matches({line}, {_quote('(?i)' + pattern)})"
 
 
-def _rule_rows(lines: str, keys: str) -> str:
+def _rule_rows(lines: str, keys: str, rules=SECURITY_RULES) -> str:
     """Findings of a relation with ``line`` and ``line_number``."""
     arms = []
-    for i, rule in enumerate(SECURITY_RULES):
+    for i, rule in enumerate(rules):
         test = " OR ".join(_matches(p, "line") for p in rule.patterns)
         arms.append(
             f"SELECT {keys}, line_number, {_quote(rule.category)} AS category, {i} AS category_ord, "
@@ -549,6 +549,14 @@ def _raw_rules() -> str:
     )
 
 
+def _own_rules() -> str:
+    lines = _numbered_lines("SELECT doc_id, text AS content FROM documents", "doc_id")
+    return (
+        f"WITH raw AS MATERIALIZED ({lines}), hits AS ({_rule_rows('raw', 'doc_id', fx.own_rules())}) "
+        "SELECT doc_id, line_number, category, severity, code_snippet FROM hits"
+    )
+
+
 def all_sql() -> dict[str, str]:
     found = f"WITH {_SECURITY}"
     return {
@@ -566,6 +574,7 @@ def all_sql() -> dict[str, str]:
         "security_numbered": f"{found} SELECT repo, n, count(*) OVER (PARTITION BY repo) AS total, "
         f"file, line_number, category, severity FROM ({_RANKED}) r",
         "raw_text_rules": _raw_rules(),
+        "own_rules": _own_rules(),
         "path_filter_files": f"""SELECT repo, path, extension, skipped,
             extension IN ('.py', '.js', '.ts', '.jsx', '.tsx') AND NOT skipped AS scanned,
             ends_with(path, '.py') AND NOT skipped AS python,

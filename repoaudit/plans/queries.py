@@ -59,6 +59,13 @@ def security_numbered(spark, sf_dir):
     )
 
 
+def own_rules(spark, sf_dir):
+    """Rules of a caller, more of them than a plan takes as expressions, on whole documents."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("content"))
+    found = security.match_lines(fx.spread(rows), fx.own_rules())
+    return found.select("doc_id", "line_number", "category", "severity", "code_snippet")
+
+
 def raw_text_rules(spark, sf_dir):
     def texts(table: str, key: str, column: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(
@@ -313,6 +320,7 @@ ALL = {
         security_ranked_top10,
         security_numbered,
         raw_text_rules,
+        own_rules,
         path_filter_files,
         code_lines,
         manifest_files,

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from repoaudit.functions.literals import needed_literals
 from repoaudit.functions.text import ignore_case
 
 
@@ -18,8 +19,9 @@ class SecurityRule:
 
     ``needles`` runs parallel to ``patterns``. Each entry lists groups of lower-case
     ASCII strings; a line can only match the pattern if it holds one string of every
-    group. An empty entry means that nothing is known, so the pattern always runs. Groups
-    of single characters come first: each character is looked for once per line.
+    group. Where a caller gives none, they are read off the pattern. An empty entry means that
+    nothing is known, so the pattern always runs. Groups of single characters come first: each
+    character is looked for once per line.
     """
 
     category: str
@@ -525,12 +527,13 @@ def valid_rules(spark: SparkSession, rules) -> tuple[SecurityRule, ...]:
                     rule.severity,
                     rule.description,
                     tuple(java_pattern(rule.patterns[i]) for i in good),
-                    tuple(rule.needles_of(i) for i in good),
+                    tuple(rule.needles_of(i) or needed_literals(rule.patterns[i]) for i in good),
                 )
             )
-    searches = [F.lit("").rlike(ignore_case(p)) for rule in kept for p in rule.patterns]
+    written = [(ignore_case(p),) for rule in kept for p in rule.patterns]
     try:
-        spark.range(1).select(*searches).collect()
+        # As rows, so that the plan stays small whatever the number of patterns.
+        spark.createDataFrame(written, "pattern string").select(F.rlike(F.lit(""), "pattern")).collect()
     except Exception as error:  # Spark wraps what the regex engine raises
         raise ValueError(f"a pattern cannot be run: {error}") from error
     return tuple(kept)
