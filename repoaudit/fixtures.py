@@ -253,6 +253,26 @@ def v6_names() -> str:
     return V6_NAMES.replace("POPULAR", arms)
 
 
+# Long names with common beginnings; every other one is known, and the asked ones have up to three
+# changes: at the front, in the middle, at the end.
+LONG_NAME = (
+    "('lib-' || replace(p_name, ' ', '-') || '-for-' || lower(p_type) || '-' "
+    "|| CAST(p_partkey % 97 AS STRING) || '-' || substr(p_name, 1, 3) || CAST(p_size AS STRING))"
+)
+KNOWN_LONG_NAMES = f"SELECT DISTINCT {LONG_NAME} AS name FROM part WHERE p_partkey % 2 = 0"
+LONG_NAMES = f"""
+SELECT p_partkey, CASE p_partkey % 7
+    WHEN 0 THEN upper(long)
+    WHEN 1 THEN substr(long, 2)
+    WHEN 2 THEN substr(long, 1, 9) || 'q' || substr(long, 10)
+    WHEN 3 THEN 'x' || substr(long, 1, length(long) - 1)
+    WHEN 4 THEN substr(long, 1, 6) || substr(long, 9)
+    WHEN 5 THEN substr(long, 1, 12) || 'zz' || substr(long, 15)
+    ELSE 'py' || substr(long, 1, 11) || '_' || substr(long, 13) END AS name
+FROM (SELECT p_partkey, {LONG_NAME} AS long FROM part) t
+"""
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
@@ -353,3 +373,13 @@ def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def look_alikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "part")
     return spark.sql(v6_names())
+
+
+def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "part")
+    return spark.sql(LONG_NAMES)
+
+
+def known_long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables(spark, sf_dir, "part")
+    return spark.sql(KNOWN_LONG_NAMES).selectExpr("name", "0 AS ord")

@@ -12,6 +12,11 @@ from repoaudit.schemas import SIMILAR
 # Up to this many known names are compared in place; a longer list is joined.
 MAX_LITERAL_NAMES = 200
 
+# Known names of up to this length are joined on what deletions leave, longer ones on segments.
+SHORT = 8
+# A segment that as many known names share is joined together with the rest of the name.
+HOT_SEGMENT = 200
+
 
 def normalized(name: Column) -> Column:
     return text.strip(F.lower(name))
@@ -70,12 +75,65 @@ def _deletions(name: Column) -> Column:
     return F.transform(every, lambda s: F.xxhash64(s))
 
 
+def _segments(length: Column) -> list[tuple[Column, Column]]:
+    """Start and length of the three segments of a name; lengths differ by one at most."""
+    first, second = F.floor(length / 3), F.floor((length + 1) / 3)
+    one = F.lit(1).cast("bigint")
+    return [(one, first), (one + first, second), (one + first + second, F.floor((length + 2) / 3))]
+
+
+def _cut(name: Column, start: Column, size: Column) -> Column:
+    """A segment as a part of the key, and the name without it."""
+    return F.struct(
+        F.substr(name, start, size).alias("segment"),
+        F.concat(F.substr(name, F.lit(1), start - 1), F.substr(name, start + size)).alias("rest"),
+    )
+
+
+def _known_segments(target: DataFrame) -> DataFrame:
+    """A row per segment of each known name."""
+    cuts = [
+        F.struct(F.lit(i).alias("at"), _cut(F.col("target"), start, size).alias("cut"))
+        for i, (start, size) in enumerate(_segments(F.length("target")))
+    ]
+    rows = target.select("*", F.explode(F.array(*cuts)).alias("_cut"))
+    key = F.xxhash64(F.length("target"), "_cut.at", "_cut.cut.segment")
+    return rows.select(*target.columns, key.alias("key"), F.col("_cut.cut.rest").alias("rest"))
+
+
+def _name_segments(plain: DataFrame) -> DataFrame:
+    """Rows for all places at which a name can hold a segment of a known name close to it.
+
+    Two edits leave one of three segments as it is. Take the first such segment: every segment
+    before it holds an edit, so it is moved by at most their number on the left, and by at most
+    what is left of the two edits on the right. This leaves one place for the first and the
+    last segment and at most three for the middle one, for each of the five lengths in question.
+    """
+    name, own = F.col("plain"), F.length("plain")
+    cuts = []
+    for change in range(-MAX_TYPO_DISTANCE, MAX_TYPO_DISTANCE + 1):  # own length minus that of the known name
+        length = own - change
+        for i, (start, size) in enumerate(_segments(length)):
+            for move in range(max(-i, change - (2 - i)), min(i, change + (2 - i)) + 1):
+                place = start + move
+                fits = (length > SHORT) & (place >= 1) & (place + size <= own + 1)
+                key = F.struct(length.alias("length"), F.lit(i).alias("at"), _cut(name, place, size).alias("cut"))
+                cuts.append(F.when(fits, key))
+    rows = plain.select("*", F.explode(F.array_compact(F.array(*cuts))).alias("_cut"))
+    key = F.xxhash64("_cut.length", "_cut.at", "_cut.cut.segment")
+    return rows.select(*plain.columns, key.alias("key"), F.col("_cut.cut.rest").alias("rest"))
+
+
 def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs ``(name, known_name, ord, distance)`` at distance 1 or 2, for long lists.
 
-    ``names`` has a column ``name``; ``known`` has ``name`` and ``ord``. Each side is
-    expanded to its deletion keys and joined on them, then the distance is verified. Names
-    are distinct, and few names can share a remainder of given length, so no key is hot.
+    ``names`` has a column ``name``; ``known`` has ``name`` and ``ord``. Both sides are expanded
+    to keys and joined on them, then the distance is verified. For known names of at most
+    ``SHORT`` letters the keys are what is left without any two letters; few names share one. A longer
+    known name has three keys, its segments, and a name has one for each place at which it can
+    hold one of them: less than twenty, whatever its length. A segment that ``HOT_SEGMENT`` known
+    names or more have at one place, such as a common prefix, is joined together with what
+    the rest of the name is without any two letters, which again few names share.
     """
     plain = names.select("name").distinct().withColumn("plain", normalized(F.col("name")))
     target = known.select(
@@ -84,17 +142,37 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     # A name that is longer by more is not close to any, and would have very many keys.
     longest = target.agg(F.max(F.length("target"))).first()[0] or 0
     plain = plain.where(F.length("plain") <= longest + MAX_TYPO_DISTANCE)
-    left = plain.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
-    right = target.select("*", F.explode(_deletions(F.col("target"))).alias("key"))
+    pairs = _pairs_of_short(plain, target.where(F.length("target") <= SHORT))
+    if longest > SHORT:
+        pairs = pairs.unionByName(_pairs_by_segment(plain, target.where(F.length("target") > SHORT)))
     distance = close_distance(F.col("plain"), F.col("target"), MAX_TYPO_DISTANCE)
     return (
-        left.join(right, "key")
-        .select("name", "known_name", "ord", distance.alias("distance"))
+        pairs.select("name", "known_name", "ord", distance.alias("distance"))
         .where("distance is not null")
         .distinct()
     )
 
 
+def _pairs_of_short(plain: DataFrame, target: DataFrame) -> DataFrame:
+    some = plain.where(F.length("plain") <= SHORT + MAX_TYPO_DISTANCE)
+    left = some.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
+    right = target.select("*", F.explode(_deletions(F.col("target"))).alias("key"))
+    return left.join(right, "key").drop("key")
+
+
+def _pairs_by_segment(plain: DataFrame, target: DataFrame) -> DataFrame:
+    right = _known_segments(target)
+    hot = right.groupBy("key").count().where(F.col("count") >= HOT_SEGMENT).select("key", F.lit(True).alias("hot"))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        none = F.array(F.lit(0).cast("bigint"))
+        second = F.when(F.col("hot"), _deletions(F.col("rest"))).otherwise(none)
+        return rows.join(hot, "key", "left").withColumn("second", F.explode(second)).drop("hot", "rest")
+
+    joined = keyed(_name_segments(plain)).join(keyed(right), ["key", "second"])
+    return joined.drop("key", "second")
+
+
 def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:
     """Risk of each row of a table with a column ``name``.
 

@@ -599,6 +599,9 @@ def all_sql() -> dict[str, str]:
             known AS (SELECT name AS known, 0 AS ord FROM names WHERE name LIKE 'old%'),
             asked AS (SELECT name AS key, name FROM names)
             SELECT * EXCLUDE (key) FROM ({_similar("asked", "key", "known")}) s""",
+        "typosquat_long_names": f"""WITH asked AS MATERIALIZED ({fx.LONG_NAMES}),
+            known AS MATERIALIZED (SELECT name AS known, 0 AS ord FROM ({fx.KNOWN_LONG_NAMES}) k)
+            {_similar("asked", "p_partkey", "known")}""",
         "dependency_findings": f"WITH {_FINDINGS} SELECT * EXCLUDE (file_ord, pos) FROM dep",
         "dependency_findings_known_table": f"WITH {_findings(KNOWN)} SELECT * EXCLUDE (file_ord, pos) FROM dep",
         "dependency_summary": f"""WITH {_FINDINGS},

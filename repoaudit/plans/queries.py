@@ -164,6 +164,12 @@ def typosquat_known_table(spark, sf_dir):
     return rows.withColumn("similar_to", _similar_text("similar_to"))
 
 
+def typosquat_long_names(spark, sf_dir):
+    """Long names of all parts against a long table of known ones that share most of their letters."""
+    rows = typosquat_candidates(fx.long_names(spark, sf_dir), fx.known_long_names(spark, sf_dir))
+    return rows.withColumn("similar_to", _similar_text("similar_to"))
+
+
 def _dependencies(spark, sf_dir, known=POPULAR_PACKAGES) -> DataFrame:
     """Findings; look-alikes of the popular packages unless other names are given."""
     # The audit may read the metadata twice, so they are parsed before; a real snapshot is
@@ -335,6 +341,7 @@ ALL = {
         package_age_npm,
         typosquat_popular,
         typosquat_known_table,
+        typosquat_long_names,
         dependency_findings,
         dependency_findings_known_table,
         dependency_summary,

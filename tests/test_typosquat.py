@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoaudit.functions.similarity import equal_positions
-from repoaudit.operators import joins
+from repoaudit.operators import joins, typosquat
 from repoaudit.operators.typosquat import typosquat_candidates
 from repoaudit.rules import POPULAR_PACKAGES, popular_table
 
@@ -122,3 +122,40 @@ def test_join_with_hot_keys(spark, monkeypatch):
     assert sorted(map(str, got.select("k", "id", "v").collect())) == sorted(
         map(str, want.select("k", "id", "v").collect())
     )
+
+
+def edits(rng, name, letters, n):
+    for _ in range(n):
+        at = rng.randint(0, len(name))
+        kind = rng.randrange(3)
+        name = name[:at] + (rng.choice(letters) if kind else "") + name[at + (kind != 1) :]
+    return name
+
+
+@pytest.mark.parametrize("hot", [200, 2])
+def test_segments_find_every_close_pair(spark, monkeypatch, hot):
+    """Names of all lengths with 0 to 3 edits, with few letters so that segments recur, with common
+    beginnings and ends, against brute force; also where every shared segment counts as hot."""
+    monkeypatch.setattr(typosquat, "HOT_SEGMENT", hot)
+    rng = random.Random(21)
+    known = {"", "a", "ab", "abcdefgh", "abcdefghi"}
+    for _ in range(150):
+        core = "".join(rng.choice("abc") for _ in range(rng.randint(0, 24)))
+        known.add(rng.choice(["", "common-prefix-", "x"]) + core + rng.choice(["", "-suffix-of-all"]))
+    asked = {edits(rng, rng.choice(sorted(known)), "abcx-", rng.randint(0, 3)) for _ in range(500)} | {"Zz", " ABCDEFGHI "}
+    pairs = typosquat.close_pairs(
+        spark.createDataFrame([(n,) for n in asked], "name string"),
+        spark.createDataFrame([(n, i) for i, n in enumerate(sorted(known))], "name string, ord int"),
+    ).collect()
+    got = {(r.name, r.known_name): r.distance for r in pairs}
+    assert len(got) == len(pairs)
+    want = {(a, k): d for a in asked for k in known if 1 <= (d := _distance(a.strip().lower(), k)) <= 2}
+    assert got == want and len(want) > 300
+
+
+def test_keys_do_not_grow_with_the_name(spark):
+    for length in (20, 200, 2000):
+        name = "".join(random.Random(length).choice("abcdefghij") for _ in range(length))
+        row = spark.createDataFrame([(name, name)], "name string, plain string")
+        assert typosquat._name_segments(row).count() <= 19
+        assert typosquat._known_segments(row.select(F.col("name").alias("known_name"), F.lit(0).alias("ord"), F.col("plain").alias("target"))).count() == 3
