@@ -18,8 +18,10 @@ words by thin slices of that difference. So a source misses its target by little
 the size of one document, unless its documents are too few or its target is out of reach.
 
 Nulls: a null text has size 0, a null source is a source of its own and comes last. Empty
-documents are taken as often as their rate says, which adds no words. Equal keys get equal
-copies; ties in the threshold are taken or left together. An empty table gives an empty one.
+documents are taken as often as their rate says, which adds no words. Rows are rounded one by one:
+rows of one source, key (null or not) and size are numbered, each on its own number, and their hashes are
+moved on by number, so that they spread evenly. Which of them has which number makes no difference to
+the words taken from all of them. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -173,10 +175,42 @@ def _stepped(state: DataFrame) -> DataFrame:
     ).drop("_got", "_slope")
 
 
-def uniform(key: str) -> Column:
-    """A number from 0 to 1 that depends on the key alone."""
+def uniform(key: str, rank: str) -> Column:
+    """A number from 0 to 1 that depends on the key and on the row's number among equal rows, which
+    moves it on by the golden section, so that the numbers of a group lie evenly."""
     word = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 12), 16, 10)
-    return word.cast("double") / float(16**12)
+    moved = word.cast("double") / float(16**12) + F.col(rank) * F.lit(0.6180339887498949)
+    return moved - F.floor(moved)
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """Add ``_rank``: 0, 1, ... among rows that have source, key and size in common.
+
+    Groups of several rows are numbered partition by partition, so one that holds most of the table
+    is in no single task; the others stay where they are.
+    """
+    same = ["source", "_key", "size"]
+    groups = freeze(sized.groupBy(*same).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    if groups.isEmpty():
+        return sized.withColumn("_rank", F.lit(0).cast("bigint"))
+    rows = sized.withColumn("_id", F.monotonically_increasing_id())
+    names = [F.col(c).alias(f"_of_{c}") for c in same]
+    marked = groups.select(*names, F.lit(True).alias("_several"))
+    several = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in same]
+    found = rows.join(marked, several, "left").drop(*[f"_of_{c}" for c in same])
+    single = found.where("_several IS NULL").withColumn("_rank", F.lit(0).cast("bigint"))
+    part = F.shiftright("_id", 33)  # the id holds the partition in its upper bits
+    repeated = found.where("_several").withColumn("_part", part)
+    shares = repeated.groupBy("_part", *same).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shares = shares.select(
+        F.col("_part").alias("_of__part"), *names, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+    )
+    own = repeated.withColumn("_at", F.row_number().over(Window.partitionBy("_part", *same).orderBy("_id")))
+    joined = own.join(shares, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ["_part", *same]])
+    ranked = joined.withColumn("_rank", F.col("_before") + F.col("_at") - 1)
+    columns = [*sized.columns, "_rank"]
+    return single.select(*columns).unionByName(ranked.select(*columns))
 
 
 def _thresholds(rows: DataFrame, few: bool, unit: Column, at: Column, ahead: str) -> DataFrame:
@@ -199,10 +233,13 @@ def mix(
     text: str = "text",
     source: str = "source",
     weights: tuple[int, ...] = WEIGHTS,
+    keep: str | None = None,
 ) -> DataFrame:
-    """``(key, source, size, source_size, target, copies)`` per document."""
+    """``(key, source, size, source_size, target, copies)`` per row, and the column ``keep``, which a
+    caller can tell rows of equal keys apart by."""
+    own = [F.col(keep).alias("_kept")] if keep else []
     sized = freeze(
-        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), sizes(docs, text).alias("size"))
+        docs.select(F.col(key).alias("_key"), F.col(source).alias("source"), sizes(docs, text).alias("size"), *own)
     )
     counts = freeze(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = freeze(
@@ -217,11 +254,11 @@ def mix(
     )
     solved = solve(counts, goals, few)
 
-    rated = _join(_join(sized, goals.drop("largest"), few), solved, few).withColumn(
+    rated = _join(_join(freeze(_numbered(sized)), goals.drop("largest"), few), solved, few).withColumn(
         "_rate", F.when(F.col("largest") > 0, _rate(F.col("multiplier"), F.col("size"), F.col("largest"))).otherwise(1.0)
     )
     rated = rated.withColumn("_whole", F.floor("_rate")).withColumn(
-        "_at", uniform("_key") - (F.col("_rate") - F.col("_whole"))
+        "_at", uniform("_key", "_rank") - (F.col("_rate") - F.col("_whole"))
     )
     # What whole copies leave open, and the documents that may get one more.
     whole = rated.groupBy("source").agg(
@@ -253,6 +290,8 @@ def mix(
     rounded = freeze(
         _join(rated, limits, few).select(
             "_key",
+            "_rank",
+            *["_kept"] * bool(keep),
             "source",
             "size",
             "source_size",
@@ -260,12 +299,13 @@ def mix(
             (F.col("_whole") + F.when(more, 1).otherwise(0)).cast("int").alias("copies"),
         )
     )
-    return _topped_up(rounded, few).withColumnsRenamed({"_key": key, "source": source})
+    result = _topped_up(rounded, few).drop("_rank")
+    return result.withColumnsRenamed({"_key": key, "source": source, **({"_kept": keep} if keep else {})})
 
 
 def _topped_up(rows: DataFrame, few: bool) -> DataFrame:
-    """One more copy for the largest document that still fits below the target, ``TOP_UPS``
-    times per source."""
+    """One more copy for the largest row that still fits below the target, ``TOP_UPS`` times per
+    source."""
     for _ in range(TOP_UPS):
         left = F.first("target") - F.sum(F.col("size") * F.col("copies"))
         need = freeze(rows.groupBy("source").agg(left.alias("_need")))
@@ -274,11 +314,10 @@ def _topped_up(rows: DataFrame, few: bool) -> DataFrame:
             _join(rows, need, few)
             .where(fits)
             .groupBy("source")
-            .agg(F.max(F.struct("size", F.col("_key").alias("_best"))).alias("_pick"))
-            .select("source", "_pick._best")
+            .agg(F.max(F.struct("size", "_key", "_rank")).alias("_best"))
         )
-        one = F.when(F.col("_key") == F.col("_best"), 1).otherwise(0)
-        rows = _join(rows, best, few).withColumn("copies", F.least(F.col("copies") + one, F.lit(MAX_COPIES))).drop("_best")
+        is_best = F.struct("size", "_key", "_rank").eqNullSafe(F.col("_best"))
+        rows = _join(rows, best, few).withColumn("copies", F.col("copies") + F.when(is_best, 1).otherwise(0)).drop("_best")
     return rows
 
 

@@ -77,6 +77,21 @@ class TestJaccard:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_digest(df).collect()}
         assert got == self.brute(rows)
 
+    def test_null_and_repeated_keys(self, spark):
+        """A third of the keys null, a third repeated: every row is linked by its own text."""
+        texts = random_texts(6)
+        keys = [None if i % 3 == 0 else 1000 if i % 3 == 1 else i for i in range(len(texts))]
+        df = spark.createDataFrame([(k, t) for k, t in zip(keys, texts)], "doc_id long, text string")
+        want = Counter()
+        components_of = self.brute(list(enumerate(texts)))
+        for i, (n, component) in components_of.items():
+            own = [keys[j] for j, (_, c) in components_of.items() if c == component and keys[j] is not None]
+            want[keys[i], n, min(own, default=None)] += 1
+        assert Counter(tuple(r) for r in jaccard.jaccard_digest(df).select("doc_id", "n_shingles", "component_id").collect()) == want
+        a = " ".join(f"w{i}" for i in range(100))
+        pair = spark.createDataFrame([(None, a), (5, a + " x")], "doc_id long, text string")
+        assert {r.component_id for r in jaccard.jaccard_digest(pair).collect()} == {5}
+
     def test_empty_table(self, spark):
         assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -110,9 +125,11 @@ class TestVectors:
         plain = base.astype(np.float32).astype(float).tolist()
         return list(enumerate(plain + odd + plain[:5]))
 
-    @pytest.mark.parametrize("block", [2048, 7])
-    def test_links_equal_brute_force(self, spark, monkeypatch, block):
+    @pytest.mark.parametrize("block,one_level", [(2048, 256), (7, 2)])
+    def test_links_equal_brute_force(self, spark, monkeypatch, block, one_level):
         monkeypatch.setattr(vectors, "BLOCK", block)
+        monkeypatch.setattr(vectors, "ONE_LEVEL", one_level)  # 2: centres in two levels
+        monkeypatch.setattr(vectors, "AT_ONCE", 50)
         rows = self.rows()
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         usable = {k: np.array(v, float) for k, v in rows if v and None not in v and np.isfinite(v).all() and any(v)}
@@ -129,6 +146,24 @@ class TestVectors:
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.vectors_digest(df).collect()}
         assert got == {k: (degree[k], label[k], label[k] == k) for k, _ in rows}
 
+    def test_null_and_repeated_keys(self, spark):
+        rows = [(None, [1.0, 0.0]), (None, [1.0, 0.001]), (7, [1.0, 0.002]), (7, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, None)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = Counter(tuple(r) for r in vectors.vectors_digest(df).collect())
+        assert got == Counter(
+            {(None, 2, 7, False): 2, (7, 2, 7, True): 1, (7, 0, 7, True): 1, (None, 0, None, True): 2}
+        )
+
+    def test_probes_reach_every_neighbour(self):
+        rng = np.random.default_rng(9)
+        x = vectors._normal(rng.normal(size=(400, 6)) + 2 * rng.integers(0, 2, size=(400, 1)))
+        index = vectors.Index(x, 10_000)
+        assert len(index.centres) > len(vectors.Index(x[:100], 100).centres)
+        near, _, _ = index.encode(x)
+        probes = index.probes(x, near)
+        a, b = np.nonzero(x @ x.T >= vectors.MIN_COSINE)
+        assert probes[a, near[b]].all() and probes.mean() < 0.9
+
     def test_only_unusable_or_no_vectors(self, spark):
         df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
         assert sorted(tuple(r) for r in vectors.vectors_digest(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
@@ -201,6 +236,27 @@ class TestMixing:
         assert mixing.mix(df).count() == 0
 
 
+    @pytest.mark.parametrize("several", [1, None])
+    def test_rows_of_one_key_are_rounded_one_by_one(self, spark, several):
+        rows = [(several, "w " * 10, "a") for _ in range(300)] + [(i, "w " * 10, "a") for i in range(2, 102)]
+        rows += [(i, "w " * 7, "b") for i in range(1000, 1300)] + [(2000, "w " * 9, "c")] * 50
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        once, twice = (sorted(map(tuple, mixing.mix(d).collect()), key=str) for d in (df, df.repartition(3)))
+        assert once == twice and len(once) == len(rows)
+        taken, target = Counter(), {}
+        for _, source, n, _, goal, copies in once:
+            taken[source] += n * copies
+            target[source] = goal
+        assert all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+
+    def test_a_column_tells_rows_apart(self, spark):
+        rows = [(None if i % 3 else 4, "w " * (i % 5), "s", i) for i in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long")
+        found = mixing.mix(df, keep="row").collect()
+        assert len(found) == 60
+        assert {(r.row, r.doc_id, r["size"]) for r in found} == {(i, k, i % 5) for k, _, _, i in rows}
+
+
 class TestPacking:
     def test_pieces_and_places(self, spark):
         tokenizer = wordbpe.load().library
@@ -289,6 +345,19 @@ class TestToxicity:
         assert toxicity.toxicity_digest(docs, marks).first().score == 0.0
         assert toxicity.toxicity_digest(docs.limit(0), marks).count() == 0
 
+    def test_sample_is_bounded_when_one_key_repeats(self, spark, monkeypatch):
+        monkeypatch.setattr(toxicity, "MAX_TRAIN", 5)
+        docs = spark.range(900).select(
+            F.when(F.col("id") < 500, F.lit(3)).otherwise(F.col("id")).alias("doc_id"),
+            F.when(F.col("id") < 300, F.lit("same")).otherwise(F.concat(F.lit("text "), "id")).alias("text"),
+        )
+        marks = spark.range(900).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+        rows = toxicity.training_rows(docs, marks.unionByName(marks), "doc_id", "text", "toxic").collect()
+        assert Counter(r._label for r in rows) == {0: 5, 1: 5}
+        assert len({(r._key, r._text) for r in rows}) == 10
+        kept = {r.doc_id for r in docs.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+        assert all(r._key in kept for r in rows)
+
 
 class TestRepeatedKeysInPacking:
     def test_rests_of_one_key_are_spread(self, spark, monkeypatch):
