@@ -15,8 +15,7 @@ the last return the columns of ``documents``.
 Nulls and repeated rows: documents are told apart by row, not by id. Documents with a null id, or
 with an id that others have too, pass all stages like any other. Equal texts are linked, so a
 repeated row goes with ngram_jaccard, unless its text is null or has no words: those are linked to
-none and all stay. In mixing, documents of one source with equal ids (or null ids) and equal sizes
-get equal copies. A null text stays null and has no words; a null source is a source of its own.
+none and all stay. A null text stays null and has no words; a null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -51,12 +50,9 @@ def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeat_by_source(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Copies depend on id, source and size alone.
-    names = ("doc_id", "source", "size")
-    copies = mixing.mix(docs).where("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in names], "copies").distinct()
-    sized = docs.withColumn("size", mixing.sizes(docs, "text"))
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
-    repeated = sized.join(copies, same)
+    rows = freeze(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")))
+    copies = mixing.mix(rows, keep="_row").where("copies > 0").select(F.col("_row").alias("_at"), "copies")
+    repeated = rows.join(copies, F.col("_row") == F.col("_at"))
     return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
