@@ -7,9 +7,10 @@ exact: it loses no link, and every link is checked on the whole sets.
    are one class, whose least key stands for all of them, so copies cost nothing below.
 2. Classes that can link. Linked sets share at least ``k`` of their first ``n - c + k`` hashes
    in the order of hashes, for any k, where c is the least overlap that a set of size n needs.
-   With k a tenth of the set, only a third of the hashes is shuffled. A class goes on if that
-   many of them occur in another class. Hashes that many texts of a bounded sample have are
-   taken as shared and spread before the shuffle, which lets more classes go on, never fewer.
+   With k a tenth of the set, only a third of the hashes is shuffled, once for each class and
+   task. A class goes on if that many of them occur in another class. Hashes that many texts of a
+   bounded sample have are taken as shared and spread before the shuffle, which lets more classes
+   go on, never fewer. One text of each class that goes on, told by its hash, gives the whole set.
 3. Order. Hashes of the classes that go on are counted, and each set ordered from rare to
    frequent. Linked sets now share one of their first ``n - c + 1`` hashes and two of their
    first ``n - c + 2``; what is frequent comes late and is seldom among these.
@@ -20,15 +21,17 @@ exact: it loses no link, and every link is checked on the whole sets.
    computed from counts by size.
 5. Links. In some rounds, each set is compared with one that stands for its list, another one
    each time, and components are formed; so groups of near copies join without comparing all
-   with all. Then all sets of a list that still lie in different components are compared, if
-   their sizes and the places of the common hash allow a link.
+   with all. A list whose sets have all come together is dropped after each round. Then all sets
+   of a list that still lie in different components are compared, if their sizes and the places of
+   the common hash allow a link.
 
 Memory of a task: a batch of texts, or the sort buffers of a shuffle. Nothing that grows with
 the table is broadcast or collected.
 
 Texts of null, or without words, have an empty set, no links and themselves as component.
-Sets of fewer than five words hold the whole sequence. Repeated keys count as copies. An empty
-table gives an empty one. Other columns are not looked at.
+Sets of fewer than five words hold the whole sequence. Rows are linked by their sets, so rows of
+one key, or of none, are rows of their own; a null key is the greatest, and the component of rows that
+all have none is null. An empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ SHARE = 10
 SAMPLE, FREQUENT = 2000, 20
 #: Rounds in which each list compares its sets with one of them, before all pairs left over.
 STAR_ROUNDS = 4
+#: Classes that a task remembers to have sent.
+REMEMBERED = 1_000_000
 #: Bits of a number that say how frequent a hash is; the rest are the hash.
 RARITY = 6
 #: Classes that go on are broadcast to find their texts if they are no more than this.
@@ -86,6 +91,7 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
 
 
 def _sets(batches, what):
+    seen: set[int] = set()
     for batch in bounded(batches, 1):
         found = shingles(plain_texts(batch.column(1)))
         sizes = np.array([len(s) for s in found], np.int64)
@@ -93,10 +99,15 @@ def _sets(batches, what):
         marks = np.array([digest(s.tobytes()) for s in found], np.uint64).view(np.int64)
         known = sizes > 0
         if what == "classes":
-            arrays = [batch.column(0), pa.array(sizes), pa.array(marks, mask=~known)]
-            yield pa.RecordBatch.from_arrays(arrays, ["_key", "n", "mark"])
+            arrays = [batch.column(0), batch.column(2), pa.array(sizes), pa.array(marks, mask=~known)]
+            yield pa.RecordBatch.from_arrays(arrays, ["_key", "_hash", "n", "mark"])
             continue
         if what == "prefix":
+            # A class comes once from a task, as long as the task remembers it.
+            fresh = [bool(k) and m not in seen and not seen.add(m) for m, k in zip(marks.tolist(), known)]
+            known = np.array(fresh, bool)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             need = least_overlap(sizes)
             length = np.minimum(sizes, sizes - need + -(-sizes // SHARE))
         else:
@@ -124,49 +135,53 @@ _HASHES = "mark bigint, n bigint, hashes array<bigint>"
 
 
 def _frequent(texts: DataFrame) -> DataFrame:
-    """``(hash)`` that many texts of a bounded sample have, be they copies or not. The sample
-    fits into one task, and so do the hashes, at most SAMPLE / FREQUENT per hash of a text."""
+    """``(hash)`` that many texts of a bounded sample have. The texts are chosen by their hashes, so
+    only those of the sample are moved. The sample fits into one task, and so do the hashes, at
+    most SAMPLE / FREQUENT per hash of a text."""
 
     def counted(batches):
         own = [s for batch in bounded(batches, 1) for s in shingles(plain_texts(batch.column(1)))]
         found, times = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(found[times >= FREQUENT].view(np.int64))], ["hash"])
 
-    sample = texts.orderBy(F.xxhash64("_key"), "_key").limit(SAMPLE).repartition(1)
-    return freeze(sample.mapInArrow(counted, "hash bigint"))
+    chosen = texts.select("_hash").distinct().orderBy("_hash").limit(SAMPLE)
+    sample = texts.join(F.broadcast(chosen), "_hash").groupBy("_hash").agg(F.first("_text").alias("_text"))
+    return freeze(sample.repartition(1).mapInArrow(counted, "hash bigint"))
 
 
 def _able(texts: DataFrame) -> DataFrame:
-    """``(mark, hits)``: how many of the first hashes of a class occur in another class, times
-    the number of its copies."""
+    """``(mark, hits, times)``: how many of the first hashes of a class occur in another class, in all
+    the times that it was sent."""
     settled = F.broadcast(_frequent(texts).withColumn("_known", F.lit(1)))
-    rows = texts.mapInArrow(_prefixes, _HASHES).select("mark", F.explode("hashes").alias("hash"))
+    sent = F.explode(F.concat("hashes", F.array(F.lit(None).cast("bigint"))))  # null counts the times
+    rows = texts.mapInArrow(_prefixes, _HASHES).select("mark", sent.alias("hash"))
     rows = rows.join(settled, "hash", "left")
-    # What is settled needs no company in its task, so it is spread.
-    known = F.col("_known").isNotNull()
-    of_hash = Window.partitionBy(F.when(known, F.xxhash64("hash", "mark")).otherwise(F.col("hash")))
+    # What is settled needs no company in its task, so it is spread, and so are the nulls.
+    alone = F.col("_known").isNotNull() | F.col("hash").isNull()
+    of_hash = Window.partitionBy(F.when(alone, F.xxhash64("hash", "mark")).otherwise(F.col("hash")))
     several = F.min("mark").over(of_hash) != F.max("mark").over(of_hash)
-    hits = rows.select("mark", known.alias("_settled"), several.alias("_several"))
-    return hits.where("_settled OR _several").groupBy("mark").agg(F.count("*").alias("hits"))
+    once = F.col("hash").isNull()
+    hits = rows.select("mark", once.alias("_once"), (~once & (alone | several)).alias("_hit"))
+    return hits.where("_once OR _hit").groupBy("mark").agg(F.count_if("_hit").alias("hits"), F.count_if("_once").alias("times"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component)`` per row; the component is the least key it reaches."""
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     kind = docs.schema[key].dataType.simpleString()
-    classes = freeze(texts.mapInArrow(_classes, f"_key {kind}, n bigint, mark bigint"))
+    classes = freeze(texts.mapInArrow(_classes, f"_key {kind}, _hash bigint, n bigint, mark bigint"))
     heads = freeze(
         classes.where("mark IS NOT NULL")
         .groupBy("mark")
-        .agg(F.min("_key").alias("head"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    )
-    need = F.ceil(F.col("n") / SHARE) * F.col("copies")
-    able = freeze(
-        heads.join(_able(texts), "mark").where(F.col("hits") >= need).select(F.col("head").alias("_head"))
+        .agg(F.min("_key").alias("head"), F.min("_hash").alias("_hash"), F.first("n").alias("n"))
     )
+    enough = F.col("hits") >= F.ceil(F.col("n") / SHARE) * F.col("times")
+    able = freeze(heads.join(_able(texts), "mark").where(enough).select("_hash").distinct())
     able = F.broadcast(able) if able.count() <= FEW else able
-    chosen = texts.join(able, texts["_key"] == able["_head"], "left_semi")
-    labels = components(_links(chosen.mapInArrow(_whole, _HASHES)))
+    # Copies of a text become one where they are read.
+    chosen = texts.join(able, "_hash", "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
+    sets = chosen.select("_hash", "_text").mapInArrow(_whole, _HASHES)
+    labels = components(_links(sets, heads.select("mark", "n")))
     # The component of a class is that of its least key, over all classes it holds.
     named = labels.join(heads.select("mark", "head"), labels["node"] == heads["mark"])
     least = named.groupBy("label").agg(F.min("head").alias("component"))
@@ -181,9 +196,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def _links(sets: DataFrame) -> DataFrame:
+def _links(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between marks that hold the components together."""
-    rows = sets.select("mark", "n", F.explode("hashes").alias("hash"))
+    rows = sets.select("mark", F.explode("hashes").alias("hash"))
     times = F.count("*").over(Window.partitionBy("hash")).alias("times")
     # Hashes of one set alone come first and match nothing: their number is all that is needed.
     # The others are kept as one number each: the logarithm of how many sets hold the hash in
@@ -191,18 +206,26 @@ def _links(sets: DataFrame) -> DataFrame:
     rarity = F.floor(F.log2(F.col("times").cast("double"))).cast("bigint")
     packed = F.shiftleft(rarity, 64 - RARITY) + F.shiftrightunsigned("hash", RARITY)
     ordered = freeze(
-        rows.select("mark", "n", "hash", times)
+        rows.select("mark", "hash", times)
         .where("times > 1")
-        .groupBy("mark", "n")
-        .agg(F.array_sort(F.collect_list(packed)).alias("common"))
+        .select("mark", packed.alias("_packed"))
+        .groupBy("mark")
+        .agg(F.array_sort(F.collect_list("_packed")).alias("common"))
+        .join(sizes, "mark")
         .withColumn("alone", F.col("n") - F.size("common"))
     )
     lists = freeze(_lists(ordered, _boundary(ordered)))
     shared = ordered.select("mark", "n", F.col("common").alias("hashes"))
-    found = lists.select("mark").distinct().withColumn("label", F.col("mark"))
-    seen = links = None
+    found = seen = links = None
     for turn in range(STAR_ROUNDS + 1):
-        labelled = lists.join(found, "mark")
+        if found is None:
+            labelled = lists.withColumn("label", F.col("mark"))
+        else:
+            lists = freeze(_open(lists.join(found, "mark")))
+            if lists.isEmpty():
+                break
+            labelled = lists
+            lists = lists.drop("label")
         pairs = _stars(labelled, turn) if turn < STAR_ROUNDS else _rest(labelled)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
@@ -213,13 +236,20 @@ def _links(sets: DataFrame) -> DataFrame:
         if turn < STAR_ROUNDS:
             named = components(links).withColumnRenamed("label", "_label")
             found = freeze(
-                found.select("mark")
+                lists.select("mark")
+                .distinct()
                 .join(named, F.col("mark") == F.col("node"), "left")
                 .select("mark", F.coalesce("_label", "mark").alias("label"))
             )
     return links
 
 
+def _open(lists: DataFrame) -> DataFrame:
+    """The lists that hold sets of different components."""
+    several = lists.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
+    return lists.join(several.where("_a <> _b").select("list"), "list", "left_semi")
+
+
 def _first(n: Column, alone: Column, k: int) -> Column:
     """How many of the common hashes lie among the first n - c + k of the set."""
     need = F.ceil(n * THRESHOLD / 100)
@@ -295,10 +325,8 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that lie in different components and may link by size and place."""
-    several = lists.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
-    rows = lists.join(several.where("_a <> _b").select("list"), "list", "left_semi")
-    left, right = rows.alias("l"), rows.alias("r")
+    """All pairs of open lists that lie in different components and may link by size and place."""
+    left, right = lists.alias("l"), lists.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))
     most = F.least(n - F.col("l.place"), m - F.col("r.place")) + 1
