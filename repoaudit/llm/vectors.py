@@ -5,8 +5,10 @@ of at most ``REACH``.
 
 1. Classes. Equal vectors are one class with a count; copies cost nothing below.
 2. Index. Coarse centres and, for the residuals, a codebook per subspace are fitted by k-means
-   on a bounded sample (``SAMPLE`` classes). Every class is indexed: its nearest centre, one
-   code per subspace, and how far its reconstruction lies from it.
+   on a bounded sample (``SAMPLE`` classes). The number of centres grows with the square root of the
+   number of classes, up to an eighth of the sample; where they are many, they are fitted
+   in two levels. Every class is indexed: its nearest centre, one code per subspace, and how
+   far its reconstruction lies from it.
 3. Probes. A class searches each list that can hold a neighbour. A neighbour in the list of
    another centre lies beyond the plane halfway between the two centres, so lists whose plane
    is farther than REACH are left out, and no other.
@@ -23,7 +25,8 @@ links join, at most one per vector in it; links themselves are not emitted.
 
 Vectors that are null, empty, zero, or hold a null or a component that is not finite link with
 nothing. Vectors of different lengths never link. Repeated keys count as vectors of their own
-but share their class. An empty table gives an empty one. Other columns are not looked at.
+but share their class. Null keys are the greatest; a component of null keys alone is null, and
+``kept`` compares null-safe. An empty table gives an empty one. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -37,12 +40,14 @@ from repoaudit.session import freeze
 
 MIN_COSINE = 0.95
 REACH = float(np.sqrt(2 - 2 * MIN_COSINE)) + 1e-9
-#: Classes that the index is fitted on, at most; centres per square root of the sample.
-SAMPLE, CENTRES = 8192, 0.7
+#: Classes that the index is fitted on, at most; centres per square root of all classes.
+SAMPLE, CENTRES = 16_384, 0.7
+#: Centres beyond which they are fitted in two levels; vectors whose distances are taken at once.
+ONE_LEVEL, AT_ONCE = 256, 1024
 #: Parts of a vector with a codebook each, codes per book, rounds of k-means.
 SUBSPACES, CODES, ROUNDS = 8, 64, 12
-#: Members per block, about.
-BLOCK = 2048
+#: Members per block, about, and queries whose distances to a block are held at once.
+BLOCK, QUERIES = 1024, 128
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -58,15 +63,31 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmin((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1)
+    square = (centres**2).sum(axis=1)
+    parts = [np.argmin(square - 2 * x[i : i + AT_ONCE] @ centres.T, axis=1) for i in range(0, len(x), AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _coarse(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centres: at once, or first few and then some more around each of them."""
+    if k <= ONE_LEVEL:
+        return _kmeans(x, k, 1)
+    upper = _kmeans(x, int(np.sqrt(k)), 1)
+    near = _nearest(x, upper)
+    own = [x[near == i] for i in range(len(upper))]
+    return np.concatenate([_kmeans(o, max(1, round(k * len(o) / len(x))), 1) for o in own if len(o)])
 
 
 class Index:
-    """Coarse centres and residual codebooks for unit vectors of one length."""
+    """Coarse centres and residual codebooks for unit vectors of one length.
 
-    def __init__(self, x: np.ndarray):
+    ``number`` is that of all vectors, of which ``x`` is a sample.
+    """
+
+    def __init__(self, x: np.ndarray, number: int | None = None):
         self.length = x.shape[1]
-        self.centres = _kmeans(x, max(1, int(CENTRES * np.sqrt(len(x)))), 1)
+        wanted = CENTRES * np.sqrt(len(x) if number is None else number)
+        self.centres = _coarse(x, max(1, int(min(wanted, max(len(x) / 8, CENTRES * np.sqrt(len(x)))))))
         rest = x - self.centres[_nearest(x, self.centres)]
         bounds = np.linspace(0, self.length, min(SUBSPACES, self.length) + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -81,15 +102,19 @@ class Index:
         return near, codes, np.sqrt(((rest - back) ** 2).sum(axis=1))
 
     def probes(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """For each vector whether each list can hold a vector within REACH."""
-        square = ((x[:, None, :] - self.centres[None]) ** 2).sum(axis=2) if len(x) * len(self.centres) < 4_000_000 else (
-            (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(axis=1)
-        )
+        """For each vector whether each list can hold a vector within REACH.
+
+        With ``2xc`` taken from the squares, no array is larger than vectors x centres.
+        """
+        size = (self.centres**2).sum(axis=1)
+        apart = size[near][:, None] + size[None] - 2 * self.centres[near] @ self.centres.T
+        square = (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + size
         own = square[np.arange(len(x)), near]
-        between = np.sqrt(((self.centres[near][:, None] - self.centres[None]) ** 2).sum(axis=2))
+        between = np.sqrt(np.maximum(apart, 0))
+        # Centres as good as equal tell nothing apart.
         with np.errstate(divide="ignore", invalid="ignore"):
             plane = (square - own[:, None]) / (2 * between)
-        return np.where(between > 0, plane <= REACH + 1e-6, True)
+        return np.where(between > 1e-4, plane <= REACH + 1e-6, True)
 
     def lower_bounds(self, q: np.ndarray, cell: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
         """How near each query can be to each member of a list, from table lookups."""
@@ -102,6 +127,13 @@ class Index:
         return np.sqrt(np.maximum(square, 0)) - error[None]
 
 
+def _parts(frames):
+    """Frames of ``AT_ONCE`` rows at most, none of them empty."""
+    for frame in frames:
+        for i in range(0, len(frame), AT_ONCE):
+            yield frame.iloc[i : i + AT_ONCE]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -192,13 +224,13 @@ def _search(heads: DataFrame) -> DataFrame:
     classes that a class links with, in parts, and ``(code, other)``, edges that join them."""
     spark = heads.sparkSession
     sample = heads.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("x").toPandas()
-    index = spark.sparkContext.broadcast(Index(_normal(_matrix(sample["x"]))))
+    number = heads.count()
+    index = spark.sparkContext.broadcast(Index(_normal(_matrix(sample["x"])), number))
 
     def encoded(frames):
-        for frame in frames:
-            if len(frame):
-                near, codes, error = index.value.encode(_normal(_matrix(frame["x"])))
-                yield frame.assign(cell=near, codes=list(codes.astype(np.int32)), error=error)
+        for frame in _parts(frames):
+            near, codes, error = index.value.encode(_normal(_matrix(frame["x"])))
+            yield frame.assign(cell=near, codes=list(codes.astype(np.int32)), error=error)
 
     schema = "code bigint, copies bigint, x array<double>, cell int, codes array<int>, error double"
     members = freeze(heads.select("code", "copies", "x").mapInPandas(encoded, schema))
@@ -206,13 +238,12 @@ def _search(heads: DataFrame) -> DataFrame:
     sizes = F.broadcast(freeze(sizes))  # one row per centre
 
     def probing(frames):
-        for frame in frames:
-            if len(frame):
-                x = _normal(_matrix(frame["x"]))
-                at, cell = np.nonzero(index.value.probes(x, frame["cell"].to_numpy()))
-                yield pd.DataFrame({"code": frame["code"].to_numpy()[at], "x": frame["x"].to_numpy()[at], "own": frame["cell"].to_numpy()[at], "cell": cell})
+        for frame in _parts(frames):
+            x = _normal(_matrix(frame["x"]))
+            at, cell = np.nonzero(index.value.probes(x, frame["cell"].to_numpy()))
+            yield pd.DataFrame({"code": frame["code"].to_numpy()[at], "x": frame["x"].to_numpy()[at], "cell": cell})
 
-    queries = members.select("code", "x", "cell").mapInPandas(probing, "code bigint, x array<double>, own int, cell int")
+    queries = members.select("code", "x", "cell").mapInPandas(probing, "code bigint, x array<double>, cell int")
     # Each block of members meets each block of its list's queries once.
     loads = F.broadcast(freeze(queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("loads"))))
     block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
@@ -230,16 +261,16 @@ def _search(heads: DataFrame) -> DataFrame:
             return pd.DataFrame({"code": [], "n": [], "other": []})
         q, m = q.sort_values("code"), m.sort_values("code")
         xq, xm = _normal(_matrix(q["x"])), _normal(_matrix(m["x"]))
-        near = index.value.lower_bounds(xq, int(keys[0]), np.stack(m["codes"].to_numpy()), m["error"].to_numpy()) <= REACH + 1e-6
         cq, cm = q["code"].to_numpy(), m["code"].to_numpy()
-        near &= cq[:, None] != cm[None]
-        a, b = np.nonzero(near)
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 100_000):
-            s = slice(i, i + 100_000)
-            ok[s] = (xq[a[s]] * xm[b[s]]).sum(axis=1) >= MIN_COSINE
-        linked = np.zeros(near.shape, bool)
-        linked[a[ok], b[ok]] = True
+        codes, error = np.stack(m["codes"].to_numpy()), m["error"].to_numpy()
+        linked = np.zeros((len(cq), len(cm)), bool)
+        for i in range(0, len(cq), QUERIES):
+            near = index.value.lower_bounds(xq[i : i + QUERIES], int(keys[0]), codes, error) <= REACH + 1e-6
+            near &= cq[i : i + QUERIES, None] != cm[None]
+            a, b = np.nonzero(near)
+            for j in range(0, len(a), 4 * BLOCK):
+                at, to = a[j : j + 4 * BLOCK] + i, b[j : j + 4 * BLOCK]
+                linked[at, to] = (xq[at] * xm[to]).sum(axis=1) >= MIN_COSINE
         n = linked @ m["copies"].to_numpy()
         joins = _local_edges(linked, cq, cm)
         some = np.nonzero(n)[0]
@@ -265,5 +296,5 @@ def vectors_digest(vectors: DataFrame) -> DataFrame:
         "vec_id",
         "n_links",
         F.col("component").alias("component_id"),
-        (F.col("component") == F.col("vec_id")).alias("kept"),
+        F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"),
     )
