@@ -16,7 +16,8 @@ words are summed as logarithms.
    than one in ``HOT`` of all are joined by broadcast, so no task gets most of the rows.
 
 Null and empty texts have no words and the score 0. Texts start with a mark that has a number of
-its own. Repeated keys are separate rows of one text each and are scored as one text. An empty
+its own. Every row is scored by itself, told from others by its number: rows of one key are in one
+fold, and rows without a key are in folds by their text, so that they do not all share one. An empty
 table gives an empty one; other columns are not looked at.
 """
 
@@ -42,13 +43,17 @@ def fold(key: Column) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(2)).cast("int")
 
 
+def _fold_of(key: str, text: str) -> Column:
+    return F.when(F.col(key).isNull(), fold(F.coalesce(F.col(text), F.lit("")))).otherwise(fold(F.col(key)))
+
+
 def _names(order: int) -> list[str]:
     return [f"w{i}" for i in range(order)]
 
 
 def _ngrams(order: int, per_text: bool):
-    """A function that turns batches ``(key, fold, text)`` into n-grams with counts: of each
-    text, or of each batch and fold."""
+    """A function that turns batches ``(key, fold, text, row)`` into n-grams with counts: of each
+    text, or of each batch and fold. Each text also has a row of no n-gram that carries its key."""
 
     def made(batches):
         for batch in bounded(batches, 2):
@@ -70,12 +75,15 @@ def _ngrams(order: int, per_text: bool):
             begin = np.flatnonzero(new)
             times = np.diff(np.append(begin, len(part)))
             own = pa.array(part[begin])
-            yield pa.RecordBatch.from_arrays(
-                [pc.take(batch.column(0), own) if per_text else own.cast(pa.int32())]
-                + [pa.array(g[begin]) for g in gram]
-                + [pa.array(times.astype(np.int64))],
-                ["_key" if per_text else "fold", *_names(order), "times"],
-            )
+            grams = [pa.array(g[begin]) for g in gram] + [pa.array(times.astype(np.int64))]
+            if not per_text:
+                yield pa.RecordBatch.from_arrays([own.cast(pa.int32()), *grams], ["fold", *_names(order), "times"])
+                continue
+            names = ["_row", "fold", "_key", *_names(order), "times"]
+            key, folds, _, row = batch.columns
+            yield pa.RecordBatch.from_arrays([row.take(own), folds.take(own), pa.nulls(len(own), key.type), *grams], names)
+            nothing = [pa.nulls(len(batch), pa.int64())] * order
+            yield pa.RecordBatch.from_arrays([row, folds, key, *nothing, pa.array(np.zeros(len(batch), np.int64))], names)
 
     return made
 
@@ -135,23 +143,23 @@ def _scored(texts: DataFrame, order: int) -> tuple[DataFrame, float]:
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
-    """``(key, n_words, log_score)`` per key."""
+    """``(key, n_words, log_score)`` per row."""
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(key).alias("_key"), fold(F.col(key)).alias("fold"), F.col(text).alias("_text"))
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    texts = texts.select("_key", _fold_of("_key", "_text").alias("fold"), "_text", F.monotonically_increasing_id().alias("_row"))
     scored, least = _scored(texts, order)
     names = _names(order)
     rows = texts.mapInArrow(
-        _ngrams(order, True), f"_key {kind}, {', '.join(f'{n} bigint' for n in names)}, times bigint"
+        _ngrams(order, True), f"_row bigint, fold int, _key {kind}, {', '.join(f'{n} bigint' for n in names)}, times bigint"
     )
     rows = _look_up(rows, names, scored, ["s0", "s1"], least)
-    own = F.when(fold(F.col("_key")) == 0, F.col("_s0")).otherwise(F.col("_s1"))
-    summed = rows.groupBy("_key").agg(F.sum("times").alias("n_words"), F.sum(F.col("times") * own).alias("log_score"))
-    named = docs.select(F.col(key)).distinct()
-    return named.join(summed, F.col(key).eqNullSafe(F.col("_key")), "left").select(
-        key,
-        F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"),
-        F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
+    own = F.when(F.col("fold") == 0, F.col("_s0")).otherwise(F.col("_s1"))
+    summed = rows.groupBy("_row").agg(
+        F.first("_key", ignorenulls=True).alias("_key"),
+        F.sum("times").alias("n_words"),
+        F.coalesce(F.sum(F.col("times") * own), F.lit(0.0)).alias("log_score"),
     )
+    return summed.select(F.col("_key").alias(key), "n_words", "log_score")
 
 
 def lm_digest(docs: DataFrame) -> DataFrame:
