@@ -10,7 +10,7 @@ Cases. Of several calls with one identifier in one conversation the earliest cou
 are ``duplicate``, rows of their own where asked for; so are results. A call without result is ``unanswered``, a result without call
 ``orphan``. A call that depends on an identifier that is not there ignores it. Calls on a cycle,
 or after one, have no level and sort last, as ``cyclic``. Arguments that are null, empty or no
-JSON object are invalid; so are NaN and infinities. Null identifiers never match: calls and
+JSON object are invalid; so are NaN, infinities and lone surrogates. Null identifiers never match: calls and
 results without one, or without a conversation, stay rows of their own, unanswered or orphan. An empty table
 gives an empty one; columns other than those named are not looked at.
 
@@ -68,7 +68,9 @@ def canonical(text: str | None) -> str | None:
     """Canonical JSON of a JSON text, or null if it is none."""
     try:
         value = _plain(json.loads(text))
-        return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        written = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+        written.encode()  # a lone surrogate is no text, and raises
+        return written
     except (TypeError, ValueError, RecursionError):
         return None
 
@@ -281,7 +283,8 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     The table holds plain talk, so each assistant turn is read as a call: the tool goes by the
     turn, the arguments hold the turn's whole text, and the call depends on those of the two
     assistant turns before. The user turn after it is its result. Rows that repeat a turn give
-    repeated calls and results, which linking must resolve.
+    repeated calls and results, which linking must resolve. The first user turn and turns of other
+    roles, or of none, are talk around the calls: they are neither and give no row.
     """
     turn = F.col("turn")
     name = lambda t: F.concat(F.lit("call_"), t.cast("string"))

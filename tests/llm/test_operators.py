@@ -410,6 +410,25 @@ class TestBackoff:
     def test_empty_table(self, spark):
         assert backoff.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
+    def test_every_row_is_scored_by_itself(self, spark):
+        """A third of the keys null, a third repeated: each row has the score of its text alone."""
+        texts = random_texts(6)
+        keys = [None if i % 3 == 0 else 1000 if i % 3 == 1 else i for i in range(len(texts))]
+        df = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string")
+        got = Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in backoff.score(df, order=1).collect())
+        of = {r.t: r.f for r in df.select(F.coalesce("text", F.lit("")).alias("t"), backoff.fold(F.coalesce("text", F.lit(""))).alias("f")).collect()}
+        key_fold = {r.doc_id: r.f for r in df.where("doc_id IS NOT NULL").select("doc_id", backoff.fold(F.col("doc_id")).alias("f")).collect()}
+        folds = [of[t or ""] if k is None else key_fold[k] for k, t in zip(keys, texts)]
+        counts = {0: Counter(), 1: Counter()}
+        for f, t in zip(folds, texts):
+            counts[f].update(words(t))
+        total = {f: max(sum(counts[f].values()), 1) for f in (0, 1)}
+        want = Counter()
+        for k, f, t in zip(keys, folds, texts):
+            value = sum(math.log(max(counts[1 - f][w], 1) / total[1 - f]) for w in words(t))
+            want[k, len(words(t)), round(value, 6)] += 1
+        assert got == want and set(folds) == {0, 1}
+
     @staticmethod
     def keys_of_folds(spark):
         """Ten keys of fold 0 and ten of fold 1."""
@@ -435,6 +454,17 @@ class TestBackoff:
 
 
 class TestToolCalls:
+    def test_lone_surrogates_are_no_json(self, spark):
+        assert toolcalls.canonical('{"text":"\\ud800"}') is None
+        assert toolcalls.canonical('{"text":"\\ud83d\\ude00"}') == '{"text":"😀"}'
+        calls = spark.createDataFrame(
+            [("c", 1, "x", "note", '{"text":"\\ud800"}', [])],
+            "conv_id string, turn int, call_id string, tool string, arguments string, depends_on array<string>",
+        )
+        results = spark.createDataFrame([("c", 2, "x", "fine")], "conv_id string, turn int, call_id string, content string")
+        row = toolcalls.link_calls(calls, results).collect()[0]
+        assert not row.valid and row.problems == "arguments are no object" and "\\\\ud800" in row.message
+
     def test_links_orders_and_checks(self, spark):
         calls = [
             (1, 1, "a", "lookup", '{"limit": 2.0, "query": "é"}', None),
