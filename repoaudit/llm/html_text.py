@@ -2,10 +2,10 @@
 
 A tree builder reads tags, supplies end tags and rows that HTML lets authors leave out, closes
 what stays open, and puts text and elements that stand between the cells of a table in front of
-it, as browsers do. Rules of visibility drop what a browser does not show. A renderer then writes all
-visible text: blocks on lines of their own, paragraphs and headings apart by an empty line,
-list items with a mark or number and indented by depth, cells of a table aligned in columns,
-preformatted text as it is, other white space collapsed.
+it, as browsers do. Rules of visibility drop what a browser does not show: what has no place, what is
+hidden and does not take it back, fallbacks, closed details. A renderer then writes all visible text: blocks on lines of their own, paragraphs and headings apart by an empty line,
+list items with a mark or number and indented by depth, cells of a table aligned in columns with regard
+to their spans, preformatted text as it is, other white space collapsed.
 
 Pages are independent and read in Arrow batches; memory follows the largest page. Depth is
 bounded by walking without recursion. Null and empty pages give an empty text; broken markup
@@ -17,13 +17,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math".split())
+#: What shows none of its contents: scripts, fallbacks of what is played or drawn, notes in drawings.
+HIDDEN = frozenset(
+    "head script style template noscript title datalist iframe object video audio canvas"
+    " desc metadata defs symbol annotation annotation-xml".split()
+)
 #: Blocks that stand alone, and those that an empty line sets apart.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset"
@@ -67,7 +72,10 @@ _OPAQUE = frozenset("iframe noscript template".split())
 _ENDS_P = BLOCKS - frozenset("body dd dt html li option tbody td tfoot th thead tr caption".split())
 _FENCES = frozenset("td th caption button object table html".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|$)", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\s*(?:!important\s*)?(?=;|$)", re.I)
+#: Largest spans of a cell, as browsers limit them.
+COLSPAN, ROWSPAN = 1000, 65_534
 #: Widest cell that takes part in aligning a column.
 ALIGN = 40
 
@@ -80,31 +88,43 @@ class Node:
 
 
 class Builder(HTMLParser):
-    """A tree of elements and texts, with implied ends."""
+    """A tree of elements and texts, with implied ends.
+
+    ``open`` holds the open elements and ``places`` where those of each tag are in it, so that
+    a look for the nearest one costs the same at any depth.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, at: int) -> None:
+        """Close the open elements from this one on."""
+        for node in self.open[at:]:
+            self.places[node.tag].pop()
+        del self.open[at:]
+
+    def _nearest(self, tags) -> int:
+        """The place of the innermost open element of ``tags``, or 0."""
+        return max((own[-1] for tag in tags if (own := self.places.get(tag))), default=0)
 
     def _close(self, tags, fences) -> None:
         """Close the innermost open element of ``tags`` unless a fence is nearer."""
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag in tags:
-                del self.open[at:]
-                return
-            if self.open[at].tag in fences:
-                return
+        at = self._nearest(tags)
+        if at and at >= self._nearest(fences):
+            self._cut(at)
 
     def _table(self, ends=_OPAQUE) -> int:
         """Where the innermost table is among the open elements; 0 if there is none, -1 if one
         of ``ends`` is nearer."""
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == "table":
-                return at
-            if self.open[at].tag in ends:
-                return -1
-        return 0
+        at, end = self._nearest(("table",)), self._nearest(ends)
+        return at if at > end else -1 if end else 0
 
     def _insert(self, node) -> None:
         """Add to the innermost open element; what a table cannot hold goes in front of it."""
@@ -123,11 +143,11 @@ class Builder(HTMLParser):
         end = len(self.open) - 1
         while end > table and self.open[end].tag not in HOLDERS[tag]:
             end -= 1
-        del self.open[end + 1 :]
+        self._cut(end + 1)
         if tag in ("td", "th") and self.open[-1].tag != "tr":
             row = Node("tr")
             self.open[-1].children.append(row)
-            self.open.append(row)
+            self._push(row)
 
     def handle_starttag(self, tag, attrs):
         table = self._table() if tag in HOLDERS else 0
@@ -136,7 +156,7 @@ class Builder(HTMLParser):
         elif tag == "table":  # outside of cells it ends the table before it
             outer = self._table(_OPAQUE | {"td", "th", "caption"})
             if outer > 0:
-                del self.open[outer:]
+                self._cut(outer)
         elif tag in ENDS and table == 0:
             tags, fences = ENDS[tag]
             depth = 0
@@ -152,7 +172,7 @@ class Builder(HTMLParser):
         else:
             self._insert(node)
         if tag not in VOID and not (tag == "form" and bare):  # a form in a table holds nothing
-            self.open.append(node)
+            self._push(node)
 
     def handle_startendtag(self, tag, attrs):
         # The slash means nothing but on void elements.
@@ -161,7 +181,7 @@ class Builder(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self._insert(Node("br"))
-        elif tag == "p" and not any(n.tag == "p" for n in self.open):
+        elif tag == "p" and not self.places.get("p"):
             self._insert(Node("p"))
         elif tag not in VOID:
             fences = () if tag in ("table", "html", "body") else ("table",)
@@ -175,16 +195,22 @@ class Builder(HTMLParser):
 
 
 def visible(node: Node) -> bool:
-    """Whether a browser would show the element's contents."""
-    if node.tag in HIDDEN or "hidden" in node.attrs:
-        return False
-    if node.tag == "input":
+    """Whether a browser would give the element a place."""
+    if node.tag in HIDDEN or node.tag == "input":
         return False
-    if node.tag == "dialog" and "open" not in node.attrs:
+    if not node.attrs:
+        return node.tag != "dialog"
+    if "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
         return False
     return not _UNSEEN.search(node.attrs.get("style") or "")
 
 
+def unseen(node: Node, inherited: bool) -> bool:
+    """Whether texts of the element are hidden, which it inherits unless it says otherwise."""
+    found = _VISIBILITY.findall(node.attrs.get("style") or "")
+    return found[-1].lower() != "visible" if found else inherited
+
+
 def width(text: str) -> int:
     """Columns that a text takes: wide characters take two, combining marks none."""
     if text.isascii():
@@ -198,18 +224,20 @@ class Lines:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []  # pieces of the line under construction, none of them empty
         self.gap = 0  # empty lines due before the next text
 
     def words(self, text: str) -> None:
         text = _SPACE.sub(" ", text)
-        if not self.line or self.line.endswith(" "):
-            text = text.lstrip(" ")
-        self.line += text
+        self.add(text if self.line and not self.line[-1].endswith(" ") else text.lstrip(" "))
+
+    def add(self, text: str) -> None:
+        if text:
+            self.line.append(text)
 
     def end_line(self, empty: int = 0) -> None:
-        text = self.line.rstrip(" ")
-        self.line = ""
+        text = "".join(self.line).rstrip(" ")
+        self.line = []
         if text:
             self.put(text)
         self.gap = max(self.gap, empty)
@@ -240,41 +268,87 @@ def _rows(table: Node) -> list[list[Node]]:
     return parts["thead"] + parts["tbody"] + parts["tfoot"]
 
 
-def _table(rows: list[list[list[str]]]) -> list[str]:
+def _span(cell: Node, name: str, most: int) -> int:
+    text = (cell.attrs.get(name) or "1").strip()
+    number = int(text) if re.fullmatch(r"[0-9]{1,9}", text) else 1
+    return min(number, most) if number else most if name == "rowspan" else 1
+
+
+def _places(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """The column of each cell and how many it takes. Cells go to the next column that no cell of a
+    row above reaches down into."""
+    taken: dict[int, int] = {}  # columns under cells of several rows, and the row that they end before
+    out = []
+    for r, row in enumerate(rows):
+        column, own = 0, []
+        for cell in row:
+            while taken.get(column, 0) > r:
+                column += 1
+            across, down = _span(cell, "colspan", COLSPAN), _span(cell, "rowspan", ROWSPAN)
+            own.append((column, across))
+            if down > 1:
+                taken.update(dict.fromkeys(range(column, column + across), r + down))
+            column += across
+        out.append(own)
+    return out
+
+
+def _table(places: list[list[tuple[int, int]]], rows: list[list[list[str]]]) -> list[str]:
     """Lines of a table, of cells that are lists of lines."""
-    columns = max((len(r) for r in rows), default=0)
-    widths = [0] * columns
-    for row in rows:
-        for i, cell in enumerate(row):
+    widths = {column: 0 for own in places for column, _ in own}
+    used = sorted(widths)
+    wide = []
+    for own, row in zip(places, rows):
+        for (column, across), cell in zip(own, row):
             widest = max(map(width, cell), default=0)
-            if widest <= ALIGN:
-                widths[i] = max(widths[i], widest)
+            if widest > ALIGN:
+                continue
+            if across == 1:
+                widths[column] = max(widths[column], widest)
+            else:
+                wide.append((column, across, widest))
+    for column, across, widest in wide:  # a cell over several columns widens the first if it has to
+        inside = used[bisect_left(used, column) : bisect_left(used, column + across)]
+        widths[column] += max(widest - sum(widths[c] for c in inside) - 2 * (len(inside) - 1), 0)
+    starts, at = {}, 0
+    for column in used:
+        starts[column] = at
+        at += widths[column] + 2
     out = []
-    for row in rows:
+    for own, row in zip(places, rows):
         for k in range(max(map(len, row), default=0)):
-            cells = [cell[k] if k < len(cell) else "" for cell in row]
-            padded = [c + " " * (widths[i] - width(c)) for i, c in enumerate(cells)]
-            out.append("  ".join(padded).rstrip())
+            line, done = [], 0
+            for (column, _), cell in zip(own, row):
+                if k < len(cell) and cell[k]:
+                    space = max(starts[column] - done, 2 if done else 0)
+                    line += [" " * space, cell[k]]
+                    done += space + width(cell[k])
+            out.append("".join(line).rstrip())
     return [line for line in out if line]
 
 
 def render(root: Node) -> list[str]:
-    """Lines of text of a tree. A stack of steps replaces recursion, so depth does no harm."""
+    """Lines of text of a tree. A stack of steps replaces recursion, so depth does no harm.
+
+    ``pre`` says that white space counts (1) and that texts are hidden (2).
+    """
     top = Lines()
     results: list[list[str]] = []  # lines of finished cells and items
-    stack: list[tuple] = [("open", root, top, False)]
+    stack: list[tuple] = [("open", root, top, 0)]
     while stack:
         step, node, out, pre = stack.pop()
+        if step == "open" and not isinstance(node, str) and "style" in node.attrs:
+            pre = pre & 1 | 2 * unseen(node, bool(pre & 2))
         if step == "end":
             out.end_line(node)
         elif step == "collect":
             results.append(out.done())
         elif step == "table":
-            shape = node
+            shape = [len(own) for own in node]
             cells = results[len(results) - sum(shape) :] if sum(shape) else []
             del results[len(results) - sum(shape) :]
             each = iter(cells)
-            for line in _table([[next(each) for _ in range(n)] for n in shape]):
+            for line in _table(node, [[next(each) for _ in range(n)] for n in shape]):
                 out.put(line)
             out.gap = 1
         elif step == "item":
@@ -282,33 +356,37 @@ def render(root: Node) -> list[str]:
             for k, line in enumerate(found):
                 out.put((mark if k == 0 else " " * len(mark)) + line if line else "")
         elif isinstance(node, str):
+            if pre & 2:
+                continue
             if pre:
                 first, *more = node.split("\n")
-                out.line += first
+                out.add(first)
                 for line in more:
-                    text, out.line = out.line, line
+                    text = "".join(out.line)
+                    out.line = []
+                    out.add(line)
                     out.put(text.rstrip())
             else:
                 out.words(node)
         elif not visible(node):
             continue
         elif node.tag == "br":
-            had = bool(out.line.strip())
+            had = any(piece.strip() for piece in out.line)
             out.end_line()
             if not had and out.lines:
                 out.gap = max(out.gap, 1)
         elif node.tag == "hr":
             out.end_line(1)
         elif node.tag == "img":
-            out.words(node.attrs.get("alt") or "")
+            out.words("" if pre & 2 else node.attrs.get("alt") or "")
         elif node.tag == "table":
             out.end_line(1)
             rows = _rows(node)
-            stack.append(("table", [len(r) for r in rows], out, pre))
+            stack.append(("table", _places(rows), out, pre))
             for cell in reversed([c for r in rows for c in r]):
-                inner = Lines()
+                inner, own = Lines(), pre & 1 | 2 * unseen(cell, bool(pre & 2))
                 stack.append(("collect", None, inner, pre))
-                stack += [("open", c, inner, pre) for c in reversed(cell.children)]
+                stack += [("open", c, inner, own) for c in reversed(cell.children)]
             captions = [c for c in node.children if isinstance(c, Node) and c.tag == "caption"]
             for caption in captions:
                 stack.append(("end", 0, out, pre))
@@ -325,8 +403,8 @@ def render(root: Node) -> list[str]:
                     for inner_list in child.children:
                         if isinstance(inner_list, Node) and inner_list.tag in ("ul", "ol", "menu"):
                             inner_list.attrs["_inner"] = "1"
-                    inner = Lines()
-                    steps += [("open", c, inner, pre) for c in child.children]
+                    inner, own = Lines(), pre & 1 | 2 * unseen(child, bool(pre & 2))
+                    steps += [("open", c, inner, own) for c in child.children]
                     steps += [("collect", None, inner, pre), ("item", mark, out, pre)]
                 else:
                     steps.append(("open", child, out, pre))
@@ -335,7 +413,10 @@ def render(root: Node) -> list[str]:
             apart = 1 if node.tag in APART else 0
             out.end_line(apart)
             stack.append(("end", apart, out, pre))
-            stack += [("open", c, out, pre or node.tag == "pre") for c in reversed(node.children)]
+            children = node.children
+            if node.tag == "details" and "open" not in node.attrs:  # shows its summary alone
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            stack += [("open", c, out, pre | (node.tag == "pre")) for c in reversed(children)]
         else:
             stack += [("open", c, out, pre) for c in reversed(node.children)]
     return top.done()
