@@ -98,3 +98,15 @@ def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, pii string, start int")
     found = pii.find_pii(df)
     assert found.count() == 0 and set(found.columns) == {"doc_id", "text", "pii", "start"}
+
+
+def test_base_columns_equal_sql(spark):
+    """The counts and base spans of all documents against DuckDB; ``spans`` holds further kinds."""
+    from repoaudit.llm import oracles
+    from repoaudit.llm.queries import op2_pii
+    from tests.oracle_check import difference
+
+    def base(session, folder):
+        return op2_pii(session, folder).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+    assert difference(spark, "/root/testdata/sf0.001", base, oracles.pii_base()) is None
