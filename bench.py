@@ -30,6 +30,7 @@ HEADLINE = (
     "risk_score",
     "markdown_report",
     "json_report_fields",
+    "audit_reports",
 )
 
 

@@ -84,12 +84,33 @@ def report(
         )
     )
     recs = freeze(risk.recommendations(summary, found.dependencies, part_rows))
-    tables = (found.dependencies, found.security, found.api)
+    tables = (summary, recs, found.dependencies, found.security, found.api)
+    numbered = report_lines(*tables, found.files, as_of, product)
     return Report(
         summary=summary,
         recommendations=recs,
-        markdown_lines=markdown.markdown_lines(summary, recs, *tables, as_of, product),
-        json_lines=json_report.json_lines(summary, recs, *tables, found.files, as_of, product),
+        markdown_lines=markdown.finished(numbered),
+        json_lines=json_report.finished(numbered),
+    )
+
+
+def report_lines(
+    summary: DataFrame,
+    recs: DataFrame,
+    dep: DataFrame | None,
+    sec: DataFrame | None,
+    api: DataFrame | None,
+    files: DataFrame | None,
+    as_of: datetime | None = None,
+    product: str = markdown.PRODUCT,
+) -> DataFrame:
+    """The numbered lines of both reports, computed and stored once."""
+    tables = (summary, recs, dep, sec, api)
+    return lines.numbered(
+        {
+            markdown.REPORT: markdown.markdown_parts(*tables, as_of, product),
+            json_report.REPORT: json_report.json_parts(*tables, files, as_of, product),
+        }
     )
 
 

@@ -13,6 +13,8 @@ from repoaudit.operators.security import severity_rank
 from repoaudit.plans import lines as ln
 from repoaudit.plans.markdown import PRODUCT, VERSION
 
+REPORT = "json"
+
 (OPEN, DEP_ROWS, DEP_FILES, FILE_ROWS, MISSING, MISSING_ROWS, TYPOS, TYPO_ROWS, NEW, NEW_ROWS,
  SECURITY, SEC_ROWS, API, API_ROWS, RECS, REC_ROWS, CLOSE) = range(17)
 _WARNING_ROWS = {"hallucinated": MISSING_ROWS, "typosquat": TYPO_ROWS, "new": NEW_ROWS}
@@ -74,7 +76,7 @@ def _fixed_lines(summary: DataFrame, stamp: str, product: str) -> DataFrame:
     )
 
 
-def json_lines(
+def json_parts(
     summary: DataFrame,
     recs: DataFrame,
     dep: DataFrame | None = None,
@@ -83,12 +85,8 @@ def json_lines(
     files: DataFrame | None = None,
     as_of: datetime | None = None,
     product: str = PRODUCT,
-) -> DataFrame:
-    """Lines of the JSON reports; ``files`` gives the list of manifests.
-
-    Each finding is one line, with its ``section`` and its ``row`` in it. A recommendation that
-    goes on in parts is several strings.
-    """
+) -> list[DataFrame]:
+    """Lines of the JSON reports before they are numbered; ``files`` gives the list of manifests."""
     stamp = times.as_utc(as_of).isoformat()
     parts = [
         _fixed_lines(summary, stamp, product),
@@ -125,11 +123,24 @@ def json_lines(
             ln.items(api, API_ROWS, finding, None, F.col("file"), F.col("line_number"),
                      F.col("walk_ord"))
         )
-    rows = ln.numbered(parts)
+    return parts
+
+
+def finished(numbered: DataFrame) -> DataFrame:
+    """The JSON lines among numbered ones."""
     comma = F.when(
         F.col("section").isin(*_LIST_ROWS) & (F.col("row") < F.col("row_total")), ","
     ).otherwise("")
-    return rows.select(
+    return numbered.where(F.col("report") == REPORT).select(
         "repo", "line_number", F.concat("line", comma).alias("line"), "line_number_total",
         "section", "row",
     )
+
+
+def json_lines(*tables: DataFrame | None, as_of: datetime | None = None, product: str = PRODUCT) -> DataFrame:
+    """Lines of the JSON reports; ``tables`` are those of ``json_parts``.
+
+    Each finding is one line, with its ``section`` and its ``row`` in it. A recommendation that
+    goes on in parts is several strings.
+    """
+    return finished(ln.numbered({REPORT: json_parts(*tables, as_of=as_of, product=product)}))

@@ -54,12 +54,18 @@ def items(
     )
 
 
-def numbered(parts: list[DataFrame]) -> DataFrame:
-    """All lines with ``line_number`` in the report, ``row`` in the section, and totals."""
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
-    return number_rows(lines, {"line_number": ["repo"], "row": ["repo", "section"]}, KEYS)
+def numbered(reports: dict[str, list[DataFrame]]) -> DataFrame:
+    """All lines of the reports with ``line_number`` in the report, ``row`` in the section, and
+    totals. The name of the report is the column ``report``; all of them are numbered in one pass,
+    and the result is frozen, so each report selects its lines without computing the others' again.
+    """
+    lines = None
+    for name, parts in reports.items():
+        for part in parts:
+            part = part.withColumn("report", F.lit(name))
+            lines = part if lines is None else lines.unionByName(part)
+    of_report = ["report", "repo"]
+    return number_rows(lines, {"line_number": of_report, "row": [*of_report, "section"]}, KEYS)
 
 
 def documents(lines: DataFrame, max_lines: int = 100_000) -> DataFrame:

@@ -13,6 +13,7 @@ from repoaudit.plans import lines as ln
 from repoaudit.rules import SEVERITY_BADGES, UNKNOWN_SEVERITY_BADGE
 
 PRODUCT, VERSION = "RepoAudit", "0.1.0"
+REPORT = "markdown"
 
 (HEADER, SUMMARY, DEP_HEAD, DEP_ROWS, SEC_HEAD, SEC_ROWS, SEVERE_HEAD, SEVERE_ROWS,
  API_HEAD, API_ROWS, REC_HEAD, REC_ROWS, FOOTER) = range(13)
@@ -203,7 +204,7 @@ def _recommendation_lines(recs: DataFrame) -> DataFrame:
     )
 
 
-def markdown_lines(
+def markdown_parts(
     summary: DataFrame,
     recs: DataFrame,
     dep: DataFrame | None = None,
@@ -211,8 +212,8 @@ def markdown_lines(
     api: DataFrame | None = None,
     as_of: datetime | None = None,
     product: str = PRODUCT,
-) -> DataFrame:
-    """Lines of the Markdown reports as ``(repo, line_number, line)`` and more keys."""
+) -> list[DataFrame]:
+    """Lines of the Markdown reports before they are numbered."""
     stamp = times.as_utc(as_of).strftime("%Y-%m-%d %H:%M:%S UTC")
     parts = [_fixed_lines(summary, stamp, product), _recommendation_lines(recs)]
     if dep is not None:
@@ -221,8 +222,20 @@ def markdown_lines(
         parts += [_security_lines(sec), _severe_lines(sec)]
     if api is not None:
         parts.append(_api_lines(api))
-    rows = ln.numbered(parts)
+    return parts
+
+
+def finished(numbered: DataFrame) -> DataFrame:
+    """The Markdown lines among numbered ones."""
     line = F.when(
         F.col("section") == SEC_ROWS, F.concat(F.lit("| "), F.col("row"), F.lit(" "), F.col("line"))
     ).otherwise(F.col("line"))
-    return rows.select("repo", "line_number", line.alias("line"), "line_number_total")
+    return numbered.where(F.col("report") == REPORT).select(
+        "repo", "line_number", line.alias("line"), "line_number_total"
+    )
+
+
+def markdown_lines(*tables: DataFrame | None, as_of: datetime | None = None, product: str = PRODUCT) -> DataFrame:
+    """Lines of the Markdown reports as ``(repo, line_number, line)`` and more keys. ``tables`` are
+    those of ``markdown_parts``."""
+    return finished(ln.numbered({REPORT: markdown_parts(*tables, as_of=as_of, product=product)}))

@@ -636,4 +636,10 @@ def all_sql() -> dict[str, str]:
         "recommendations": f"WITH {_SUMMARY}, {_recommended(20)} SELECT repo, rec_no, part, text FROM recs",
         "markdown_report": _MARKDOWN,
         "json_report_fields": _JSON_FIELDS,
+        "audit_reports": f"""SELECT f.*, markdown_lines, markdown_chars, markdown_places
+            FROM ({_JSON_FIELDS}) f JOIN (
+                SELECT repo, count(*) AS markdown_lines, sum(length(line))::BIGINT AS markdown_chars,
+                    sum(length(line) * line_number)::BIGINT AS markdown_places
+                FROM ({_MARKDOWN}) GROUP BY repo
+            ) m USING (repo)""",
     }

@@ -11,7 +11,7 @@ from repoaudit.functions import paths, text
 from repoaudit.operators import apicheck, dependencies, manifests, registry, risk, security
 from repoaudit.operators.ordering import number_rows
 from repoaudit.operators.typosquat import typosquat_candidates
-from repoaudit.plans import json_report, markdown
+from repoaudit.plans import audit, json_report, markdown
 from repoaudit.rules import POPULAR_PACKAGES, known_api_table, popular_table
 from repoaudit.session import freeze
 from repoaudit.sources.registry import parse_snapshot
@@ -257,7 +257,7 @@ def recommendations(spark, sf_dir):
 def markdown_report(spark, sf_dir):
     dep, sec, api, summary = _audited(spark, sf_dir)
     recs = risk.recommendations(summary, dep)
-    return markdown.markdown_lines(summary, recs, dep, sec, api, AS_OF).select(
+    return markdown.markdown_lines(summary, recs, dep, sec, api, as_of=AS_OF).select(
         "repo", "line_number", "line"
     )
 
@@ -265,9 +265,26 @@ def markdown_report(spark, sf_dir):
 def json_report_fields(spark, sf_dir):
     dep, sec, api, summary = _audited(spark, sf_dir)
     recs = risk.recommendations(summary, dep)
-    rows = json_report.json_lines(
-        summary, recs, dep, sec, api, fx.manifests(spark, sf_dir), AS_OF
+    files = fx.manifests(spark, sf_dir)
+    return _json_fields(json_report.json_lines(summary, recs, dep, sec, api, files, as_of=AS_OF))
+
+
+def audit_reports(spark, sf_dir):
+    """Both reports from one table of numbered lines: the fields of the JSON report next to the
+    number of lines of the Markdown one, its characters, and these times their line numbers."""
+    dep, sec, api, summary = _audited(spark, sf_dir)
+    recs = freeze(risk.recommendations(summary, dep))
+    numbered = audit.report_lines(summary, recs, dep, sec, api, fx.manifests(spark, sf_dir), AS_OF)
+    length = F.length("line").cast("bigint")
+    text = markdown.finished(numbered).groupBy("repo").agg(
+        F.count("*").alias("markdown_lines"),
+        F.sum(length).alias("markdown_chars"),
+        F.sum(length * F.col("line_number")).alias("markdown_places"),
     )
+    return _json_fields(json_report.finished(numbered)).join(text, "repo")
+
+
+def _json_fields(rows: DataFrame) -> DataFrame:
     section = F.col("section")
 
     # Fields come from the lines that hold them, so a report may have any number of lines.
@@ -354,5 +371,6 @@ ALL = {
         recommendations,
         markdown_report,
         json_report_fields,
+        audit_reports,
     )
 }

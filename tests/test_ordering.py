@@ -45,6 +45,42 @@ def test_a_large_group_is_split_over_partitions(spark):
     assert len(sizes) > 2 and max(r["count"] for r in sizes) < 14_000
 
 
+def test_many_groups_move_rows_once(spark):
+    """Groups are many, the table that is broadcast has a row per partition, and no other step
+    moves rows."""
+    rows = [(f"r{i % 700}" if i % 3 else "hot", i % 5 if i % 11 else None, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "repo string, section int, line int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = number_rows(df, {"at": ["repo"], "row": ["repo", "section"]}, ["section", "line"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Above the broadcast, rows come straight from where they are stored.
+    assert plan.lstrip().startswith("*") and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan.split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in plan.split("BroadcastExchange")[0]
+    at, row, size = {}, {}, {}
+    for key in rows:
+        size[key[0]] = size.get(key[0], 0) + 1
+    want = set()
+    for key in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2])):
+        at[key[0]] = at.get(key[0], 0) + 1
+        row[key[:2]] = row.get(key[:2], 0) + 1
+        want.add((*key, at[key[0]], row[key[:2]], size[key[0]]))
+    assert {(r.repo, r.section, r.line, r["at"], r.row, r.at_total) for r in found} == want
+
+
+def test_equal_rows_and_empty_partitions(spark):
+    df = spark.createDataFrame([("a", 1)] * 500 + [(None, 2)] * 3, "repo string, line int")
+    got = number_rows(df, {"at": ["repo"]}, ["line"]).collect()
+    assert sorted(r["at"] for r in got if r.repo == "a") == list(range(1, 501))
+    assert sorted((r["at"], r.at_total) for r in got if r.repo is None) == [(1, 3), (2, 3), (3, 3)]
+
+
 def test_lists_in_parts_are_whole(spark):
     rows, df = _rows(spark, 1000)
     parts = in_parts(df, ["repo"], ["section", "file", "line"], F.col("line"), 64).collect()
