@@ -11,7 +11,8 @@ is near.
 
 The patterns are written so that a scan is linear: a run that fails is not tried again from
 its middle (look-behind), and repeated groups never give back what they took (possessive).
-Both leave the leftmost, non-overlapping matches as they are.
+Both leave the leftmost, non-overlapping matches as they are. Places are running totals, and context
+is taken from blocks of the text, so the work grows with n log n of the spans of a text.
 
 Null and empty texts have no spans. Rows are independent, so repeated rows and ties give
 equal results, and other columns pass through unchanged; columns named like the result are
@@ -29,6 +30,8 @@ CONTEXT = 48
 #: The score from which a span of a kind that needs support counts.
 MIN_SCORE = 0.5
 RAISE, LOWER = 0.35, 0.25
+#: Code points of a block of text.
+BLOCK = 512
 
 
 class Kind(NamedTuple):
@@ -103,22 +106,50 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.always)
 
 
-def _matches(text: Column, kind: Kind) -> Column:
-    """All matches with positions, from the matches themselves and the gaps between them."""
-    has = F.lit(True) if not kind.has else F.contains(text, F.lit(kind.has))
+def _running(values: Column, combine) -> Column:
+    """Running totals of an array of whole numbers, none below 0. The reach of each element
+    doubles until it covers all before it, so the work is n log n and no array grows."""
+    reach = F.filter(F.array(*[F.lit(1 << k) for k in range(30)]), lambda r: r < F.size(values))
+    return F.aggregate(
+        reach,
+        values,
+        lambda state, r: F.transform(state, lambda x, i: combine(x, F.coalesce(F.get(state, i - r), F.lit(0)))),
+    )
+
+
+def _found(text: Column, kind: Kind) -> Column:
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    pairs = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
+    return F.when(F.contains(text, F.lit(kind.has)), found).otherwise(F.expr("cast(array() as array<string>)"))
+
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["g"])
-        end = start + F.length(pair["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+def _steps(text: Column, kind: Kind, found: str) -> Column:
+    """How far each match ends from the end of the one before: the gap and the match."""
+    gaps = F.slice(F.split(text, kind.pattern, -1), 1, F.size(found))
+    steps = F.zip_with(found, gaps, lambda m, g: F.length(g) + F.length(m))
+    return F.when(F.size(found) > 0, steps).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _placed(found: str, steps: str) -> Column:
+    """All matches with their places."""
+    ends = _running(F.col(steps), lambda a, b: a + b)
+    return F.zip_with(
+        found,
+        ends,
+        lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")),
+    )
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(has, F.aggregate(pairs, first, step, lambda s: s["out"])).otherwise(none)
+
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a place is found without walking to it."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def _cut(blocks: str, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``; beyond the last block there is none."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor(end / BLOCK).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+    return F.substring(near, start - first * BLOCK + 1, end - start)
 
 
 def _digits(match: Column) -> Column:
@@ -173,10 +204,9 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(text: Column, kind: Kind, span: Column) -> Column:
-    before = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, before + 1, span["start"] - before)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
+def _score(blocks: str, kind: Kind, span: Column) -> Column:
+    left = _cut(blocks, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"])
+    right = _cut(blocks, span["end"], span["end"] + CONTEXT)
     near = F.lower(F.concat(left, F.lit(" "), right))
     return (
         F.lit(kind.prior)
@@ -185,7 +215,7 @@ def _score(text: Column, kind: Kind, span: Column) -> Column:
     )
 
 
-def _spans(text: Column, kind: Kind) -> Column:
+def _spans(blocks: str, kind: Kind) -> Column:
     """The confirmed spans of a kind, scored."""
 
     def scored(span: Column) -> Column:
@@ -193,7 +223,7 @@ def _spans(text: Column, kind: Kind) -> Column:
             F.lit(kind.name).alias("kind"),
             span["start"].alias("start"),
             span["end"].alias("end"),
-            F.round(_score(text, kind, span), 2).alias("score"),
+            F.round(_score(blocks, kind, span), 2).alias("score"),
         )
 
     matches = F.filter(f"_pii_{kind.name}", lambda s: _confirmed(kind.name, s["match"]))
@@ -208,9 +238,16 @@ def find_pii(df: DataFrame, text: str = "text", output: str = "pii") -> DataFram
     ``KINDS``, then by start; spans of one kind do not overlap, those of two kinds may.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    steps = df.withColumns({f"_pii_{k.name}": _matches(content, k) for k in KINDS})
-    found = F.concat(*[_spans(content, kind) for kind in KINDS])
-    return steps.withColumn(output, found).drop(*[f"_pii_{k.name}" for k in KINDS])
+    found = {k: f"_pii_found_{k.name}" for k in KINDS}
+    steps = {k: f"_pii_steps_{k.name}" for k in KINDS}
+    some = F.greatest(*[F.size(c) for c in found.values()]) > 0
+    rows = df.withColumns({found[k]: _found(content, k) for k in KINDS})
+    rows = rows.withColumns({steps[k]: _steps(content, k, found[k]) for k in KINDS})
+    rows = rows.withColumns({f"_pii_{k.name}": _placed(found[k], steps[k]) for k in KINDS})
+    rows = rows.withColumn("_pii_blocks", F.when(some, _blocks(content)))
+    spans = F.concat(*[_spans("_pii_blocks", k) for k in KINDS])
+    own = [*found.values(), *steps.values(), *[f"_pii_{k.name}" for k in KINDS], "_pii_blocks"]
+    return rows.withColumn(output, spans).drop(*own)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
@@ -220,20 +257,19 @@ def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
     content = F.col(text)
+    rows = df.withColumns({"_pii_order": ordered, "_pii_blocks": F.when(F.size(spans) > 0, _blocks(content))})
+    reached = _running(F.transform("_pii_order", lambda s: s["end"]), F.greatest)
 
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        gap = F.substring(content, state["at"] + 1, span["start"] - state["at"])
+    def piece(span: Column, at: Column) -> Column:
         label = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.concat(state["out"], F.when(fresh, F.concat(gap, label)).otherwise("")).alias("out"),
-        )
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(content, s["at"] + 1, F.length(content)))
-    masked = F.aggregate(ordered, first, step, rest)
-    return df.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(content))
+        rest = _cut("_pii_blocks", at, F.greatest(at, F.length(content)))
+        fresh = F.concat(_cut("_pii_blocks", at, F.greatest(at, span["start"])), label)
+        return F.when(span.isNull(), rest).when(span["start"] >= at, fresh).otherwise("")
+
+    # One piece per span, and what is behind the last of them.
+    pieces = F.zip_with("_pii_order", F.concat(F.array(F.lit(0)), reached), piece)
+    masked = F.when(F.size(spans) > 0, F.array_join(pieces, "")).otherwise(content)
+    return rows.withColumn(text, masked).drop("_pii_order", "_pii_blocks")
 
 
 def _joined(spans: Column) -> Column:

@@ -94,6 +94,25 @@ def test_redact_merges_overlaps_and_keeps_null(spark):
     assert [r.text for r in df.collect()] == ["x +[CARD] y [EMAIL].", None, "none"]
 
 
+def test_many_spans_in_one_text(spark):
+    """Places and masks over thousands of spans and many blocks, with characters of four bytes."""
+    parts = [f"😀u{i}@host.example, " if i % 2 else f"é 10.0.{i % 256}.7\n" for i in range(6000)]
+    text = "".join(parts)
+    found = pii.find_pii(spark.createDataFrame([(text,)], "text string"))
+    row = pii.redact(found).collect()[0]
+    assert len(row.pii) == 6000
+    for span in row.pii:
+        cut = text[span.start : span.end]
+        assert cut.endswith("@host.example") if span.kind == "email" else re.fullmatch(r"10\.0\.\d+\.7", cut)
+    assert row.text == "".join("😀[EMAIL], " if i % 2 else "é [IP]\n" for i in range(6000))
+
+
+def test_context_across_blocks(spark):
+    rows = [("😀" * shift + " ssn 123-45-6789",) for shift in range(pii.BLOCK - 60, pii.BLOCK + 3)]
+    found = pii.find_pii(spark.createDataFrame(rows, "text string")).collect()
+    assert all([s.kind for s in r.pii] == ["ssn"] for r in found)
+
+
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, pii string, start int")
     found = pii.find_pii(df)
