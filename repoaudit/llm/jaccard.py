@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repoaudit.llm.common import Words, bounded, mix, plain_texts, ragged
-from repoaudit.llm.graph import components
+from repoaudit.llm.graph import compact, components
 from repoaudit.session import freeze
 
 #: Words of a shingle, and the least similarity in percent.
@@ -181,7 +181,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # Copies of a text become one where they are read.
     chosen = texts.join(able, "_hash", "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
     sets = chosen.select("_hash", "_text").mapInArrow(_whole, _HASHES)
-    labels = components(_links(sets, heads.select("mark", "n")))
+    labels = _linked(sets, heads.select("mark", "n"))
     # The component of a class is that of its least key, over all classes it holds.
     named = labels.join(heads.select("mark", "head"), labels["node"] == heads["mark"])
     least = named.groupBy("label").agg(F.min("head").alias("component"))
@@ -196,8 +196,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def _links(sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between marks that hold the components together."""
+def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(node, label)``: the marks that have links, and the least mark that each reaches."""
     rows = sets.select("mark", F.explode("hashes").alias("hash"))
     times = F.count("*").over(Window.partitionBy("hash")).alias("times")
     # Hashes of one set alone come first and match nothing: their number is all that is needed.
@@ -214,34 +214,31 @@ def _links(sets: DataFrame, sizes: DataFrame) -> DataFrame:
         .join(sizes, "mark")
         .withColumn("alone", F.col("n") - F.size("common"))
     )
-    lists = freeze(_lists(ordered, _boundary(ordered)))
+    lists = compact(freeze(_lists(ordered, _boundary(ordered))))
     shared = ordered.select("mark", "n", F.col("common").alias("hashes"))
-    found = seen = links = None
+    named = seen = None
     for turn in range(STAR_ROUNDS + 1):
-        if found is None:
+        if named is None:
             labelled = lists.withColumn("label", F.col("mark"))
         else:
-            lists = freeze(_open(lists.join(found, "mark")))
-            if lists.isEmpty():
+            known = named.withColumnRenamed("label", "_label")
+            labelled = lists.join(known, F.col("mark") == F.col("node"), "left")
+            labelled = labelled.select(*lists.columns, F.coalesce("_label", "mark").alias("label"))
+            labelled = compact(freeze(_open(labelled)))
+            if labelled.isEmpty():
                 break
-            labelled = lists
-            lists = lists.drop("label")
+            lists = labelled.drop("label")
         pairs = _stars(labelled, turn) if turn < STAR_ROUNDS else _rest(labelled)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = freeze(pairs)
+        pairs = compact(freeze(pairs))
         seen = pairs if seen is None else seen.unionByName(pairs)
-        new = freeze(_checked(pairs, shared))
-        links = new if links is None else links.unionByName(new)
-        if turn < STAR_ROUNDS:
-            named = components(links).withColumnRenamed("label", "_label")
-            found = freeze(
-                lists.select("mark")
-                .distinct()
-                .join(named, F.col("mark") == F.col("node"), "left")
-                .select("mark", F.coalesce("_label", "mark").alias("label"))
-            )
-    return links
+        links = _checked(pairs, shared)
+        # What is known to be linked is a star around the least mark already.
+        if named is not None:
+            links = links.unionByName(named.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        named = freeze(components(links))
+    return named
 
 
 def _open(lists: DataFrame) -> DataFrame:
