@@ -23,7 +23,8 @@ exact: it loses no link, and every link is checked on the whole sets.
    each time, and components are formed; so groups of near copies join without comparing all
    with all. A list whose sets have all come together is dropped after each round. Then all sets
    of a list that still lie in different components are compared, if their sizes and the places of
-   the common hash allow a link.
+   the common hash allow a link. Whole sets are only fetched for pairs whose outlines allow one: each
+   hash turns one bit of its set's outline over, so outlines differ in no more bits than sets in hashes.
 
 Memory of a task: a batch of texts, or the sort buffers of a shuffle. Nothing that grows with
 the table is broadcast or collected.
@@ -60,6 +61,8 @@ REMEMBERED = 1_000_000
 RARITY = 6
 #: Classes that go on are broadcast to find their texts if they are no more than this.
 FEW = 500_000
+#: The columns of a set's outline: 64 bits each.
+_BITS = ("b0", "b1", "b2", "b3")
 
 
 def least_overlap(n):
@@ -210,12 +213,13 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
         .where("times > 1")
         .select("mark", packed.alias("_packed"))
         .groupBy("mark")
-        .agg(F.array_sort(F.collect_list("_packed")).alias("common"))
+        .agg(F.array_sort(F.collect_list("_packed")).alias("common"), *_parities("_packed"))
         .join(sizes, "mark")
         .withColumn("alone", F.col("n") - F.size("common"))
     )
     lists = compact(freeze(_lists(ordered, _boundary(ordered))))
     shared = ordered.select("mark", "n", F.col("common").alias("hashes"))
+    outlines = ordered.select("mark", "n", "alone", *_BITS)
     named = seen = None
     for turn in range(STAR_ROUNDS + 1):
         if named is None:
@@ -228,7 +232,7 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
             if labelled.isEmpty():
                 break
             lists = labelled.drop("label")
-        pairs = _stars(labelled, turn) if turn < STAR_ROUNDS else _rest(labelled)
+        pairs = _near(_stars(labelled, turn), outlines) if turn < STAR_ROUNDS else _rest(labelled, outlines)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = compact(freeze(pairs))
@@ -241,6 +245,29 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return named
 
 
+def _parities(packed: str) -> list[Column]:
+    """Each hash turns one of 256 bits over, so two sets that differ in d hashes differ in at most d bits."""
+    word, bit = F.col(packed).bitwiseAND(3), F.expr(f"shiftleft(1L, cast(shiftright({packed}, 2) & 63 AS int))")
+    return [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(b) for i, b in enumerate(_BITS)]
+
+
+def _outline_allows(a: str, b: str) -> Column:
+    """False only for sets that differ in too many hashes to link: those that one set alone has, and
+    at least as many of the others as bits differ."""
+    of = lambda side, name: F.col(f"{side}.{name}")
+    bits = [F.bit_count(of(a, x).bitwiseXOR(of(b, x))) for x in _BITS]
+    both = of(a, "n") + of(b, "n")
+    apart = sum(bits, of(a, "alone") + of(b, "alone"))
+    return apart <= both - 2 * F.ceil(both * THRESHOLD / (100 + THRESHOLD))
+
+
+def _near(pairs: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The pairs whose outlines allow a link."""
+    joined = pairs.join(outlines.alias("l"), F.col("a") == F.col("l.mark"))
+    joined = joined.join(outlines.alias("r"), F.col("b") == F.col("r.mark"))
+    return joined.where(_outline_allows("l", "r")).select("a", "b")
+
+
 def _open(lists: DataFrame) -> DataFrame:
     """The lists that hold sets of different components."""
     several = lists.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b"))
@@ -321,8 +348,9 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
 
 
-def _rest(lists: DataFrame) -> DataFrame:
-    """All pairs of open lists that lie in different components and may link by size and place."""
+def _rest(lists: DataFrame, outlines: DataFrame) -> DataFrame:
+    """All pairs of open lists that lie in different components and may link by size, place and outline."""
+    lists = lists.join(outlines.drop("n"), "mark")
     left, right = lists.alias("l"), lists.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))
@@ -333,6 +361,7 @@ def _rest(lists: DataFrame) -> DataFrame:
         & (F.col("l.label") != F.col("r.label"))
         & (F.least(n, m) * 100 >= THRESHOLD * F.greatest(n, m))
         & (most >= need)
+        & _outline_allows("l", "r")
     )
     return left.join(right, may).select(F.col("l.mark").alias("a"), F.col("r.mark").alias("b")).distinct()
 

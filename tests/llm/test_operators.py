@@ -95,6 +95,23 @@ class TestJaccard:
     def test_empty_table(self, spark):
         assert jaccard.link(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
+    def test_outlines_allow_every_link_and_few_others(self, spark):
+        rng = np.random.default_rng(4)
+        base = rng.integers(0, 1 << 58, 200)
+        sets = {}
+        for k in range(40):  # from equal to a third in common
+            changed = base.copy()
+            changed[: 4 * k] = rng.integers(0, 1 << 58, 4 * k)
+            sets[k] = set(changed.tolist())
+        rows = [(k, h) for k, found in sets.items() for h in found]
+        bits = spark.createDataFrame(rows, "mark long, h long").groupBy("mark").agg(*jaccard._parities("h"), F.count("*").alias("n"))
+        outlines = bits.withColumn("alone", F.lit(0).cast("bigint"))
+        pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+        near = {(r.a, r.b) for r in jaccard._near(pairs, outlines).collect()}
+        links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+        assert links and links <= near
+        assert len(near) < 3 * len(links)
+
 
 def test_components_go_on_until_nothing_changes(spark, monkeypatch):
     from repoaudit.llm import graph
