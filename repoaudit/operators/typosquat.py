@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoaudit.functions import text
 from repoaudit.functions.similarity import close_distance
 from repoaudit.rules import MAX_TYPO_DISTANCE, POPULAR_PACKAGES, popular_table
 from repoaudit.schemas import SIMILAR
+from repoaudit.session import freeze
 
 # Up to this many known names are compared in place; a longer list is joined.
 MAX_LITERAL_NAMES = 200
 
 # Known names of up to this length are joined on what deletions leave, longer ones on segments.
 SHORT = 8
-# A segment that as many known names share is joined together with the rest of the name.
+# A known name with a segment that CROWD share is joined on all but two of its PARTS instead; what
+# HOT_SEGMENT share of these is joined together with the rest of the name.
+CROWD = 20
 HOT_SEGMENT = 200
+PARTS = 6
 
 
 def normalized(name: Column) -> Column:
@@ -131,9 +137,14 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     to keys and joined on them, then the distance is verified. For known names of at most
     ``SHORT`` letters the keys are what is left without any two letters; few names share one. A longer
     known name has three keys, its segments, and a name has one for each place at which it can
-    hold one of them: less than twenty, whatever its length. A segment that ``HOT_SEGMENT`` known
-    names or more have at one place, such as a common prefix, is joined together with what
-    the rest of the name is without any two letters, which again few names share.
+    hold one of them: less than twenty, whatever its length.
+
+    A segment that ``CROWD`` known names or more have at one place, such as a common prefix,
+    tells little. Known names with one are cut into ``PARTS`` parts, of which two edits leave
+    all but two as they are. A name has a key for each two parts left out, a known one a key for each
+    way its other parts can lie: 15 and 115, whatever their lengths. Each pair counts with
+    one of its keys only. A key that ``HOT_SEGMENT`` known names share is joined together with what
+    the two parts left out, a third of the name, are without any two letters.
     """
     plain = names.select("name").distinct().withColumn("plain", normalized(F.col("name")))
     target = known.select(
@@ -141,7 +152,8 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     )
     # A name that is longer by more is not close to any, and would have very many keys.
     longest = target.agg(F.max(F.length("target"))).first()[0] or 0
-    plain = plain.where(F.length("plain") <= longest + MAX_TYPO_DISTANCE)
+    plain = _dealt(plain.where(F.length("plain") <= longest + MAX_TYPO_DISTANCE))
+    target = _dealt(target)
     pairs = _pairs_of_short(plain, target.where(F.length("target") <= SHORT))
     if longest > SHORT:
         pairs = pairs.unionByName(_pairs_by_segment(plain, target.where(F.length("target") > SHORT)))
@@ -153,6 +165,13 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _dealt(names: DataFrame) -> DataFrame:
+    """Give every core a share of the names: they are few bytes, but become many keys."""
+    spark = names.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return names.repartition(parts)
+
+
 def _pairs_of_short(plain: DataFrame, target: DataFrame) -> DataFrame:
     some = plain.where(F.length("plain") <= SHORT + MAX_TYPO_DISTANCE)
     left = some.select("name", "plain", F.explode(_deletions(F.col("plain"))).alias("key"))
@@ -161,16 +180,101 @@ def _pairs_of_short(plain: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def _pairs_by_segment(plain: DataFrame, target: DataFrame) -> DataFrame:
+    plain = plain.where(F.length("plain") > SHORT - MAX_TYPO_DISTANCE)
     right = _known_segments(target)
+    shared = right.groupBy("key").count().where(F.col("count") >= CROWD)
+    crowd = freeze(right.join(shared, "key", "left_semi").select(*target.columns).distinct())
+    alone = target.join(crowd.select("target").distinct(), "target", "left_anti")
+    pairs = _name_segments(plain).join(_known_segments(alone).drop("rest"), "key").drop("key", "rest")
+    return pairs if crowd.isEmpty() else pairs.unionByName(_pairs_by_parts(plain, crowd))
+
+
+def _left_out() -> list[dict]:
+    """The pairs of parts that may hold the edits."""
+    return [{"i": i, "j": j} for i in range(PARTS) for j in range(i + 1, PARTS)]
+
+
+def _placements() -> list[dict]:
+    """Where the other parts of a name can lie in a known one that is longer by ``change``: those
+    between the two are moved by ``move``, those behind them by ``change``. Parts next to
+    each other have none between them."""
+    most = MAX_TYPO_DISTANCE
+    found = []
+    for change in range(-most, most + 1):
+        one_each = [move for move in (-1, 0, 1) if abs(change - move) <= 1]
+        for pair in _left_out():
+            moves = [int(change / 2)] if pair["j"] == pair["i"] + 1 else one_each
+            found += [{"change": change, **pair, "move": move} for move in moves]
+    return found
+
+
+def _exploded(df: DataFrame, rows: list[dict]) -> DataFrame:
+    fields = ",".join(f"{name}:int" for name in rows[0])
+    table = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
+    return df.select("*", F.explode(table).alias("_at")).select(*df.columns, "_at.*")
+
+
+def _bounds(length: Column, part: str) -> tuple[Column, Column]:
+    """Where a part of a name begins and ends, counted from 0; lengths of parts differ by one at most."""
+    begin = F.floor(length * F.col(part) / PARTS).cast("int")
+    return begin, F.floor(length * (F.col(part) + 1) / PARTS).cast("int")
+
+
+def _piece(name: Column, begin: Column, end: Column) -> Column:
+    return F.substr(name, begin + 1, end - begin)
+
+
+def _known_parts(target: DataFrame) -> DataFrame:
+    """A row per placement in each known name: the key of all parts but two, and those as ``rest``."""
+    rows = _exploded(target, _placements())
+    name, change, move = F.col("target"), F.col("change"), F.col("move")
+    length = F.length("target") - change
+    (a, b), (c, d) = _bounds(length, "i"), _bounds(length, "j")
+    same = [_piece(name, F.lit(0), a), _piece(name, b + move, c + move), _piece(name, d + change, F.length("target"))]
+    rest = F.concat(_piece(name, a, b + move), _piece(name, c + move, d + change))
+    return rows.select(*target.columns, F.xxhash64(length, "i", "j", *same).alias("key"), rest.alias("rest"))
+
+
+def _name_parts(plain: DataFrame) -> DataFrame:
+    """A row per pair of parts left out of each name, with the key of the others."""
+    rows = _exploded(plain, _left_out())
+    name, length = F.col("plain"), F.length("plain")
+    (a, b), (c, d) = _bounds(length, "i"), _bounds(length, "j")
+    same = [_piece(name, F.lit(0), a), _piece(name, b, c), _piece(name, d, length)]
+    rest = F.concat(_piece(name, a, b), _piece(name, c, d))
+    return rows.select(*plain.columns, "i", "j", F.xxhash64(length, "i", "j", *same).alias("key"), rest.alias("rest"))
+
+
+def _found_here() -> Column:
+    """Whether a pair counts with the two parts that its row leaves out, or with two others.
+
+    Take the first part that differs where it is, and the last one that differs when moved by the
+    change of length: a close pair agrees on all parts before, between and behind them. If the
+    last is not behind the first, only the first holds edits, and counts with the part next to it.
+    """
+    name, known = F.col("plain"), F.col("target")
+    length = F.length("plain")
+    change = F.length("target") - length
+    (a, b), (c, d) = _bounds(length, "i"), _bounds(length, "j")
+    first = _piece(name, a, b) == _piece(known, a, b)
+    last = (c + change >= 0) & (_piece(name, c, d) == _piece(known, c + change, d + change))
+    beside = F.col("j") == F.col("i") + 1
+    return F.when(first, F.col("i") == PARTS - 2).otherwise(~last | beside)
+
+
+def _pairs_by_parts(plain: DataFrame, target: DataFrame) -> DataFrame:
+    right = _known_parts(_dealt(target)).withColumnRenamed("rest", "known_rest")
     hot = right.groupBy("key").count().where(F.col("count") >= HOT_SEGMENT).select("key", F.lit(True).alias("hot"))
 
-    def keyed(rows: DataFrame) -> DataFrame:
+    def keyed(rows: DataFrame, rest: str) -> DataFrame:
         none = F.array(F.lit(0).cast("bigint"))
-        second = F.when(F.col("hot"), _deletions(F.col("rest"))).otherwise(none)
-        return rows.join(hot, "key", "left").withColumn("second", F.explode(second)).drop("hot", "rest")
+        second = F.when(F.col("hot"), _deletions(F.col(rest))).otherwise(none)
+        return rows.join(hot, "key", "left").withColumn("second", F.explode(second)).drop("hot")
 
-    joined = keyed(_name_segments(plain)).join(keyed(right), ["key", "second"])
-    return joined.drop("key", "second")
+    joined = keyed(_name_parts(plain), "rest").join(keyed(right, "known_rest"), ["key", "second"])
+    # The parts left out hold all edits and are shorter than the names, so they are looked at first.
+    close = F.levenshtein("rest", "known_rest", MAX_TYPO_DISTANCE) >= 0
+    return joined.where(close & _found_here()).drop("key", "second", "i", "j", "rest", "known_rest")
 
 
 def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:

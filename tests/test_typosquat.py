@@ -159,3 +159,34 @@ def test_keys_do_not_grow_with_the_name(spark):
         row = spark.createDataFrame([(name, name)], "name string, plain string")
         assert typosquat._name_segments(row).count() <= 19
         assert typosquat._known_segments(row.select(F.col("name").alias("known_name"), F.lit(0).alias("ord"), F.col("plain").alias("target"))).count() == 3
+
+
+@pytest.mark.parametrize("hot", [200, 2])
+def test_parts_find_every_close_pair_once(spark, monkeypatch, hot):
+    """Where all known names count as crowded, also where every key counts as hot."""
+    monkeypatch.setattr(typosquat, "CROWD", 1)
+    monkeypatch.setattr(typosquat, "HOT_SEGMENT", hot)
+    rng = random.Random(8)
+    known = {"abcdefghi", "aaaaaaaaa", "aaaaaaaaaa", "abababababab"}
+    for _ in range(150):
+        core = "".join(rng.choice("ab") for _ in range(rng.randint(9, 20)))
+        known.add(rng.choice(["", "common-prefix-"]) + core + rng.choice(["", "-é-of-all"]))
+    asked = {edits(rng, rng.choice(sorted(known)), "abx", rng.randint(0, 3)) for _ in range(600)} | {"AAAAAAAA", "aaaaaaa"}
+    names = spark.createDataFrame([(n,) for n in asked], "name string")
+    pairs = typosquat.close_pairs(
+        names, spark.createDataFrame([(n, i) for i, n in enumerate(sorted(known))], "name string, ord int")
+    ).collect()
+    got = {(r.name, r.known_name): r.distance for r in pairs}
+    want = {(a, k): d for a in asked for k in known if 1 <= (d := _distance(a.strip().lower(), k)) <= 2}
+    assert len(got) == len(pairs) and got == want and len(want) > 300
+
+
+def test_names_alike_but_for_a_third_make_few_pairs(spark, monkeypatch):
+    """Known names that share two of three segments with very many, as long as few are close."""
+    rng = random.Random(4)
+    known = [f"lib-of-all-{rng.randrange(10**7):07d}-for-economy-{rng.randrange(10**7):07d}" for _ in range(1500)]
+    rows = spark.createDataFrame([(n, 0, n) for n in known], "known_name string, ord int, target string")
+    plain = spark.createDataFrame([(n, n) for n in known], "name string, plain string")
+    assert typosquat._pairs_by_segment(plain, rows).count() < 20_000
+    assert typosquat._known_parts(rows.limit(1)).count() == 115
+    assert typosquat._name_parts(plain.limit(1)).count() == 15
