@@ -121,7 +121,14 @@ def _part(code, value) -> _Need:
 
 
 def _tree(parts) -> _Need:
-    return _row([_part(code, value) for code, value in parts])
+    needs = []
+    for code, value in parts:
+        if code in (codes.MAX_REPEAT, codes.MIN_REPEAT, codes.POSSESSIVE_REPEAT) and 0 < value[0] < value[1]:
+            # Begins with as many as there must be, which go on the run of what is before.
+            needs += [_tree(value[2])] * min(value[0], 3) + [_ANY]
+        else:
+            needs.append(_part(code, value))
+    return _row(needs)
 
 
 def needed_literals(pattern: str) -> tuple[tuple[str, ...], ...]:
@@ -153,7 +160,7 @@ def _quoted(char: str) -> str:
 
 
 def one_of(strings) -> str:
-    """A regular expression for one of many ASCII strings, none of which begins with another.
+    """A regular expression for one of many ASCII strings; the longest, if one begins with another.
 
     Shared beginnings are written once, and at each place a few tests of character classes lead to
     the branch in question, so its time hardly grows with the number of strings.
@@ -165,7 +172,10 @@ def one_of(strings) -> str:
     def choose(chars: list[str]) -> str:
         if len(chars) == 1:
             rest = branches[chars[0]]
-            return _quoted(chars[0]) + ("" if rest == [""] else one_of(rest))
+            longer = [r for r in rest if r]
+            if len(longer) < len(rest):  # a string ends here
+                return _quoted(chars[0]) + (f"(?:{one_of(longer)})?" if longer else "")
+            return _quoted(chars[0]) + one_of(longer)
         half = len(chars) // 2
         low, high = chars[:half], chars[half:]
         return f"(?:(?=[{''.join(map(_quoted, low))}]){choose(low)}|{choose(high)})"

@@ -180,54 +180,65 @@ def _findings(hits: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-_RULE = "array<struct<category:string,category_ord:int,severity:string,description:string,needles:array<string>,further:array<string>,pattern:string>>"
+_RULE = (
+    "array<struct<category:string,category_ord:int,severity:string,description:string,"
+    "needles:array<string>,further:array<string>,pattern:string,earlier:string>>"
+)
 
 
-def _rules_as_data(rules) -> tuple[list[str], list[str], list[dict]]:
-    """``(needles, free, rows)``: strings of which a line holds one if a pattern with known literals
-    matches, patterns without any, and a row per category.
+def _rules_as_data(rules) -> tuple[list[str], list[str], list[str], list[dict]]:
+    """``(needles, free, every, rows)``: strings of which a line holds one if a pattern with known
+    literals matches, patterns without any, all literals, and a row per pattern.
 
-    A pattern counts with its two best groups of literals. A literal that holds another one is
-    replaced by it, so at most one is found at any place of a line. The patterns of a category are
-    one alternation, tried on lines that hold one of its ``needles`` and one of its ``further``
-    strings; where these are null, on every line that comes so far.
+    A pattern counts with its two best groups of literals. A line is told by the longest literal
+    that begins at each of its places, so a group is there if one of its strings, or a literal that
+    begins with one, is among these. A pattern is tried on lines that hold one of its ``needles`` and one
+    of its ``further`` strings; where these are null, on every line that comes so far. A line that
+    the ``earlier`` patterns of its category are found in has been counted.
     """
     groups = {p: rule.needles_of(i)[-2:] for rule in rules for i, p in enumerate(rule.patterns)}
-    shortest = minimal(n for own in groups.values() for group in own for n in group)
-    free, rows = [], []
+    every = sorted({n for own in groups.values() for group in own for n in group})
+    begin_with: dict[str, list[str]] = {n: [] for n in every}
+    for n in every:
+        for k in range(1, len(n) + 1):
+            begin_with.get(n[:k], []).append(n)
+    rows = []
     for at, rule in enumerate(rules):
-        without = [p for p in rule.patterns if not groups[p]]
-        free += without
-        needles, further = (sorted({shortest[n] for p in rule.patterns for n in (groups[p][k] if groups[p] else ())}) for k in (-1, 0))
-        rows.append(
-            {
-                "category": rule.category,
-                "category_ord": at,
-                "severity": rule.severity,
-                "description": rule.description,
-                "needles": None if without else needles,
-                "further": None if without else further,
-                "pattern": grouped([text.ignore_case(ONE_PASS_FORMS.get(p, p)) for p in rule.patterns]),
-            }
-        )
-    return sorted({shortest[n] for own in groups.values() if own for n in own[-1]}), free, rows
+        java = [text.ignore_case(ONE_PASS_FORMS.get(p, p)) for p in rule.patterns]
+        for i, p in enumerate(rule.patterns):
+            needles, further = (
+                sorted({m for n in groups[p][k] for m in begin_with[n]}) if groups[p] else None for k in (-1, 0)
+            )
+            rows.append(
+                {
+                    "category": rule.category,
+                    "category_ord": at,
+                    "severity": rule.severity,
+                    "description": rule.description,
+                    "needles": needles,
+                    "further": further,
+                    "pattern": grouped(java[i : i + 1]),
+                    "earlier": grouped(java[:i]) if i else None,
+                }
+            )
+    best = minimal(n for own in groups.values() if own for n in own[-1])
+    return sorted(set(best.values())), [p for p, own in groups.items() if not own], every, rows
 
 
 def _match_many(lines: DataFrame, rules) -> DataFrame:
     """Findings of folded lines by rules that are data: one literal, whatever their number.
 
     A line goes on if one regular expression finds any of the literals, or one alternation any of
-    the patterns without literals. Such a line is taken once per category, and a category's patterns
-    run if one of its literals is in the line.
+    the patterns without literals. Such a line is taken once per pattern, and a pattern runs if its
+    literals are in the line.
     """
     keys = [c for c in lines.columns if c not in ("line_number", "line", "folded")]
-    needles, free, rows = _rules_as_data(rules)
+    needles, free, every, rows = _rules_as_data(rules)
     some = []
     found = F.array().cast("array<string>")
     if needles:
         some.append(F.rlike("folded", F.lit(one_of(needles))))
-        every = {n for row in rows for n in (row["needles"] or []) + (row["further"] or [])}
-        found = F.regexp_extract_all("folded", F.lit(f"(?=({one_of(every)}))"), F.lit(1))
+        found = F.array_distinct(F.regexp_extract_all("folded", F.lit(f"(?=({one_of(every)}))"), F.lit(1)))
     if free:
         some.append(F.rlike("line", F.lit(grouped([text.ignore_case(p) for p in free]))))
     kept = lines.where(any_of(some)).select(*keys, "line_number", "line", found.alias("_found"))
@@ -236,7 +247,8 @@ def _match_many(lines: DataFrame, rules) -> DataFrame:
     possible = F.col("_hit.needles").isNull() | (
         F.arrays_overlap("_found", "_hit.needles") & F.arrays_overlap("_found", "_hit.further")
     )
-    return _findings(tried.where(possible).where(F.rlike("line", "_hit.pattern")), keys)
+    first = F.col("_hit.earlier").isNull() | ~F.rlike("line", "_hit.earlier")
+    return _findings(tried.where(possible).where(F.rlike("line", "_hit.pattern")).where(first), keys)
 
 
 def scan_security(files: DataFrame, rules=None, redact: bool = False) -> DataFrame:

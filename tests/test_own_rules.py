@@ -9,7 +9,7 @@ from hypothesis import example, given, settings, strategies as st
 
 from repoaudit.functions import literals
 from repoaudit.operators import security
-from repoaudit.rules import SECURITY_RULES, SecurityRule
+from repoaudit.rules import SECURITY_RULES, SecurityRule, valid_rules
 
 FOLDED = {ord(a): b for a, b in zip("ſKİı", "skii")}
 
@@ -196,3 +196,26 @@ def test_own_rules_cost_about_as_much_as_the_built_in_ones(spark):
     own = min(seconds(rules) for _ in range(3))
     docs.unpersist()
     assert own < 2 * built_in + 1.0, (own, built_in)
+
+
+def test_one_of_strings_that_begin_with_others():
+    strings = ["un", "und", "und.", "ung", "le", "les,", "a", "ab"]
+    found = re.findall(f"(?=({literals.one_of(strings)}))", "und und. les le les, unab")
+    assert found == ["und", "und.", "le", "le", "les,", "un", "ab"]
+
+
+def test_patterns_are_tried_for_their_own_literals(spark):
+    """A rule with a long literal is not tried on lines that only hold a short one of another rule, a
+    literal within a longer one is still seen, and a line counts once per category."""
+    rules = tuple(SecurityRule(f"r{a}{b}", "low", "x", (f"{a}.{{2,3}}{b}[.,]", rf"{b}\s+{a}[a-e]+$")) for a in FEW for b in FEW)
+    patterns = security._rules_as_data(valid_rules(spark, rules))[3]
+    assert {r["category"] for r in patterns if "und." in r["needles"]} == {f"r{a}und" for a in FEW}
+    assert not any("und" in r["needles"] for r in patterns) and any("unda" in r["needles"] for r in patterns)
+    texts = ["und xyund. les und, undxyund,", "les  undabc", "und les", "lesxyund.lesxyzund,", "UNDxyLES.  les undb", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    got = [(r.id, r.category) for r in security._match_many(security._folded_lines(rows), valid_rules(spark, rules)).collect()]
+    want = {(i, r.category) for i, t in enumerate(texts) for r in rules if any(re.search(p, t, re.I) for p in r.patterns)}
+    assert len(got) == len(want) > 3 and set(got) == want
+
+
+FEW = ("und", "les", "ung", "eau")
