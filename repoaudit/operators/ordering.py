@@ -73,7 +73,7 @@ def number_rows(df: DataFrame, groups: dict[str, list[str]], order: list[str]) -
     A window would pull a whole group into one task. Here rows are range-partitioned, which splits
     a group of any size, and moved only this once. Where a partition is made, its rows are counted
     within each group in both directions, each after a sort of its own, which gives positions and
-    sizes inside the partition. Then they are frozen. Only the first and the last group of a
+    sizes inside the partition. Rows are frozen after each count, so a task has one Python worker at a time. Only the first and the last group of a
     partition can go on in others, so one row per partition tells all that is missing. That table
     is broadcast; it grows with the number of partitions, not with that of groups.
     """
@@ -84,7 +84,7 @@ def number_rows(df: DataFrame, groups: dict[str, list[str]], order: list[str]) -
     down = {f"_down_{n}": groups[n] for n in names}
     ranged = df.repartitionByRange(*keys).withColumn("_id", F.monotonically_increasing_id())
     falling = ranged.sortWithinPartitions(*[F.col(c).desc() for c in [*keys, "_id"]])
-    rising = _count_runs(falling, down).sortWithinPartitions(*keys, "_id")
+    rising = freeze(_count_runs(falling, down)).sortWithinPartitions(*keys, "_id")
     rows = freeze(_count_runs(rising, up).withColumn("_part", F.shiftright("_id", 33)).drop("_id"))
     size = {n: F.col(f"_up_{n}") + F.col(f"_down_{n}") - 1 for n in names}
     joined = rows.join(F.broadcast(_edges(rows, groups, size)), "_part")

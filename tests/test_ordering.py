@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from repoaudit.operators import ordering
 from repoaudit.operators.ordering import in_parts, number_rows
 
 
@@ -95,3 +96,17 @@ def test_lists_in_parts_are_whole(spark):
 def test_no_rows(spark):
     _, df = _rows(spark, 10)
     assert number_rows(df.limit(0), {"at": ["repo"]}, ["line"]).count() == 0
+
+
+def test_a_task_counts_in_one_python_worker(spark, monkeypatch):
+    """What is frozen, and so computed in one task per partition, holds one count at most."""
+    _, df = _rows(spark, 100)
+    counts, freeze = [], ordering.freeze
+
+    def counted(rows):
+        counts.append(rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return freeze(rows)
+
+    monkeypatch.setattr(ordering, "freeze", counted)
+    number_rows(df, {"at": ["repo"], "row": ["repo", "section"]}, ["section", "file", "line"]).collect()
+    assert sum(counts) == 2 and max(counts) == 1
