@@ -18,7 +18,8 @@ exact: it loses no link, and every link is checked on the whole sets.
    share a pair. A heavy (large) set goes into the inverted list of each of its first hashes,
    and so do the light sets that are large enough to link with a heavy one. The boundary is
    the size for which the pairs of the light sets and the scans of the lists cost least,
-   computed from counts by size.
+   computed from counts by size. A pair is a row that is moved and sorted in every round, so it
+   counts as ``ROW`` scanned members of a list.
 5. Links. In some rounds, each set is compared with one that stands for its list, another one
    each time, and components are formed; so groups of near copies join without comparing all
    with all. A list whose sets have all come together is dropped after each round. Then all sets
@@ -61,6 +62,8 @@ REMEMBERED = 1_000_000
 RARITY = 6
 #: Classes that go on are broadcast to find their texts if they are no more than this.
 FEW = 500_000
+#: Comparisons within a list that cost as much as one more row in the lists, about.
+ROW = 100
 #: The columns of a set's outline: 64 bits each.
 _BITS = ("b0", "b1", "b2", "b3")
 
@@ -282,15 +285,15 @@ def _first(n: Column, alone: Column, k: int) -> Column:
 
 def _boundary(sets: DataFrame) -> int:
     """The largest size of a light set. Sizes are counted in steps of a fifth, of which there
-    are few; per step the pairs that light sets would enumerate, and the lengths of the lists
-    that heavy sets would scan."""
+    are few; per step the pairs that light sets would enumerate, each ``ROW`` times, and the
+    lengths of the lists that heavy sets would scan."""
     one = F.slice("common", 1, _first(F.col("n"), F.col("alone"), 1))
     two = _first(F.col("n"), F.col("alone"), 2).cast("double")
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.2)))
     scans = F.aggregate(one, F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.shiftright(x, 64 - RARITY)))
     rows = (
         sets.groupBy(step.alias("step"))
-        .agg(F.max("n").alias("n"), F.sum(two * (two - 1) / 2).alias("pairs"), F.sum(scans).alias("scans"))
+        .agg(F.max("n").alias("n"), F.sum(two * (two - 1) / 2 * ROW).alias("pairs"), F.sum(scans).alias("scans"))
         .orderBy("step")
         .collect()
     )

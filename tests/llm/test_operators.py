@@ -113,6 +113,17 @@ class TestJaccard:
         assert len(near) < 3 * len(links)
 
 
+    def test_rows_of_lists_cost_more_than_scans(self, spark):
+        """Sets enumerate the pairs of their hashes only where lists of single ones are long."""
+
+        def sets(rarity):
+            packed = [(rarity << (64 - jaccard.RARITY)) + k for k in range(100)]
+            return spark.createDataFrame([(m, 200, 0, packed) for m in range(5)], "mark long, n long, alone long, common array<long>")
+
+        assert jaccard._boundary(sets(6)) == 0
+        assert jaccard._boundary(sets(14)) == 200
+
+
 def test_components_go_on_until_nothing_changes(spark, monkeypatch):
     from repoaudit.llm import graph
 
