@@ -12,8 +12,8 @@ of at most ``REACH``.
 3. Probes. A class searches each list that can hold a neighbour. A neighbour in the list of
    another centre lies beyond the plane halfway between the two centres, so lists whose plane
    is farther than REACH are left out, and no other.
-4. Distances. Table lookups give the distance from the query to each reconstruction. Less the
-   member's reconstruction error it is a lower bound; only members whose bound is within REACH
+4. Distances. One product of matrices gives the distances of queries to the reconstructions of a
+   block, decoded once. Less the member's reconstruction error it is a lower bound; only members whose bound is within REACH
    have their cosine computed in double precision.
 
 Both cuts are exact, so every link is found whatever the sample, which only decides the speed.
@@ -98,8 +98,11 @@ class Index:
         near = _nearest(x, self.centres)
         rest = x - self.centres[near]
         codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books)], axis=1)
-        back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
-        return near, codes, np.sqrt(((rest - back) ** 2).sum(axis=1))
+        return near, codes, np.sqrt(((rest - self.decode(codes)) ** 2).sum(axis=1))
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What the codes stand for: residuals to the centre of the list."""
+        return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
 
     def probes(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         """For each vector whether each list can hold a vector within REACH.
@@ -117,13 +120,9 @@ class Index:
         return np.where(between > 1e-4, plane <= REACH + 1e-6, True)
 
     def lower_bounds(self, q: np.ndarray, cell: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
-        """How near each query can be to each member of a list, from table lookups."""
-        rest = q - self.centres[cell]
-        square = np.zeros((len(q), len(codes)))
-        for i, (p, book) in enumerate(zip(self.parts, self.books)):
-            part = rest[:, p]
-            table = (part**2).sum(axis=1)[:, None] - 2 * part @ book.T + (book**2).sum(axis=1)
-            square += table[:, codes[:, i]]
+        """How near each query can be to each member of a list, from its reconstruction."""
+        rest, back = q - self.centres[cell], self.decode(codes)
+        square = (rest**2).sum(axis=1)[:, None] - 2 * rest @ back.T + (back**2).sum(axis=1)
         return np.sqrt(np.maximum(square, 0)) - error[None]
 
 
@@ -219,6 +218,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     )
 
 
+def _probed(frames, index: Index):
+    """Each vector once, with the lists that it searches. Spark makes a row of each list, so a batch
+    holds no copies of a vector, of which most lists need one."""
+    for frame in _parts(frames):
+        probes = index.probes(_normal(_matrix(frame["x"])), frame["cell"].to_numpy())
+        cells = [np.flatnonzero(p).astype(np.int32) for p in probes]
+        yield pd.DataFrame({"code": frame["code"].to_numpy(), "x": frame["x"].to_numpy(), "cells": cells})
+
+
 def _search(heads: DataFrame) -> DataFrame:
     """For classes ``(code, copies, x)`` of one length: ``(code, n)`` with the vectors of other
     classes that a class links with, in parts, and ``(code, other)``, edges that join them."""
@@ -237,13 +245,10 @@ def _search(heads: DataFrame) -> DataFrame:
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = F.broadcast(freeze(sizes))  # one row per centre
 
-    def probing(frames):
-        for frame in _parts(frames):
-            x = _normal(_matrix(frame["x"]))
-            at, cell = np.nonzero(index.value.probes(x, frame["cell"].to_numpy()))
-            yield pd.DataFrame({"code": frame["code"].to_numpy()[at], "x": frame["x"].to_numpy()[at], "cell": cell})
-
-    queries = members.select("code", "x", "cell").mapInPandas(probing, "code bigint, x array<double>, cell int")
+    probed = members.select("code", "x", "cell").mapInPandas(
+        lambda frames: _probed(frames, index.value), "code bigint, x array<double>, cells array<int>"
+    )
+    queries = probed.select("code", "x", F.explode("cells").alias("cell"))
     # Each block of members meets each block of its list's queries once.
     loads = F.broadcast(freeze(queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("loads"))))
     block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -192,6 +193,19 @@ class TestVectors:
         a, b = np.nonzero(x @ x.T >= vectors.MIN_COSINE)
         assert probes[a, near[b]].all() and probes.mean() < 0.9
 
+    def test_a_vector_leaves_its_batch_once(self):
+        """However many lists it searches; distances to reconstructions bound the real ones."""
+        x = vectors._normal(np.random.default_rng(2).normal(size=(300, 16)))
+        index = vectors.Index(x, 10_000)
+        near, codes, error = index.encode(x)
+        frame = pd.DataFrame({"code": np.arange(300), "x": list(x), "cell": near})
+        found = pd.concat(vectors._probed([frame], index))
+        assert found["code"].tolist() == list(range(300))
+        assert [set(c) for c in found["cells"]] == [set(np.flatnonzero(p)) for p in index.probes(x, near)]
+        of = near == near[0]
+        real = np.sqrt(((x[:, None] - x[of][None]) ** 2).sum(axis=2))
+        assert (index.lower_bounds(x, near[0], codes[of], error[of]) <= real + 1e-9).all()
+
     def test_only_unusable_or_no_vectors(self, spark):
         df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
         assert sorted(tuple(r) for r in vectors.vectors_digest(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
