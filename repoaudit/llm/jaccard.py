@@ -24,7 +24,8 @@ exact: it loses no link, and every link is checked on the whole sets.
    each time, and components are formed; so groups of near copies join without comparing all
    with all. A list whose sets have all come together is dropped after each round. Then all sets
    of a list that still lie in different components are compared, if their sizes and the places of
-   the common hash allow a link. Whole sets are only fetched for pairs whose outlines allow one: each
+   the common hash allow a link, and only in the list of their first common hash and in that of their
+   first two. Whole sets are only fetched for pairs whose outlines allow one: each
    hash turns one bit of its set's outline over, so outlines differ in no more bits than sets in hashes.
 
 Memory of a task: a batch of texts, or the sort buffers of a shuffle. Nothing that grows with
@@ -223,6 +224,7 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
     lists = compact(freeze(_lists(ordered, _boundary(ordered))))
     shared = ordered.select("mark", "n", F.col("common").alias("hashes"))
     outlines = ordered.select("mark", "n", "alone", *_BITS)
+    commons = ordered.select("mark", "common")
     named = seen = None
     for turn in range(STAR_ROUNDS + 1):
         if named is None:
@@ -235,7 +237,7 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
             if labelled.isEmpty():
                 break
             lists = labelled.drop("label")
-        pairs = _near(_stars(labelled, turn), outlines) if turn < STAR_ROUNDS else _rest(labelled, outlines)
+        pairs = _near(_stars(labelled, turn), outlines) if turn < STAR_ROUNDS else _rest(labelled, outlines.join(commons, "mark")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = compact(freeze(pairs))
@@ -351,9 +353,22 @@ def _stars(lists: DataFrame, turn: int) -> DataFrame:
     return both.select(F.least("mark", "other").alias("a"), F.greatest("mark", "other").alias("b")).distinct()
 
 
+def _before() -> Column:
+    """The common hashes of a set that come before those that the list names, or between them. Sets
+    that share many hashes meet in many lists, but share none of these only in the list of their first
+    common hash and in that of their first two."""
+    common, at = F.col("common"), (F.col("place") - F.col("alone")).cast("int")
+    x = F.element_at(common, at)
+    later = F.slice(common, at + 1, _first(F.col("n"), F.col("alone"), 2) - at)
+    # 0 if the list is that of one hash.
+    second = F.array_position(F.transform(later, lambda y: F.xxhash64(x, y)), F.col("list")).cast("int")
+    return F.array_remove(F.slice(common, 1, at + second - 1), x)
+
+
 def _rest(lists: DataFrame, outlines: DataFrame) -> DataFrame:
-    """All pairs of open lists that lie in different components and may link by size, place and outline."""
-    lists = lists.join(outlines.drop("n"), "mark")
+    """All pairs of open lists that lie in different components and may link by size, place and
+    outline, each from one list of a hash and one of a pair at most."""
+    lists = lists.join(outlines.drop("n"), "mark").withColumn("before", _before()).drop("common")
     left, right = lists.alias("l"), lists.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))
@@ -365,8 +380,9 @@ def _rest(lists: DataFrame, outlines: DataFrame) -> DataFrame:
         & (F.least(n, m) * 100 >= THRESHOLD * F.greatest(n, m))
         & (most >= need)
         & _outline_allows("l", "r")
+        & ~F.arrays_overlap("l.before", "r.before")
     )
-    return left.join(right, may).select(F.col("l.mark").alias("a"), F.col("r.mark").alias("b")).distinct()
+    return left.join(right, may).select(F.col("l.mark").alias("a"), F.col("r.mark").alias("b"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

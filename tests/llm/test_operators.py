@@ -114,6 +114,30 @@ class TestJaccard:
         assert len(near) < 3 * len(links)
 
 
+    @pytest.mark.parametrize("boundary,most", [(0, 1), (120, 2), (10_000, 1)])
+    def test_near_copies_meet_in_one_list_of_a_kind(self, spark, boundary, most):
+        """Near copies share hundreds of lists; the last round makes a row of a pair once for lists of one
+        hash and once for lists of two, and loses no pair that links."""
+        rng = np.random.default_rng(5)
+        base = rng.integers(0, 1 << 58, 120)
+        found = {}
+        for mark in range(12):
+            own = base.copy()
+            changed = rng.choice(120, 6, replace=False)
+            own[changed] = rng.integers(0, 1 << 58, 6)
+            found[mark] = sorted(set(own.tolist()))
+        times = Counter(h for s in found.values() for h in s)
+        commons = {m: [h for h in s if times[h] > 1] for m, s in found.items()}
+        rows = [(m, len(s), len(s) - len(commons[m]), commons[m]) for m, s in found.items()]
+        sets = spark.createDataFrame(rows, "mark long, n long, alone long, common array<long>")
+        bits = sets.select("mark", F.explode("common").alias("h")).groupBy("mark").agg(*jaccard._parities("h"))
+        lists = jaccard._lists(sets, boundary).withColumn("label", F.col("mark"))
+        got = Counter(tuple(r) for r in jaccard._rest(lists, sets.join(bits, "mark")).collect())
+        pairs = {(a, b) for a in found for b in found if a < b}
+        links = {(a, b) for a, b in pairs if 100 * len({*found[a]} & {*found[b]}) >= 80 * len({*found[a]} | {*found[b]})}
+        assert len(links) > 20 and links <= set(got) <= pairs
+        assert max(got.values()) <= most
+
     def test_rows_of_lists_cost_more_than_scans(self, spark):
         """Sets enumerate the pairs of their hashes only where lists of single ones are long."""
 
