@@ -12,16 +12,19 @@ of at most ``REACH``.
 3. Probes. A class searches each list that can hold a neighbour. A neighbour in the list of
    another centre lies beyond the plane halfway between the two centres, so lists whose plane
    is farther than REACH are left out, and no other.
-4. Distances. One product of matrices gives the distances of queries to the reconstructions of a
-   block, decoded once. Less the member's reconstruction error it is a lower bound; only members whose bound is within REACH
-   have their cosine computed in double precision.
+4. Distances. One product of matrices tells which members can be within REACH of which queries: those
+   whose distance to the member's reconstruction, less its error, is. It is taken in single precision,
+   whose rounding is added to the reach. Only these have their cosine computed in double precision.
 
 Both cuts are exact, so every link is found whatever the sample, which only decides the speed.
 
-A list is dealt over blocks of about ``BLOCK`` members, so a list that holds a third of all
-vectors is many groups. Queries are dealt over blocks too, and each pair of blocks is a task's
-group. A group answers how many vectors each query links with, and edges that join what its
-links join, at most one per vector in it; links themselves are not emitted.
+Lists next to each other are put on shelves of about ``BLOCK`` members; a longer list is dealt over
+shelves of its own. A class goes to each shelf that holds one of its lists, once for all of them, and
+only to its own shelf and later ones: of two classes that link, each searches the other's list, so the
+one on the earlier shelf finds the link for both. Each pair of shelves is a task's group. It answers how
+many vectors each class links with, and edges that join what its links join, at most one per class
+in it; links themselves are not emitted. The pairs of shelves grow with the square of the table, each
+row of a shuffle with its table's size over ``BLOCK``.
 
 Vectors that are null, empty, zero, or hold a null or a component that is not finite link with
 nothing. Vectors of different lengths never link. Repeated keys count as vectors of their own
@@ -46,8 +49,8 @@ SAMPLE, CENTRES = 16_384, 0.7
 ONE_LEVEL, AT_ONCE = 256, 1024
 #: Parts of a vector with a codebook each, codes per book, rounds of k-means.
 SUBSPACES, CODES, ROUNDS = 8, 64, 12
-#: Members per block, about, and queries whose distances to a block are held at once.
-BLOCK, QUERIES = 1024, 128
+#: Members of a shelf, about, shelves of a small table, and queries compared with a shelf at once.
+BLOCK, SHELVES, QUERIES = 2048, 8, 256
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -119,12 +122,32 @@ class Index:
             plane = (square - own[:, None]) / (2 * between)
         return np.where(between > 1e-4, plane <= REACH + 1e-6, True)
 
-    def lower_bounds(self, q: np.ndarray, cell: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
-        """How near each query can be to each member of a list, from its reconstruction."""
-        rest, back = q - self.centres[cell], self.decode(codes)
-        square = (rest**2).sum(axis=1)[:, None] - 2 * rest @ back.T + (back**2).sum(axis=1)
+    def reconstructed(self, cell, codes: np.ndarray) -> np.ndarray:
+        """What is known of members of one list, or each of its own, by their codes."""
+        return self.centres[cell] + self.decode(codes)
+
+    def lower_bounds(self, q: np.ndarray, cell, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """How near each query can be to each member, from its reconstruction."""
+        back = self.reconstructed(cell, codes)
+        square = (q**2).sum(axis=1)[:, None] - 2 * q @ back.T + (back**2).sum(axis=1)
         return np.sqrt(np.maximum(square, 0)) - error[None]
 
+    def candidates(self, q: np.ndarray, cell, codes: np.ndarray, error: np.ndarray):
+        """Pairs of a query and a member whose lower bound is within REACH, in strips of queries. The bound
+        is solved for the product of the unit vector and the reconstruction, so that a member has one
+        number to compare with; it is less by what single precision can round away."""
+        back = self.reconstructed(cell, codes)
+        size = (back**2).sum(axis=1)
+        least = (1 + size - (REACH + 1e-6 + error) ** 2) / 2
+        least -= (self.length + 8) * 2.0**-23 * (1 + np.sqrt(size)) + 1e-6
+        least, back = least.astype(np.float32), back.astype(np.float32).T
+        single = q.astype(np.float32)
+        for i in range(0, len(q), QUERIES):
+            found = np.flatnonzero(single[i : i + QUERIES] @ back >= least)
+            a, b = np.divmod(found, back.shape[1])
+            for j in range(0, len(a), 4 * BLOCK):
+                yield a[j : j + 4 * BLOCK] + i, b[j : j + 4 * BLOCK]
+
 
 def _parts(frames):
     """Frames of ``AT_ONCE`` rows at most, none of them empty."""
@@ -155,14 +178,12 @@ def _normal(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def _local_edges(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each vector to the least it is joined with by the links of one block."""
-    near = np.where(linked.any(axis=1), rows, np.iinfo(np.int64).max)
-    label_r, label_c = near.copy(), columns.copy()
+def _local_edges(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each vector to the least it is joined with by the links ``(a, b)`` of one group, places
+    in ``rows`` and ``columns``."""
     big = np.iinfo(np.int64).max
-    a, b = np.nonzero(linked)
-    if not len(a):
-        return []
+    label_r, label_c = np.full(len(rows), big), columns.copy()
+    label_r[a] = rows[a]
     while True:
         new_c = label_c.copy()
         np.minimum.at(new_c, b, label_r[a])
@@ -171,10 +192,8 @@ def _local_edges(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> l
         if (new_c == label_c).all() and (new_r == label_r).all():
             break
         label_r, label_c = new_r, new_c
-    edges = {(int(k), int(v)) for k, v in zip(rows, label_r) if v != big and k != v}
-    used = np.unique(b)
-    edges |= {(int(columns[j]), int(label_c[j])) for j in used if columns[j] != label_c[j]}
-    return sorted(edges)
+    of_r, of_c = (label_r != big) & (label_r != rows), label_c != columns
+    return np.concatenate([rows[of_r], columns[of_c]]), np.concatenate([label_r[of_r], label_c[of_c]])
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -227,6 +246,40 @@ def _probed(frames, index: Index):
         yield pd.DataFrame({"code": frame["code"].to_numpy(), "x": frame["x"].to_numpy(), "cells": cells})
 
 
+def _shelved(sizes: list[tuple[int, int]], most: int) -> list[tuple[int, int, int]]:
+    """``(cell, shelf, parts)`` of lists with their sizes: lists in a row share a shelf of ``most`` members
+    at most, and a longer list has shelves of its own, as many as its parts."""
+    shelves, shelf, used = [], 0, 0
+    for cell, size in sorted(sizes):
+        if used and used + size > most:
+            shelf, used = shelf + 1, 0
+        parts = -(-size // most)
+        shelves.append((cell, shelf, parts))
+        shelf, used = shelf + parts - 1, most if parts > 1 else used + size
+    return shelves
+
+
+def _sent(frames, index: Index, shelves: list[tuple[int, int, int]]):
+    """Each vector of ``frames`` once, with the shelves it goes to: those that hold a list it searches, from its own on."""
+    first = np.zeros(len(index.centres), np.int64)
+    first[[c for c, _, _ in shelves]] = [s for _, s, _ in shelves]
+    listed = np.zeros(len(index.centres), bool)
+    listed[[c for c, _, _ in shelves]] = True
+    long = [(s, p) for _, s, p in shelves if p > 1]
+    number = max(s + p for _, s, p in shelves)
+    for frame in _parts(frames):
+        (probed,) = _probed([frame], index)
+        cells = np.concatenate(probed["cells"].to_numpy())
+        at = np.repeat(np.arange(len(frame)), [len(c) for c in probed["cells"]])
+        goes = np.zeros((len(frame), number), bool)
+        goes[at[listed[cells]], first[cells[listed[cells]]]] = True
+        for s, p in long:
+            goes[:, s : s + p] = goes[:, s, None]
+        goes &= np.arange(number) >= frame["shelf"].to_numpy()[:, None]
+        to = [np.flatnonzero(g).astype(np.int32) for g in goes]
+        yield frame[["code", "copies", "x", "shelf"]].assign(to=to)
+
+
 def _search(heads: DataFrame) -> DataFrame:
     """For classes ``(code, copies, x)`` of one length: ``(code, n)`` with the vectors of other
     classes that a class links with, in parts, and ``(code, other)``, edges that join them."""
@@ -241,55 +294,50 @@ def _search(heads: DataFrame) -> DataFrame:
             yield frame.assign(cell=near, codes=list(codes.astype(np.int32)), error=error)
 
     schema = "code bigint, copies bigint, x array<double>, cell int, codes array<int>, error double"
-    members = freeze(heads.select("code", "copies", "x").mapInPandas(encoded, schema))
-    sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sizes = F.broadcast(freeze(sizes))  # one row per centre
-
-    probed = members.select("code", "x", "cell").mapInPandas(
-        lambda frames: _probed(frames, index.value), "code bigint, x array<double>, cells array<int>"
-    )
-    queries = probed.select("code", "x", F.explode("cells").alias("cell"))
-    # Each block of members meets each block of its list's queries once.
-    loads = F.broadcast(freeze(queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("loads"))))
-    block = F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int")
-    load = F.pmod(F.xxhash64("code"), F.col("loads")).cast("int")
-    left = queries.join(loads, "cell").join(sizes, "cell").select(
-        "code", "x", "cell", load.alias("load"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    )
-    right = members.join(sizes, "cell").join(loads, "cell").select(
-        "code", "copies", "x", "codes", "error", "cell", block.alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("load"),
+    lists = freeze(heads.select("code", "copies", "x").mapInPandas(encoded, schema))
+    # One row per centre, of which there are no more than an eighth of the sample.
+    sizes = [tuple(r) for r in lists.groupBy("cell").count().collect()]
+    shelves = _shelved(sizes, min(BLOCK, -(-number // SHELVES)))
+    places = F.broadcast(spark.createDataFrame(shelves, "cell int, first int, parts int"))
+    shelf = (F.col("first") + F.pmod(F.xxhash64("code"), F.col("parts"))).cast("int")
+    members = lists.join(places, "cell").withColumn("shelf", shelf).drop("first", "parts")
+
+    sent = members.select("code", "copies", "x", "cell", "shelf").mapInPandas(
+        lambda frames: _sent(frames, index.value, shelves),
+        "code bigint, copies bigint, x array<double>, shelf int, to array<int>",
     )
+    left = sent.select("code", "copies", "x", "shelf", F.explode("to").alias("to"))
+    right = members.select("*", F.col("shelf").alias("to")).withColumn("shelf", F.explode(F.sequence(F.lit(0), "to")))
 
     def compared(keys, q, m):
         if not len(q) or not len(m):
             return pd.DataFrame({"code": [], "n": [], "other": []})
-        q, m = q.sort_values("code"), m.sort_values("code")
         xq, xm = _normal(_matrix(q["x"])), _normal(_matrix(m["x"]))
         cq, cm = q["code"].to_numpy(), m["code"].to_numpy()
         codes, error = np.stack(m["codes"].to_numpy()), m["error"].to_numpy()
-        linked = np.zeros((len(cq), len(cm)), bool)
-        for i in range(0, len(cq), QUERIES):
-            near = index.value.lower_bounds(xq[i : i + QUERIES], int(keys[0]), codes, error) <= REACH + 1e-6
-            near &= cq[i : i + QUERIES, None] != cm[None]
-            a, b = np.nonzero(near)
-            for j in range(0, len(a), 4 * BLOCK):
-                at, to = a[j : j + 4 * BLOCK] + i, b[j : j + 4 * BLOCK]
-                linked[at, to] = (xq[at] * xm[to]).sum(axis=1) >= MIN_COSINE
-        n = linked @ m["copies"].to_numpy()
-        joins = _local_edges(linked, cq, cm)
-        some = np.nonzero(n)[0]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, to in index.value.candidates(xq, m["cell"].to_numpy(), codes, error):
+            linked = ((xq[at] * xm[to]).sum(axis=1) >= MIN_COSINE) & (cq[at] != cm[to])
+            a.append(at[linked])
+            b.append(to[linked])
+        a, b = np.concatenate(a), np.concatenate(b)
+        n, back = np.zeros(len(cq), np.int64), np.zeros(len(cm), np.int64)
+        np.add.at(n, a, m["copies"].to_numpy()[b])
+        if keys[0] != keys[1]:  # on one shelf, a pair is found from both sides
+            np.add.at(back, b, q["copies"].to_numpy()[a])
+        ends, others = _local_edges(a, b, cq, cm)
+        links, of = np.concatenate([n, back]), np.concatenate([cq, cm])
         nothing = lambda k: [None] * k
         # Nullable integers, since codes do not fit into a float.
         return pd.DataFrame(
             {
-                "code": np.concatenate([cq[some], np.array([c for c, _ in joins], np.int64)]),
-                "n": pd.array(n[some].tolist() + nothing(len(joins)), "Int64"),
-                "other": pd.array(nothing(len(some)) + [o for _, o in joins], "Int64"),
+                "code": np.concatenate([of[links > 0], ends]),
+                "n": pd.array(links[links > 0].tolist() + nothing(len(ends)), "Int64"),
+                "other": pd.array(nothing((links > 0).sum()) + others.tolist(), "Int64"),
             }
         )
 
-    groups = ["cell", "block", "load"]
+    groups = ["shelf", "to"]
     found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compared, "code bigint, n bigint, other bigint")
     return freeze(found)
 

@@ -230,6 +230,32 @@ class TestVectors:
         real = np.sqrt(((x[:, None] - x[of][None]) ** 2).sum(axis=2))
         assert (index.lower_bounds(x, near[0], codes[of], error[of]) <= real + 1e-9).all()
 
+    def test_lists_share_shelves(self):
+        """A vector goes once to a shelf, however many of its lists that holds, and of two that link the
+        one on the earlier shelf meets the other."""
+        x = vectors._normal(np.random.default_rng(3).normal(size=(600, 8)).repeat(2, axis=0))
+        x[::2] = vectors._normal(x[::2] + 0.01)
+        index = vectors.Index(x, 10_000)
+        near, codes, error = index.encode(x)
+        sizes = [(int(c), int(n)) for c, n in zip(*np.unique(near, return_counts=True))]
+        shelves = vectors._shelved(sizes, 30)
+        assert max(n for _, n in sizes) > 30 and len({s for _, s, _ in shelves}) < len(sizes)
+        held = Counter()
+        for (_, size), (_, shelf, parts) in zip(sizes, shelves):
+            held.update({shelf + k: size / parts for k in range(parts)})
+        assert sorted(held) == list(range(len(held))) and max(held.values()) <= 30
+        place = {c: (s, p) for c, s, p in shelves}
+        shelf = np.array([place[c][0] + i % place[c][1] for i, c in enumerate(near)])
+        frame = pd.DataFrame({"code": np.arange(1200), "copies": 1, "x": list(x), "cell": near, "shelf": shelf})
+        found = pd.concat(vectors._sent([frame], index, shelves))
+        assert found["code"].tolist() == list(range(1200))
+        assert all(len(set(to)) == len(to) <= len(held) for to in found["to"])
+        a, b = np.nonzero(x @ x.T >= vectors.MIN_COSINE)
+        goes = [set(to) for to in found["to"]]
+        assert all(shelf[j] in goes[i] for i, j in zip(a, b) if shelf[i] <= shelf[j])
+        pairs = {(i, j) for at, to in index.candidates(x, near, codes, error) for i, j in zip(at, to)}
+        assert set(zip(a, b)) <= pairs and set(zip(*np.nonzero(index.lower_bounds(x, near, codes, error) <= vectors.REACH))) <= pairs
+
     def test_only_unusable_or_no_vectors(self, spark):
         df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
         assert sorted(tuple(r) for r in vectors.vectors_digest(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
