@@ -27,6 +27,8 @@ exact: it loses no link, and every link is checked on the whole sets.
    the common hash allow a link, and only in the list of their first common hash and in that of their
    first two. Whole sets are only fetched for pairs whose outlines allow one: each
    hash turns one bit of its set's outline over, so outlines differ in no more bits than sets in hashes.
+   The sets that are left go into the lists of their single first hashes for these comparisons, if
+   counts show that this costs less: a light set of k first hashes is in some k * k / 2 lists of pairs.
 
 Memory of a task: a batch of texts, or the sort buffers of a shuffle. Nothing that grows with
 the table is broadcast or collected.
@@ -237,7 +239,7 @@ def _linked(sets: DataFrame, sizes: DataFrame) -> DataFrame:
             if labelled.isEmpty():
                 break
             lists = labelled.drop("label")
-        pairs = _near(_stars(labelled, turn), outlines) if turn < STAR_ROUNDS else _rest(labelled, outlines.join(commons, "mark")).distinct()
+        pairs = _near(_stars(labelled, turn), outlines) if turn < STAR_ROUNDS else _left_over(labelled, outlines.join(commons, "mark")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = compact(freeze(pairs))
@@ -365,10 +367,40 @@ def _before() -> Column:
     return F.array_remove(F.slice(common, 1, at + second - 1), x)
 
 
+def _left_over(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of sets of open lists that may link and lie in different components, from these lists
+    or from those of single hashes of their sets, whichever costs less."""
+    labels = lists.groupBy("mark").agg(F.first("label").alias("label"))
+    singly = _singly(sets.join(labels, "mark"))
+    return _compared(_open(singly)) if _cost(singly) <= _cost(lists) else _rest(lists, sets)
+
+
+def _singly(sets: DataFrame) -> DataFrame:
+    """Each set with the list of each of its first hashes, ``(list, place, before)``. Sets that link
+    share one. No more than these hashes leave the row of a set."""
+    sets = sets.withColumn("common", F.slice("common", 1, _first(F.col("n"), F.col("alone"), 1)))
+    return sets.select("*", F.posexplode("common").alias("_i", "_x")).select(
+        *[c for c in sets.columns if c != "common"],
+        F.xxhash64("_x").alias("list"),
+        (F.col("alone") + F.col("_i") + 1).cast("bigint").alias("place"),
+        F.slice("common", F.lit(1), F.col("_i")).alias("before"),
+    )
+
+
+def _cost(lists: DataFrame) -> float:
+    """Rows of the open lists, each ``ROW`` times, and the comparisons within them."""
+    sizes = lists.groupBy("list").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").cast("double").alias("_n"))
+    return sizes.where("_a <> _b").agg(F.sum(F.col("_n") * ROW + F.col("_n") * F.col("_n"))).first()[0] or 0.0
+
+
 def _rest(lists: DataFrame, outlines: DataFrame) -> DataFrame:
+    """The pairs of the given lists."""
+    return _compared(lists.join(outlines.drop("n"), "mark").withColumn("before", _before()).drop("common"))
+
+
+def _compared(lists: DataFrame) -> DataFrame:
     """All pairs of open lists that lie in different components and may link by size, place and
     outline, each from one list of a hash and one of a pair at most."""
-    lists = lists.join(outlines.drop("n"), "mark").withColumn("before", _before()).drop("common")
     left, right = lists.alias("l"), lists.alias("r")
     n, m = F.col("l.n"), F.col("r.n")
     need = F.ceil((n + m) * THRESHOLD / (100 + THRESHOLD))

@@ -138,6 +138,38 @@ class TestJaccard:
         assert len(links) > 20 and links <= set(got) <= pairs
         assert max(got.values()) <= most
 
+    @pytest.mark.parametrize("several", [True, False])
+    def test_left_over_sets_take_the_cheaper_lists(self, spark, monkeypatch, several):
+        """Near copies of which some lie in other components leave all their lists of pairs open: the last
+        round compares them in those of single hashes, one row for each. One open list of a pair is kept."""
+        rng = np.random.default_rng(6)
+        base = rng.integers(0, 1 << 58, 120)
+        found = {}
+        for mark in range(12):
+            own = base.copy()
+            changed = rng.choice(120, 6, replace=False)
+            own[changed] = rng.integers(0, 1 << 58, 6)
+            found[mark] = sorted(set(own.tolist()))
+        times = Counter(h for s in found.values() for h in s)
+        commons = {m: [h for h in s if times[h] > 1] for m, s in found.items()}
+        rows = [(m, len(s), len(s) - len(commons[m]), commons[m]) for m, s in found.items()]
+        sets = spark.createDataFrame(rows, "mark long, n long, alone long, common array<long>")
+        bits = sets.select("mark", F.explode("common").alias("h")).groupBy("mark").agg(*jaccard._parities("h"))
+        sets = sets.join(bits, "mark")
+        lists = jaccard._lists(sets, 10_000).withColumn("label", F.when(F.col("mark") < 8, F.lit(0)).otherwise(F.col("mark")))
+        if not several:
+            lists = lists.where(F.col("list") == lists.agg(F.min("list")).first()[0])
+        compared, seen = jaccard._compared, []
+        monkeypatch.setattr(jaccard, "_compared", lambda df: seen.append(df.count()) or compared(df))
+        got = Counter(tuple(r) for r in jaccard._left_over(lists, sets).collect())
+        first = sum(max(0, n - -(-80 * n // 100) + 1 - alone) for _, n, alone, _ in rows)
+        assert 0 < seen[0] <= first and (seen[0] == lists.count()) != several
+        pairs = {(a, b) for a in found for b in found if a < b and b >= 8}
+        links = {(a, b) for a, b in pairs if 100 * len({*found[a]} & {*found[b]}) >= 80 * len({*found[a]} | {*found[b]})}
+        assert set(got) <= pairs and max(got.values(), default=1) == 1
+        if several:
+            assert len(links) > 20 and links <= set(got) and 3 * seen[0] < lists.count()
+
     def test_rows_of_lists_cost_more_than_scans(self, spark):
         """Sets enumerate the pairs of their hashes only where lists of single ones are long."""
 
