@@ -19,12 +19,14 @@ of at most ``REACH``.
 Both cuts are exact, so every link is found whatever the sample, which only decides the speed.
 
 Lists next to each other are put on shelves of about ``BLOCK`` members; a longer list is dealt over
-shelves of its own. A class goes to each shelf that holds one of its lists, once for all of them, and
-only to its own shelf and later ones: of two classes that link, each searches the other's list, so the
-one on the earlier shelf finds the link for both. Each pair of shelves is a task's group. It answers how
-many vectors each class links with, and edges that join what its links join, at most one per class
-in it; links themselves are not emitted. The pairs of shelves grow with the square of the table, each
-row of a shuffle with its table's size over ``BLOCK``.
+shelves of its own. A class searches each shelf that holds one of its lists, its own and later ones:
+of two classes that link, each searches the other's list, so the one on the earlier shelf finds the link
+for both. A shelf is one row that holds its members as bytes, stored once. Tasks read some shelves and meet
+them with some others, as a join without keys, so nothing is shuffled for it: the disk holds each vector a
+few times, whatever the number of shelves, and a task holds ``TOGETHER`` of them at once. Each pair of shelves
+answers how many vectors each class links with, and edges that join what its links join, at most one per class
+in it; links themselves are not emitted. The pairs of shelves, and with them time, grow with the square of
+the table, divided by ``BLOCK``.
 
 Vectors that are null, empty, zero, or hold a null or a component that is not finite link with
 nothing. Vectors of different lengths never link. Repeated keys count as vectors of their own
@@ -36,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from repoaudit.llm.graph import components
@@ -51,6 +54,8 @@ ONE_LEVEL, AT_ONCE = 256, 1024
 SUBSPACES, CODES, ROUNDS = 8, 64, 12
 #: Members of a shelf, about, shelves of a small table, and queries compared with a shelf at once.
 BLOCK, SHELVES, QUERIES = 2048, 8, 256
+#: Shelves that a task of pairs reads from each side, about.
+TOGETHER = 16
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -107,15 +112,17 @@ class Index:
         """What the codes stand for: residuals to the centre of the list."""
         return np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
 
-    def probes(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
-        """For each vector whether each list can hold a vector within REACH.
+    def probes(self, x: np.ndarray, near: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+        """For each vector whether each list, or each of ``cells``, can hold a vector within REACH.
 
         With ``2xc`` taken from the squares, no array is larger than vectors x centres.
         """
-        size = (self.centres**2).sum(axis=1)
-        apart = size[near][:, None] + size[None] - 2 * self.centres[near] @ self.centres.T
-        square = (x**2).sum(axis=1)[:, None] - 2 * x @ self.centres.T + size
-        own = square[np.arange(len(x)), near]
+        centres = self.centres if cells is None else self.centres[cells]
+        home = self.centres[near]
+        size, own_size = (centres**2).sum(axis=1), (home**2).sum(axis=1)
+        apart = own_size[:, None] + size[None] - 2 * home @ centres.T
+        square = -2 * x @ centres.T + size
+        own = own_size - 2 * (x * home).sum(axis=1)
         between = np.sqrt(np.maximum(apart, 0))
         # Centres as good as equal tell nothing apart.
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -166,10 +173,11 @@ def unit_classes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = x.isNotNull() & (F.size(x) > 0) & ~bad & F.exists(x, lambda v: v != 0)
     doubles = F.transform(x, lambda v: v.cast("double") + F.lit(0.0))  # minus zero is zero
+    single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
     return vectors.select(
         F.col(key).alias("_key"),
         F.when(usable, F.xxhash64(doubles, F.size(x))).alias("code"),
-        F.when(usable, doubles).alias("x"),
+        F.when(usable, doubles.cast("array<float>") if single else doubles).alias("x"),
     )
 
 
@@ -280,6 +288,75 @@ def _sent(frames, index: Index, shelves: list[tuple[int, int, int]]):
         yield frame[["code", "copies", "x", "shelf"]].assign(to=to)
 
 
+#: A shelf as a row: its number, the shelves that its members go to, and its members.
+_SHELF = {"code": np.int64, "copies": np.int64, "cell": np.int32, "codes": np.uint16, "error": np.float64}
+_SHELF_SCHEMA = f"shelf int, to array<int>, {', '.join(f'{c} binary' for c in _SHELF)}, x binary"
+
+
+def _blocks(frames, index: Index, shelves: list[tuple[int, int, int]], single: bool):
+    """The shelves of a partition whose members come shelf after shelf."""
+
+    def block(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        frame = pd.concat(parts)
+        to = np.unique(np.concatenate([t for f in _sent([frame], index, shelves) for t in f["to"]]))
+        columns = {c: np.stack(frame[c].to_numpy()).astype(kind).tobytes() for c, kind in _SHELF.items()}
+        x = _matrix(frame["x"]).astype(np.float32 if single else np.float64).tobytes()
+        return pd.DataFrame({"shelf": [frame["shelf"].iat[0]], "to": [to.astype(np.int32)]} | {c: [v] for c, v in columns.items()} | {"x": [x]})
+
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for shelf, part in frame.groupby("shelf", sort=False):
+            if held and held[0]["shelf"].iat[0] != shelf:
+                yield block(held)
+                held = []
+            held.append(part)
+    if held:
+        yield block(held)
+
+
+def _unblocked(row: dict, side: str, length: int, single: bool) -> dict[str, np.ndarray]:
+    """The members of a shelf, their vectors normalised."""
+    found = {c: np.frombuffer(row[side + c], kind) for c, kind in _SHELF.items() if side + c in row}
+    x = np.frombuffer(row[side + "x"], np.float32 if single else np.float64).reshape(-1, length)
+    return found | {"x": _normal(x.astype(np.float64))}
+
+
+def _met(batches, index: Index, single: bool):
+    """Links and edges of each pair of shelves ``q_`` and ``m_``, of which the first is not the later one."""
+    at, q = None, {}
+    for batch in batches:
+        for i in range(len(batch)):
+            (row,) = batch.slice(i, 1).to_pylist()
+            if row["q_shelf"] != at:
+                at, q = row["q_shelf"], _unblocked(row, "q_", index.length, single)
+            m = _unblocked(row, "m_", index.length, single)
+            codes = m["codes"].reshape(len(m["code"]), -1)
+            some = np.flatnonzero(index.probes(q["x"], q["cell"], np.unique(m["cell"])).any(axis=1))
+            xq, cq = q["x"][some], q["code"][some]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for f, t in index.candidates(xq, m["cell"], codes, m["error"]):
+                linked = ((xq[f] * m["x"][t]).sum(axis=1) >= MIN_COSINE) & (cq[f] != m["code"][t])
+                a.append(f[linked])
+                b.append(t[linked])
+            a, b = np.concatenate(a), np.concatenate(b)
+            n, back = np.zeros(len(cq), np.int64), np.zeros(len(m["code"]), np.int64)
+            np.add.at(n, a, m["copies"][b])
+            if row["q_shelf"] != row["m_shelf"]:  # on one shelf, a pair is found from both sides
+                np.add.at(back, b, q["copies"][some][a])
+            ends, others = _local_edges(a, b, cq, m["code"])
+            links, of = np.concatenate([n, back]), np.concatenate([cq, m["code"]])
+            linked = links > 0
+            nothing = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([of[linked], ends])),
+                    pa.concat_arrays([pa.array(links[linked]), nothing(len(ends))]),
+                    pa.concat_arrays([nothing(int(linked.sum())), pa.array(others)]),
+                ],
+                ["code", "n", "other"],
+            )
+
+
 def _search(heads: DataFrame) -> DataFrame:
     """For classes ``(code, copies, x)`` of one length: ``(code, n)`` with the vectors of other
     classes that a class links with, in parts, and ``(code, other)``, edges that join them."""
@@ -287,59 +364,38 @@ def _search(heads: DataFrame) -> DataFrame:
     sample = heads.orderBy(F.xxhash64("code"), "code").limit(SAMPLE).select("x").toPandas()
     number = heads.count()
     index = spark.sparkContext.broadcast(Index(_normal(_matrix(sample["x"])), number))
+    kind = heads.schema["x"].dataType.simpleString()
+    single = kind == "array<float>"
+
+    def placed(frames):
+        for frame in _parts(frames):
+            yield pd.DataFrame({"cell": _nearest(_normal(_matrix(frame["x"])), index.value.centres)})
 
     def encoded(frames):
         for frame in _parts(frames):
             near, codes, error = index.value.encode(_normal(_matrix(frame["x"])))
             yield frame.assign(cell=near, codes=list(codes.astype(np.int32)), error=error)
 
-    schema = "code bigint, copies bigint, x array<double>, cell int, codes array<int>, error double"
-    lists = freeze(heads.select("code", "copies", "x").mapInPandas(encoded, schema))
     # One row per centre, of which there are no more than an eighth of the sample.
-    sizes = [tuple(r) for r in lists.groupBy("cell").count().collect()]
+    sizes = [tuple(r) for r in heads.select("x").mapInPandas(placed, "cell int").groupBy("cell").count().collect()]
     shelves = _shelved(sizes, min(BLOCK, -(-number // SHELVES)))
+    last = max(s + p for _, s, p in shelves)
     places = F.broadcast(spark.createDataFrame(shelves, "cell int, first int, parts int"))
     shelf = (F.col("first") + F.pmod(F.xxhash64("code"), F.col("parts"))).cast("int")
+    # Encoded anew rather than stored: the same numbers come out, and the disk holds a vector once less.
+    schema = f"code bigint, copies bigint, x {kind}, cell int, codes array<int>, error double"
+    lists = heads.select("code", "copies", "x").mapInPandas(encoded, schema)
     members = lists.join(places, "cell").withColumn("shelf", shelf).drop("first", "parts")
 
-    sent = members.select("code", "copies", "x", "cell", "shelf").mapInPandas(
-        lambda frames: _sent(frames, index.value, shelves),
-        "code bigint, copies bigint, x array<double>, shelf int, to array<int>",
-    )
-    left = sent.select("code", "copies", "x", "shelf", F.explode("to").alias("to"))
-    right = members.select("*", F.col("shelf").alias("to")).withColumn("shelf", F.explode(F.sequence(F.lit(0), "to")))
-
-    def compared(keys, q, m):
-        if not len(q) or not len(m):
-            return pd.DataFrame({"code": [], "n": [], "other": []})
-        xq, xm = _normal(_matrix(q["x"])), _normal(_matrix(m["x"]))
-        cq, cm = q["code"].to_numpy(), m["code"].to_numpy()
-        codes, error = np.stack(m["codes"].to_numpy()), m["error"].to_numpy()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, to in index.value.candidates(xq, m["cell"].to_numpy(), codes, error):
-            linked = ((xq[at] * xm[to]).sum(axis=1) >= MIN_COSINE) & (cq[at] != cm[to])
-            a.append(at[linked])
-            b.append(to[linked])
-        a, b = np.concatenate(a), np.concatenate(b)
-        n, back = np.zeros(len(cq), np.int64), np.zeros(len(cm), np.int64)
-        np.add.at(n, a, m["copies"].to_numpy()[b])
-        if keys[0] != keys[1]:  # on one shelf, a pair is found from both sides
-            np.add.at(back, b, q["copies"].to_numpy()[a])
-        ends, others = _local_edges(a, b, cq, cm)
-        links, of = np.concatenate([n, back]), np.concatenate([cq, cm])
-        nothing = lambda k: [None] * k
-        # Nullable integers, since codes do not fit into a float.
-        return pd.DataFrame(
-            {
-                "code": np.concatenate([of[links > 0], ends]),
-                "n": pd.array(links[links > 0].tolist() + nothing(len(ends)), "Int64"),
-                "other": pd.array(nothing((links > 0).sum()) + others.tolist(), "Int64"),
-            }
-        )
-
-    groups = ["shelf", "to"]
-    found = left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInPandas(compared, "code bigint, n bigint, other bigint")
-    return freeze(found)
+    # Enough tasks for all cores; each has a share of the shelves from one side and from the other.
+    enough = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    parts = max(-(-last // TOGETHER), min(last, enough))
+    dealt = members.repartitionById(parts, F.pmod("shelf", F.lit(parts)).cast("int")).sortWithinPartitions("shelf")
+    blocks = freeze(dealt.mapInPandas(lambda frames: _blocks(frames, index.value, shelves, single), _SHELF_SCHEMA))
+    q = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("shelf", "to", "code", "copies", "cell", "x")])
+    m = blocks.select(*[F.col(c).alias(f"m_{c}") for c in ("shelf", *_SHELF, "x")])
+    pairs = q.join(m.hint("shuffle_replicate_nl"), F.expr("q_shelf <= m_shelf AND array_contains(q_to, m_shelf)")).drop("q_to")
+    return freeze(pairs.mapInArrow(lambda batches: _met(batches, index.value, single), "code bigint, n bigint, other bigint"))
 
 
 def vectors_digest(vectors: DataFrame) -> DataFrame:

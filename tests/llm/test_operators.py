@@ -288,6 +288,32 @@ class TestVectors:
         pairs = {(i, j) for at, to in index.candidates(x, near, codes, error) for i, j in zip(at, to)}
         assert set(zip(a, b)) <= pairs and set(zip(*np.nonzero(index.lower_bounds(x, near, codes, error) <= vectors.REACH))) <= pairs
 
+    def test_pairs_of_shelves_are_not_shuffled(self, spark, monkeypatch):
+        """Shelves are stored once and met by tasks: no exchange between them and their pairs, and
+        what leaves a shelf does not grow with the number of shelves."""
+        monkeypatch.setattr(vectors, "BLOCK", 20)
+        rng = np.random.default_rng(4)
+        x = rng.normal(size=(300, 5))
+        x[150:] = x[:150] + rng.normal(size=(150, 5)) * 0.02
+        rows = [(i, 1, [float(v) for v in r]) for i, r in enumerate(x)]
+        heads = spark.createDataFrame(rows, "code long, copies long, x array<double>")
+        plans = []
+        real = vectors.freeze
+
+        def kept(df):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return real(df)
+
+        monkeypatch.setattr(vectors, "freeze", kept)
+        found = vectors._search(heads).collect()
+        assert "CartesianProduct" in plans[-1] and "Exchange" not in plans[-1]
+        unit = vectors._normal(x)
+        links = (unit @ unit.T >= vectors.MIN_COSINE).sum(axis=1) - 1
+        got = Counter()
+        for r in found:
+            got[r.code] += r.n or 0
+        assert {k: v for k, v in got.items() if v} == {i: int(n) for i, n in enumerate(links) if n}
+
     def test_only_unusable_or_no_vectors(self, spark):
         df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
         assert sorted(tuple(r) for r in vectors.vectors_digest(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
