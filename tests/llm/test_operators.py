@@ -594,6 +594,56 @@ class TestBackoff:
         assert got[a[0]] == pytest.approx(0, abs=1e-6)  # each word follows the one before it, always
         assert got[a[1]] == pytest.approx(5_000 * (math.log(0.4) - math.log(70_000)), rel=1e-9)
 
+    def test_many_batches_and_buckets(self, spark, monkeypatch):
+        """Orders beyond those asked for at once, over batches and buckets that share n-grams."""
+        monkeypatch.setattr(backoff, "GROUP", 100)
+        rng = np.random.default_rng(8)
+        rows = [(i, " ".join(rng.choice(list("abcde"), int(rng.integers(0, 12))))) for i in range(120)]
+        rows += [(i + 200, t) for i, t in rows[:20]] + [(None, "a b a b"), (None, None), (7, "")]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6, "text")
+        folds = [r.f for r in spark.createDataFrame(rows, "k long, t string").coalesce(1).select(backoff._fold_of("k", "t").alias("f")).collect()]
+        order, counts = 4, [Counter(), Counter()]
+        for f, (_, text) in zip(folds, rows):
+            w = words(text or "")
+            padded = ["<s>"] * (order - 1) + w
+            for n in range(1, order + 1):
+                counts[f].update(tuple(padded[i - n + 1 : i + 1]) for i in range(order - 1, len(padded)))
+                counts[f][("<s>",) * n] += bool(w)
+        totals = [sum(v for g, v in c.items() if len(g) == 1 and g != ("<s>",)) for c in counts]
+        want = Counter()
+        for f, (key, text) in zip(folds, rows):
+            other, score = counts[1 - f], 0.0
+            padded = ["<s>"] * (order - 1) + words(text or "")
+            for i in range(order - 1, len(padded)):
+                grams = [tuple(padded[i - n + 1 : i + 1]) for n in range(order, 0, -1)]
+                at = next((j for j, g in enumerate(grams) if other[g]), order - 1)
+                least = other[grams[at][:-1]] if at < order - 1 else totals[1 - f]
+                score += at * math.log(0.4) + math.log(max(other[grams[at]], 1) / max(least, other[grams[at]], 1))
+            want[key, len(padded) - order + 1, round(score, 6)] += 1
+        got = backoff.score(df, order=order).collect()
+        assert Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == want
+
+    def test_disk_holds_an_ngram_once_in_a_few_bytes(self, spark):
+        """A batch sends a distinct n-gram once, packed, and gets back a number for it."""
+        rng = np.random.default_rng(9)
+        texts = [" ".join(map(str, rng.integers(0, 4000, 500))) for _ in range(200)]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(range(200)), pa.array([i % 2 for i in range(200)], pa.int32()), pa.array(texts), pa.array(range(200))],
+            ["_key", "fold", "_text", "_row"],
+        )
+        coded = list(backoff._coded([batch]))
+        assert sum(len(d.as_py()) for b in coded for d in b.column("data")) < 3 * 100_000
+        asked = [r for b in backoff._asking(coded, [1, 2], 4) for r in b.to_pylist()]
+        assert Counter(r["k"] for r in asked) == {1: 4, 2: 4}
+        pairs = {(a, b) for t in texts for a, b in zip(["<s>", *t.split()], t.split())}
+        assert sum(len(r["data"]) for r in asked if r["k"] == 2) < 8 * len(pairs)
+        made = pa.RecordBatch.from_pylist(asked, backoff._rows([]).schema)
+        answers = [r for b in backoff._answering([made]) for r in b.to_pylist()]
+        assert sum(len(r["data"]) for r in answers if r["k"] == 2) < len(pairs)
+        df = spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id long, text string")
+        plan = backoff.score(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan and "Join" not in plan
+
     def test_production_order_sees_two_words_back(self, spark):
         a, b = self.keys_of_folds(spark)
         rows = [(a[0], "a b c"), (a[1], "x b d"), (b[0], "a b c"), (b[1], "x b c")]
