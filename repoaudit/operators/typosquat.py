@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from repoaudit.functions import text
@@ -18,10 +20,12 @@ MAX_LITERAL_NAMES = 200
 # Known names of up to this length are joined on what deletions leave, longer ones on segments.
 SHORT = 8
 # A known name with a segment that CROWD share is joined on all but two of its PARTS instead; what
-# HOT_SEGMENT share of these is joined together with the rest of the name.
+# HOT_SEGMENT share of these is searched in memory, DEALT_BY known names and about REMAINDERS hashes at once.
 CROWD = 20
 HOT_SEGMENT = 200
 PARTS = 6
+DEALT_BY = 20_000
+REMAINDERS = 1_000_000
 
 
 def normalized(name: Column) -> Column:
@@ -143,8 +147,9 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     tells little. Known names with one are cut into ``PARTS`` parts, of which two edits leave
     all but two as they are. A name has a key for each two parts left out, a known one a key for each
     way its other parts can lie: 15 and 115, whatever their lengths. Each pair counts with
-    one of its keys only. A key that ``HOT_SEGMENT`` known names share is joined together with what
-    the two parts left out, a third of the name, are without any two letters.
+    one of its keys only. Where ``HOT_SEGMENT`` known names share a key, the two parts left out, a third of the
+    name, are compared in memory by what they are without any two letters: these remainders are many more
+    than the names and never leave a task. The pairs of a name move once, to where its list is made.
     """
     plain = names.select("name").distinct().withColumn("plain", normalized(F.col("name")))
     target = known.select(
@@ -161,6 +166,7 @@ def close_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
     return (
         pairs.select("name", "known_name", "ord", distance.alias("distance"))
         .where("distance is not null")
+        .repartition("name")
         .distinct()
     )
 
@@ -262,19 +268,80 @@ def _found_here() -> Column:
     return F.when(first, F.col("i") == PARTS - 2).otherwise(~last | beside)
 
 
-def _pairs_by_parts(plain: DataFrame, target: DataFrame) -> DataFrame:
-    right = _known_parts(_dealt(target)).withColumnRenamed("rest", "known_rest")
-    hot = right.groupBy("key").count().where(F.col("count") >= HOT_SEGMENT).select("key", F.lit(True).alias("hot"))
+def _remainders(names: np.ndarray) -> np.ndarray:
+    """Hashes of names of one length, rows of letters, with none, one or two letters removed."""
+    number, length = names.shape
+    step = np.uint64(0x9E3779B97F4A7C15)
+    back, twice = (np.uint64(pow(int(step), -k, 1 << 64)) for k in (1, 2))  # one or two places to the left
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(length, step, np.uint64)]), dtype=np.uint64)
+    letters = (names.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+    letters = (letters ^ (letters >> np.uint64(31))) * power[:length]
+    before = np.zeros((number, length + 1), np.uint64)
+    np.cumsum(letters, axis=1, out=before[:, 1:], dtype=np.uint64)
+    every = before[:, -1:]
+    x, y = np.triu_indices(length, 1)
+    one = before[:, :-1] + (every - before[:, 1:]) * back
+    two = before[:, x] + (before[:, y] - before[:, x + 1]) * back + (every - before[:, y + 1]) * twice
+    return np.concatenate([every, one, two], axis=1)
+
+
+def _by_length(names: list[str]):
+    """Places of names of each length, as many as have ``REMAINDERS`` at most, or one, with their remainders."""
+    lengths = np.array([len(n) for n in names])
+    for length in np.unique(lengths).tolist():
+        places = np.flatnonzero(lengths == length)
+        size = max(1, REMAINDERS // (1 + length + length * (length - 1) // 2))
+        for i in range(0, len(places), size):
+            some = places[i : i + size]
+            letters = np.array([[ord(c) for c in names[p]] for p in some.tolist()], np.uint32).reshape(len(some), length)
+            yield some, _remainders(letters)
+
+
+def _sharing(left: list[str], right: list[str]):
+    """Places of names that share a remainder, each pair at least once, in parts."""
+    for of_right, there in _by_length(right):
+        width = there.shape[1]
+        rank = np.argsort(there, axis=None)
+        there, owner = there.reshape(-1)[rank], of_right[rank // width]
+        for of_left, here in _by_length(left):
+            begin, end = (np.searchsorted(there, here.reshape(-1), side) for side in ("left", "right"))
+            found = end - begin
+            names = np.repeat(of_left, here.shape[1])
+            hits = np.flatnonzero(found)
+            cuts = np.flatnonzero(np.diff(np.cumsum(found[hits]) // REMAINDERS)) + 1
+            for some in np.split(hits, cuts):
+                n = found[some]
+                at = np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                pairs = np.unique(np.repeat(names[some], n) * len(right) + owner[at])
+                yield np.divmod(pairs, len(right))
+
+
+def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Names of one key with known ones whose parts left out share a remainder with theirs."""
+    none, several = np.zeros(0, np.int64), max(1, len(right))
+    pairs = _sharing(left["rest"].to_pylist(), right["known_rest"].to_pylist()) if len(left) and len(right) else ()
+    both = np.unique(np.concatenate([none, *[a * several + b for a, b in pairs]]))
+    names, known = left.drop_columns(["key", "deal"]).take(both // several), right.drop_columns(["key", "deal"]).take(both % several)
+    return pa.table({c: t[c] for t in (names, known) for c in t.column_names})
+
 
-    def keyed(rows: DataFrame, rest: str) -> DataFrame:
-        none = F.array(F.lit(0).cast("bigint"))
-        second = F.when(F.col("hot"), _deletions(F.col(rest))).otherwise(none)
-        return rows.join(hot, "key", "left").withColumn("second", F.explode(second)).drop("hot")
+def _pairs_by_parts(plain: DataFrame, target: DataFrame) -> DataFrame:
+    left, right = _name_parts(plain), _known_parts(_dealt(target)).withColumnRenamed("rest", "known_rest")
+    hot = right.groupBy("key").agg(F.count("*").alias("hot")).where(F.col("hot") >= HOT_SEGMENT)
+
+    # Few share a key: a join.
+    cold = left.join(hot, "key", "left_anti").join(right.join(hot, "key", "left_anti"), "key").drop("key")
+    # Many do: a share of the known names, and all names of the key, are a group.
+    parts = F.ceil(F.col("hot") / DEALT_BY).cast("int")
+    known = right.join(hot, "key").withColumn("deal", F.pmod(F.xxhash64("target"), parts).cast("int")).drop("hot")
+    names = left.join(hot, "key").withColumn("deal", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot")
+    groups = ["key", "deal"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cold.schema)
+    found = names.groupBy(*groups).cogroup(known.groupBy(*groups)).applyInArrow(_candidates, schema)
 
-    joined = keyed(_name_parts(plain), "rest").join(keyed(right, "known_rest"), ["key", "second"])
     # The parts left out hold all edits and are shorter than the names, so they are looked at first.
     close = F.levenshtein("rest", "known_rest", MAX_TYPO_DISTANCE) >= 0
-    return joined.where(close & _found_here()).drop("key", "second", "i", "j", "rest", "known_rest")
+    return cold.unionByName(found).where(close & _found_here()).drop("i", "j", "rest", "known_rest")
 
 
 def typosquat_candidates(names: DataFrame, known=None) -> DataFrame:

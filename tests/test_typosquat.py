@@ -190,3 +190,33 @@ def test_names_alike_but_for_a_third_make_few_pairs(spark, monkeypatch):
     assert typosquat._pairs_by_segment(plain, rows).count() < 20_000
     assert typosquat._known_parts(rows.limit(1)).count() == 115
     assert typosquat._name_parts(plain.limit(1)).count() == 15
+
+
+def test_remainders_find_close_names_in_parts(monkeypatch):
+    monkeypatch.setattr(typosquat, "REMAINDERS", 300)
+    rng = random.Random(5)
+    left = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 7))) for _ in range(80)]
+    right = [edits(rng, rng.choice(left), "abé", rng.randint(0, 4)) for _ in range(60)]
+    found = {(int(i), int(j)) for a, b in typosquat._sharing(left, right) for i, j in zip(a, b)}
+    close = {(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if _distance(a, b) <= 2}
+    assert close <= found
+    # Two letters at most are removed from each: others do not meet.
+    assert all(_distance(left[i], right[j]) <= 4 for i, j in found)
+
+
+def test_remainders_of_hot_keys_are_no_rows(spark, monkeypatch):
+    """Known names that differ in a third of their letters only, in shares: every close pair once,
+    and no row for each remainder."""
+    monkeypatch.setattr(typosquat, "CROWD", 1)
+    monkeypatch.setattr(typosquat, "HOT_SEGMENT", 5)
+    monkeypatch.setattr(typosquat, "DEALT_BY", 20)
+    known = [f"lib-common-beginning-{i:03d}-{j:02d}" for i in range(0, 60, 3) for j in range(0, 12, 2)]
+    asked = known[::3] + [k[1:] for k in known[::5]] + [k.upper() + "x" for k in known[::4]]
+    plain = spark.createDataFrame([(n, n.lower()) for n in asked], "name string, plain string")
+    target = spark.createDataFrame([(n, 0, n) for n in known], "known_name string, ord int, target string")
+    pairs = typosquat._pairs_by_parts(plain, target)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "FlatMapCoGroupsInArrow" in plan
+    got = [(r.name, r.known_name) for r in pairs.collect()]
+    want = {(a, k) for a in asked for k in known if _distance(a.lower(), k) <= 2}
+    assert len(got) == len(set(got)) and {p for p in got if _distance(p[0].lower(), p[1]) <= 2} == want
