@@ -26,6 +26,8 @@ HOT_SEGMENT = 200
 PARTS = 6
 DEALT_BY = 20_000
 REMAINDERS = 1_000_000
+# Hot keys that are broadcast, at most.
+MOST_HOT = 1_000_000
 
 
 def normalized(name: Column) -> Column:
@@ -328,9 +330,13 @@ def _candidates(left: pa.Table, right: pa.Table) -> pa.Table:
 def _pairs_by_parts(plain: DataFrame, target: DataFrame) -> DataFrame:
     left, right = _name_parts(plain), _known_parts(_dealt(target)).withColumnRenamed("rest", "known_rest")
     hot = right.groupBy("key").agg(F.count("*").alias("hot")).where(F.col("hot") >= HOT_SEGMENT)
+    # At most one key for every HOT_SEGMENT rows; the rows are told apart where they are made.
+    hot = freeze(hot)
+    hot = hot.hint("broadcast" if hot.count() <= MOST_HOT else "merge")
 
-    # Few share a key: a join.
-    cold = left.join(hot, "key", "left_anti").join(right.join(hot, "key", "left_anti"), "key").drop("key")
+    # Few share a key: a join. Without the hint Spark may broadcast the keys of all names, since it takes them
+    # to be as few bytes as the names.
+    cold = left.join(hot, "key", "left_anti").join(right.join(hot, "key", "left_anti").hint("merge"), "key").drop("key")
     # Many do: a share of the known names, and all names of the key, are a group.
     parts = F.ceil(F.col("hot") / DEALT_BY).cast("int")
     known = right.join(hot, "key").withColumn("deal", F.pmod(F.xxhash64("target"), parts).cast("int")).drop("hot")
